@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup
+from . import chat_format, license_scan, line_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": license_scan.query,
+        "op2_url_filter": url_filter.query,
         "op7_chat_format": chat_format.query,
         "op10_line_dedup": line_dedup.query,
     }
@@ -14,6 +16,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_filter": url_filter.SQL,
         "op7_chat_format": chat_format.SQL,
         "op10_line_dedup": line_dedup.SQL,
     }
