@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, line_dedup, url_filter
+from . import chat_format, license_scan, line_dedup, packing, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_license_scan": license_scan.query,
         "op2_url_filter": url_filter.query,
         "op7_chat_format": chat_format.query,
+        "op8_best_fit_packing": packing.query,
         "op10_line_dedup": line_dedup.query,
     }
 
