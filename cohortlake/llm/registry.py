@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, line_dedup, packing, url_filter
+from . import chat_format, license_scan, line_dedup, packing, sentencepiece_viterbi, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_url_filter": url_filter.query,
         "op7_chat_format": chat_format.query,
         "op8_best_fit_packing": packing.query,
+        "op9_sentencepiece": sentencepiece_viterbi.query,
         "op10_line_dedup": line_dedup.query,
     }
 
