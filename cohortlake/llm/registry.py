@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, line_dedup, packing, sentencepiece_viterbi, url_filter
+from . import chat_format, license_scan, line_dedup, packing, sentencepiece_viterbi, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.query,
         "op2_url_filter": url_filter.query,
+        "op5_toxicity": toxicity.query,
         "op7_chat_format": chat_format.query,
         "op8_best_fit_packing": packing.query,
         "op9_sentencepiece": sentencepiece_viterbi.query,
