@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, line_dedup, packing, sentencepiece_viterbi, toxicity, url_filter
+from . import chat_format, license_scan, line_dedup, ngram_join, packing, sentencepiece_viterbi, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.query,
         "op2_url_filter": url_filter.query,
+        "op3_ngram_join": ngram_join.query,
         "op5_toxicity": toxicity.query,
         "op7_chat_format": chat_format.query,
         "op8_best_fit_packing": packing.query,
@@ -20,6 +21,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.SQL,
+        "op3_ngram_join": ngram_join.SQL,
         "op7_chat_format": chat_format.SQL,
         "op10_line_dedup": line_dedup.SQL,
     }
