@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, line_dedup, ngram_join, packing, sentencepiece_viterbi, toxicity, url_filter
+from . import chat_format, license_scan, line_dedup, ngram_join, packing, sentencepiece_viterbi, toxicity, url_filter, vector_search
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_url_filter": url_filter.query,
         "op3_ngram_join": ngram_join.query,
         "op5_toxicity": toxicity.query,
+        "op6_vector_search": vector_search.query,
         "op7_chat_format": chat_format.query,
         "op8_best_fit_packing": packing.query,
         "op9_sentencepiece": sentencepiece_viterbi.query,
