@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, line_dedup, ngram_join, packing, sentencepiece_viterbi, toxicity, url_filter, vector_search
+from . import chat_format, embedding_dedup, license_scan, line_dedup, ngram_join, packing, sentencepiece_viterbi, toxicity, url_filter, vector_search
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_license_scan": license_scan.query,
         "op2_url_filter": url_filter.query,
         "op3_ngram_join": ngram_join.query,
+        "op4_embedding_dedup": embedding_dedup.query,
         "op5_toxicity": toxicity.query,
         "op6_vector_search": vector_search.query,
         "op7_chat_format": chat_format.query,
@@ -23,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.SQL,
         "op3_ngram_join": ngram_join.SQL,
+        "op4_embedding_dedup": embedding_dedup.SQL,
         "op7_chat_format": chat_format.SQL,
         "op10_line_dedup": line_dedup.SQL,
     }
