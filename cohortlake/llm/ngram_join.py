@@ -256,7 +256,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without those whose class has a smaller ``doc_id``; all columns stay."""
+    """``docs`` without those whose class has a smaller ``doc_id``; all columns stay, and so do rows without ``doc_id``.
+
+    Rows that share a ``doc_id`` go or stay together.
+    """
     gone = jaccard_components(docs, k, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 

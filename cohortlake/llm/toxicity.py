@@ -191,7 +191,7 @@ def _calibrated(sample: DataFrame, model: Model) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, with_passages: bool = False, keep_text: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFrame:
     """doc_id, score (and passages: extreme-value score, first word, word after the last)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -209,12 +209,24 @@ def score(docs: DataFrame, model: Model, with_passages: bool = False, keep_text:
                     [[{"value": v, "start": a, "end": b} for v, a, b in f[1]] for f in found],
                     pa.list_(pa.struct([("value", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])),
                 )
-            if keep_text:
-                out["text"] = batch.column(1)
             yield pa.record_batch(out)
 
-    text = ", text string" if keep_text else ""
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double{extra}{text}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double{extra}")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with all columns, without the documents that score ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in pieces(batches):
+            words, first = _words(batch)
+            x = np.array([_evidence(words[a:b], model)[0] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
+            curve = model.intercept + model.slope * np.minimum(x, _BINS * _STEP)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(curve, -700, 700))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
