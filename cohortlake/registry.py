@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .functions import queries as functions
+
+_PARTS = (functions,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.SQL.items()}
