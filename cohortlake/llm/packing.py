@@ -34,7 +34,7 @@ from ._text import pieces as text_slices
 MAX_TOKENS, SEPARATOR = 2048, 0
 SALTS = 256
 #: Words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 1_000_000
 
 
 def tokenizer_path() -> str:
@@ -46,38 +46,79 @@ def tokenizer_path() -> str:
 class WordEncoder:
     """Ids as little-endian 32-bit bytes, through the ids of space-separated words.
 
-    The byte-level splitter starts a new token at each single space between two
-    other characters, whatever stands around, so a text's ids are those of the
-    parts between such spaces, each part with its space.
+    The byte-level splitter starts a new token at each single space or line break
+    between two other characters, whatever stands around, so a text's ids are those
+    of the parts that start there.
     """
 
-    _odd = re.compile(r" \s|\s |\A | \Z")
-    _between = re.compile(r"(?<=\S) (?=\S)")
+    #: White space that the fast cut doesn't look at, and neighbours at which it would be wrong.
+    _odd = (*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680", *map(chr, range(0x2000, 0x200B)), *"\u2028\u2029\u202f\u205f\u3000", "  ", " \n", "\n ", "\n\n")
+    _between = re.compile(r"(?<=\S)(?=[ \n]\S)")
+
+    _latin = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.stops: dict[str, bytes] = {}
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        # the byte-level alphabet: printable bytes stand for themselves, others for what follows U+00FF
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _parts(self, text: str) -> list[str]:
+        """What starts at spaces, without the space; what starts at line breaks, with the break."""
+        if text and text[0] not in " \n" and text[-1] not in " \n" and not any(c in text for c in self._odd):
+            return text.replace("\n", " \n").split(" ")
+        first, *rest = self._between.split(text)
+        return [first, *(p[1:] if p[0] == " " else p for p in rest)]
+
+    def _learn(self, words) -> None:
+        """Words of letters, with or without stops after them, are one token each to the splitter; the rest goes through all of it."""
+        cache, model, alphabet, latin = self.cache, self.tokenizer.model, self.alphabet, self._latin.fullmatch
+        rest = []
+        for word in words:
+            if not (found := latin(word)):
+                rest.append(word)
+                continue
+            stem, stops = found.groups()
+            ids = cache.get(stem)
+            if ids is None:
+                spelt = (" " + stem).encode().decode("latin-1").translate(alphabet)
+                ids = cache[stem] = np.array([t.id for t in model.tokenize(spelt)], "<u4").tobytes()
+            if stops:
+                if stops not in self.stops:
+                    self.stops[stops] = self._ids([stops])[0]
+                cache[word] = ids + self.stops[stops]
+        cache.update(zip(rest, self._ids([w if w[0] == "\n" else " " + w for w in rest]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self._between.split(t) if self._odd.search(t) else t.split(" ") for t in texts]
-        heads = self._ids([p[0] for p in parts])
-        out, cache = [], self.cache
-        for head, part in zip(heads, parts, strict=True):
-            del part[0]
-            new = [w for w in set(part) if w not in cache]
-            if len(new) + len(cache) > CACHE:
-                cache.clear()
-                new = list(set(part))
-            if new:
-                cache.update(zip(new, self._ids([" " + w for w in new]), strict=True))
-            out.append(head + b"".join(map(cache.__getitem__, part)))
-        return out
+        parts = [self._parts(t) for t in texts]
+        heads = self._ids([p.pop(0) for p in parts])
+        cache = self.cache
+        words = set().union(*parts)
+        new = words.difference(cache)
+        if len(new) + len(cache) > CACHE:
+            cache.clear()
+            new = words
+        self._learn(new)
+        return [head + b"".join(map(cache.__getitem__, part)) for head, part in zip(heads, parts, strict=True)]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    """One for each Python worker, which serves many tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def tokenized(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, separator: int = SEPARATOR, keep_ids: bool = False) -> DataFrame:
@@ -85,7 +126,7 @@ def tokenized(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, separato
     end = np.array([separator], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = _encoder(path)
         for batch in text_slices(batches, 4 << 20):
             encoded = encoder.encode(batch.column(2).fill_null("").to_pylist())
             who, number, start, length, crc, kept = [], [], [], [], [], []
