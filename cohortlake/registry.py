@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .functions import queries as functions
+from .operators import queries_depth, queries_intervals
 
-_PARTS = (functions,)
+_PARTS = (functions, queries_intervals, queries_depth)
 
 
 def queries() -> dict:

@@ -108,10 +108,8 @@ def genome(spark, sf_dir) -> DataFrame:
     """Reference bases in 100-character buckets: chrnum (a document), bucket, bases."""
     docs = _read(spark, sf_dir, "documents").where("text is not null and length(text) > 0")
     letters = F.translate("text", "EINORSHLDUeinorshldu", "ACGTACGTNNACGTACGTNN")
-    last = F.floor((F.char_length("text") - 1) / 100).cast("int")
-    return docs.select((F.col("doc_id")).cast("int").alias("chrnum"), letters.alias("_s"), F.posexplode(F.sequence(F.lit(0), last)).alias("bucket", "_b")).select(
-        "chrnum", "bucket", F.substring(F.col("_s"), F.col("bucket") * 100 + 1, F.lit(100)).alias("bases")
-    )
+    parts = F.regexp_extract_all(letters, F.lit("(?s).{1,100}"), F.lit(0))
+    return docs.select(F.col("doc_id").cast("int").alias("chrnum"), F.posexplode(parts).alias("bucket", "bases"))
 
 
 def cohort(spark, sf_dir) -> DataFrame:

@@ -29,7 +29,7 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
             v = v.tolist()
         if isinstance(v, (list, tuple)):
             return "[" + ",".join(cell(x) for x in v) + "]"
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if isinstance(v, bool):
             return str(v)
