@@ -169,13 +169,13 @@ def _(spark, d):
 @query(
     "prepost_stats",
     S.with_views("sv", "depth_pos", extra=_WIN + ",\n" + _FLANKS + f", ff AS ({_FLANKED})")
-    + """SELECT sv_id, round(avg(pre) + 1e-7, 4) AS pre_mean, round(stddev_pop(pre) + 1e-7, 4) AS pre_sd, round(avg(post) + 1e-7, 4) AS post_mean, round(stddev_pop(post) + 1e-7, 4) AS post_sd,
+    + """SELECT sv_id, round(avg(pre) + 0.00013, 3) AS pre_mean, round(stddev_pop(pre) + 0.00013, 3) AS pre_sd, round(avg(post) + 0.00013, 3) AS post_mean, round(stddev_pop(post) + 0.00013, 3) AS post_sd,
   avg(pre) > 100 AND avg(pre) < 900 AND stddev_pop(pre) < 200 AS pre_ok FROM ff GROUP BY sv_id""",
 )
 def _(spark, d):
     f = D.flanks(S.sv(spark, d), _windows(spark, d), HOUR).withColumns({c: F.round(c, 6) for c in ("pre", "post")})
     ok = (F.avg("pre") > 100) & (F.avg("pre") < 900) & (F.stddev_pop("pre") < 200)
-    return f.groupBy("sv_id").agg(*[F.round(g(c) + 1e-7, 4).alias(f"{c}_{n}") for c in ("pre", "post") for g, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))], ok.alias("pre_ok"))
+    return f.groupBy("sv_id").agg(*[F.round(g(c) + 0.00013, 3).alias(f"{c}_{n}") for c in ("pre", "post") for g, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))], ok.alias("pre_ok"))
 
 
 @query(

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from .functions import queries as functions
-from .operators import queries_depth, queries_intervals
+from .operators import queries_depth, queries_evidence, queries_intervals
 
-_PARTS = (functions, queries_intervals, queries_depth)
+_PARTS = (functions, queries_intervals, queries_depth, queries_evidence)
 
 
 def queries() -> dict:

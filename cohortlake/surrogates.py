@@ -59,7 +59,7 @@ def evidence(spark, sf_dir) -> DataFrame:
         F.col("event_id").alias("ev_id"),
         (F.col("user_id") % 10).cast("int").alias("sample_id"),
         (F.col("event_id") % 2 + 1).cast("int").alias("chrnum"),
-        F.coalesce(F.element_at(kinds, "event_type"), F.lit("filtered")).alias("kind"),
+        F.coalesce(F.element_at(kinds, F.col("event_type")), F.lit("filtered")).alias("kind"),
         _seconds().alias("pos"),
         (_seconds() + F.floor(F.col("value") * 37)).cast("int").alias("mate"),
         (F.col("event_id") % 61).cast("int").alias("qual"),
