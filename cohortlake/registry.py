@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from .functions import queries as functions
 from .operators import queries_depth, queries_evidence, queries_intervals
+from .plans import queries as plans
 
-_PARTS = (functions, queries_intervals, queries_depth, queries_evidence)
+_PARTS = (functions, queries_intervals, queries_depth, queries_evidence, plans)
 
 
 def queries() -> dict:
