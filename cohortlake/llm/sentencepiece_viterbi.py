@@ -32,7 +32,7 @@ from ._text import mix, pieces
 
 SPACE = "▁"
 #: Words whose ids a worker remembers; cells of one Viterbi block.
-CACHE, CELLS = 200_000, 1 << 20
+CACHE, CELLS = 800_000, 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,6 +63,9 @@ class Viterbi:
         self.keys, self.ids, self.scores = keys[order], np.array(ids)[order], scores[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        #: Whether any key starts with these 20 bits: most substrings are no pieces and need no search.
+        self.first_bits = np.zeros(1 << 20, bool)
+        self.first_bits[self.keys >> np.uint64(44)] = True
         #: What an uncovered character costs: below all pieces, as in the library.
         self.unknown = scores.min() - 10.0
         self.cache: dict[str, bytes] = {}
@@ -88,8 +91,10 @@ class Viterbi:
         piece = np.full((top + 1, w, n), -1, np.int32)
         for k in range(1, top + 1):
             h = self._hash(codes, k)
+            row, start = np.nonzero(self.first_bits[h >> np.uint64(44)])
+            h = h[row, start]
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            piece[k, :, : n - k + 1] = np.where(self.keys[at] == h, at, -1)
+            piece[k, row, start] = np.where(self.keys[at] == h, at, -1)
         best = np.zeros((n + 1, w))
         back = np.zeros((n + 1, w), np.int32)
         for end in range(1, n + 1):
