@@ -5,7 +5,8 @@ of the same hashes in license templates. A hit at document word p and template
 word t votes for the diagonal p - t. Votes are counted per (document, template,
 diagonal); neighbouring diagonals, which small insertions and deletions make, are
 merged; a merged span is verified by the share of the template's k-grams it holds
-(a phrase needs all of them on one diagonal). Each hit compares a second 64-bit
+(a phrase needs all of them on one diagonal); of notices that start at one place, the
+one with the greatest share counts. Each hit compares a second 64-bit
 hash of another kind, so 128 bits of hash stand for the words.
 
 The templates are given by the caller and bounded (``MAX_GRAMS`` k-grams), so they
@@ -108,7 +109,7 @@ def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def spans(docs: DataFrame, templates: Iterable[Template] = PHRASES + NOTICES, min_share: float = MIN_SHARE) -> DataFrame:
     """_row, doc_id, n_words (on a document's own row, where label is null), label, phrase, start, share, found."""
     templates = tuple(templates)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_grams = rows.mapInArrow(_document_grams, "_row long, doc_id long, _p int, _d_g long, _d_check long")
     where = F.broadcast(template_positions(docs.sparkSession, templates))
     hits = all_grams.join(where, (F.col("_d_g") == F.col("_g")) & (F.col("_d_check") == F.col("_check")))
@@ -126,6 +127,12 @@ def spans(docs: DataFrame, templates: Iterable[Template] = PHRASES + NOTICES, mi
         .groupBy("_row", "doc_id", "_template", "_label", "_phrase", "_n", "_group")
         .agg(F.sum("_votes").alias("_votes"), F.min("_diagonal").alias("start"), F.max("n_words").alias("n_words"))
     )
+    # notices that start at one place compete: "version 2" against "version 3"
+    place = Window.partitionBy("_row", "_phrase").orderBy("start", "_template")
+    apart = F.coalesce(F.col("start") - F.lag("start").over(place) > SLACK, F.lit(True))
+    merged = merged.withColumn("_new", apart.cast("int")).withColumn("_place", F.sum("_new").over(place))
+    rivals = Window.partitionBy("_row", "_phrase", "_place")
+    merged = merged.withColumn("_best", F.max(F.when(F.col("_template") >= 0, F.col("_votes") / F.col("_n"))).over(rivals))
     own = F.col("_template") < 0
     share = F.least(F.col("_votes") / F.col("_n"), F.lit(1.0))
     return merged.select(
@@ -136,7 +143,7 @@ def spans(docs: DataFrame, templates: Iterable[Template] = PHRASES + NOTICES, mi
         (F.col("_phrase") & ~own).alias("phrase"),
         F.when(~own, F.col("start")).alias("start"),
         F.when(~own, share).alias("share"),
-        (~own & F.when(F.col("_phrase"), share >= 1.0).otherwise(share >= min_share)).alias("found"),
+        (~own & F.when(F.col("_phrase"), share >= 1.0).otherwise((share >= min_share) & (F.col("_votes") / F.col("_n") >= F.col("_best")))).alias("found"),
     )
 
 

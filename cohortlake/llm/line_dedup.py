@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import unused
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,22 +50,25 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with ``text`` rebuilt, and n_lines and n_dropped added (replacing columns of these names)."""
     gone = dropped_lines(docs, min_chars, min_docs)
-    docs = docs.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64("text")})
-    both = docs.join(gone.hint("shuffle_hash"), ["_id", "_text"], "left")
-    n = F.size("_all")
-    ends = F.concat("_drops", F.array(n))
-    starts = F.concat(F.array(F.lit(-1)), F.col("_drops"))
+    names = {c: unused(c, docs) for c in ("_id", "_text", "_drops", "_all")}
+    for old, new in names.items():
+        gone = gone.withColumnRenamed(old, new)
+    id_, text_, drops, all_ = names.values()
+    docs = docs.withColumns({id_: F.col("doc_id"), text_: F.xxhash64("text")})
+    both = docs.join(gone.hint("shuffle_hash"), [id_, text_], "left")
+    ends = F.concat(F.col(drops), F.array(F.size(all_)))
+    starts = F.concat(F.array(F.lit(-1)), F.col(drops))
     runs = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct((a + 2).alias("s"), (b - a - 1).alias("n"))), lambda r: r["n"] > 0)
-    kept = F.array_join(F.transform(runs, lambda r: F.array_join(F.slice("_all", r["s"], r["n"]), "\n")), "\n")
-    both = both.withColumn("_all", F.when(F.col("_drops").isNotNull(), _lines()))
-    newlines = F.char_length(F.coalesce("text", F.lit(""))) - F.char_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n")))
+    kept = F.array_join(F.transform(runs, lambda r: F.array_join(F.slice(all_, r["s"], r["n"]), "\n")), "\n")
+    both = both.withColumn(all_, F.when(F.col(drops).isNotNull(), _lines()))
+    text = F.coalesce("text", F.lit(""))
     return both.withColumns(
         {
-            "n_lines": (newlines + 1).cast("long"),
-            "n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept),
+            "n_lines": (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"))) + 1).cast("long"),
+            "n_dropped": F.coalesce(F.size(drops), F.lit(0)).cast("long"),
+            "text": F.when(F.col(drops).isNull(), text).otherwise(kept),
         }
-    ).drop("_id", "_text", "_drops", "_all")
+    ).drop(*names.values())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
