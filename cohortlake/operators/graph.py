@@ -9,16 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read back, so that each round's lineage is short."""
-    spark = df.sparkSession
+def _shared_folder(spark) -> str:
+    """spark.checkpoint.dir; a folder of its own only where that is unset and everything runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
+    return folder
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Written to the shared checkpoint folder and read back, so that each round's lineage is short."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

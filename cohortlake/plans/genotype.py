@@ -156,3 +156,60 @@ def consensus(breaks: DataFrame, least: int = 3, reach: float = 6.0) -> DataFram
 def modal_cluster(clusters: DataFrame) -> DataFrame:
     best = F.max(F.struct("n", (-F.col("start")).alias("s"), (-F.col("end")).alias("e"))).alias("b")
     return clusters.groupBy("sv_id").agg(best).select("sv_id", (-F.col("b.s")).alias("start"), (-F.col("b.e")).alias("end"), F.col("b.n").alias("n"))
+
+
+def joint_fit(cohort: DataFrame) -> DataFrame:
+    """sv_id, comps, bic, overlap: depth and evidence together, one component against labelled fits of two and three."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("sample_id")
+        xy = group[["depth", "cnt"]].to_numpy(float)
+        x, cnt = xy.T
+        label = np.where((x <= 0.65) & (cnt >= 0.1), np.where(x < 0.2, 2, 1), np.where((cnt < 0.05) & (x > 0.85), 0, -1))
+        seen = label >= 0
+        fits = [M.em_2d(xy, [1.0])] + [f for k in (2, 3) if (f := M.labelled_2d(xy[seen], label[seen], k))]
+        best = M.select(fits, OVERLAP) or fits[0]
+        return pd.DataFrame({"sv_id": [group["sv_id"].iloc[0]], "comps": [len(best.alphas)], "bic": [best.bic], "overlap": [best.overlap]})
+
+    return cohort.groupBy("sv_id").applyInPandas(one, "sv_id long, comps int, bic double, overlap double")
+
+
+def inversion_calls(cohort: DataFrame, limit: float = 0.3) -> DataFrame:
+    """sv_id, sample_id, gt (null: missing): from evidence counts alone.
+
+    Carriers have a count above 0.1, non-carriers below 0.05; carriers beyond 1.5 times
+    their mean are homozygous. Two or three labelled components must be better than one
+    and overlap less than ``limit``, and the carriers' mean must pass 0.15.
+    """
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("sample_id").reset_index(drop=True)
+        c = group["cnt"].to_numpy(float)
+        label = np.where(c > 0.1, 1, np.where(c < 0.05, 0, -1))
+        gt = np.full(len(c), -1)
+        if (label == 1).any() and (label == 0).any() and c[label == 1].mean() > 0.15:
+            three = np.where((label == 1) & (c > 1.5 * c[label == 1].mean()), 2, label)
+            single = M.em_1d(c, [float(c.mean())])
+            for marks in (three, label):
+                k = marks.max() + 1
+                parts = [c[marks == i] for i in range(k)]
+                if any(not len(p) for p in parts):
+                    continue
+                mean, sd = np.array([p.mean() for p in parts]), np.maximum([p.std() for p in parts], 1e-2)
+                alpha = np.array([len(p) for p in parts]) / sum(map(len, parts))
+                bic = M._bic(M.density_1d(c, mean, sd), alpha, 3 * k - 1)
+                if bic < single.bic and M.overlap_1d(mean, sd) < limit:
+                    gt = marks
+                    break
+        return pd.DataFrame({"sv_id": group["sv_id"], "sample_id": group["sample_id"], "gt": gt})
+
+    out = cohort.groupBy("sv_id").applyInPandas(one, "sv_id long, sample_id long, gt int")
+    return out.withColumn("gt", F.when(F.col("gt") >= 0, F.col("gt")))
+
+
+def clip_breaks(cells: DataFrame, least: int = 1) -> DataFrame:
+    """sv_id, sample_id, start, end: each sample's most frequent clip cell in either half, where both have ``least`` clips."""
+    n = cells.groupBy("sv_id", "sample_id", F.floor(F.col("cell") / 200).cast("int").alias("half"), "cell").agg(F.count("*").alias("n"))
+    best = n.groupBy("sv_id", "sample_id").agg(*[F.max(F.when(F.col("half") == h, F.struct("n", (-F.col("cell")).alias("c")))).alias(f"h{h}") for h in (0, 1)])
+    both = best.where((F.col("h0.n") >= least) & (F.col("h1.n") >= least))
+    return both.select("sv_id", "sample_id", (-F.col("h0.c")).cast("double").alias("start"), (-F.col("h1.c")).cast("double").alias("end"))

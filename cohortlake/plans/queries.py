@@ -318,3 +318,40 @@ def _(spark, d):
     return G.modal_cluster(G.consensus(_breaks(spark, d), least=2))
 
 
+
+
+@query("model_select_dpcnt")
+def _(spark, d):
+    return G.joint_fit(S.cohort(spark, d))
+
+
+@query("inv_assign")
+def _(spark, d):
+    return G.inversion_calls(S.cohort(spark, d))
+
+
+@query("clip_consensus")
+def _(spark, d):
+    from ..operators import queries_evidence as E
+
+    # wider bins than bases: the view's clips are thin
+    cells = E._cells(spark, d).select(F.floor(F.col("sv_id") / 400).alias("sv_id"), "sample_id", "cell")
+    return G.consensus(G.clip_breaks(cells), least=1)
+
+
+@query(
+    "stream_windows",
+    S.with_views("depth_pos") + "SELECT chrnum, CAST(pos // 3600 AS INTEGER) AS bucket, count(*) AS n, CAST(sum(depth) AS BIGINT) AS total FROM depth_pos GROUP BY ALL",
+)
+def _(spark, d):
+    from ..streaming import buckets
+
+    return buckets.replay(spark, f"{d}/events.parquet", 3600)
+
+
+@query("sam_scan", S.with_views("reads") + "SELECT read_id, part, flag, chrnum, pos, mapq, cigar, mate_pos, isize, mq, nm, sa FROM reads WHERE read_id % 4 = 0")
+def _(spark, d):
+    from ..sources import sam
+
+    rows = S.reads(spark, d).where("read_id % 4 = 0")
+    return sam.parse(sam.to_lines(rows)).drop("mate_chrnum")
