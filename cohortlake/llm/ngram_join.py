@@ -12,6 +12,11 @@ Order: by the count of a shingle's slot in a table of 2^``SLOT_BITS`` counters o
 all documents (its size doesn't depend on the corpus, so it is broadcast), then by
 hash. Any order gives the same result; a good one only saves candidates.
 
+Before a candidate's sets are read, its parity sketches are compared: 256 bits, each the
+parity of the shingles that hash to it. They differ in at most as many bits as the sets
+in shingles, so no true pair is lost, and pairs of a large group that are merely related
+go in the join itself.
+
 Result: the class (component) of each document and not the pairs, so that large
 groups cost no square of their size. Equal sets are one node. Then candidates are
 verified in two rounds: first each document against the pivots of its prefix shingles
@@ -34,17 +39,19 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._graph import components
-from ._store import stored
+from ._store import stored, unused
 from ._text import NONSPACE, grams, hashes, mix, pieces, text_words
 
 SLOT_BITS, RANGE = 22, 1 << 16
 LEVELS = (1, 2, 4, 8)
 #: What a candidate costs against reading one posting, for choosing l.
 VERIFY = 8.0
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -74,6 +81,12 @@ def node_of(s: np.ndarray) -> int:
     return int((np.bitwise_xor.reduce(mix(s)) ^ np.add.reduce(s * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)) if len(s) else 0
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Four 64-bit words: for each of 256 slots, whether an odd number of the set's items falls into it."""
+    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def least_overlaps(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Least overlap of a set of n with any partner, and with one that is no smaller."""
     return -(-num * n // den), -(-2 * num * n // (num + den))
@@ -88,6 +101,7 @@ def _survey(batches: Iterator[pa.RecordBatch], k: int, slot_bits: int) -> Iterat
         n = np.array([len(s) for s in sets], np.int64)
         node = np.array([node_of(s) for s in sets], np.int64)
         other = [np.bitwise_xor.reduce(mix(s ^ np.uint64(0xABCD))) if len(s) else np.uint64(0) for s in sets]
+        sketches = np.stack([parity(s) for s in sets])
         if n.sum():
             slots += np.bincount((np.concatenate(sets) >> np.uint64(64 - slot_bits)).astype(np.int64), minlength=len(slots)).astype(np.uint32)
         yield pa.record_batch(
@@ -96,6 +110,7 @@ def _survey(batches: Iterator[pa.RecordBatch], k: int, slot_bits: int) -> Iterat
                 "n": pa.array(n),
                 "node": pa.array(node),
                 "other": pa.array(np.array(other, np.uint64).view(np.int64)),
+                **{f"s{i}": pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(4)},
                 "range": none(len(n), pa.int32()),
                 "counts": none(len(n), pa.binary()),
             }
@@ -109,6 +124,7 @@ def _survey(batches: Iterator[pa.RecordBatch], k: int, slot_bits: int) -> Iterat
                 "n": none(len(used), pa.int64()),
                 "node": none(len(used), pa.int64()),
                 "other": none(len(used), pa.int64()),
+                **{f"s{i}": none(len(used), pa.int64()) for i in range(4)},
                 "range": pa.array(used.astype(np.int32)),
                 "counts": pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary()),
             }
@@ -198,21 +214,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = docs.mapInArrow(
-        partial(_survey, k=k, slot_bits=slot_bits), "doc_id long, n long, node long, other long, range int, counts binary"
+        partial(_survey, k=k, slot_bits=slot_bits), "doc_id long, n long, node long, other long, s0 long, s1 long, s2 long, s3 long, range int, counts binary"
     )
     survey = stored(survey, "survey")
     each = survey.where("n is not null").select("doc_id", "n", "node", "other")
-    reps = each.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("a"), F.max("other").alias("b"))
+    usable = survey.where("n > 0 and doc_id is not null")
+    reps = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("a"), F.max("other").alias("b"), *[F.min(c).alias(c) for c in SKETCH])
+    reps = stored(reps, "nodes")
     if reps.where("a <> b").limit(1).count():
         raise RuntimeError("two different sets share a hash; choose another k-gram seed")
     slots = spark.sparkContext.broadcast(_slot_table(survey, slot_bits))
 
     shape = "node long, n int, shingle long, probe int, index int"
     rows = docs.where("doc_id is not null").mapInArrow(partial(_prefixes, shared=slots, k=k, num=num, den=den, slot_bits=slot_bits), shape)
-    # one exchange for the count of a shingle's nodes and for dropping those that only one node has
-    rows = rows.repartition("shingle")
-    held = rows.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("shingle")
-    rows = stored(rows.join(held.hint("shuffle_hash"), "shingle").distinct(), "prefixes")
+    # one exchange for finding the shingles that more than one node has, and dropping the rest
+    whole = Window.partitionBy("shingle")
+    rows = rows.withColumns({"_lo": F.min("node").over(whole), "_hi": F.max("node").over(whole)}).where("_lo <> _hi")
+    rows = stored(rows.drop("_lo", "_hi").distinct(), "prefixes")
 
     # l for each node
     df = rows.groupBy("shingle").agg(F.count("*").alias("df"))
@@ -228,20 +246,34 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     near = probes.join(pivots, "shingle").where("x <> y").where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
     tried = near.groupBy("x", "y", "l").agg(F.count("*").alias("shared")).where("shared >= l")
     # the best pivot of a node is enough here: round 2 misses nothing
-    tried = tried.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
-    first = stored(_linked(tried.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), docs, reps, k, num, den), "links")
+    tried = tried.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y")).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    size_of = rows.groupBy("node").agg(F.max("n").alias("n"))
+    facts = reps.join(size_of, "node").select("node", "n", *SKETCH)
+
+    def fact(name: str) -> DataFrame:
+        return facts.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), *[F.col(c).alias(f"{c}{name}") for c in SKETCH])
+
+    def may_reach(a: str, b: str) -> Column:
+        """|A and B| is at most (|A| + |B| - bits that differ) / 2."""
+        differ = sum(F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in SKETCH)
+        return differ * (den + num) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (den - num)
+
+    tried = tried.distinct().join(fact("u"), "u").join(fact("v"), "v").where(may_reach("u", "v")).select("u", "v")
+    first = stored(_linked(tried, docs, reps, k, num, den), "links")
     group = components(first)
 
     # round 2: what lies in different components still, in shingles that more than one component has
     def with_group(frame: DataFrame, name: str, to: str) -> DataFrame:
         return frame.join(group.select(F.col("node").alias(name), F.col("component").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
 
-    index = with_group(rows.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), "index"), "y", "cy")
+    index = with_group(rows.select("shingle", F.col("node").alias("y"), "index"), "y", "cy")
     mixed = index.groupBy("shingle").agg(F.min("cy").alias("lo"), F.max("cy").alias("hi")).where("lo <> hi").select("shingle")
-    index = stored(index.join(mixed, "shingle"), "index")
-    probes = with_group(probes.join(mixed, "shingle", "left_semi"), "x", "cx")
+    index = stored(index.join(mixed, "shingle").join(fact("y"), "y"), "index")
+    probes = with_group(probes.join(mixed, "shingle", "left_semi").drop("nx"), "x", "cx").join(fact("x"), "x")
     # the larger set probes; of equal sizes the larger node
-    meets = probes.join(index, "shingle").where("cx <> cy and index <= l").where("nx > ny or (nx = ny and x > y)").where(F.col("ny") * den >= F.col("nx") * num)
+    sizes = ((F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))) & (F.col("ny") * den >= F.col("nx") * num)
+    meet = (F.col("shingle") == F.col("shingle_y")) & (F.col("cx") != F.col("cy")) & (F.col("index") <= F.col("l")) & sizes & may_reach("x", "y")
+    meets = probes.join(index.withColumnRenamed("shingle", "shingle_y"), meet)
     pairs = meets.groupBy("x", "y", "l").agg(F.count("*").alias("shared")).where("shared >= l")
     second = _linked(pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")), docs, reps, k, num, den)
     group = components(first.unionByName(second))
@@ -260,8 +292,9 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
 
     Rows that share a ``doc_id`` go or stay together.
     """
-    gone = jaccard_components(docs, k, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = unused("_gone", docs)
+    others = jaccard_components(docs, k, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(others, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
