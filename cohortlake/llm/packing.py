@@ -34,7 +34,7 @@ from ._text import pieces as text_slices
 MAX_TOKENS, SEPARATOR = 2048, 0
 SALTS = 256
 #: Words whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 400_000
 
 
 def tokenizer_path() -> str:
