@@ -244,21 +244,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     pivots = rows.groupBy("shingle").agg(F.array_distinct(F.array(F.min(rank(1)), F.max(rank(1)), F.min(rank(2)))).alias("p"))
     pivots = pivots.select("shingle", F.explode("p").alias("p")).select("shingle", F.col("p.node").alias("y"), F.col("p.n").alias("ny"))
     near = probes.join(pivots, "shingle").where("x <> y").where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-    tried = near.groupBy("x", "y", "l").agg(F.count("*").alias("shared")).where("shared >= l")
-    # the best pivot of a node is enough here: round 2 misses nothing
-    tried = tried.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y")).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    tried = near.groupBy("x", "y", "l").agg(F.count("*").alias("shared")).where("shared >= l").select("x", "y")
     size_of = rows.groupBy("node").agg(F.max("n").alias("n"))
-    facts = reps.join(size_of, "node").select("node", "n", *SKETCH)
+    facts = stored(reps.join(size_of, "node").select("node", "n", *SKETCH), "facts")
 
     def fact(name: str) -> DataFrame:
         return facts.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), *[F.col(c).alias(f"{c}{name}") for c in SKETCH])
 
+    def differ(a: str, b: str) -> Column:
+        return sum(F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in SKETCH)
+
     def may_reach(a: str, b: str) -> Column:
         """|A and B| is at most (|A| + |B| - bits that differ) / 2."""
-        differ = sum(F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in SKETCH)
-        return differ * (den + num) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (den - num)
+        return differ(a, b) * (den + num) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (den - num)
 
-    tried = tried.distinct().join(fact("u"), "u").join(fact("v"), "v").where(may_reach("u", "v")).select("u", "v")
+    # the likeliest three pivots of a node are enough here: round 2 misses nothing
+    tried = tried.join(fact("x"), "x").join(fact("y"), "y").where(may_reach("x", "y"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct(differ("x", "y").alias("d"), "y"))), 1, 3)
+    tried = tried.groupBy("x").agg(best.alias("best")).select("x", F.explode("best.y").alias("y"))
+    tried = tried.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
     first = stored(_linked(tried, docs, reps, k, num, den), "links")
     group = components(first)
 
