@@ -6,7 +6,8 @@ at least l of the first |x| - t + l shingles, for any l, where t is the least ov
 that x can have with a partner. Each document picks its own l: from the exact number
 of documents that hold each shingle of its prefix it estimates the postings read and
 the candidates left for l = 1, 2, 4, 8 and takes the cheapest; a longer prefix needs
-correspondingly more shared shingles before a pair is verified.
+correspondingly more shared shingles before a pair is verified. No l above t is taken:
+a pair may have just t shingles in common.
 
 Order: by the count of a shingle's slot in a table of 2^``SLOT_BITS`` counters over
 all documents (its size doesn't depend on the corpus, so it is broadcast), then by
@@ -234,8 +235,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     # l for each node
     df = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    costs = rows.join(df, "shingle").groupBy("node").agg(*[F.sum(F.when(F.col("probe") <= level, F.col("df")).otherwise(0)).alias(f"c{level}") for level in LEVELS])
-    best = F.least(*[F.struct((F.col(f"c{level}") * (1 + VERIFY / level)).alias("cost"), F.lit(level).alias("l")) for level in LEVELS])
+    costs = rows.join(df, "shingle").groupBy("node", "n").agg(*[F.sum(F.when(F.col("probe") <= level, F.col("df")).otherwise(0)).alias(f"c{level}") for level in LEVELS])
+    # l is at most the least overlap, num * n / den rounded up; least() skips the nulls of the other levels
+    cost = {level: F.struct((F.col(f"c{level}") * (1 + VERIFY / level)).alias("cost"), F.lit(level).alias("l")) for level in LEVELS}
+    best = F.least(*[F.when(F.col("n") * num > (level - 1) * den, cost[level]) for level in LEVELS])
     chosen = stored(costs.select("node", best["l"].alias("l")), "levels")
     probes = rows.join(chosen, "node").where("probe <= l").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), "l")
 

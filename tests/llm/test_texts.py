@@ -134,6 +134,17 @@ def test_ngram_components(spark, texts, k, num):
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == components(rows, k, num, 100)
 
 
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+def test_ngram_short_near_copies(spark, k, num):
+    rows = []
+    for n in range(5, 13):  # a pair has fewer shingles in common than the highest level
+        for i in range(12):
+            words = [f"c{n}x{i}w{j}" for j in range(n)]
+            rows += [(len(rows) + j, " ".join(t)) for j, t in enumerate([words, words[:-1], words[1:], [*words, "more"]])]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, SHAPE), k, num, 100)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == components(rows, k, num, 100)
+
+
 def test_ngram_odd(spark):
     got = ngram_join.jaccard_components(spark.createDataFrame(ODD, SHAPE)).collect()
     assert len(got) == len(ODD)
