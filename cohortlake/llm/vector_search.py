@@ -3,8 +3,8 @@
 Rows are dealt to shards by hash, so that a crowded list is spread over all of them,
 and queries to blocks; each (shard, block) is one group of bounded size. In a group,
 each query looks at the members of its ``PROBES`` nearest lists: centroid part plus
-table look-ups of the residual codes give approximate products, the best
-``DEPTH`` are reranked by the exact product of the original vectors in double
+table look-ups of the residual codes give approximate products (equal vectors are one
+node, with its smallest ids), the best ``DEPTH`` are reranked by the exact product of the original vectors in double
 precision, and the group's best k go on. The k best over all shards are the result.
 
 Cost: the queries are a fixed share of all rows, so the products grow with their
@@ -87,10 +87,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: float = PR
         index, asks = shared.value, table.column("asks").to_numpy()
         ids = table.column("vec_id").to_numpy()
         x, _ = _ivfpq.matrix(table.column("embedding"), index.width)
-        order = np.lexsort((ids, table.column("list").to_numpy(), asks))
+        order = np.lexsort((ids, asks))
         q, m = order[asks[order]], order[~asks[order]]
-        lists = table.column("list").to_numpy()[m]
-        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[m]
+        # equal vectors are one node; of its ids a query can use the k + 1 smallest at most, itself among them
+        _, one, node = np.unique((x[m] + 0.0).view(f"V{8 * index.width}").ravel(), return_index=True, return_inverse=True)
+        by = np.argsort(node, kind="stable")
+        place = np.arange(len(m)) - np.searchsorted(node[by], node[by])
+        copies = np.full((len(one), min(k, place.max(initial=0)) + 1), -1)
+        use = place < copies.shape[1]
+        copies[node[by][use], place[use]] = by[use]
+        # nodes by list, then by smallest id
+        lists = table.column("list").to_numpy()[m[one]]
+        order = np.lexsort((one, lists))
+        one, lists, copies = one[order], lists[order], copies[order]
+        owned = np.where(copies >= 0, ids[m[copies]], 0) if len(m) else copies
+        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[m[one]]
+        nodes = x[m[one]]
         out: list[tuple[np.ndarray, ...]] = []
         edges = np.searchsorted(lists, np.arange(len(index.centers) + 1))
         for i in range(0, len(q) if len(m) else 0, 256):
@@ -99,19 +111,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: float = PR
             allowed = np.zeros(near.shape, bool)
             np.put_along_axis(allowed, np.argpartition(-near, probed - 1, axis=1)[:, :probed], True, axis=1)
             tables = index.tables(x[part])
-            approx = np.full((len(part), len(m)), -np.inf)
+            approx = np.full((len(part), len(nodes)), -np.inf)
             for c in np.flatnonzero(np.diff(edges)):
                 a, b = edges[c], edges[c + 1]
                 who = np.flatnonzero(allowed[:, c])
                 approx[who, a:b] = near[who, c, None] + _ivfpq.looked_up(tables[who], codes[a:b])
-            approx[ids[part][:, None] == ids[m][None, :]] = -np.inf
-            deep = min(len(m), DEPTH * k)
+            alone = (copies[:, 1:] < 0).all(axis=1)
+            approx[(ids[part][:, None] == owned[None, :, 0]) & alone] = -np.inf
+            deep = min(len(nodes), DEPTH * k)
             best = np.argpartition(-approx, deep - 1, axis=1)[:, :deep]
-            exact = np.einsum("qd,qkd->qk", x[part], x[m[best]])
+            exact = np.einsum("qd,qkd->qk", x[part], nodes[best])
             exact[np.take_along_axis(approx, best, 1) == -np.inf] = -np.inf
-            top = np.lexsort((ids[m][best], -exact), axis=1)[:, :k]
+            # the k best nodes by their smallest id, then the k best of their ids
+            first = owned[best, 0]
+            if owned.shape[1] > 1:
+                first = np.where((first == ids[part][:, None]) & ~alone[best], owned[best, 1], first)
+            top = np.lexsort((first, -exact), axis=1)[:, :k]
+            best, exact = np.take_along_axis(best, top, 1), np.take_along_axis(exact, top, 1)
+            each = owned[best].reshape(len(part), -1)
+            exact = np.repeat(exact, owned.shape[1], axis=1)
+            exact[(copies[best] < 0).reshape(each.shape) | (each == ids[part][:, None])] = -np.inf
+            top = np.lexsort((each, -exact), axis=1)[:, :k]
             score = np.take_along_axis(exact, top, 1)
-            found = np.take_along_axis(ids[m][best], top, 1)
+            found = np.take_along_axis(each, top, 1)
             use = np.isfinite(score)
             out.append((np.repeat(ids[part], use.sum(axis=1)), found[use], score[use]))
         a, b, c = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))

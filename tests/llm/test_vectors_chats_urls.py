@@ -67,6 +67,22 @@ def test_search_recall_and_scores(spark):
     assert vector_search.search(spark.createDataFrame([], VECTORS), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_ties_of_many_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6_000, 8)).astype(np.float32)
+    copies = np.sort(rng.permutation(6_000)[:5_000])
+    x[copies] = 3 * np.ones(8)
+    got = vector_search.search(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS), F.col("vec_id") % 500 == copies[0] % 500).toPandas()
+    asked = 0
+    for query, found in got.sort_values("rank").groupby("query_id"):
+        score = x.astype(float) @ x[query].astype(float)
+        if query in copies or np.sum(score > score[copies[0]]) == 0:
+            score[query] = -np.inf
+            assert found.vec_id.tolist() == np.lexsort((np.arange(6_000), -score))[:20].tolist(), query
+            asked += 1
+    assert asked > 5
+
+
 def test_search_recall_on_the_table(spark):
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
