@@ -3,7 +3,7 @@
 Fit: over a bounded sample of labelled documents, chosen by the hash of ``doc_id``
 (``MAX_LABELLED`` rows at most; all of them below that), the distinct contexts of
 each word (the word before, the word, the word after) are counted by label. Copies
-of a document bring no new contexts, so a large group of copies weighs as one; a word
+of a document count as one document, for a word's occurrences too; a word
 whose toxic occurrences bring few new contexts belongs to such a group. Each word
 gets its log-odds in toxic against clean text with an informative Dirichlet
 prior (the pooled rate, ``PRIOR`` contexts strong) and a z-score; words that are
@@ -129,7 +129,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     sample = _training(docs, labels, limit)
-    seen = sample.mapInArrow(_contexts, "_label int, _word long, _context long, _n long").groupBy("_label", "_word", "_context").agg(F.sum("_n").alias("_n"))
+    # exact copies count once, in contexts and in occurrences
+    texts = sample.groupBy("_label", F.sha2("text", 256)).agg(F.first("text").alias("text"))
+    seen = texts.select("_label", "text").mapInArrow(_contexts, "_label int, _word long, _context long, _n long").groupBy("_label", "_word", "_context").agg(F.sum("_n").alias("_n"))
     toxic = F.col("_label") == 1
     counts = seen.groupBy("_word").agg(F.count_if(~toxic).alias("n0"), F.count_if(toxic).alias("n1"), F.coalesce(F.sum(F.when(toxic, F.col("_n"))), F.lit(0)).alias("m1"))
     counts = stored(counts, "words")

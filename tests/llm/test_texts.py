@@ -281,6 +281,20 @@ def test_toxicity_odd(spark):
     assert toxicity.score(spark.createDataFrame([], SHAPE), model).count() == 0
 
 
+def test_toxicity_many_copies_of_a_toxic_document(spark):
+    words, rng = [f"plain{i}" for i in range(400)], np.random.default_rng(2)
+    text = lambda toxic: " ".join([*rng.choice(words, 30), *(["vile"] if toxic else []), *rng.choice(words, 30)])
+    rows = [(i, text(i % 4 == 0)) for i in range(400)]
+    copied = text(True)
+    rows += [(1_000 + i, copied) for i in range(500)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 or i >= 1_000)) for i, _ in rows], "doc_id long, toxic int")
+    # other toxic documents without the word, so that most toxic words are fresh
+    more = [(2_000 + i, text(False)) for i in range(600)]
+    labels = labels.unionByName(spark.createDataFrame([(i, 1) for i, _ in more], "doc_id long, toxic int"))
+    model = toxicity.fit(spark.createDataFrame(rows + more, SHAPE), labels)
+    assert len(model.words) == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
