@@ -2,7 +2,8 @@
 
 Rows are dealt to shards by hash, so that a crowded list is spread over all of them,
 and queries to blocks; each (shard, block) is one group of bounded size. In a group,
-each query looks at the members of its ``PROBES`` nearest lists: centroid part plus
+each query looks at the members of its ``PROBES`` nearest lists, or of more until it
+reaches k: centroid part plus
 table look-ups of the residual codes give approximate products (equal vectors are one
 node, with its smallest ids), the best ``DEPTH`` are reranked by the exact product of the original vectors in double
 precision, and the group's best k go on. The k best over all shards are the result.
@@ -105,11 +106,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: float = PR
         nodes = x[m[one]]
         out: list[tuple[np.ndarray, ...]] = []
         edges = np.searchsorted(lists, np.arange(len(index.centers) + 1))
+        held = np.bincount(lists, (copies >= 0).sum(axis=1), len(index.centers))
         for i in range(0, len(q) if len(m) else 0, 256):
             part = q[i : i + 256]
             near = x[part] @ index.centers.T
             allowed = np.zeros(near.shape, bool)
-            np.put_along_axis(allowed, np.argpartition(-near, probed - 1, axis=1)[:, :probed], True, axis=1)
+            # the nearest lists, and more until k ids besides the query's are reached
+            ranked = np.argsort(-near, axis=1)
+            before = np.cumsum(held[ranked], axis=1) - held[ranked]
+            np.put_along_axis(allowed, ranked, (np.arange(len(index.centers)) < probed) | (before <= k), axis=1)
             tables = index.tables(x[part])
             approx = np.full((len(part), len(nodes)), -np.inf)
             for c in np.flatnonzero(np.diff(edges)):

@@ -83,6 +83,15 @@ def test_search_ties_of_many_copies(spark):
     assert asked > 5
 
 
+@pytest.mark.parametrize("n", [40, 48, 80, 120])
+def test_search_fills_k_on_small_tables(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 6))
+    x[: n // 2] += 9 * np.eye(6)[np.arange(n // 2) % 6]
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))], VECTORS)
+    got = vector_search.search(frame, F.lit(True), k=36, probes=0.3).groupBy("query_id").count().collect()
+    assert len(got) == n and all(r["count"] == 36 for r in got)
+
+
 def test_search_recall_on_the_table(spark):
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
