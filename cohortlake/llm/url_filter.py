@@ -3,12 +3,12 @@
 A rule (verdict, host, path prefix) sits at the node reached by its host's labels
 from the right and then its path's whole segments; what follows the last slash of
 its path must start the url's next segment. A walk down the trie along a url meets
-exactly the rules that fit it; the longest host and path wins, and of equal rules
-the blocking one.
+exactly the rules that fit it; the longest host and path wins, of equally long ones
+the blocking one, and of those the one whose text is smallest.
 
 Up to ``MAX_RULES`` rules are broadcast as a trie. Beyond that ``judge`` joins the
 urls' trie paths (host suffix and segment prefix) to the rule table instead, which
-gives the same results.
+gives the same results; no url's path is followed deeper than the deepest rule.
 
 Defined results: a url that is null or has no ``://`` has empty host and path and
 no rule; every input row gives one row; an empty table gives no rows; columns
@@ -40,7 +40,7 @@ def path_of(url: Column) -> Column:
 
 
 class Trie:
-    """Nodes are dicts; the key None holds [(rest of path, length, verdict, rule)]."""
+    """Nodes are dicts; the key None holds [(-length, not blocking, rule, verdict, rest of path)]."""
 
     def __init__(self, rules: list[tuple[str, str, str]]):
         self.root: dict = {}
@@ -49,8 +49,8 @@ class Trie:
             node = self.root
             for label in [*reversed(host.split(".")), *("/" + s for s in whole)]:
                 node = node.setdefault(label, {})
-            # sorted so that the longest, then the blocking rule comes first
-            node.setdefault(None, []).append((-len(host) - len(path), verdict != "block", rest, verdict, host + path))
+            # the least comes first: the longest, then the blocking, then the smallest rule
+            node.setdefault(None, []).append((-len(host) - len(path), verdict != "block", host + path, verdict, rest))
             node[None].sort()
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
@@ -61,13 +61,13 @@ class Trie:
             if node is None:
                 break
             best = self._along(node, segments, best)
-        return best and (best[4], best[3])
+        return best and (best[2], best[3])
 
     @staticmethod
     def _along(node: dict, segments: list[str], best):
         for i, segment in enumerate(segments):
             for rule in node.get(None, ()):
-                if segment.startswith(rule[2]) and (best is None or rule[:2] < best[:2]):
+                if segment.startswith(rule[4]) and (best is None or rule[:3] < best[:3]):
                     best = rule
             node = node.get("/" + segment) if i < len(segments) - 1 else None
             if node is None:
@@ -92,17 +92,19 @@ def _with_trie(pages: DataFrame, rules: list, default: str) -> DataFrame:
     return pages.mapInArrow(walk, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
-def _with_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+def _with_join(pages: DataFrame, rules: DataFrame, default: str, most_labels: int, most_segments: int) -> DataFrame:
     """The same walk as rows: each url's (host suffix, segment prefix) pairs, joined to the rules by equality.
 
+    Suffixes have at most as many labels, and prefixes as many segments, as any rule.
+
     A host of the most common kind has few suffixes, and AQE splits a skewed key of
     this inner join. The best rule is a partial aggregate per row.
     """
     labels, segments = F.split("host", r"\.", -1), F.split("path", "/", -1)
     keyed = pages.withColumn("_row", F.monotonically_increasing_id())
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most_labels + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(
-        F.sequence(F.lit(0), F.size(segments) - 1),
+        F.sequence(F.lit(0), F.least(F.size(segments), F.lit(most_segments)) - 1),
         lambda i: F.struct(
             F.array_join(F.slice(segments, F.lit(1), i), "/").alias("whole"), i.alias("depth"), F.get(segments, i).alias("next")
         ),
@@ -116,14 +118,14 @@ def _with_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
         F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("_whole"),
         F.get(parts, F.size(parts) - 1).alias("_rest"),
         F.struct(
-            (F.char_length("host") + F.char_length("path")).alias("n"),
-            (F.col("verdict") == "block").alias("b"),
+            (-F.char_length("host") - F.char_length("path")).alias("n"),
+            (F.col("verdict") != "block").alias("b"),
             F.concat("host", "path").alias("rule"),
             "verdict",
         ).alias("_rule"),
     )
     hits = places.join(entries, ["_host", "_depth", "_whole"]).where(F.startswith("_next", "_rest"))
-    best = hits.groupBy("_row").agg(F.max("_rule").alias("_rule"))
+    best = hits.groupBy("_row").agg(F.min("_rule").alias("_rule"))
     return keyed.join(best, "_row", "left").select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.lit(default)).alias("verdict")
     )
@@ -135,9 +137,13 @@ def judge(pages: DataFrame, rules: DataFrame | list, default: str = "allow", max
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, RULES)
     table = table.select("verdict", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).where("verdict is not null")
-    size = table.agg(F.count("*").alias("n"), F.coalesce(F.max(F.char_length("host") + F.char_length("path")), F.lit(0)).alias("chars")).first()
+    most = lambda c: F.coalesce(F.max(c), F.lit(0))
+    size = table.agg(
+        F.count("*").alias("n"), most(F.char_length("host") + F.char_length("path")).alias("chars"),
+        most(F.size(F.split("host", r"\.", -1))).alias("labels"), most(F.size(F.split("path", "/", -1))).alias("segments"),
+    ).first()
     if size["n"] > max_rules or size["chars"] > MAX_RULE_CHARS:
-        return _with_join(urls, table, default)
+        return _with_join(urls, table, default, max(1, size["labels"]), max(1, size["segments"]))
     return _with_trie(urls, [tuple(r) for r in table.collect()], default)
 
 

@@ -135,8 +135,8 @@ def test_chats_round_trip(spark):
 
 # --- urls
 
-RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.net", "/en/x"), ("allow", "a.example.net", ""), ("block", "org", "/de"), ("allow", "org", "/de"), ("block", "", "/empty")]
-URLS = ["http://net/", "https://Example.NET/en/x/y?z", "http://b.example.net/en/", "http://a.example.net", "http://xexample.net/en/", "ftp://q.org/de", "q.org/de", "http://q.org/dex#y", None, "", "://", "http://net", "http:///empty/x", "http://net./", "a://b://c/d"]
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.net", "/en/x"), ("allow", "a.example.net", ""), ("block", "org", "/de"), ("allow", "org", "/de"), ("block", "", "/empty"), ("allow", "x.net", "/"), ("allow", "net", "/ab"), ("allow", "io", "/a/b/"), ("block", "io", "/a/b/")]
+URLS = ["http://net/", "https://Example.NET/en/x/y?z", "http://b.example.net/en/", "http://a.example.net", "http://xexample.net/en/", "ftp://q.org/de", "q.org/de", "http://q.org/dex#y", None, "", "://", "http://net", "http:///empty/x", "http://net./", "a://b://c/d", "http://x.net/ab/", "http://io/a/b/c", "http://io/" + "a/" * 3_000, "http://" + "x." * 3_000 + "io/a/b/"]
 
 
 @pytest.mark.parametrize("most", [url_filter.MAX_RULES, 0])
@@ -152,8 +152,8 @@ def test_urls(spark, most):
             end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
             host, path = rest[:end].lower(), rest[end:]
             path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
-        fits = [(len(h) + len(p), v == "block", h + p, v) for v, h, p in RULES if (host == h or (h and host.endswith("." + h))) and path.startswith(p)]
-        best = max(fits, default=None)
+        fits = [(-len(h) - len(p), v != "block", h + p, v) for v, h, p in RULES if (host == h or (h and host.endswith("." + h))) and path.startswith(p)]
+        best = min(fits, default=None)
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best and best[2], best[3] if best else "allow"), url
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
     assert {r.verdict for r in url_filter.judge(pages, []).collect()} == {"allow"}
