@@ -33,8 +33,8 @@ from ._text import pieces as text_slices
 
 MAX_TOKENS, SEPARATOR = 2048, 0
 SALTS = 256
-#: Words whose ids a worker remembers.
-CACHE = 400_000
+#: Bytes of words and ids that a worker remembers (estimated), and the longest word worth remembering.
+CACHE_BYTES, REMEMBERED = 128 << 20, 200
 
 
 def tokenizer_path() -> str:
@@ -62,7 +62,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.stops: dict[str, bytes] = {}
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache, self.size = Tokenizer.from_file(path), {}, 0
         # the byte-level alphabet: printable bytes stand for themselves, others for what follows U+00FF
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
@@ -103,12 +103,19 @@ class WordEncoder:
         heads = self._ids([p.pop(0) for p in parts])
         cache = self.cache
         words = set().union(*parts)
-        new = words.difference(cache)
-        if len(new) + len(cache) > CACHE:
+        if self.size > CACHE_BYTES:
             cache.clear()
-            new = words
+            self.size = 0
+        new = words.difference(cache)
         self._learn(new)
-        return [head + b"".join(map(cache.__getitem__, part)) for head, part in zip(heads, parts, strict=True)]
+        out = [head + b"".join(map(cache.__getitem__, part)) for head, part in zip(heads, parts, strict=True)]
+        for word in new:
+            if len(word) > REMEMBERED:
+                cache.pop(word)
+                cache.pop(word.rstrip(".,!?;:"), None)
+            else:
+                self.size += 300 + 4 * len(word) + len(cache[word])
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from ._text import mix, pieces
 
 SPACE = "▁"
-#: Words whose ids a worker remembers; cells of one Viterbi block.
-CACHE, CELLS = 800_000, 1 << 20
+#: Bytes of words and ids that a worker remembers (estimated), the longest word worth remembering, and cells of one Viterbi block.
+CACHE_BYTES, REMEMBERED, CELLS = 192 << 20, 200, 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,6 +69,7 @@ class Viterbi:
         #: What an uncovered character costs: below all pieces, as in the library.
         self.unknown = scores.min() - 10.0
         self.cache: dict[str, bytes] = {}
+        self.size = 0
 
     @staticmethod
     def _codes(words: list[str], n: int) -> np.ndarray:
@@ -84,38 +85,46 @@ class Viterbi:
             out ^= out >> np.uint64(29)
         return mix(out)
 
-    def _same_length(self, words: list[str], n: int) -> list[bytes]:
-        codes = self._codes(words, n)
-        w, top = len(words), min(n, self.longest)
-        # piece (its index, or -1) that starts at s and has k characters
+    def _starting(self, codes: np.ndarray, top: int) -> np.ndarray:
+        """Piece (its index, or -1) that starts at s and has k characters, as [k, word, s]."""
+        w, n = codes.shape
         piece = np.full((top + 1, w, n), -1, np.int32)
-        for k in range(1, top + 1):
+        for k in range(1, min(top, n) + 1):
             h = self._hash(codes, k)
             row, start = np.nonzero(self.first_bits[h >> np.uint64(44)])
             h = h[row, start]
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             piece[k, row, start] = np.where(self.keys[at] == h, at, -1)
+        return piece
+
+    def _same_length(self, words: list[str], n: int) -> list[bytes]:
+        """The words advance together, in blocks of ends, so that memory doesn't grow with a word's length but for its backpointers."""
+        codes = self._codes(words, n)
+        w, top = len(words), min(n, self.longest)
         best = np.zeros((n + 1, w))
-        back = np.zeros((n + 1, w), np.int32)
-        for end in range(1, n + 1):
-            ks = np.arange(min(end, top), 0, -1)
-            found = piece[ks, :, end - ks]
-            score = np.where(found >= 0, self.scores[found], -np.inf)
-            score[-1] = np.where(found[-1] >= 0, score[-1], self.unknown)
-            score += best[end - ks]
-            k = score.argmax(axis=0)
-            best[end], back[end] = np.take_along_axis(score, k[None], 0)[0], ks[k]
+        back, chosen = np.zeros((n + 1, w), np.int32), np.zeros((n + 1, w), np.int32)
+        block = max(top, CELLS // (w * top))
+        for lo in range(0, n, block):
+            hi, base = min(n, lo + block), max(0, lo - top + 1)
+            piece = self._starting(codes[:, base:hi], top)
+            for end in range(lo + 1, hi + 1):
+                ks = np.arange(min(end, top), 0, -1)
+                found = piece[ks, :, end - ks - base]
+                score = np.where(found >= 0, self.scores[found], -np.inf)
+                score[-1] = np.where(found[-1] >= 0, score[-1], self.unknown)
+                score += best[end - ks]
+                k = score.argmax(axis=0)[None]
+                best[end], back[end], chosen[end] = np.take_along_axis(score, k, 0)[0], ks[k[0]], np.take_along_axis(found, k, 0)[0]
         out = []
         for j in range(w):
             ids, end = [], n
             while end:
-                k = int(back[end, j])
-                p = int(piece[k, j, end - k])
+                p = int(chosen[end, j])
                 if p >= 0:
                     ids.append(int(self.ids[p]))
                 else:
                     ids += [self.bytes[b] for b in reversed(words[j][end - 1].encode("utf-8", "surrogatepass"))]
-                end -= k
+                end -= int(back[end, j])
             out.append(np.array(ids[::-1], "<u4").tobytes())
         return out
 
@@ -152,14 +161,19 @@ class Viterbi:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.words(t) for t in texts]
-        new = set().union(*cut)
-        new = {w for w in new if w not in self.cache}
-        if len(new) + len(self.cache) > CACHE:
+        if self.size > CACHE_BYTES:
             self.cache.clear()
-            new = set().union(*cut)
+            self.size = 0
+        new = {w for w in set().union(*cut) if w not in self.cache}
         self.learn(new)
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in cut]
+        out = [np.frombuffer(b"".join(map(get, words)), "<u4") for words in cut]
+        for word in new:
+            if len(word) > REMEMBERED:
+                self.cache.pop(word)
+            else:
+                self.size += 200 + 4 * len(word) + len(self.cache[word])
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Pieces put together; runs of byte pieces as UTF-8; without the space before the text."""

@@ -227,6 +227,50 @@ def test_sentencepiece_best_segmentation(texts):
             assert sum(score[i] for i in ids) == best_score(model, word)
 
 
+def test_sentencepiece_blocks_and_memory():
+    model = sentencepiece_viterbi.Viterbi(sentencepiece_viterbi.model_path())
+    rng = np.random.default_rng(1)
+    long = "▁" + "".join(rng.choice(list("abcdeéß漢"), 3_000))
+    whole = model._same_length([long], len(long))
+    cells, sentencepiece_viterbi.CELLS = sentencepiece_viterbi.CELLS, 1 << 10
+    try:
+        assert model._same_length([long], len(long)) == whole
+    finally:
+        sentencepiece_viterbi.CELLS = cells
+    # lines without spaces aren't remembered, and what is stays within its bound
+    for i in range(20):
+        lines = ["".join(rng.choice(list("漢字仮名交文"), 500)) for _ in range(50)]
+        assert [model.decode(x.tolist()) for x in model.encode(lines)] == lines
+    assert model.size == 0 and not model.cache
+    model.encode([" ".join(str(j) for j in range(20_000))])
+    most, sentencepiece_viterbi.CACHE_BYTES = sentencepiece_viterbi.CACHE_BYTES, 1000
+    try:
+        model.encode(["one two"])
+    finally:
+        sentencepiece_viterbi.CACHE_BYTES = most
+    assert set(model.cache) == {"▁one", "▁two"}
+
+
+def test_sentencepiece_odd(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, ids string, extra int")
+    path = sentencepiece_viterbi.model_path()
+    assert sentencepiece_viterbi.round_trip(empty, path).count() == 0
+    assert sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(empty, path), path).count() == 0
+    rows = spark.createDataFrame([(1, "a b", "x", 2), (1, "a b", "y", 3), (None, None, None, None)], empty.schema)
+    back = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(rows, path), path).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in back) == [(0, ""), (1, "a b"), (1, "a b")]
+
+
+def test_packing_cache():
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    rng = np.random.default_rng(2)
+    for _ in range(10):
+        lines = ["".join(rng.choice(list("漢字仮名交文ab"), 600)) + " ok." for _ in range(50)] + ["x " + "b" * 700 + "."]
+        want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in lines]
+        assert encoder.encode(lines) == want
+    assert encoder.size < 5_000 and all(len(w) <= packing.REMEMBERED for w in encoder.cache)
+
+
 def test_sentencepiece_round_trip(spark, texts):
     rows = [*texts.items(), *ODD, (70, "  two  spaces "), (71, "tabs\tand\nlines"), (72, "😀 ▁ x")]
     got = sentencepiece_viterbi.round_trip(spark.createDataFrame(rows, SHAPE), sentencepiece_viterbi.model_path()).collect()
