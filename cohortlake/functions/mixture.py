@@ -30,22 +30,25 @@ def density_1d(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
     return np.exp(-0.5 * ((x[None] - mean[:, None]) / sd) ** 2) / (sd * np.sqrt(2 * np.pi))
 
 
+def _det(cov: np.ndarray) -> np.ndarray:
+    return cov[..., 0, 0] * cov[..., 1, 1] - cov[..., 0, 1] * cov[..., 1, 0]
+
+
 def regular(cov: np.ndarray) -> np.ndarray:
-    """The covariance with as much added to its diagonal as keeps its determinant at 1e-20 or more."""
+    """Covariances with as much added to their diagonals as keeps each determinant at 1e-20 or more."""
     cov = cov.copy()
-    while np.linalg.det(cov) < 1e-20:
-        cov[0, 0] += 1e-10
-        cov[1, 1] += 1e-10
+    while (low := _det(cov) < 1e-20).any():
+        cov[low] += 1e-10 * np.eye(2)
     return cov
 
 
 def density_2d(xy: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    out = []
-    for m, c in zip(mean, cov, strict=True):
-        c = regular(c)
-        d = xy - m
-        out.append(np.exp(-0.5 * np.einsum("nd,de,ne->n", d, np.linalg.inv(c), d)) / (2 * np.pi * np.sqrt(np.linalg.det(c))))
-    return np.stack(out)
+    """Components x samples."""
+    cov = regular(np.asarray(cov, float))
+    det = _det(cov)[:, None]
+    x, y = (xy[None] - mean[:, None]).transpose(2, 0, 1)
+    a, b, c = (cov[:, i, j][:, None] for i, j in ((0, 0), (0, 1), (1, 1)))
+    return np.exp(-0.5 * (c * x * x - 2 * b * x * y + a * y * y) / det) / (2 * np.pi * np.sqrt(det))
 
 
 def overlap_1d(mean: np.ndarray, sd: np.ndarray) -> float:
@@ -112,13 +115,11 @@ def em_2d(xy: np.ndarray, start: list[float]) -> Mixture:
         p = np.where(use, p / np.where(use, total, 1), 0)
         weight = p.sum(axis=1) + PSEUDO * free
         mean = np.where(free[:, None], (p @ xy + start * PSEUDO * free[:, None]) / np.maximum(weight, 1e-300)[:, None], mean)
-        for m in range(k):
-            d = xy - mean[m]
-            scatter = (p[m][:, None] * d).T @ d
-            if free[m]:
-                pull = start[m] - mean[m]
-                scatter = scatter + np.outer(pull, pull) + PRIOR_VARIANCE * PSEUDO * np.eye(2)
-            cov[m] = regular(scatter / max(weight[m], 1e-300))
+        d = xy[None] - mean[:, None]
+        scatter = (p[:, :, None] * d).transpose(0, 2, 1) @ d
+        pull = start - mean
+        prior = pull[:, :, None] * pull[:, None, :] + PRIOR_VARIANCE * PSEUDO * np.eye(2)
+        cov = regular((scatter + prior * free[:, None, None]) / np.maximum(weight, 1e-300)[:, None, None])
         alpha = weight / weight.sum()
     return Mixture(mean, cov, alpha, _bic(density_2d(xy, mean, cov), alpha, 6 * k - 1), overlap_2d(mean, cov))
 
@@ -128,34 +129,81 @@ def select(fits: list[Mixture], most_overlap: float) -> Mixture | None:
     return min((f for f in fits if f.overlap < most_overlap), key=lambda f: f.bic, default=None)
 
 
+def labelled_1d(x: np.ndarray, label: np.ndarray, k: int) -> Mixture | None:
+    """Moments of the labels 0 .. k-1; the score counts all samples. None without two labels that have samples."""
+    parts = [x[label == c] for c in range(k) if (label == c).any()]
+    if len(parts) < 2:
+        return None
+    mean, sd = np.array([p.mean() for p in parts]), np.array([max(p.std(), LEAST_SD) for p in parts])
+    alpha = np.array([len(p) for p in parts]) / sum(map(len, parts))
+    return Mixture(mean[:, None], sd, alpha, _bic(density_1d(x, mean, sd), alpha, 3 * len(parts) - 1), overlap_1d(mean, sd))
+
+
 def labelled_2d(xy: np.ndarray, label: np.ndarray, k: int) -> Mixture | None:
-    """Moments of each label; None if one is empty."""
+    """Moments of the labels 0 .. k-1, those without samples left out; the score counts all samples. None without two labels that have samples."""
     mean, cov, alpha = [], [], []
     for c in range(k):
         part = xy[label == c]
         if not len(part):
-            return None
+            continue
         mean.append(part.mean(axis=0))
         cov.append(regular(np.cov(part.T, bias=True).reshape(2, 2)))
         alpha.append(len(part))
+    if len(mean) < 2:
+        return None
     mean, cov, alpha = np.stack(mean), np.stack(cov), np.array(alpha) / sum(alpha)
-    return Mixture(mean, cov, alpha, _bic(density_2d(xy, mean, cov), alpha, 6 * k - 1), overlap_2d(mean, cov))
+    return Mixture(mean, cov, alpha, _bic(density_2d(xy, mean, cov), alpha, 6 * len(alpha) - 1), overlap_2d(mean, cov))
+
+
+def falling(fit: Mixture) -> bool:
+    """Shape of a deletion: the first mean near 1, the second near 1/2, steps of 0.3 at least. In two dimensions the steps are of sums."""
+    m = fit.means
+    if m.shape[1] == 1:
+        m = m[:, 0]
+        return bool(len(m) > 1 and 0.8 <= m[0] <= 1.2 and 0.4 <= m[1] <= 0.65 and (-np.diff(m) >= 0.3).all())
+    near = len(m) > 1 and m[0, 0] >= 0.8 and 0.8 <= m[0, 1] <= 1.2
+    return bool(near and not (m[1] < 0.4).all() and not (m[1] > 0.6).all() and (-np.diff(m.sum(axis=1)) >= 0.6).all())
+
+
+def rising(fit: Mixture) -> bool:
+    """Shape of a gain: the first mean near 1, the second 1.4 at least, steps of 0.3 at least."""
+    m = fit.means
+    if m.shape[1] == 1:
+        m = m[:, 0]
+        return bool(len(m) > 1 and 0.8 <= m[0] <= 1.2 and m[1] >= 1.4 and (np.diff(m) >= 0.3).all())
+    near = len(m) > 1 and m[0, 0] >= 0.8 and 0.8 <= m[0, 1] <= 1.2
+    return bool(near and not (m[1] < 1.4).all() and (np.diff(m.sum(axis=1)) >= 0.6).all())
+
+
+def _likeliest(density: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """The likeliest component (without its weight), and whether the runner-up comes near."""
+    order = np.sort(density, axis=0)
+    near = order[-2] / np.maximum(order[-1], 1e-300) > ratio if len(density) > 1 else np.zeros(density.shape[1], bool)
+    return density.argmax(axis=0), near
+
+
+def cluster_1d(x: np.ndarray, fit: Mixture, ratio: float = 0.1) -> np.ndarray:
+    best, near = _likeliest(density_1d(x, fit.means[:, 0], fit.spreads), ratio)
+    return np.where(near, -1, best)
+
+
+def copy_number_2d(xy: np.ndarray, fit: Mixture, ratio: float = 0.1) -> np.ndarray:
+    """round(mean + mean) of the likeliest component, or -1 when that isn't floor or ceiling of x + y or the runner-up comes near."""
+    best, near = _likeliest(density_2d(xy, fit.means, fit.spreads), ratio)
+    cn, both = np.floor(fit.means[best].sum(axis=1) + 0.5).astype(int), xy.sum(axis=1)
+    return np.where(near | ((cn != np.ceil(both)) & (cn != np.floor(both))), -1, cn)
 
 
 def copy_number_1d(x: np.ndarray, fit: Mixture, ratio: float = 0.1) -> np.ndarray:
     """round(2 x mean) of the likeliest component, or -1 when that isn't floor or ceiling of 2x or the runner-up comes near."""
-    d = density_1d(x, fit.means[:, 0], fit.spreads)
-    order = np.sort(d, axis=0)
-    near = order[-2] / np.maximum(order[-1], 1e-300) > ratio if len(d) > 1 else np.zeros(len(x), bool)
-    cn = np.floor(2 * fit.means[d.argmax(axis=0), 0] + 0.5).astype(int)
+    best, near = _likeliest(density_1d(x, fit.means[:, 0], fit.spreads), ratio)
+    cn = np.floor(2 * fit.means[best, 0] + 0.5).astype(int)
     return np.where(near | ((cn != np.ceil(2 * x)) & (cn != np.floor(2 * x))), -1, cn)
 
 
 def copy_number_by_first(xy: np.ndarray, fit: Mixture, ratio: float = 0.2) -> np.ndarray:
-    d = density_2d(xy, fit.means, fit.spreads)
-    order = np.sort(d, axis=0)
-    near = order[-2] / np.maximum(order[-1], 1e-300) > ratio if len(d) > 1 else np.zeros(len(xy), bool)
-    return np.where(near, -1, np.floor(2 * fit.means[d.argmax(axis=0), 0] + 0.5).astype(int))
+    best, near = _likeliest(density_2d(xy, fit.means, fit.spreads), ratio)
+    return np.where(near, -1, np.floor(2 * fit.means[best, 0] + 0.5).astype(int))
 
 
 def kmeans_1d(x: np.ndarray, start: list[float], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:

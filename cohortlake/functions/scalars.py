@@ -132,3 +132,8 @@ def normal_pdf_2d(x: Column, y: Column, mx: Column, my: Column, cxx: Column, cxy
 
 def genotype_text(gt: Column) -> Column:
     return F.when(gt == 0, "0/0").when(gt == 1, "0/1").when(gt == 2, "1/1").otherwise("./.")
+
+
+def combined_copies(a: Column, b: Column) -> Column:
+    """The copy number that is known (not -1), or the rounded mean of both."""
+    return F.when(a < 0, b).when(b < 0, a).otherwise(F.round((a + b) / 2)).cast("int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import fixed_depth, gc_content
+from . import scan
 from .intervals import overlap_join
 
 
@@ -17,25 +18,38 @@ def bucket_of(pos: Column, width: int) -> Column:
 def variant_depth(sv: DataFrame, depth: DataFrame, width: int = 16_384) -> DataFrame:
     """sv_id, sample_id, n, dp32: mean depth over the covered positions in [pos, end).
 
-    Depths are first summed per sample, chromosome and position; then an equality join
-    on position bins, and a partial aggregate right after it, so that the pairs of a
-    position and a variant are never shuffled.
+    Sums up to a position answer each variant as a difference of two, whatever its length:
+    depths are summed per sample and position, running sums are taken inside bins and
+    carried over bins, and a variant looks up the last covered position before each of its
+    ends. A bin's look-ups and positions meet in one window in order of position.
     """
-    sums = depth.groupBy("sample_id", "chrnum", "pos").agg(F.sum("depth").alias("depth"), F.count("*").alias("n"))
-    points = sums.withColumn("_bin", bucket_of(F.col("pos"), width))
-    spans = sv.where("end > pos").select("sv_id", "chrnum", F.col("pos").alias("_beg"), F.col("end").alias("_end"))
-    spans = spans.withColumn("_bin", F.explode(F.sequence(bucket_of(F.col("_beg"), width), bucket_of(F.col("_end") - 1, width))))
-    hits = points.join(spans, ["chrnum", "_bin"]).where("pos >= _beg and pos < _end")
-    out = hits.groupBy("sv_id", "sample_id").agg(F.sum("depth").alias("total"), F.sum("n").alias("n"))
+    keys = ["sample_id", "chrnum"]
+    sums = depth.groupBy(*keys, "pos").agg(F.sum("depth").alias("depth"), F.count("*").alias("n"))
+    steps = sums.select(*keys, "pos", F.lit(1).alias("point"), "depth", "n", F.lit(None).cast("long").alias("sv_id"), F.lit(0).alias("sign"))
+    spans = sv.where("end > pos").select("sv_id", "chrnum", "pos", "end").join(depth.select("sample_id", "chrnum").distinct(), "chrnum")
+    ends = F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end").alias("at"), F.lit(1).alias("sign"))))
+    looks = spans.select(*keys, "sv_id", ends.alias("e")).select(*keys, F.col("e.at").alias("pos"), F.lit(0).alias("point"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("n"), F.col("sv_id").cast("long").alias("sv_id"), "e.sign")
+    rows = scan.binned(steps.unionByName(looks), "pos", width)
+    # look-ups come before a position of the same place: they count what lies below it
+    run = Window.partitionBy(*keys, scan.BIN).orderBy("pos", "point").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumns({"_d": F.coalesce(F.sum("depth").over(run), F.lit(0)), "_n": F.coalesce(F.sum("n").over(run), F.lit(0))}).where("point = 0")
+    whole = scan.binned(sums, "pos", width).groupBy(*keys, scan.BIN).agg(F.sum("depth").alias("d"), F.sum("n").alias("m"))
+    places = whole.select(*keys, scan.BIN).unionByName(looks.select(*keys, F.floor(F.col("pos") / width).alias(scan.BIN))).distinct().join(whole, [*keys, scan.BIN], "left")
+    below = Window.partitionBy(*keys).orderBy(scan.BIN).rowsBetween(Window.unboundedPreceding, -1)
+    carried = places.select(*keys, scan.BIN, F.coalesce(F.sum("d").over(below), F.lit(0)).alias("_cd"), F.coalesce(F.sum("m").over(below), F.lit(0)).alias("_cn"))
+    got = inside.join(carried, [*keys, scan.BIN])
+    signed = lambda a, b: F.sum(F.col("sign") * (F.col(a) + F.col(b)))
+    out = got.groupBy("sv_id", "sample_id").agg(signed("_d", "_cd").alias("total"), signed("_n", "_cn").alias("n")).where("n > 0")
     return out.select("sv_id", "sample_id", "n", fixed_depth(F.col("total") / 100 / F.col("n")).alias("dp32"))
 
 
 def position_depth(reads: DataFrame, keys: list[str] = ("chrnum",)) -> DataFrame:
     """Depth runs from alignments [beg, end): a running sum over +1 at starts and -1 at ends: keys, beg, end, depth."""
+    keys = list(keys)
     steps = reads.select(*keys, F.explode(F.array(F.struct(F.col("beg").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("s"))
-    steps = steps.groupBy(*keys, F.col("s.at").alias("beg")).agg(F.sum("s.d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("beg")
-    runs = steps.withColumn("end", F.lead("beg").over(w)).withColumn("depth", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    steps = scan.binned(steps.groupBy(*keys, F.col("s.at").alias("beg")).agg(F.sum("s.d").alias("d")), "beg")
+    runs = scan.elsewhere(steps, keys, ["beg"], "sum", F.col("d"), "_sofar")
+    runs = scan.elsewhere(runs, keys, ["beg"], "min", F.col("beg"), "end", after=True).withColumn("depth", F.col("_sofar") + F.col("d"))
     return runs.where("depth > 0 and end is not null").select(*keys, "beg", "end", "depth")
 
 
@@ -48,25 +62,32 @@ def depth_windows(depth: DataFrame, width: int) -> DataFrame:
     return grid.join(got, ["sample_id", "chrnum", "bucket"], "left").withColumn("dp32", F.coalesce("dp32", F.lit(0)))
 
 
-def gc_profile(genome: DataFrame, unknown: int = 255) -> DataFrame:
-    """chrnum, bucket, bin: mean of the known GC shares of buckets j-2 .. j+1 in percent; the two edge buckets copy their neighbour."""
-    raw = genome.withColumn("_g", gc_content(F.col("bases"))).withColumn("_g", F.when(F.col("_g") >= 0, F.col("_g")))
-    order = Window.partitionBy("chrnum").orderBy("bucket")
-    mean = F.avg("_g").over(order.rowsBetween(-2, 1))
-    smooth = raw.withColumn("_s", F.coalesce(F.round(mean * 100).cast("int"), F.lit(unknown))).withColumn("_last", F.max("bucket").over(Window.partitionBy("chrnum")))
-    third = F.max(F.when(F.col("bucket") == F.least(F.lit(2), "_last"), F.col("_s"))).over(Window.partitionBy("chrnum"))
-    before = F.max(F.when(F.col("bucket") == F.greatest(F.lit(0), F.col("_last") - 2), F.col("_s"))).over(Window.partitionBy("chrnum"))
-    edge = F.when(F.col("bucket") < 2, third).when(F.col("bucket") > F.col("_last") - 2, before).otherwise(F.col("_s"))
-    return smooth.select("chrnum", "bucket", edge.alias("bin"))
+def gc_profile(genome: DataFrame, unknown: int = 255, width: int = 4096) -> DataFrame:
+    """chrnum, bucket, bin: mean of the known GC shares of buckets j-2 .. j+1 in percent; the two edge buckets copy their neighbour.
+
+    Windows run over bins of ``width`` buckets with their neighbours' edges copied in. What
+    the edge buckets copy comes from a table of one row per chromosome.
+    """
+    raw = genome.withColumn("_g", gc_content(F.col("bases"))).select("chrnum", "bucket", F.when(F.col("_g") >= 0, F.col("_g")).alias("_g"))
+    near = scan.with_halo(raw, "bucket", 2, 1, width)
+    mean = F.avg("_g").over(Window.partitionBy("chrnum", scan.BIN).orderBy("bucket").rowsBetween(-2, 1))
+    smooth = near.withColumn("_s", F.coalesce(F.round(mean * 100).cast("int"), F.lit(unknown))).where("_own").select("chrnum", "bucket", "_s")
+    ends = genome.groupBy("chrnum").agg(F.max("bucket").alias("_last"))
+    rows = smooth.join(ends, "chrnum")
+    left, right = F.least(F.lit(2), "_last"), F.greatest(F.lit(0), F.col("_last") - 2)
+    copied = rows.where((F.col("bucket") == left) | (F.col("bucket") == right)).groupBy("chrnum").agg(
+        F.max(F.when(F.col("bucket") == left, F.col("_s"))).alias("_left"), F.max(F.when(F.col("bucket") == right, F.col("_s"))).alias("_right")
+    )
+    edge = F.when(F.col("bucket") < 2, F.col("_left")).when(F.col("bucket") > F.col("_last") - 2, F.col("_right")).otherwise(F.col("_s"))
+    return rows.join(copied, "chrnum").select("chrnum", "bucket", edge.alias("bin"))
 
 
 def gc_fraction(profile: DataFrame, unknown: int = 255) -> DataFrame:
     """bin, fraction of the known buckets; the two edge buckets of each side don't count. 100 % belongs to bin 99."""
-    last = F.max("bucket").over(Window.partitionBy("chrnum"))
-    inner = profile.withColumn("_last", last).where((F.col("bucket") >= 2) & (F.col("bucket") <= F.col("_last") - 2) & (F.col("bin") != unknown))
+    last = profile.groupBy("chrnum").agg(F.max("bucket").alias("_last"))
+    inner = profile.join(last, "chrnum").where((F.col("bucket") >= 2) & (F.col("bucket") <= F.col("_last") - 2) & (F.col("bin") != unknown))
     n = inner.groupBy(F.least("bin", F.lit(99)).alias("bin")).agg(F.count("*").alias("n"))
-    whole = n.agg(F.sum("n").alias("whole"))
-    return n.crossJoin(F.broadcast(whole)).select("bin", (F.col("n") / F.col("whole")).alias("fraction"))
+    return n.select("bin", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("fraction"))  # a hundred rows
 
 
 def gc_curve(depth_by_bin: DataFrame, averages: DataFrame, least: float = 100.0) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import clip_lengths, cigar_length, supplementary
+from . import scan
+from .intervals import in_centromere
 
 #: Unmapped, secondary, failed and duplicate reads (flag bits).
 DROP = 0x704
@@ -17,8 +19,13 @@ def _bit(mask: int) -> Column:
     return F.col("flag").bitwiseAND(mask) != 0
 
 
+def _ids(reads: DataFrame) -> list[str]:
+    return [c for c in ("sample_id", "read_id", "part") if c in reads.columns]
+
+
 def usable_reads(reads: DataFrame, least_mapq: int = 1) -> DataFrame:
-    return reads.where((F.col("flag").bitwiseAND(DROP) == 0) & (F.col("mapq") >= least_mapq))
+    """Mapped primary and supplementary reads that start outside the centromeres."""
+    return reads.where((F.col("flag").bitwiseAND(DROP) == 0) & (F.col("mapq") >= least_mapq) & ~in_centromere(F.col("chrnum"), F.col("pos")))
 
 
 def _insert_rows() -> Column:
@@ -34,7 +41,7 @@ def discordant_pairs(reads: DataFrame) -> DataFrame:
     keep = _bit(PAIRED) & ~_bit(SUPPLEMENTARY) & ~_insert_rows() & (F.col("mapq") >= 10) & (F.col("chrnum") == F.col("mate_chrnum"))
     keep = keep & (F.col("pos") <= F.col("mate_pos")) & (F.col("mq") > 10) & ~_bit(MATE_UNMAPPED)
     side = 2 * _bit(REVERSE).cast("int") + _bit(MATE_REVERSE).cast("int")
-    return reads.where(keep).select("read_id", "part", "chrnum", F.col("pos").alias("selfpos"), F.col("mate_pos").alias("matepos"), F.col("mq").alias("matequal"), side.alias("pairstr"))
+    return reads.where(keep).select(*_ids(reads), "chrnum", F.col("pos").alias("selfpos"), F.col("mate_pos").alias("matepos"), F.col("mq").alias("matequal"), side.alias("pairstr"))
 
 
 def soft_clips(reads: DataFrame, least: int = 5) -> DataFrame:
@@ -46,17 +53,18 @@ def soft_clips(reads: DataFrame, least: int = 5) -> DataFrame:
         F.when(left >= least, F.struct(F.lit("left").alias("side"), F.col("pos").alias("pos"), _bit(REVERSE).alias("cycle_end"))),
         F.when(right >= least, F.struct(F.lit("right").alias("side"), end.alias("pos"), (~_bit(REVERSE)).alias("cycle_end"))),
     )
-    return reads.where(ok).select("read_id", "part", "chrnum", F.explode(F.filter(ends, lambda x: x.isNotNull())).alias("c")).select("read_id", "part", "chrnum", "c.*")
+    return reads.where(ok).select(*_ids(reads), "chrnum", F.explode(F.filter(ends, lambda x: x.isNotNull())).alias("c")).select(*_ids(reads), "chrnum", "c.*")
 
 
 def split_reads(reads: DataFrame) -> DataFrame:
-    """Supplementary alignments with a clip on both records, on one chromosome (first SA entry)."""
+    """Supplementary alignments with a clip on both records, on one chromosome (first SA entry), neither in a centromere."""
     sa = supplementary(F.col("sa"))
     left, right = clip_lengths(F.col("cigar"))
     sl, sr = clip_lengths(sa["cigar"])
     keep = _bit(SUPPLEMENTARY) & (F.col("mapq") >= 20) & (left + right > 0) & (sa["chrnum"] == F.col("chrnum")) & (sa["pos"] >= 1) & (sl + sr > 0)
+    keep = keep & ~in_centromere(F.col("chrnum"), F.col("pos")) & ~in_centromere(F.col("chrnum"), sa["pos"])
     return reads.where(keep).select(
-        "read_id", "part", "chrnum", "pos", sa["pos"].alias("sa_pos"), left.alias("lclip"), right.alias("rclip"), sl.alias("sa_lclip"), sr.alias("sa_rclip"),
+        *_ids(reads), "chrnum", "pos", sa["pos"].alias("sa_pos"), left.alias("lclip"), right.alias("rclip"), sl.alias("sa_lclip"), sr.alias("sa_rclip"),
         cigar_length(F.col("cigar")).alias("rlen"), cigar_length(sa["cigar"]).alias("sa_rlen"), (2 * _bit(REVERSE).cast("int") + sa["reverse"]).alias("pairstr"),
     )
 
@@ -65,8 +73,10 @@ def kept_clips(clips: DataFrame, by_neighbour: bool = False) -> DataFrame:
     """Clips without those at a read's last cycles; with ``by_neighbour`` such a clip stays if another kind lies within 10 bases."""
     if not by_neighbour:
         return clips.where(~F.col("cycle_end"))
-    w = Window.partitionBy("chrnum").orderBy("pos").rangeBetween(-10, 10)
-    return clips.withColumn("_other", F.max((~F.col("cycle_end")).cast("int")).over(w)).where(~F.col("cycle_end") | (F.col("_other") == 1)).drop("_other")
+    near = scan.with_halo(clips, "pos", 10, 10, scan.WIDTH)
+    w = Window.partitionBy("chrnum", scan.BIN).orderBy("pos").rangeBetween(-10, 10)
+    near = near.withColumn("_other", F.max((~F.col("cycle_end")).cast("int")).over(w)).where(F.col("_own") & (~F.col("cycle_end") | (F.col("_other") == 1)))
+    return near.drop("_other", "_own", scan.BIN)
 
 
 def near_breakpoints(sv: DataFrame, rows: DataFrame, block: int = 10_000, reach: int = 500) -> DataFrame:
@@ -103,27 +113,32 @@ def pairs_near(sv: DataFrame, pairs: DataFrame) -> DataFrame:
     return near.where(keep).select("sv.sv_id", "ev.ev_id", "ev.sample_id", F.col("ev.pos").alias("self"), "ev.mate", F.col("ev.pairstr").alias("side"))
 
 
-def splits_near(sv: DataFrame, splits: DataFrame, rlen: int = 50) -> DataFrame:
-    """sv_id, ev_id, sample_id, way (inward, outward, inverted): split reads whose two breaks lie within 100 bases of a variant's ends.
+def splits_near(sv: DataFrame, splits: DataFrame, far_end: bool = False) -> DataFrame:
+    """sv_id, ev_id, sample_id, way (inward, outward, inverted), start, end: split reads whose two breaks lie within 100 bases of a variant's ends.
 
-    The branch is chosen by order of the two alignments and not tried again when a later
-    test fails. Inversions keep the reference rule that the far break is tested against
-    the start.
+    ``splits`` has pos and mate, both alignments' lengths (rlen, sa_rlen) and clips (lclip,
+    rclip, sa_lclip, sa_rclip), and pairstr. The branch is chosen by order of the two
+    alignments and not tried again when a later test fails. Inversions keep the rule that
+    the far break must lie before the start plus 100 as well; ``far_end`` drops it.
     """
     near100 = lambda x, c: (x >= c - 100) & (x < c + 100)
-    p, q = F.col("ev.pos"), F.col("ev.mate")
+    clipped = lambda a, b: (F.col(f"ev.{a}") > 0) & (F.col(f"ev.{b}") > 0)
+    p, q = F.col("ev.pos"), F.col("ev.mate") - 1
+    p_end, q_end = p + F.col("ev.rlen") + 1, q + F.col("ev.sa_rlen") + 1
     s, e, kind, side = F.col("sv.pos"), F.col("sv.end"), F.col("sv.svtype"), F.col("ev.pairstr")
-    b2 = q - 1
-    same, turned = side.isin(0, 3), side.isin(1, 2)
-    del_a = p + rlen + 1 < b2
-    deletion = (kind == "DEL") & same & F.when(del_a, near100(p + rlen + 1, s) & near100(b2, e)).when(b2 + rlen + 1 < p, near100(q + rlen, s) & near100(p, e)).otherwise(False)
-    dup_a = p < b2 + rlen + 1
-    gain = kind.isin("DUP", "CNV") & same & F.when(dup_a, near100(p, s) & near100(q + rlen, e)).when(b2 < p + rlen + 1, near100(b2, s) & near100(p + rlen + 1, e)).otherwise(False)
-    lo, hi = F.least(p + rlen + 1, q + rlen), F.greatest(p + rlen + 1, q + rlen)
-    inversion = (kind == "INV") & turned & near100(lo, s) & near100(hi, s)
-    near = near_breakpoints(sv, splits).where(deletion | gain | inversion)
+    breaks = lambda a, b, ok: F.struct(a.alias("start"), b.alias("end"), ok.alias("ok"))
+    ends = lambda a, b: near100(a, s) & near100(b, e)
+    none = breaks(p, q, F.lit(False))
+    deletion = F.when(p_end < q, breaks(p_end, q, ends(p_end, q) & clipped("rclip", "sa_lclip"))).when(q_end < p, breaks(q_end, p, ends(q_end, p) & clipped("lclip", "sa_rclip"))).otherwise(none)
+    gain = F.when(p < q_end, breaks(p, q_end, ends(p, q_end) & clipped("lclip", "sa_rclip"))).when(q < p_end, breaks(q, p_end, ends(q, p_end) & clipped("rclip", "sa_lclip"))).otherwise(none)
+    rights = clipped("rclip", "sa_rclip")
+    one, two = F.when(rights, p_end).otherwise(p), F.when(rights, q_end).otherwise(q)
+    lo, hi = F.least(one, two), F.greatest(one, two)
+    inversion = breaks(lo, hi, ((lo >= s - 100) & near100(hi, e) & ((lo < s + 100) if far_end else (hi < s + 100))))
+    found = F.when(kind == "INV", inversion).when(kind == "DEL", deletion).when(kind.isin("DUP", "CNV"), gain).otherwise(none)
+    near = near_breakpoints(sv, splits).withColumn("_b", found).where(F.col("_b.ok") & F.when(kind == "INV", side.isin(1, 2)).otherwise(side.isin(0, 3)))
     way = F.when(kind == "DEL", "inward").when(kind == "INV", "inverted").otherwise("outward")
-    return near.select("sv.sv_id", "ev.ev_id", "ev.sample_id", way.alias("way"))
+    return near.select("sv.sv_id", "ev.ev_id", "ev.sample_id", way.alias("way"), F.col("_b.start").cast("int").alias("start"), F.col("_b.end").cast("int").alias("end"))
 
 
 def clips_near(sv: DataFrame, clips: DataFrame) -> DataFrame:

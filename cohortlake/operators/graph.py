@@ -2,41 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _shared_folder(spark) -> str:
-    """spark.checkpoint.dir; a folder of its own only where that is unset and everything runs in one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read back, so that each round's lineage is short."""
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..store import stored
 
 
 def smallest_reachable(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node, component for every node that has an edge (u, v)."""
-    both = _written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    label = _written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    both = stored(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
+    label = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         step = label.join(near, "node").select("node", F.least("component", "near").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = _written(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component")))
+        new = stored(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component")), "labels")
         changed = new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
         label = new
         if not changed:

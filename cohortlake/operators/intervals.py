@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import overlap_ratio
+from . import scan
 
 #: GRCh38 centromeres by chromosome 1..22, X, Y (fixed values; both ends belong to it).
 CENTROMERES = (
@@ -76,20 +77,28 @@ def in_centromere(chrnum: Column, beg: Column, end: Column | None = None) -> Col
     return F.coalesce((beg <= at["end"]) & ((beg if end is None else end) >= at["beg"]), F.lit(False))
 
 
-def islands(rows: DataFrame, by: list[str], beg: str = "pos", end: str = "end", order: list[str] = ()) -> DataFrame:
-    """``rows`` with ``island``: a new one starts where an interval begins at or after all earlier ends."""
-    w = Window.partitionBy(*by).orderBy(beg, end, *order)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.coalesce((F.col(beg) >= before).cast("int"), F.lit(1))
-    return rows.withColumn("_start", start).withColumn("island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+def islands(rows: DataFrame, by: list[str], beg: str = "pos", end: str = "end", order: list[str] = (), gap: int = 0) -> DataFrame:
+    """``rows`` with ``island``: a new one starts where an interval begins ``gap`` or more after all earlier ends."""
+    run = [beg, end, *order]
+    found = scan.elsewhere(scan.binned(rows, beg), by, run, "max", F.col(end), "_before")
+    found = found.withColumn("_start", F.coalesce((F.col(beg) >= F.col("_before") + gap).cast("long"), F.lit(1)))
+    found = scan.elsewhere(found, by, run, "sum", F.col("_start"), "_earlier")
+    return found.withColumn("island", F.col("_earlier") + F.col("_start")).drop("_before", "_start", "_earlier", scan.BIN)
 
 
 def merge_chains(sv: DataFrame, least: float = 0.8) -> DataFrame:
     """``sv`` with ``chain``: rows of a type and chromosome in order, joined while the overlap ratio with the one before is above ``least``."""
-    w = Window.partitionBy("svtype", "chrnum").orderBy("pos", "end", "sv_id")
-    ro = overlap_ratio(F.lag("pos").over(w), F.lag("end").over(w), F.col("pos"), F.col("end"))
-    start = F.coalesce((ro <= least).cast("int"), F.lit(1))
-    return sv.withColumn("_start", start).withColumn("chain", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+    by, run = ["svtype", "chrnum"], ["pos", "end", "sv_id"]
+    found = scan.previous(scan.binned(sv, "pos"), by, run, [], "_last")
+    ro = overlap_ratio(F.col("_last.pos"), F.col("_last.end"), F.col("pos"), F.col("end"))
+    found = found.withColumn("_start", F.when(F.col("_last").isNull() | (ro <= least), F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    found = scan.elsewhere(found, by, run, "sum", F.col("_start"), "_earlier")
+    return found.withColumn("chain", F.col("_earlier") + F.col("_start")).drop("_last", "_start", "_earlier", scan.BIN)
+
+
+def places(sv: DataFrame, by: list[str] = ("chrnum",), order: list[str] = ("pos", "end", "svtype", "sv_id")) -> DataFrame:
+    """``sv`` with ``place``: the number of rows before it in order."""
+    return scan.elsewhere(scan.binned(sv, order[0]), list(by), list(order), "sum", F.lit(1), "place").drop(scan.BIN)
 
 
 def merge_candidates(sv: DataFrame, least: float = 0.8) -> DataFrame:
@@ -127,6 +136,17 @@ def best_overlap(candidates: DataFrame, support: DataFrame, least: float = 0.6)
     return candidates.join(best, "sv_id", "left").select(*candidates.columns, F.col("b.id").alias("best_id"), (-F.col("b.n")).alias("overlap"), F.col("b.supp").alias("best_supp"))
 
 
+def with_support(candidates: DataFrame, support: DataFrame, least: float = 0.6) -> DataFrame:
+    """``candidates`` with the place and count of their best overlapping support: sup_chrnum, sup_pos, sup_end, sup_supp (nulls without).
+
+    Support is of DEL, DUP and INV; CNV candidates take DUP.
+    """
+    as_kind = F.when(F.col("svtype") == "CNV", "DUP").otherwise(F.col("svtype"))
+    best = best_overlap(candidates.withColumn("svtype", as_kind).select("sv_id", "chrnum", "pos", "end", "svtype"), support.where(F.col("svtype").isin("DEL", "DUP", "INV")), least)
+    place = support.select(F.col("sv_id").alias("best_id"), *[F.col(c).alias(f"sup_{c}") for c in ("chrnum", "pos", "end", "supp")])
+    return candidates.join(best.select("sv_id", "best_id").join(place, "best_id"), "sv_id", "left").drop("best_id")
+
+
 def regions_overlapping(records: DataFrame, regions: DataFrame) -> DataFrame:
     """The records of each region in turn; a record in two regions comes twice."""
     return overlap_join(records, regions).select("l.*", F.col("r.region_id").alias("region_id"))
@@ -134,8 +154,5 @@ def regions_overlapping(records: DataFrame, regions: DataFrame) -> DataFrame:
 
 def coalesce_ranges(rows: DataFrame, by: list[str], gap: int) -> DataFrame:
     """Ranges merged where one starts at most ``gap`` after all before it end: by, beg, end, n."""
-    w = Window.partitionBy(*by).orderBy("beg", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.coalesce((F.col("beg") > before + gap).cast("int"), F.lit(1))
-    run = rows.withColumn("_s", start).withColumn("_g", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy(*by, "_g").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_g")
+    run = islands(rows, by, "beg", "end", gap=gap + 1)
+    return run.groupBy(*by, "island").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")

@@ -97,16 +97,31 @@ def _(spark, d):
     return D.gc_fraction(D.gc_profile(S.genome(spark, d))).withColumn("fraction", F.round("fraction", 6))
 
 
-# the depth view's buckets meet the profile of two long documents, so bins come from bucket and chromosome by formula
-_GC_DEPTH = "gd AS (SELECT sample_id, CAST((pos // 3600 * 7 + chrnum * 13) % 20 AS INTEGER) AS bin, CAST(sum(depth) AS BIGINT) AS dp_sum, count(*) AS dp_cnt FROM depth_pos GROUP BY ALL)"
+# the depth view, dealt over the documents that make the genome view, so that its buckets of 100 meet the GC profile
+_POINTS = "pt AS (SELECT sample_id, CAST((CAST(round(pos / 60.0) AS BIGINT) + depth) % 100 + 1 AS INTEGER) AS chrnum, CAST(pos % 1500 AS INTEGER) AS pos, depth FROM depth_pos)"
+_GC_DEPTH = _PROFILE + ",\n" + _POINTS + """,
+pb AS (SELECT pt.*, CASE WHEN bin <= 100 THEN bin END AS bin FROM pt LEFT JOIN profile p ON p.chrnum = pt.chrnum AND p.bucket = pt.pos // 100),
+gd AS (SELECT sample_id, bin, CAST(sum(depth) AS BIGINT) AS dp_sum, count(*) AS dp_cnt FROM pb WHERE bin IS NOT NULL GROUP BY ALL)"""
+
+
+def _points(spark, d):
+    p = S.depth_pos(spark, d)
+    chrom = ((F.round(F.col("pos") / 60.0).cast("long") + F.col("depth")) % 100 + 1).cast("int")
+    return p.select("sample_id", chrom.alias("chrnum"), (F.col("pos") % 1500).cast("int").alias("pos"), "depth")
+
+
+def _binned(spark, d):
+    from ..plans.pileup import with_bins
+
+    rows = _points(spark, d).withColumn("bucket", D.bucket_of(F.col("pos"), 100))
+    return with_bins(rows, D.gc_profile(S.genome(spark, d)))
 
 
 def _gc_depth(spark, d):
-    b = ((F.floor(F.col("pos") / HOUR) * 7 + F.col("chrnum") * 13) % 20).cast("int")
-    return S.depth_pos(spark, d).groupBy("sample_id", b.alias("bin")).agg(F.sum("depth").alias("dp_sum"), F.count("*").alias("dp_cnt"))
+    return _binned(spark, d).where("bin is not null").groupBy("sample_id", "bin").agg(F.sum("depth").alias("dp_sum"), F.count("*").alias("dp_cnt"))
 
 
-@query("gc_depth", S.with_views("depth_pos", extra=_GC_DEPTH) + "SELECT * FROM gd")
+@query("gc_depth", S.with_views("depth_pos", "genome", extra=_GC_DEPTH) + "SELECT * FROM gd")
 def _(spark, d):
     return _gc_depth(spark, d)
 
@@ -114,28 +129,27 @@ def _(spark, d):
 _near = lambda c: " + ".join(f"{v} * coalesce({f}, 0)" for f, v in ((f"lag({c}, 2) OVER w", 0.25), (f"lag({c}) OVER w", 0.5), (c, 1), (f"lead({c}) OVER w", 0.5), (f"lead({c}, 2) OVER w", 0.25)))
 _FACTOR = _GC_DEPTH + f""", kn AS (SELECT sample_id, bin, ({_near("dp_sum")})::DOUBLE AS s, ({_near("dp_cnt")})::DOUBLE AS n FROM gd WINDOW w AS (PARTITION BY sample_id ORDER BY bin)),
 av AS (SELECT sample_id, avg(depth) AS avg_dp FROM depth_pos GROUP BY sample_id),
-factor AS (SELECT sample_id, bin, coalesce(CASE WHEN n > 100 AND s > 0 THEN avg_dp / (s / n) END, 0) AS factor FROM kn JOIN av USING (sample_id))"""
+factor AS (SELECT sample_id, bin, coalesce(CASE WHEN n > 20 AND s > 0 THEN avg_dp / (s / n) END, 0) AS factor FROM kn JOIN av USING (sample_id))"""
 
 
 def _factors(spark, d):
     averages = S.depth_pos(spark, d).groupBy("sample_id").agg(F.avg("depth").alias("avg_dp"))
-    return D.gc_curve(_gc_depth(spark, d), averages)
+    return D.gc_curve(_gc_depth(spark, d), averages, 20.0)
 
 
-@query("gc_factor", S.with_views("depth_pos", extra=_FACTOR) + "SELECT sample_id, bin, round(factor, 6) AS factor FROM factor")
+@query("gc_factor", S.with_views("depth_pos", "genome", extra=_FACTOR) + "SELECT sample_id, bin, round(factor, 6) AS factor FROM factor")
 def _(spark, d):
     return _factors(spark, d).withColumn("factor", F.round("factor", 6))
 
 
 @query(
     "gc_correct",
-    S.with_views("depth_pos", extra=_FACTOR) + """SELECT sample_id, chrnum, pos, round(CASE WHEN bin < 99 AND factor > 0.1 THEN depth * factor ELSE depth END, 4) AS corrected
-FROM (SELECT *, CAST((pos // 3600 * 7 + chrnum * 13) % 20 AS INTEGER) AS bin FROM depth_pos) JOIN factor USING (sample_id, bin)""",
+    S.with_views("depth_pos", "genome", extra=_FACTOR) + """SELECT sample_id, chrnum, pos, round(CASE WHEN bin < 99 AND factor > 0.1 THEN depth * factor ELSE depth END, 4) AS corrected FROM pb LEFT JOIN factor USING (sample_id, bin)""",
 )
 def _(spark, d):
-    b = ((F.floor(F.col("pos") / HOUR) * 7 + F.col("chrnum") * 13) % 20).cast("int")
-    both = S.depth_pos(spark, d).withColumn("bin", b).join(_factors(spark, d), ["sample_id", "bin"])
-    return both.select("sample_id", "chrnum", "pos", F.round(D.gc_corrected(F.col("depth"), F.col("bin"), F.col("factor")), 4).alias("corrected"))
+    both = _binned(spark, d).join(_factors(spark, d), ["sample_id", "bin"], "left")
+    corrected = D.gc_corrected(F.col("depth"), F.coalesce("bin", F.lit(255)), F.coalesce("factor", F.lit(0.0)))
+    return both.select("sample_id", "chrnum", "pos", F.round(corrected, 4).alias("corrected"))
 
 
 @query("normalize_depth", S.with_views("depth_pos", extra=_WIN) + "SELECT sample_id, chrnum, bucket, round(dp32 / m, 6) AS depth FROM win JOIN (SELECT sample_id, avg(dp32) AS m FROM win GROUP BY sample_id) USING (sample_id)")
@@ -178,16 +192,19 @@ def _(spark, d):
     return f.groupBy("sv_id").agg(*[F.round(g(c) + 0.00013, 3).alias(f"{c}_{n}") for c in ("pre", "post") for g, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))], ok.alias("pre_ok"))
 
 
-@query(
-    "segment_depth",
-    S.with_views("sv", "depth_pos", extra=_WIN + """,
-b AS (SELECT sv_id, chrnum, lo + 1 AS lo, hi - lo - 1 AS n, CASE WHEN hi - lo - 1 > 10 THEN 2 ELSE 0 END AS t FROM (SELECT sv_id, chrnum, svtype, pos // 3600 AS lo, ("end" + 40000) // 3600 AS hi FROM sv) WHERE svtype <> 'INV' AND hi - lo - 1 >= 2),
-s AS (SELECT sv_id, sample_id, n, dp32 / 32 AS x, CASE WHEN bucket < lo + n // 2 THEN 1 ELSE 2 END AS s FROM b JOIN win USING (chrnum) WHERE bucket BETWEEN lo + t AND lo + n - 1 - t)""")
-    + "SELECT sv_id, sample_id, CAST(n AS INTEGER) AS n, round(avg(x), 6) AS whole, round(avg(x) FILTER (s = 1), 6) AS first, round(avg(x) FILTER (s = 2), 6) AS second FROM s GROUP BY ALL",
-)
+# windows of ten minutes and longer variants, so that both kinds of inside buckets occur
+_WIN600 = _WIN.replace("3600", "600")
+_SPANS = """b AS (SELECT sv_id, chrnum, pos, "end", lo + 1 AS lo, hi - lo - 1 AS n, CASE WHEN hi - lo - 1 > 10 THEN 2 ELSE 0 END AS t FROM (SELECT sv_id, chrnum, svtype, pos, "end" + 110000 AS "end", pos // 600 AS lo, ("end" + 110000) // 600 AS hi FROM sv) WHERE svtype <> 'INV' AND hi - lo - 1 >= 2),
+seg AS (SELECT sv_id, chrnum, n, lo + t AS a, lo + n // 2 - 1 AS z, 1 AS s FROM b WHERE n <= 200 UNION ALL SELECT sv_id, chrnum, n, lo + n // 2, lo + n - 1 - t, 2 FROM b WHERE n <= 200
+  UNION ALL SELECT sv_id, chrnum, n, CAST(floor((pos + ("end" - pos) / 8) / 600) AS INTEGER), CAST(floor((pos + ("end" - pos) / 8) / 600) AS INTEGER) + 49, 1 FROM b WHERE n > 200
+  UNION ALL SELECT sv_id, chrnum, n, CAST(floor((pos + ("end" - pos) * 0.625) / 600) AS INTEGER), CAST(floor((pos + ("end" - pos) * 0.625) / 600) AS INTEGER) + 49, 2 FROM b WHERE n > 200),
+s AS (SELECT sv_id, sample_id, n, dp32 / 32 AS x, s FROM seg JOIN win ON win.chrnum = seg.chrnum AND bucket BETWEEN a AND z)"""
+
+
+@query("segment_depth", S.with_views("sv", "depth_pos", extra=_WIN600 + ",\n" + _SPANS) + "SELECT sv_id, sample_id, CAST(n AS INTEGER) AS n, round(avg(x), 6) AS whole, round(avg(x) FILTER (s = 1), 6) AS first, round(avg(x) FILTER (s = 2), 6) AS second FROM s GROUP BY ALL")
 def _(spark, d):
-    sv = S.sv(spark, d).withColumn("end", F.col("end") + 40000)
-    return D.segments(sv, _windows(spark, d), HOUR).withColumns({c: F.round(c, 6) for c in ("whole", "first", "second")})
+    sv = S.sv(spark, d).withColumn("end", F.col("end") + 110_000)
+    return D.segments(sv, D.depth_windows(S.depth_pos(spark, d), 600), 600).withColumns({c: F.round(c, 6) for c in ("whole", "first", "second")})
 
 
 _SVGC = """g AS (SELECT s.sv_id, avg(bin / 100.0::DOUBLE + 0.005) AS gc FROM small s JOIN profile p ON p.chrnum = s.chrnum AND bin <> 255 AND p.bucket BETWEEN greatest(0, CAST(round(pos / 100.0::DOUBLE) AS INTEGER) - 1) AND CAST(round("end" / 100.0::DOUBLE) AS INTEGER) - 1 GROUP BY s.sv_id)"""
@@ -213,12 +230,9 @@ def _(spark, d):
 
 @query("merge_samples", S.with_views("depth_pos") + "SELECT sample_id % 5 AS file_id, sample_id, chrnum, count(*) AS n, CAST(sum(depth) AS BIGINT) AS total FROM depth_pos GROUP BY ALL")
 def _(spark, d):
-    rows = S.depth_pos(spark, d)
-    files = [rows.where(F.col("sample_id") % 5 == i).withColumn("file_id", F.lit(i)) for i in range(5)]
-    merged = files[0]
-    for f in files[1:]:
-        merged = merged.unionByName(f)
-    return merged.groupBy("file_id", "sample_id", "chrnum").agg(F.count("*").alias("n"), F.sum("depth").alias("total"))
+    from ..sources import tables
+
+    return tables.merged(spark, tables.write_parts(S.depth_pos(spark, d), F.col("sample_id") % 5, "depth")).groupBy("file_id", "sample_id", "chrnum").agg(F.count("*").alias("n"), F.sum("depth").alias("total"))
 
 
 @query("merge_var_depth", S.with_views("sv", "depth_pos") + """SELECT sv_id, string_agg(CAST(sample_id AS VARCHAR) || ':' || CAST(dp AS VARCHAR), ',' ORDER BY sample_id) AS depths
@@ -230,8 +244,13 @@ def _(spark, d):
     return rows.select("sv_id", F.array_join(F.transform("a", lambda x: F.concat(x["sample_id"].cast("string"), F.lit(":"), x["dp32"].cast("string"))), ",").alias("depths"))
 
 
-@query("cohort_check", S.with_views("depth_pos") + "SELECT chrnum, count(DISTINCT sample_id) AS samples, count(*) AS n, count(DISTINCT n_chr) = 1 AS same FROM (SELECT *, count(*) OVER (PARTITION BY chrnum) AS n_chr FROM depth_pos) GROUP BY chrnum")
+# a file of a cohort holds each sample's variants by chromosome; one sample of the view lacks a part of chromosome 2
+_FILES = "cf AS (SELECT sample_id, chrnum, count(*) AS n_var FROM (SELECT DISTINCT sample_id, chrnum, pos // 100000 AS v FROM depth_pos WHERE NOT (sample_id = 3 AND chrnum = 2 AND pos < 500000)) GROUP BY ALL)"
+
+
+@query("cohort_check", S.with_views("depth_pos", extra=_FILES) + "SELECT chrnum, count(*) AS samples, min(n_var) AS least, max(n_var) AS most, min(n_var) = max(n_var) AS same FROM cf GROUP BY chrnum")
 def _(spark, d):
-    rows = S.depth_pos(spark, d)
-    n = rows.groupBy("chrnum").agg(F.count("*").alias("n_chr"))
-    return rows.join(F.broadcast(n), "chrnum").groupBy("chrnum").agg(F.count_distinct("sample_id").alias("samples"), F.count("*").alias("n"), (F.count_distinct("n_chr") == 1).alias("same"))
+    from ..sources import tables
+
+    rows = S.depth_pos(spark, d).where("not (sample_id = 3 and chrnum = 2 and pos < 500000)")
+    return tables.cohort_counts(rows.select("sample_id", "chrnum", F.floor(F.col("pos") / 100_000).alias("sv_id")))

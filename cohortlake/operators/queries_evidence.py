@@ -128,14 +128,17 @@ def _(spark, d):
 
 
 _SPLITS = _SVC + """,
-sp AS (SELECT sv_id, ev_id, sample_id, svtype, p, q, v.pos AS s, v."end" AS e, side FROM v JOIN (SELECT ev_id, sample_id, chrnum, pos AS p, mate AS q, pairstr AS side FROM evidence WHERE kind IN ('split', 'filtered', 'pair')) x USING (chrnum)
+sp AS (SELECT sv_id, ev_id, sample_id, svtype, p, q, v.pos AS s, v."end" AS e, side, pe, qe, lclip > 0 AS l, rclip > 0 AS r, sa_lclip > 0 AS sl, sa_rclip > 0 AS sr FROM v
+  JOIN (SELECT *, pos AS p, mate - 1 AS q, pos + rlen + 1 AS pe, mate + sa_rlen AS qe, pairstr AS side FROM evidence WHERE kind IN ('split', 'filtered', 'pair')) x USING (chrnum)
   WHERE p BETWEEN v.pos - 500 AND v.pos + 500 OR p BETWEEN v."end" - 500 AND v."end" + 500),
-sn AS (SELECT sv_id, ev_id, sample_id, CASE svtype WHEN 'DEL' THEN 'inward' WHEN 'INV' THEN 'inverted' ELSE 'outward' END AS way FROM sp WHERE
-  (svtype = 'DEL' AND side IN (0, 3) AND CASE WHEN p + 51 < q - 1 THEN p + 51 >= s - 100 AND p + 51 < s + 100 AND q - 1 >= e - 100 AND q - 1 < e + 100
-     WHEN q - 1 + 51 < p THEN q + 50 >= s - 100 AND q + 50 < s + 100 AND p >= e - 100 AND p < e + 100 ELSE false END)
-  OR (svtype IN ('DUP','CNV') AND side IN (0, 3) AND CASE WHEN p < q - 1 + 51 THEN p >= s - 100 AND p < s + 100 AND q + 50 >= e - 100 AND q + 50 < e + 100
-     WHEN q - 1 < p + 51 THEN q - 1 >= s - 100 AND q - 1 < s + 100 AND p + 51 >= e - 100 AND p + 51 < e + 100 ELSE false END)
-  OR (svtype = 'INV' AND side IN (1, 2) AND least(p + 51, q + 50) >= s - 100 AND least(p + 51, q + 50) < s + 100 AND greatest(p + 51, q + 50) >= s - 100 AND greatest(p + 51, q + 50) < s + 100))"""
+sb AS (SELECT *, CASE svtype WHEN 'DEL' THEN CASE WHEN pe < q THEN pe WHEN qe < p THEN qe END WHEN 'INV' THEN least(CASE WHEN r AND sr THEN pe ELSE p END, CASE WHEN r AND sr THEN qe ELSE q END)
+    ELSE CASE WHEN p < qe THEN p WHEN q < pe THEN q END END AS b1,
+  CASE svtype WHEN 'DEL' THEN CASE WHEN pe < q THEN q WHEN qe < p THEN p END WHEN 'INV' THEN greatest(CASE WHEN r AND sr THEN pe ELSE p END, CASE WHEN r AND sr THEN qe ELSE q END)
+    ELSE CASE WHEN p < qe THEN qe WHEN q < pe THEN pe END END AS b2,
+  CASE svtype WHEN 'DEL' THEN CASE WHEN pe < q THEN r AND sl ELSE l AND sr END WHEN 'INV' THEN true ELSE CASE WHEN p < qe THEN l AND sr ELSE r AND sl END END AS clips FROM sp),
+sn AS (SELECT sv_id, ev_id, sample_id, CASE svtype WHEN 'DEL' THEN 'inward' WHEN 'INV' THEN 'inverted' ELSE 'outward' END AS way, CAST(b1 AS INTEGER) AS start, CAST(b2 AS INTEGER) AS "end" FROM sb
+  WHERE svtype IN ('DEL','DUP','CNV','INV') AND clips AND b1 >= s - 100 AND b2 >= e - 100 AND b2 < e + 100
+    AND CASE svtype WHEN 'INV' THEN side IN (1, 2) AND b2 < s + 100 ELSE side IN (0, 3) AND b1 < s + 100 END)"""
 
 
 def _splits(spark, d):

@@ -92,11 +92,53 @@ def _(spark, d):
     return S.sv(spark, d).where(keep & ~I.in_centromere(F.col("chrnum"), F.col("pos") * 200, F.col("end") * 200))
 
 
-@query("sv_support_filter", S.with_views("sv") + f'SELECT {_COLS} FROM sv WHERE chrnum BETWEEN 1 AND 24 AND (sv_id % 5 = 0 OR chrnum = chrnum) AND sv_id % 25 <> 24 AND pos > 0 AND "end" > pos AND "end" - pos <= 10000000')
+_MATE = "CASE WHEN sv_id % 25 = 24 THEN chrnum % 24 + 1 ELSE chrnum END"
+
+
+def _support(spark, d):
+    """The view as candidate lines with the mate's chromosome and a vector of supporting callers, read back."""
+    from ..sources import vcf
+
+    mate = F.when(F.col("sv_id") % 25 == 24, F.col("chrnum") % 24 + 1).otherwise(F.col("chrnum")).cast("int")
+    vector = F.lpad(F.bin(F.col("sv_id") % 32), 5, "0")
+    return vcf.parse(vcf.to_lines(S.sv(spark, d).withColumn("mate_chrnum", mate).withColumn("supp_vec", vector)))
+
+
+@query("sv_support_filter", S.with_views("sv") + f'SELECT {_COLS} FROM sv WHERE chrnum BETWEEN 1 AND 24 AND {_MATE} = chrnum AND pos > 0 AND "end" > pos AND "end" - pos <= 10000000')
+def _(spark, d):
+    from ..sources import vcf
+
+    return vcf.filter_candidates(_support(spark, d)).select(*SV)
+
+
+_VECTOR = "lpad(bin(sv_id % 32), 5, '0')"
+
+
+@query("vcf_scan_supp", S.with_views("sv") + f"SELECT sv_id, svtype, supp, CAST({_MATE} AS INTEGER) AS mate_chrnum, {_VECTOR} AS supp_vec FROM sv")
 def _(spark, d):
-    mate = F.when(F.col("sv_id") % 25 == 24, F.col("chrnum") % 24 + 1).otherwise(F.col("chrnum"))
-    n = F.col("end") - F.col("pos")
-    return S.sv(spark, d).where(F.col("chrnum").between(1, 24) & (mate == F.col("chrnum")) & (F.col("pos") > 0) & (n > 0) & (n <= 10_000_000))
+    return _support(spark, d).select("sv_id", "svtype", "supp", "mate_chrnum", "supp_vec")
+
+
+_BEST_SELF = f"""p AS (SELECT a.sv_id, b.chrnum AS sc, b.pos AS sp, b."end" AS se, b.supp AS ss, row_number() OVER (PARTITION BY a.sv_id ORDER BY {_RO} DESC, b.pos, b."end", b.sv_id) AS k
+  FROM sv a JOIN sv b ON a.chrnum = b.chrnum AND b.svtype = CASE a.svtype WHEN 'CNV' THEN 'DUP' ELSE a.svtype END AND a."end" > b.pos AND b."end" > a.pos WHERE {_MATE.replace("sv_id", "a.sv_id").replace("chrnum", "a.chrnum")} = a.chrnum AND b.sv_id % 2 = 1 AND b.svtype IN ('DEL','DUP','INV') AND {_RO} > 0.6)"""
+
+
+@query("filter_lines", S.with_views("sv", extra=_BEST_SELF) + f"""SELECT concat_ws(chr(9), CAST(chrnum AS VARCHAR), CAST(pos AS VARCHAR), CAST(sv_id AS VARCHAR), '.', '<' || svtype || '>', '.', 'PASS',
+  'SVTYPE=' || svtype || CASE WHEN sp IS NULL THEN '' ELSE ';OVERLAP=' || CAST(sc AS VARCHAR) || ':' || CAST(sp AS VARCHAR) || '-' || CAST(se AS VARCHAR) END || ';SUPP=' || CAST(coalesce(ss, 1) AS VARCHAR)
+  || ';N=' || CAST(supp AS VARCHAR) || ';END=' || CAST("end" AS VARCHAR) || ';SUPP_VEC=' || {_VECTOR}) AS line FROM sv LEFT JOIN p USING (sv_id) WHERE (k IS NULL OR k = 1) AND {_MATE} = chrnum""".replace("USING (sv_id) WHERE (k IS NULL OR k = 1)", "ON p.sv_id = sv.sv_id AND k = 1 WHERE true").replace("CAST(sv_id AS VARCHAR)", "CAST(sv.sv_id AS VARCHAR)").replace(_VECTOR, _VECTOR.replace("sv_id", "sv.sv_id")).replace(_MATE, _MATE.replace("sv_id", "sv.sv_id")))
+def _(spark, d):
+    from ..sources import vcf
+
+    rows = vcf.filter_candidates(_support(spark, d))
+    return vcf.supported_lines(I.with_support(rows, S.sv(spark, d).where("sv_id % 2 = 1")))
+
+
+@query("merge_lines", S.with_views("sv", extra=_CHAIN) + """SELECT concat_ws(chr(9), CAST(chrnum AS VARCHAR), CAST(pos AS VARCHAR), CAST(sv_id AS VARCHAR), '.', '<' || svtype || '>', '.', 'PASS',
+  'SUPP=' || CAST(supp AS VARCHAR) || ';SVTYPE=' || svtype || ';END=' || CAST("end" AS VARCHAR)) AS line FROM k WHERE r = 1""")
+def _(spark, d):
+    from ..sources import vcf
+
+    return vcf.merged_lines(I.merge_candidates(S.sv(spark, d)))
 
 
 @query("centromere_point", S.with_views("sv", extra=_CEN) + "SELECT sv_id, EXISTS (SELECT 1 FROM cen WHERE c = chrnum AND pos * 130 BETWEEN b AND e) AS inside FROM sv")
@@ -125,8 +167,7 @@ def _(spark, d):
 
 @query("variant_range", S.with_views("sv") + f"SELECT {_COLS}, i AS idx FROM (SELECT *, row_number() OVER (PARTITION BY chrnum ORDER BY pos, \"end\", svtype, sv_id) - 1 AS i FROM sv) WHERE i BETWEEN 5 AND 25")
 def _(spark, d):
-    w = Window.partitionBy("chrnum").orderBy("pos", "end", "svtype", "sv_id")
-    return S.sv(spark, d).withColumn("idx", (F.row_number().over(w) - 1).cast("long")).where("idx between 5 and 25")
+    return I.places(S.sv(spark, d)).withColumnRenamed("place", "idx").where("idx between 5 and 25")
 
 
 @query("region_filter", S.with_views("sv") + f"SELECT {_COLS} FROM sv WHERE chrnum = 3 AND pos >= 100000 AND pos < 500000")
@@ -137,8 +178,7 @@ def _(spark, d):
 
 @query("sv_sorted", S.with_views("sv") + 'SELECT sv_id, row_number() OVER (PARTITION BY chrnum ORDER BY pos, "end", svtype, sv_id) AS place FROM sv')
 def _(spark, d):
-    w = Window.partitionBy("chrnum").orderBy("pos", "end", "svtype", "sv_id")
-    return S.sv(spark, d).select("sv_id", F.row_number().over(w).cast("long").alias("place"))
+    return I.places(S.sv(spark, d)).select("sv_id", (F.col("place") + 1).alias("place"))
 
 
 @query("sv_distinct", S.with_views("sv") + 'SELECT DISTINCT chrnum, pos // 5000 AS pos, "end" // 5000 AS "end", svtype FROM sv')

@@ -48,63 +48,12 @@ def genotype_counts(calls: DataFrame) -> DataFrame:
     )
 
 
-def _deletion(x: np.ndarray, cnt: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
-    """gt, cn and the strategy that succeeded ('' if none), with -1 for missing."""
-    label = np.where((x <= 0.65) & (cnt >= 0.1), np.where(x < 0.2, 2, 1), np.where((cnt < 0.05) & (x > 0.85), 0, -1))
-    k = 3 if (label == 2).any() else 2 if (label == 1).any() else 0
-    if k:
-        xy = np.stack([x, cnt], axis=1)
-        seen = label >= 0
-        fits = [M.em_2d(xy, [1.0])] + [f for c in range(2, k + 1) if (f := M.labelled_2d(xy[seen], label[seen], c))]
-        fit = M.select(fits, OVERLAP)
-        if fit is not None and len(fit.alphas) > 1:
-            cn = M.copy_number_by_first(xy, fit)
-            cn = np.where((cn == 2) & ((x < 0.8) | (cnt > 0.1)), -1, cn)
-            cn = np.where((cn != 2) & (x > 0.85) & (cnt < 0.05), 2, cn)
-            cn = np.where((cn != 2) & ((x > 0.75) | (cnt < 0.05)), -1, cn)
-            gt = np.where((cn >= 0) & (cn <= 2), 2 - cn, -1)
-            ns, ac = (gt >= 0).sum(), gt[gt > 0].sum()
-            if ns >= 0.5 * len(x) and 0 < ac < 2 * ns:
-                return gt, cn, "evidence"
-    one = M.select([M.em_1d(x, list(s)) for s in DEL_STARTS], OVERLAP)
-    two = M.select([M.em_2d(np.stack([x, second], axis=1), list(s)) for s in DEL_STARTS], OVERLAP)
-    if one is not None and len(one.alphas) > 1:
-        cn = M.copy_number_1d(x, one)
-        if two is not None and len(two.alphas) > 1:
-            other = M.copy_number_by_first(np.stack([x, second], axis=1), two, 0.1)
-            cn = np.where(cn < 0, other, np.where(other < 0, cn, np.floor((cn + other) / 2 + 0.5).astype(int)))
-        gt = np.where((cn >= 0) & (cn <= 2), 2 - cn, -1)
-        ns, ac = (gt >= 0).sum(), gt[gt > 0].sum()
-        if ns >= 0.5 * len(x) and 0 < ac < 2 * ns:
-            return gt, cn, "depth"
-    return np.full(len(x), -1), np.full(len(x), -1), ""
-
-
-def _gain(x: np.ndarray, cnt: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
-    one = M.select([M.em_1d(x, list(s)) for s in DUP_STARTS], OVERLAP * GAIN)
-    if one is not None and len(one.alphas) > 1:
-        cn = M.copy_number_1d(x, one)
-        gt = np.where(cn < 0, -1, np.where(cn <= 2, 0, np.where(cn == 3, 1, 2)))
-        ns, ac = (gt >= 0).sum(), gt[gt > 0].sum()
-        if ns >= 0.5 * len(x) and 0 < ac < 2 * ns:
-            return gt, cn, "depth"
-    return np.full(len(x), -1), np.full(len(x), -1), ""
-
-
-def genotype_calls(cohort: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
-    """sv_id, sample_id, gt, cn (nulls are missing), method: from rows sv_id, sample_id, depth, cnt, depth2 (and svtype per sv_id)."""
-    rows = cohort.select("sv_id", "sample_id", "depth", "cnt", "depth2")
-    rows = rows.join(kinds.select("sv_id", "svtype"), "sv_id") if kinds is not None else rows.withColumn("svtype", F.lit("DEL"))
-
-    def call(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sample_id").reset_index(drop=True)
-        x, cnt, second = (group[c].to_numpy(float) for c in ("depth", "cnt", "depth2"))
-        gt, cn, how = (_gain if group["svtype"].iloc[0] in ("DUP", "CNV") else _deletion)(x, cnt, second)
-        return pd.DataFrame({"sv_id": group["sv_id"], "sample_id": group["sample_id"], "gt": gt, "cn": cn, "method": how})
-
-    out = rows.groupBy("sv_id").applyInPandas(call, "sv_id long, sample_id long, gt int, cn int, method string")
-    missing = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)
-    return out.select("sv_id", "sample_id", missing("gt"), missing("cn"), "method")
+def labels(kind: str, x: np.ndarray, cnt: np.ndarray) -> np.ndarray:
+    """As ``deletion_label`` and ``gain_label``, for a group's arrays; -1 for none."""
+    if kind == "DEL":
+        return np.where((x <= 0.65) & (cnt >= 0.1), np.where(x < 0.2, 2, 1), np.where((cnt < 0.05) & (x > 0.85), 0, -1))
+    carrier = np.where(x > 1.85, np.floor(2 * x + 0.5).astype(int) - 2, 1)
+    return np.where((x >= 1.35) & (cnt >= 0.1), carrier, np.where((cnt < 0.05) & (x > 0.8) & (x < 1.2), 0, -1))
 
 
 def fitted(cohort: DataFrame, dims: int, starts) -> DataFrame:
@@ -132,30 +81,50 @@ def kmeans_labels(cohort: DataFrame, starts=(1.0, 0.5, 0.0)) -> DataFrame:
     return cohort.groupBy("sv_id").applyInPandas(one, "sv_id long, sample_id long, label int")
 
 
+def _cohort(parts, reach: float) -> list[tuple]:
+    """(idx, start, end, n): clusters of samples, in order, joined to the nearest one within ``reach``, weighted by their reads."""
+    found: list[list[float]] = []
+    for s, e, n in parts:
+        near = min(found, key=lambda c: abs(c[0] - s) + abs(c[1] - e), default=None)
+        if near is not None and abs(near[0] - s) + abs(near[1] - e) <= reach:
+            whole = near[2] + n
+            near[0], near[1], near[2] = (near[0] * near[2] + s * n) / whole, (near[1] * near[2] + e * n) / whole, whole
+        else:
+            found.append([s, e, n])
+    return [(i, *c) for i, c in enumerate(found)]
+
+
+_CLUSTERS = "sv_id long, idx int, start double, end double, n int"
+
+
 def consensus(breaks: DataFrame, least: int = 3, reach: float = 6.0) -> DataFrame:
-    """sv_id, start, end, n: breakpoint clusters; each sample's points in order make clusters, whose largest (of ``least`` or more) join the cohort's."""
+    """sv_id, idx, start, end, n: breakpoint clusters; each sample's points in order make clusters, whose largest (of ``least`` or more) join the cohort's."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        cohort: list[list[float]] = []
+        own = []
         for _, part in group.sort_values(["sample_id", "start", "end"]).groupby("sample_id", sort=True):
-            found = M.greedy_clusters(part[["start", "end"]].to_numpy(float), reach)
-            s, e, n = max(found, key=lambda c: c[2])
-            if n < least:
-                continue
-            near = min(cohort, key=lambda c: abs(c[0] - s) + abs(c[1] - e), default=None)
-            if near is not None and abs(near[0] - s) + abs(near[1] - e) <= reach:
-                whole = near[2] + n
-                near[0], near[1], near[2] = (near[0] * near[2] + s * n) / whole, (near[1] * near[2] + e * n) / whole, whole
-            else:
-                cohort.append([s, e, n])
-        return pd.DataFrame([(group["sv_id"].iloc[0], *c) for c in cohort], columns=["sv_id", "start", "end", "n"])
+            best = max(M.greedy_clusters(part[["start", "end"]].to_numpy(float), reach), key=lambda c: c[2])
+            if best[2] >= least:
+                own.append(best)
+        return pd.DataFrame([(group["sv_id"].iloc[0], *c) for c in _cohort(own, reach)], columns=["sv_id", "idx", "start", "end", "n"])
+
+    return breaks.select("sv_id", "sample_id", "start", "end").groupBy("sv_id").applyInPandas(one, _CLUSTERS)
+
+
+def cohort_clusters(points: DataFrame, reach: float = 6.0) -> DataFrame:
+    """As ``consensus``, from one breakpoint (start, end, n reads) for each sample."""
 
-    return breaks.groupBy("sv_id").applyInPandas(one, "sv_id long, start double, end double, n int")
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.sort_values("sample_id")[["start", "end", "n"]].itertuples(index=False)
+        return pd.DataFrame([(group["sv_id"].iloc[0], *c) for c in _cohort(own, reach)], columns=["sv_id", "idx", "start", "end", "n"])
+
+    return points.select("sv_id", "sample_id", "start", "end", "n").groupBy("sv_id").applyInPandas(one, _CLUSTERS)
 
 
 def modal_cluster(clusters: DataFrame) -> DataFrame:
-    best = F.max(F.struct("n", (-F.col("start")).alias("s"), (-F.col("end")).alias("e"))).alias("b")
-    return clusters.groupBy("sv_id").agg(best).select("sv_id", (-F.col("b.s")).alias("start"), (-F.col("b.e")).alias("end"), F.col("b.n").alias("n"))
+    """sv_id, start, end, n: the largest cluster, the first of equally large ones."""
+    best = F.max(F.struct("n", (-F.col("idx")).alias("i"), "start", "end")).alias("b")
+    return clusters.groupBy("sv_id").agg(best).select("sv_id", "b.start", "b.end", "b.n")
 
 
 def joint_fit(cohort: DataFrame) -> DataFrame:
@@ -164,52 +133,9 @@ def joint_fit(cohort: DataFrame) -> DataFrame:
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("sample_id")
         xy = group[["depth", "cnt"]].to_numpy(float)
-        x, cnt = xy.T
-        label = np.where((x <= 0.65) & (cnt >= 0.1), np.where(x < 0.2, 2, 1), np.where((cnt < 0.05) & (x > 0.85), 0, -1))
-        seen = label >= 0
-        fits = [M.em_2d(xy, [1.0])] + [f for k in (2, 3) if (f := M.labelled_2d(xy[seen], label[seen], k))]
+        label = labels("DEL", *xy.T)
+        fits = [M.em_2d(xy, [1.0])] + [f for k in (2, 3) if (f := M.labelled_2d(xy, label, k))]
         best = M.select(fits, OVERLAP) or fits[0]
         return pd.DataFrame({"sv_id": [group["sv_id"].iloc[0]], "comps": [len(best.alphas)], "bic": [best.bic], "overlap": [best.overlap]})
 
     return cohort.groupBy("sv_id").applyInPandas(one, "sv_id long, comps int, bic double, overlap double")
-
-
-def inversion_calls(cohort: DataFrame, limit: float = 0.3) -> DataFrame:
-    """sv_id, sample_id, gt (null: missing): from evidence counts alone.
-
-    Carriers have a count above 0.1, non-carriers below 0.05; carriers beyond 1.5 times
-    their mean are homozygous. Two or three labelled components must be better than one
-    and overlap less than ``limit``, and the carriers' mean must pass 0.15.
-    """
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sample_id").reset_index(drop=True)
-        c = group["cnt"].to_numpy(float)
-        label = np.where(c > 0.1, 1, np.where(c < 0.05, 0, -1))
-        gt = np.full(len(c), -1)
-        if (label == 1).any() and (label == 0).any() and c[label == 1].mean() > 0.15:
-            three = np.where((label == 1) & (c > 1.5 * c[label == 1].mean()), 2, label)
-            single = M.em_1d(c, [float(c.mean())])
-            for marks in (three, label):
-                k = marks.max() + 1
-                parts = [c[marks == i] for i in range(k)]
-                if any(not len(p) for p in parts):
-                    continue
-                mean, sd = np.array([p.mean() for p in parts]), np.maximum([p.std() for p in parts], 1e-2)
-                alpha = np.array([len(p) for p in parts]) / sum(map(len, parts))
-                bic = M._bic(M.density_1d(c, mean, sd), alpha, 3 * k - 1)
-                if bic < single.bic and M.overlap_1d(mean, sd) < limit:
-                    gt = marks
-                    break
-        return pd.DataFrame({"sv_id": group["sv_id"], "sample_id": group["sample_id"], "gt": gt})
-
-    out = cohort.groupBy("sv_id").applyInPandas(one, "sv_id long, sample_id long, gt int")
-    return out.withColumn("gt", F.when(F.col("gt") >= 0, F.col("gt")))
-
-
-def clip_breaks(cells: DataFrame, least: int = 1) -> DataFrame:
-    """sv_id, sample_id, start, end: each sample's most frequent clip cell in either half, where both have ``least`` clips."""
-    n = cells.groupBy("sv_id", "sample_id", F.floor(F.col("cell") / 200).cast("int").alias("half"), "cell").agg(F.count("*").alias("n"))
-    best = n.groupBy("sv_id", "sample_id").agg(*[F.max(F.when(F.col("half") == h, F.struct("n", (-F.col("cell")).alias("c")))).alias(f"h{h}") for h in (0, 1)])
-    both = best.where((F.col("h0.n") >= least) & (F.col("h1.n") >= least))
-    return both.select("sv_id", "sample_id", (-F.col("h0.c")).cast("double").alias("start"), (-F.col("h1.c")).cast("double").alias("end"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import surrogates as S
 from ..functions import scalars as X
+from . import calling as C
 from . import genotype as G
 
 QUERIES: dict = {}
@@ -184,14 +185,17 @@ def _(spark, d):
     return m.select("sv_id", (F.col("a").between(0.8, 1.2) & F.col("b").between(0.4, 0.65) & (F.col("a") - F.col("b") >= 0.3) & (F.col("b") - F.col("c") >= 0.3)).alias("ok"))
 
 
-_CN2 = _DENS + f", one AS (SELECT sv_id, sample_id, depth, label, CASE WHEN {_CLOSE} THEN -1 ELSE 2 - {_COMP} END AS a, CAST(round(2 * depth) AS INTEGER) AS b FROM d)"
+_CN2 = _DENS + f""", one AS (SELECT sv_id, sample_id, CASE WHEN {_CLOSE} THEN -1 ELSE 2 - {_COMP} END AS a FROM d),
+d2 AS (SELECT sv_id, sample_id, {", ".join(f"exp(-0.5 * (pow((depth - {m}) / {s}, 2) + pow((depth2 - {m}) / {s}, 2))) AS p{i}" for i, (m, s) in enumerate(_COMPONENTS))} FROM cohort),
+two AS (SELECT sv_id, sample_id, CASE WHEN {_CLOSE} THEN -1 ELSE 2 - {_COMP} END AS b FROM d2)"""
 
 
-@query("cn_combine", S.with_views("cohort", extra=_CN2) + "SELECT sv_id, sample_id, CAST(CASE WHEN a < 0 THEN b WHEN sample_id % 4 = 0 THEN a ELSE round((a + b) / 2) END AS INTEGER) AS cn FROM one")
+@query("cn_combine", S.with_views("cohort", extra=_CN2) + "SELECT sv_id, sample_id, CAST(CASE WHEN a < 0 THEN b WHEN b < 0 THEN a ELSE round((a + b) / 2) END AS INTEGER) AS cn FROM one JOIN two USING (sv_id, sample_id)")
 def _(spark, d):
     comp, close = _assign()
-    a, b = F.when(close, -1).otherwise(2 - comp), F.round(2 * F.col("depth")).cast("int")
-    return _densities(spark, d).select("sv_id", "sample_id", F.when(a < 0, b).when(F.col("sample_id") % 4 == 0, a).otherwise(F.round((a + b) / 2)).cast("int").alias("cn"))
+    cn = F.when(close, -1).otherwise(2 - comp)
+    a, b = _densities(spark, d).select("sv_id", "sample_id", cn.alias("a")), _two(spark, d, "depth2", (1.0, 0.5, 0.0)).select("sv_id", "sample_id", cn.alias("b"))
+    return a.join(b, ["sv_id", "sample_id"]).select("sv_id", "sample_id", X.combined_copies(F.col("a"), F.col("b")).alias("cn"))
 
 
 @query("cn_flank_filter", S.with_views("cohort", extra="f AS (SELECT sv_id, avg(depth2) AS m, stddev_pop(depth2) AS s FROM cohort GROUP BY sv_id)") + "SELECT sv_id, sample_id, CAST(CASE WHEN abs(depth2 - m) > 2 * s OR (label > 0 AND abs(depth - m) < 2 * s) THEN -1 ELSE label END AS INTEGER) AS cn FROM cohort JOIN f USING (sv_id)")
@@ -218,14 +222,13 @@ def _(spark, d):
     return k.where("s >= rms and s > l and s >= r").groupBy("sample_id").agg(best.alias("bucket"))
 
 
-@query("ro_components", S.with_views("sv", extra="""x AS (SELECT * FROM sv WHERE chrnum <= 4),
-e AS (SELECT a.sv_id AS u, b.sv_id AS v FROM x a JOIN x b ON a.chrnum = b.chrnum AND a.svtype = b.svtype AND a.sv_id <> b.sv_id AND a."end" > b.pos AND b."end" > a.pos
+@query("ro_components", S.with_views("sv", extra="""e AS MATERIALIZED (SELECT a.sv_id AS u, b.sv_id AS v FROM sv a JOIN sv b ON a.chrnum = b.chrnum AND a.svtype = b.svtype AND a.sv_id <> b.sv_id AND a."end" > b.pos AND b."end" > a.pos
   WHERE (least(a."end", b."end") - greatest(a.pos, b.pos)) / (greatest(a."end", b."end") - least(a.pos, b.pos)) > 0.7),
-r AS (SELECT sv_id AS u, sv_id AS v FROM x UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)""").replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT u AS sv_id, min(v) AS component FROM r GROUP BY u")
+r AS (SELECT sv_id AS u, sv_id AS v FROM sv UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)""").replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT u AS sv_id, min(v) AS component FROM r GROUP BY u")
 def _(spark, d):
     from ..operators import graph, intervals
 
-    sv = S.sv(spark, d).where("chrnum <= 4")
+    sv = S.sv(spark, d)
     pairs = intervals.overlap_join(sv, sv, left_on=("pos", "end"), right_on=("pos", "end")).where("l.svtype = r.svtype and l.sv_id < r.sv_id")
     ro = X.overlap_ratio(F.col("l.pos"), F.col("l.end"), F.col("r.pos"), F.col("r.end"))
     edges = pairs.where(ro > 0.7).select(F.col("l.sv_id").alias("u"), F.col("r.sv_id").alias("v"))
@@ -249,13 +252,6 @@ def _(spark, d):
     return vcf.parse(vcf.to_lines(S.sv(spark, d))).select("sv_id", "chrnum", "pos", "end", "svtype")
 
 
-@query("vcf_scan_supp", S.with_views("sv") + "SELECT sv_id, svtype, supp FROM sv WHERE supp >= 3")
-def _(spark, d):
-    from ..sources import vcf
-
-    return vcf.parse(vcf.to_lines(S.sv(spark, d))).where("supp >= 3").select("sv_id", "svtype", "supp")
-
-
 @query("vcf_to_intervals", S.with_views("sv") + 'SELECT CAST(CASE svtype WHEN \'DEL\' THEN 0 WHEN \'DUP\' THEN 1 WHEN \'INV\' THEN 2 WHEN \'CNV\' THEN 3 WHEN \'INS\' THEN 4 ELSE 5 END AS INTEGER) AS code, chrnum, pos, "end" FROM sv')
 def _(spark, d):
     from ..sources import vcf
@@ -264,17 +260,55 @@ def _(spark, d):
     return rows.select(X.type_code(F.col("svtype")).cast("int").alias("code"), "chrnum", "pos", "end")
 
 
-@query("vcf_render", S.with_views("cohort", extra=_GT) + "SELECT sv_id, string_agg(CASE gt WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' WHEN 2 THEN '1/1' ELSE './.' END || ':' || CASE WHEN gt < 0 THEN '.' ELSE CAST(2 - gt AS VARCHAR) END, chr(9) ORDER BY sample_id) AS samples FROM g GROUP BY sv_id")
+_CELL = """(CASE gt WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' WHEN 2 THEN '1/1' ELSE './.' END || ':' || CASE WHEN gt < 0 THEN '.' ELSE CAST(2 - gt AS VARCHAR) END || printf(':%.2f:%.2f:%.2f,%.2f,%.2f,%.2f', depth, 20 * depth, 1.0::DOUBLE, depth, depth2, 1.0::DOUBLE)
+  || ':' || CAST(CAST(floor(10 * cnt) AS INTEGER) AS VARCHAR) || ':' || CAST(CAST(floor(10 * cnt) AS INTEGER) AS VARCHAR) || ':0:0')"""
+
+
+@query("vcf_render", S.with_views("cohort", extra=_GT) + f"SELECT sv_id, string_agg({_CELL}, chr(9) ORDER BY sample_id) AS samples FROM g JOIN cohort USING (sv_id, sample_id) GROUP BY sv_id")
 def _(spark, d):
-    g = _gt(spark, d)
-    cell = F.concat(X.genotype_text(F.col("gt")), F.lit(":"), F.when(F.col("gt") < 0, ".").otherwise((2 - F.col("gt")).cast("string")))
-    rows = g.groupBy("sv_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", cell.alias("c")))).alias("a"))
+    rows = _cohort_table(spark, d, "DEL").drop("gt").join(_gt(spark, d), ["sv_id", "sample_id"]).withColumn("gt", F.when(F.col("gt") >= 0, F.col("gt"))).withColumn("cn", 2 - F.col("gt"))
+    rows = rows.withColumns({c: F.col(f"given_{c}") for c in C.COUNTS})
+    rows = rows.groupBy("sv_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", C.sample_cell(F.col("svtype")).alias("c")))).alias("a"))
     return rows.select("sv_id", F.array_join(F.transform("a", lambda x: x["c"]), "\t").alias("samples"))
 
 
-@query("em_1d")
+def _cohort_table(spark, d, kind: str | None = None):
+    """The cohort view as a table of calls: one type, or four in turn; gains turn the depth around. Every third variant has split reads' breakpoints."""
+    c = S.cohort(spark, d)
+    names = F.array(*map(F.lit, C.KINDS))
+    c = c.withColumn("svtype", F.lit(kind) if kind else F.get(names, (F.col("sv_id") % 4).cast("int")))
+    gain = F.col("svtype").isin("DUP", "CNV")
+    turned = lambda x: F.when(gain, 2 - F.col(x)).otherwise(F.col(x))
+    reads = F.floor(10 * F.col("cnt")).cast("int")
+    split = F.col("sv_id") % 3 == 0
+    return c.select(
+        "sv_id", "sample_id", "svtype", F.lit(20.0).alias("avg_dp"), (20 * turned("depth")).alias("raw"), turned("depth").alias("depth"), F.lit(1.0).alias("pre"), F.lit(1.0).alias("post"),
+        turned("depth").alias("first"), turned("depth2").alias("second"), split.alias("has_split"), F.lit(False).alias("has_clip"),
+        *[(reads if n < 2 else F.lit(0)).alias(f"{a}_{x}") for a in ("given", "split") for n, x in enumerate(C.COUNTS)], *[F.lit(0).alias(f"clip_{x}") for x in C.COUNTS],
+    )
+
+
+_EM_P = ", ".join(f"a{c} * exp(-0.5 * pow((depth - m{c}) / greatest(s{c}, 1e-4), 2)) / (greatest(s{c}, 1e-4) * sqrt(2 * pi())) AS p{c}" for c in range(3))
+_EM_STATE = ", ".join(f"CAST({v} AS DOUBLE) AS {n}{c}" for n, vs in (("m", (1.0, 0.5, 0.0)), ("s", (0.1, 0.1, 0.1)), ("a", (1 / 3, 1 / 3, 1 / 3))) for c, v in enumerate(vs))
+_EM_SUMS = ", ".join(f"sum(CASE WHEN t >= 1e-20 THEN p{c} / t ELSE 0 END) AS w{c}, sum(CASE WHEN t >= 1e-20 THEN p{c} / t * depth ELSE 0 END) AS x{c}, sum(CASE WHEN t >= 1e-20 THEN p{c} / t * depth * depth ELSE 0 END) AS q{c}" for c in range(3))
+_EM_MEAN = {c: f"((x{c} + {v} * 0.2::DOUBLE) / (w{c} + 0.2::DOUBLE))" for c, v in enumerate((1.0, 0.5, 0.0))}
+_EM_STEP = ", ".join(
+    [f"{m} AS m{c}" for c, m in _EM_MEAN.items()]
+    + [f"sqrt((q{c} - 2 * {m} * x{c} + {m} * {m} * w{c} + 0.002::DOUBLE) / (w{c} + 0.2::DOUBLE)) AS s{c}" for c, m in _EM_MEAN.items()]
+    + [f"(w{c} + 0.2::DOUBLE) / (w0 + w1 + w2 + 0.6::DOUBLE) AS a{c}" for c in range(3)]
+)
+_EM = f"""r AS (SELECT 0 AS i, sv_id, {_EM_STATE} FROM (SELECT DISTINCT sv_id FROM cohort)
+  UNION ALL SELECT i + 1 AS i, sv_id, {_EM_STEP} FROM (SELECT i, sv_id, {_EM_SUMS} FROM (SELECT *, p0 + p1 + p2 AS t FROM (SELECT r.*, depth, {_EM_P} FROM r JOIN cohort USING (sv_id) WHERE i < 15)) GROUP BY i, sv_id)),
+last AS (SELECT * FROM r WHERE i = 15), dens AS (SELECT sv_id, sum(CASE WHEN t > 0 THEN ln(t) ELSE 0 END) AS ll, count(*) AS n FROM (SELECT *, p0 + p1 + p2 AS t FROM (SELECT last.*, depth, {_EM_P} FROM last JOIN cohort USING (sv_id))) GROUP BY sv_id)"""
+
+
+def _rounded(fits):
+    return fits.withColumns({c: F.round(c, 5) for c in ("mean", "spread", "alpha", "bic")})
+
+
+@query("em_1d", S.with_views("cohort", extra=_EM).replace("WITH ", "WITH RECURSIVE ", 1) + " UNION ALL ".join(f"SELECT sv_id, {c} AS comp, round(m{c}, 5) AS mean, round(s{c}, 5) AS spread, round(a{c}, 5) AS alpha, round(-ll + 4 * ln(n), 5) AS bic FROM last JOIN dens USING (sv_id)" for c in range(3)))
 def _(spark, d):
-    return G.fitted(S.cohort(spark, d), 1, [[1.0, 0.5, 0.0]])
+    return _rounded(G.fitted(S.cohort(spark, d), 1, [[1.0, 0.5, 0.0]]).drop("overlap"))
 
 
 @query("em_2d")
@@ -287,22 +321,53 @@ def _(spark, d):
     return G.fitted(S.cohort(spark, d), 1, G.DEL_STARTS)
 
 
-@query("kmeans_1d")
+_KM_LABEL = "CASE least(abs(depth - m0), abs(depth - m1), abs(depth - m2)) WHEN abs(depth - m0) THEN 0 WHEN abs(depth - m1) THEN 1 ELSE 2 END"
+_KM_STEP = ", ".join(f"(sum(CASE WHEN l = {c} THEN depth ELSE 0 END) + {v} * 0.2::DOUBLE) / (count(*) FILTER (l = {c}) + 0.2::DOUBLE) AS m{c}" for c, v in enumerate((1.0, 0.5, 0.0)))
+_KM = f"""r AS (SELECT 0 AS i, sv_id, 1.0::DOUBLE AS m0, 0.5::DOUBLE AS m1, 0.0::DOUBLE AS m2 FROM (SELECT DISTINCT sv_id FROM cohort)
+  UNION ALL SELECT i + 1 AS i, sv_id, {_KM_STEP} FROM (SELECT r.*, depth, {_KM_LABEL} AS l FROM r JOIN cohort USING (sv_id) WHERE i < 14) GROUP BY i, sv_id)"""
+
+
+@query("kmeans_1d", S.with_views("cohort", extra=_KM).replace("WITH ", "WITH RECURSIVE ", 1) + f"SELECT sv_id, sample_id, {_KM_LABEL} AS label FROM cohort JOIN r USING (sv_id) WHERE i = 14")
 def _(spark, d):
     return G.kmeans_labels(S.cohort(spark, d))
 
 
+def _calls(spark, d):
+    return C.call(_cohort_table(spark, d))
+
+
 @query("genotype_calls")
 def _(spark, d):
-    return G.genotype_calls(S.cohort(spark, d))
+    return _calls(spark, d).select("sv_id", "sample_id", "gt", "cn", "method")
 
 
 @query("call_method")
 def _(spark, d):
-    return G.genotype_calls(S.cohort(spark, d)).groupBy("sv_id").agg(F.first("method").alias("method"), F.count("gt").alias("called"))
+    return _calls(spark, d).groupBy("sv_id").agg(F.first("method").alias("method"), F.first("fit").alias("fit"), F.count("gt").alias("called"))
+
+
+@query("genotype_records")
+def _(spark, d):
+    """The whole plan over the views: candidates, variant and window depth, evidence, GC; every line reported."""
+    from ..operators import depth as D
+    from ..operators import queries_evidence as Q
+
+    hour = 3600
+    points, ev = S.depth_pos(spark, d), S.evidence(spark, d)
+    sv = Q._sv(spark, d)
+    samples = points.groupBy("sample_id").agg((F.avg("depth") / 100).alias("avg_dp"))
+    depth = D.variant_depth(sv, points)
+    gc = sv.select("sv_id", F.lit(0.4).alias("gc"))
+    kind = lambda *k: ev.where(F.col("kind").isin(*k))
+    # the view's depths are amounts, far above what the depth gate lets pass: a tenth
+    tenth = lambda rows: rows.withColumn("dp32", (F.col("dp32") / 10).cast("int"))
+    samples = samples.withColumn("avg_dp", F.col("avg_dp") / 10)
+    parts = C.genotype(sv, samples, tenth(depth), tenth(D.depth_windows(points, hour)), kind("pair", "filtered"), kind("split", "filtered", "pair"), kind("lclip", "rclip"), gc, width=hour)
+    return C.records(*parts, report_all=True)
 
 
 def _breaks(spark, d):
+    """Split reads of the view, on a grid coarse enough that a variant's reads agree."""
     e = S.evidence(spark, d).where("kind = 'split'")
     step = 2_000
     return e.select((F.floor(F.col("pos") / 200_000)).alias("sv_id"), F.col("sample_id"), (F.floor(F.col("pos") / step) * 4).cast("double").alias("start"), (F.floor(F.col("mate") / step / 50) * 4).cast("double").alias("end"))
@@ -318,8 +383,6 @@ def _(spark, d):
     return G.modal_cluster(G.consensus(_breaks(spark, d), least=2))
 
 
-
-
 @query("model_select_dpcnt")
 def _(spark, d):
     return G.joint_fit(S.cohort(spark, d))
@@ -327,16 +390,17 @@ def _(spark, d):
 
 @query("inv_assign")
 def _(spark, d):
-    return G.inversion_calls(S.cohort(spark, d))
+    return C.call(_cohort_table(spark, d, "INV")).select("sv_id", "sample_id", "gt", "method")
 
 
 @query("clip_consensus")
 def _(spark, d):
     from ..operators import queries_evidence as E
 
-    # wider bins than bases: the view's clips are thin
-    cells = E._cells(spark, d).select(F.floor(F.col("sv_id") / 400).alias("sv_id"), "sample_id", "cell")
-    return G.consensus(G.clip_breaks(cells), least=1)
+    # the view's clips are thin: variants of 400 ids together, cells of ten bases
+    cells = E._cells(spark, d).select((F.floor(F.col("sv_id") / 400) * 3).alias("sv_id"), "sample_id", "kind", (F.floor(F.col("cell") / 10) * 10).cast("int").alias("cell"))
+    sv = cells.select("sv_id").distinct().select("sv_id", F.get(F.array(*map(F.lit, ("DEL", "DUP", "INV"))), (F.col("sv_id") / 3 % 3).cast("int")).alias("svtype"), F.lit(10_000).alias("pos"), F.lit(20_000).alias("end"))
+    return G.cohort_clusters(C.clip_points(sv, cells, least=1))
 
 
 @query(
@@ -349,9 +413,8 @@ def _(spark, d):
     return buckets.replay(spark, f"{d}/events.parquet", 3600)
 
 
-@query("sam_scan", S.with_views("reads") + "SELECT read_id, part, flag, chrnum, pos, mapq, cigar, mate_pos, isize, mq, nm, sa FROM reads WHERE read_id % 4 = 0")
+@query("sam_scan", S.with_views("reads") + "SELECT read_id, part, flag, chrnum, pos, mapq, cigar, mate_pos, isize, mq, nm, sa FROM reads")
 def _(spark, d):
     from ..sources import sam
 
-    rows = S.reads(spark, d).where("read_id % 4 = 0")
-    return sam.parse(sam.to_lines(rows)).drop("mate_chrnum")
+    return sam.parse(sam.to_lines(S.reads(spark, d))).drop("mate_chrnum")

@@ -13,22 +13,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _tag(fields: Column, name: str) -> Column:
-    return F.regexp_extract(F.element_at(F.filter(F.slice(fields, 12, 1000), lambda t: F.startswith(t, F.lit(f"{name}:"))), 1), "^[^:]*:[^:]*:(.*)$", 1)
+    return F.regexp_extract(F.get(F.filter(F.slice(fields, 12, 1000), lambda t: F.startswith(t, F.lit(f"{name}:"))), F.lit(0)), "^[^:]*:[^:]*:(.*)$", 1)
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Alignments from a column ``line``; header lines go. Read names of the form id/part give read_id and part."""
+    """Alignments from a column ``line``; header lines and those with fewer than 11 fields go. Read names of the form id/part give read_id and part; what isn't a number is null."""
     f = F.split("line", "\t")
     rows = lines.where(F.col("line").isNotNull() & ~F.startswith("line", F.lit("@"))).select(f.alias("f")).where(F.size("f") >= 11)
     at = lambda i: F.get("f", F.lit(i))
-    number = lambda c: F.coalesce(F.nullif(c, F.lit("")).cast("int"), F.lit(0))
-    out = rows.select(
-        F.split(at(0), "/")[0].cast("long").alias("read_id"), F.split(at(0), "/")[1].cast("int").alias("part"), at(1).cast("int").alias("flag"),
-        chrom_number(at(2)).alias("chrnum"), at(3).cast("int").alias("pos"), at(4).cast("int").alias("mapq"), at(5).alias("cigar"),
-        F.when(at(6) == "=", chrom_number(at(2))).otherwise(chrom_number(at(6))).alias("mate_chrnum"), at(7).cast("int").alias("mate_pos"), at(8).cast("int").alias("isize"),
+    # a filter on a result may run before those above, on header lines too: no cast may fail
+    whole = lambda i: at(i).try_cast("int")
+    number = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
+    name = F.split(at(0), "/")
+    return rows.select(
+        F.get(name, F.lit(0)).try_cast("long").alias("read_id"), F.get(name, F.lit(1)).try_cast("int").alias("part"), whole(1).alias("flag"),
+        chrom_number(at(2)).alias("chrnum"), whole(3).alias("pos"), whole(4).alias("mapq"), at(5).alias("cigar"),
+        F.when(at(6) == "=", chrom_number(at(2))).otherwise(chrom_number(at(6))).alias("mate_chrnum"), whole(7).alias("mate_pos"), whole(8).alias("isize"),
         number(_tag(F.col("f"), "MQ")).alias("mq"), number(_tag(F.col("f"), "NM")).alias("nm"), F.coalesce(_tag(F.col("f"), "SA"), F.lit("")).alias("sa"),
     )
-    return out
 
 
 def to_lines(reads: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import _shared_folder
+from ..store import shared_folder
 
 
 def window_totals(rows: DataFrame, width: int) -> DataFrame:
@@ -27,14 +27,20 @@ def replay(spark: SparkSession, path: str, width: int) -> DataFrame:
         F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01', ts)").cast("int").alias("pos"),
         F.round(F.col("value") * 100).cast("long").alias("depth"),
     )
-    folder = f"{_shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    last: dict[str, str] = {}
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        out = f"{folder}/batch-{number}"
-        batch.write.mode("overwrite").parquet(out)
-        last["path"] = out
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/totals/number={number}")
 
-    query = window_totals(rows, width).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    # each batch writes only the buckets it changed; the last word on a bucket counts
+    query = window_totals(rows, width).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.parquet(last["path"])
+    if not _written(spark, f"{folder}/totals"):
+        return spark.createDataFrame([], "chrnum int, bucket int, n long, total long")
+    last = F.max_by(F.struct("n", "total"), "_batch").alias("v")
+    return spark.read.parquet(f"{folder}/totals").groupBy("chrnum", "bucket").agg(last).select("chrnum", "bucket", "v.*")
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -53,7 +53,7 @@ def depth_pos(spark, sf_dir) -> DataFrame:
 
 
 def evidence(spark, sf_dir) -> DataFrame:
-    """Reads near breakpoints: ev_id, sample_id, chrnum, kind, pos, mate, qual, pairstr."""
+    """Reads near breakpoints: ev_id, sample_id, chrnum, kind, pos, mate, qual, pairstr, lengths and clips of both alignments."""
     kinds = F.create_map(*[F.lit(x) for kv in (("click", "lclip"), ("view", "rclip"), ("purchase", "pair"), ("signup", "split")) for x in kv])
     return _read(spark, sf_dir, "events").select(
         F.col("event_id").alias("ev_id"),
@@ -64,6 +64,9 @@ def evidence(spark, sf_dir) -> DataFrame:
         (_seconds() + F.floor(F.col("value") * 37)).cast("int").alias("mate"),
         (F.col("event_id") % 61).cast("int").alias("qual"),
         (F.col("event_id") % 4).cast("int").alias("pairstr"),
+        (F.col("event_id") % 30 + 40).cast("int").alias("rlen"),
+        (F.col("event_id") % 20 + 45).cast("int").alias("sa_rlen"),
+        *[((F.floor(F.col("event_id") / 4) + i) % 4).cast("int").alias(c) for i, c in enumerate(("lclip", "rclip", "sa_lclip", "sa_rclip"))],
     )
 
 
@@ -113,13 +116,13 @@ def genome(spark, sf_dir) -> DataFrame:
 
 
 def cohort(spark, sf_dir) -> DataFrame:
-    """One row per candidate and sample: sv_id, sample_id, depth, cnt, x2, label."""
+    """One row per candidate and sample, 50 samples each: sv_id, sample_id, depth, cnt, depth2, label."""
     e = _read(spark, sf_dir, "embeddings")
     at = lambda i: F.get("embedding", F.lit(i)).cast("double")
     third = F.col("label") % 3
     return e.select(
-        (F.col("vec_id") % 10).alias("sv_id"),
-        F.floor(F.col("vec_id") / 10).alias("sample_id"),
+        F.floor(F.col("vec_id") / 50).alias("sv_id"),
+        (F.col("vec_id") % 50).alias("sample_id"),
         (F.lit(1.0) - 0.5 * third + 0.3 * at(0)).alias("depth"),
         F.greatest(F.lit(0.0), 0.15 * third + 0.1 * at(1)).alias("cnt"),
         (F.lit(1.0) - 0.5 * third + 0.3 * at(2)).alias("depth2"),
@@ -143,7 +146,9 @@ CTE = {
   SELECT event_id AS ev_id, CAST(user_id % 10 AS INTEGER) AS sample_id, CAST(event_id % 2 + 1 AS INTEGER) AS chrnum,
     CASE event_type WHEN 'click' THEN 'lclip' WHEN 'view' THEN 'rclip' WHEN 'purchase' THEN 'pair' WHEN 'signup' THEN 'split' ELSE 'filtered' END AS kind,
     CAST(floor(epoch(ts)) - 1704067200 AS INTEGER) AS pos, CAST(floor(epoch(ts)) - 1704067200 + floor(value * 37) AS INTEGER) AS mate,
-    CAST(event_id % 61 AS INTEGER) AS qual, CAST(event_id % 4 AS INTEGER) AS pairstr FROM events)""",
+    CAST(event_id % 61 AS INTEGER) AS qual, CAST(event_id % 4 AS INTEGER) AS pairstr,
+    CAST(event_id % 30 + 40 AS INTEGER) AS rlen, CAST(event_id % 20 + 45 AS INTEGER) AS sa_rlen, CAST(event_id // 4 % 4 AS INTEGER) AS lclip,
+    CAST((event_id // 4 + 1) % 4 AS INTEGER) AS rclip, CAST((event_id // 4 + 2) % 4 AS INTEGER) AS sa_lclip, CAST((event_id // 4 + 3) % 4 AS INTEGER) AS sa_rclip FROM events)""",
     "reads": """reads AS (
   SELECT l_orderkey AS read_id, l_linenumber AS part,
     CAST(1 + CASE WHEN q % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN l_linestatus = 'F' THEN 16 ELSE 0 END + CASE WHEN l_linenumber % 2 = 0 THEN 32 ELSE 0 END
@@ -164,7 +169,7 @@ CTE = {
   FROM (SELECT doc_id, translate(text, 'EINORSHLDUeinorshldu', 'ACGTACGTNNACGTACGTNN') AS s, unnest(range(0, (length(text) - 1) // 100 + 1)) AS b
         FROM documents WHERE text IS NOT NULL AND length(text) > 0))""",
     "cohort": """cohort AS (
-  SELECT vec_id % 10 AS sv_id, vec_id // 10 AS sample_id, 1.0::DOUBLE - 0.5::DOUBLE * (label % 3) + 0.3::DOUBLE * embedding[1]::DOUBLE AS depth,
+  SELECT vec_id // 50 AS sv_id, vec_id % 50 AS sample_id, 1.0::DOUBLE - 0.5::DOUBLE * (label % 3) + 0.3::DOUBLE * embedding[1]::DOUBLE AS depth,
     greatest(0.0::DOUBLE, 0.15::DOUBLE * (label % 3) + 0.1::DOUBLE * embedding[2]::DOUBLE) AS cnt,
     1.0::DOUBLE - 0.5::DOUBLE * (label % 3) + 0.3::DOUBLE * embedding[3]::DOUBLE AS depth2, CAST(label % 3 AS INTEGER) AS label FROM embeddings)""",
 }

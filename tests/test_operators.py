@@ -152,24 +152,6 @@ def test_mixtures():
     assert M.greedy_clusters(np.array([[0, 0], [1, 2], [50, 50], [2, 1]])) == [(1.0, 1.0, 3), (50.0, 50.0, 1)]
 
 
-def test_cohort_of_thirty(spark):
-    rng = np.random.default_rng(3)
-    rows = []
-    for sv, depths in ((1, [1.0] * 20 + [0.5] * 8 + [0.0] * 2), (2, [1.0] * 15 + [1.5] * 10 + [2.0] * 5), (3, [1.0] * 30)):
-        for i, d in enumerate(depths):
-            rows.append((sv, i, d + rng.normal(0, 0.03), max(0.0, 0.3 * abs(1 - d)), d + rng.normal(0, 0.03)))
-    cohort = spark.createDataFrame(rows, "sv_id long, sample_id long, depth double, cnt double, depth2 double")
-    kinds = spark.createDataFrame([(1, "DEL"), (2, "DUP"), (3, "DEL")], "sv_id long, svtype string")
-    calls = genotype.genotype_calls(cohort, kinds)
-    got = {(r.sv_id, r.sample_id): r.gt for r in calls.collect()}
-    assert [got[1, i] for i in range(30)].count(1) >= 7 and sum(got[1, i] == 0 for i in range(20)) >= 19
-    assert sum(got[2, i] == 1 for i in range(15, 25)) >= 8 and all(got[3, i] is None for i in range(30))
-    counts = {r.sv_id: r for r in genotype.genotype_counts(calls).collect()}
-    for sv in (1, 2, 3):
-        c = counts[sv]
-        assert c.n_miss + c.n_ref + c.n_het + c.n_hom == 30
-
-
 def test_hardy_weinberg(spark):
     hwe = lambda *n: one(spark, "a int, b int, c int", n, genotype.hardy_weinberg(F.col("a"), F.col("b"), F.col("c")).alias("h")).h
     assert hwe(25, 50, 25) == 0 and hwe(50, 0, 50) == 100 and hwe(10, 0, 0) == 0 and hwe(0, 0, 0) is None
