@@ -4,10 +4,13 @@ All rolling k-gram hashes of a document's words are Spark-joined to the position
 of the same hashes in license templates. A hit at document word p and template
 word t votes for the diagonal p - t. Votes are counted per (document, template,
 diagonal); neighbouring diagonals, which small insertions and deletions make, are
-merged; a merged span is verified by the share of the template's k-grams it holds
-(a phrase needs all of them on one diagonal); of notices that start at one place, the
-one with the greatest share counts. Each hit compares a second 64-bit
-hash of another kind, so 128 bits of hash stand for the words.
+merged, and a template position that votes on several of them counts once. A merged
+span is verified by its words in order: going along the template, hits must not step
+back in the document, and the share of the template's words that they cover decides
+(a phrase needs every k-gram on one diagonal). Of notices that start at one place, the
+one with the greatest share counts; notices of different licenses that tie there are
+ambiguous and give no label. Each hit compares a second 64-bit hash of another kind, so
+128 bits of hash stand for the words.
 
 The templates are given by the caller and bounded (``MAX_GRAMS`` k-grams), so they
 are broadcast. Hits alone are shuffled, once, by row.
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,23 +50,32 @@ PHRASES = (
     Template("apache-2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", True),
 )
-#: Short notices, written for this scan: found also when a few words are changed.
+#: Notices: found also when some words are changed. Short forms of how works are placed under a license, and the grants of permissive licenses.
 NOTICES = (
     Template("gpl-3", "this work is licensed under the gnu general public license version 3"),
     Template("gpl-2", "this work is licensed under the gnu general public license version 2"),
+    Template("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    Template("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     Template("lgpl", "this work is licensed under the gnu lesser general public license"),
     Template("agpl-3", "this work is licensed under the gnu affero general public license version 3"),
     Template("mpl-2", "this work is subject to the terms of the mozilla public license version 2 0"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     Template("mit", "released under the mit license see the license file for details"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    Template("mit", "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     Template("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
+    Template("apache-2", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike license"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution share alike license"),
     Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial license"),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution non commercial license"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 )
-#: Share of a notice's k-grams that a span must hold, and how far merged diagonals may lie apart.
-MIN_SHARE, SLACK = 0.6, 2
+#: Share of a notice's words that a span must hold in order, and how far merged diagonals may lie apart.
+MIN_SHARE, SLACK = 0.7, 2
 
 
 def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +129,7 @@ def spans(docs: DataFrame, templates: Iterable[Template] = PHRASES + NOTICES, mi
     votes = (
         hits.repartition("_row")
         .groupBy("_row", "doc_id", "_template", "_label", "_phrase", "_n", "_diagonal")
-        .agg(F.count("*").alias("_votes"), F.max(F.when(F.col("_template") < 0, F.col("_p"))).alias("n_words"))
+        .agg(F.count("*").alias("_votes"), F.collect_list(F.when(F.col("_template") >= 0, F.struct("_t", "_p"))).alias("_hits"), F.max(F.when(F.col("_template") < 0, F.col("_p"))).alias("n_words"))
     )
     order = Window.partitionBy("_row", "_template").orderBy("_diagonal")
     apart = F.coalesce(F.col("_diagonal") - F.lag("_diagonal").over(order) > F.when(F.col("_phrase"), 0).otherwise(SLACK), F.lit(True))
@@ -125,16 +137,19 @@ def spans(docs: DataFrame, templates: Iterable[Template] = PHRASES + NOTICES, mi
         votes.withColumn("_new", apart.cast("int"))
         .withColumn("_group", F.sum("_new").over(order))
         .groupBy("_row", "doc_id", "_template", "_label", "_phrase", "_n", "_group")
-        .agg(F.sum("_votes").alias("_votes"), F.min("_diagonal").alias("start"), F.max("n_words").alias("n_words"))
+        .agg(F.sum("_votes").alias("_votes"), F.sort_array(F.flatten(F.collect_list("_hits"))).alias("_hits"), F.min("_diagonal").alias("start"), F.max("n_words").alias("n_words"))
     )
+    merged = merged.withColumn("_share", F.when(F.col("_phrase"), F.col("_votes") / F.col("_n")).otherwise(_in_order(F.col("_hits")) / (F.col("_n") + K - 1))).drop("_hits")
     # notices that start at one place compete: "version 2" against "version 3"
     place = Window.partitionBy("_row", "_phrase").orderBy("start", "_template")
     apart = F.coalesce(F.col("start") - F.lag("start").over(place) > SLACK, F.lit(True))
     merged = merged.withColumn("_new", apart.cast("int")).withColumn("_place", F.sum("_new").over(place))
     rivals = Window.partitionBy("_row", "_phrase", "_place")
-    merged = merged.withColumn("_best", F.max(F.when(F.col("_template") >= 0, F.col("_votes") / F.col("_n"))).over(rivals))
     own = F.col("_template") < 0
-    share = F.least(F.col("_votes") / F.col("_n"), F.lit(1.0))
+    merged = merged.withColumn("_best", F.max(F.when(~own, F.col("_share"))).over(rivals))
+    merged = merged.withColumn("_winners", F.size(F.collect_set(F.when(~own & (F.col("_share") >= F.col("_best")), F.col("_label"))).over(rivals)))
+    share = F.least(F.col("_share"), F.lit(1.0))
+    notice = (share >= min_share) & (F.col("_share") >= F.col("_best")) & (F.col("_winners") == 1)
     return merged.select(
         "_row",
         "doc_id",
@@ -143,10 +158,22 @@ def spans(docs: DataFrame, templates: Iterable[Template] = PHRASES + NOTICES, mi
         (F.col("_phrase") & ~own).alias("phrase"),
         F.when(~own, F.col("start")).alias("start"),
         F.when(~own, share).alias("share"),
-        (~own & F.when(F.col("_phrase"), share >= 1.0).otherwise((share >= min_share) & (F.col("_votes") / F.col("_n") >= F.col("_best")))).alias("found"),
+        (~own & F.when(F.col("_phrase"), share >= 1.0).otherwise(notice)).alias("found"),
     )
 
 
+def _in_order(hits: Column) -> Column:
+    """Template words covered by hits (t, p), sorted: of a position's hits the first that doesn't step back in the document counts."""
+    start = F.struct(F.lit(-K).alias("t"), F.lit(-1).alias("p"), F.lit(0).alias("words"))
+
+    def step(sofar: Column, hit: Column) -> Column:
+        ahead = (hit["_p"] > sofar["p"]) & (hit["_t"] > sofar["t"])
+        words = sofar["words"] + F.least(F.lit(K), hit["_t"] - sofar["t"])
+        return F.when(ahead, F.struct(hit["_t"].alias("t"), hit["_p"].alias("p"), words.alias("words"))).otherwise(sofar)
+
+    return F.aggregate(hits, start, step, lambda x: x["words"])
+
+
 def scan(docs: DataFrame, templates: Iterable[Template] = PHRASES + NOTICES, min_share: float = MIN_SHARE) -> DataFrame:
     """A row per document: words, places of phrases, labels of phrases and of all templates, score."""
     base = F.col("phrase") & F.col("found")
