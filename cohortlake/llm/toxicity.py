@@ -10,11 +10,15 @@ prior (the pooled rate, ``PRIOR`` contexts strong) and a z-score; words that are
 not clearly toxic score slightly below zero, so a clean text drifts down.
 
 Score: a linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a
-text's word scores. With the words of clean documents as the null model, lambda
-solves E[exp(lambda s)] = 1, and a segment of score S in n words has the
-extreme-value score lambda S - ln(K n); segments of ``SIGNIFICANT`` or more are
-passages. A document's evidence is the sum over its passages; a logistic curve,
-fitted on the same labelled rows in bins, turns it into a probability.
+text's word scores. Chance segments follow an extreme-value law: the best of a text of
+n words stays below s with probability exp(-K n exp(-lambda s)). Lambda and K are
+fitted by maximum likelihood to the best segments of the labelled clean documents
+(those without any are known to lie below the least word score); with too few of them,
+lambda solves E[exp(lambda s)] = 1 over clean words. A segment of score S then has the
+value lambda S - ln(K n); those of ``SIGNIFICANT`` or more are passages. A document's
+evidence is the least joint probability of its best r passages (the sum statistic of
+Karlin and Altschul), as -ln p; a logistic curve, fitted on the same labelled rows in
+bins, turns it into a probability.
 
 The model is a table of toxic words, each seen in ``MIN_CONTEXTS`` contexts of the
 bounded sample at least, so its size is bounded too and it is broadcast. Scores come
@@ -45,6 +49,8 @@ PRIOR, MIN_Z, MIN_CONTEXTS, DRIFT, SIGNIFICANT = 1000.0, 4.0, 5, -0.05, 2.0
 #: Least log-odds of a toxic word, and least share of new contexts among its toxic occurrences, against that of all words.
 MIN_ODDS, MIN_FRESH = 1.0, 0.5
 THRESHOLD = 0.3
+#: Values of lambda to choose from, and the least clean documents with a segment for the fit.
+RATES, LEAST_SEGMENTS = np.geomspace(0.05, 5.0, 93), 30
 _BINS, _STEP = 64, 0.5
 
 
@@ -89,6 +95,13 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     return [(right - left, int(a), int(b)) for left, right, a, b, _ in out]
 
 
+def best_segment(words: np.ndarray, model: Model) -> float:
+    """The score of the best segment, 0 without any toxic word."""
+    at = np.minimum(np.searchsorted(model.words, words), len(model.words) - 1)
+    toxic = model.words[at] == words
+    return max((s for s, _, _ in segments(np.where(toxic, model.scores[at], DRIFT))), default=0.0) if toxic.any() else 0.0
+
+
 def _evidence(words: np.ndarray, model: Model) -> tuple[float, list[tuple[float, int, int]]]:
     passages = []
     if len(model.words) and len(words):
@@ -100,7 +113,30 @@ def _evidence(words: np.ndarray, model: Model) -> tuple[float, list[tuple[float,
                 v = model.rate * s - cut
                 if v >= SIGNIFICANT:
                     passages.append((v, a, b))
-    return sum(v for v, _, _ in passages), passages
+    return joint([v for v, _, _ in passages]), passages
+
+
+def joint(values: list[float]) -> float:
+    """-ln of the least probability of r passages together: T - (r - 1) ln T + ln r! + ln (r - 1)!, with T the sum of the best r values."""
+    best = total = 0.0
+    for r, v in enumerate(sorted(values, reverse=True), 1):
+        total += v
+        best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
+    return best
+
+
+def gumbel(sums: np.ndarray, m: float, total: float, silent: float, least: float, rates: np.ndarray) -> tuple[float, float] | None:
+    """lambda and ln K of greatest likelihood over ``rates``, from the best segments of clean texts.
+
+    ``sums``: for each rate the sum of n exp(-rate S) over the m texts with a segment,
+    ``total``: their sum of S, ``silent``: the words of texts whose best lies below ``least``.
+    """
+    if m < LEAST_SEGMENTS:
+        return None
+    weight = sums + silent * np.exp(-rates * least)
+    likelihood = m * np.log(m / weight) + m * np.log(rates) - rates * total
+    i = int(likelihood.argmax())
+    return float(rates[i]), float(np.log(m / weight[i]))
 
 
 def _training(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
@@ -160,9 +196,39 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
         lo, hi = (mid, hi) if below else (lo, mid)
     model.rate = lo
     model.log_k = math.log(max(1e-5, float(share.sum())))
+    model.rate, model.log_k = _extremes(sample, model) or (model.rate, model.log_k)
     return _calibrated(sample, model)
 
 
+def _extremes(sample: DataFrame, model: Model) -> tuple[float, float] | None:
+    """lambda and ln K from the best segment of each clean document of the sample: sums per rate, one small row per task."""
+    if not len(model.words):
+        return None
+    shared, least = sample.sparkSession.sparkContext.broadcast(model), float(model.scores.min())
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, (m, total, silent) = np.zeros(len(RATES)), (0, 0.0, 0)
+        for batch in pieces(batches):
+            words, first = _words(batch)
+            for i, y in enumerate(batch.column(0).to_pylist()):
+                part = words[first[i] : first[i + 1]]
+                if y > 0 or not len(part):
+                    continue
+                best = best_segment(part, shared.value)
+                if best > 0:
+                    held += len(part) * np.exp(-RATES * best)
+                    m, total = m + 1, total + best
+                else:
+                    silent += len(part)
+        yield pa.record_batch({"rate": np.arange(len(RATES)), "held": held, "m": np.full(len(RATES), m), "total": np.full(len(RATES), total), "silent": np.full(len(RATES), silent)})
+
+    got = sample.mapInArrow(sums, "rate long, held double, m long, total double, silent long").groupBy("rate").agg(*[F.sum(c).alias(c) for c in ("held", "m", "total", "silent")])
+    got = got.orderBy("rate").toPandas()
+    if not len(got):
+        return None
+    return gumbel(got.held.to_numpy(float), float(got.m[0]), float(got.total[0]), float(got.silent[0]), least, RATES)
+
+
 def _calibrated(sample: DataFrame, model: Model) -> Model:
     """The logistic curve of the label over the evidence, from counts per bin."""
     shared = sample.sparkSession.sparkContext.broadcast(model)

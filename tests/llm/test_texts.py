@@ -63,6 +63,72 @@ def test_license_notice_with_changed_words(spark):
     assert got[1].labels == "gpl-3" and got[1].n_base == 0 and got[2].labels == ""
 
 
+def labels_by_hand(text, k=3):
+    """All labels, and the best share, of a text: hits, merged diagonals, words in order, rivals of one place."""
+    words, found, best = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text)), [], 0.0
+    for number, t in enumerate(license_scan.PHRASES + license_scan.NOTICES):
+        p = t.text.split()
+        hits = [(i, j) for i in range(len(p) - k + 1) for j in range(len(words) - k + 1) if p[i : i + k] == words[j : j + k]]
+        groups = []
+        for d in sorted({j - i for i, j in hits}):
+            if groups and d - groups[-1][-1] <= (0 if t.phrase else license_scan.SLACK):
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for group in groups:
+            at, before, covered = -1, -k, set()
+            for i, j in sorted(h for h in hits if h[1] - h[0] in group):
+                if j > at and i > before:
+                    covered |= set(range(i, i + k))
+                    at, before = j, i
+            share = sum(h[1] - h[0] in group for h in hits) / (len(p) - k + 1) if t.phrase else len(covered) / len(p)
+            found.append((t.phrase, group[0], number, t.label, share))
+            best = max(best, min(1.0, share))
+    labels, place = {f[3] for f in found if f[0] and f[4] >= 1}, []
+    for f in sorted(f for f in found if not f[0]) + [None]:
+        if place and (f is None or f[1] - place[-1][1] > license_scan.SLACK):
+            top = max(x[4] for x in place)
+            names = {x[3] for x in place if x[4] == top}
+            labels |= names if len(names) == 1 and top >= license_scan.MIN_SHARE else set()
+            place = []
+        place.append(f)
+    return ",".join(sorted(labels)), best
+
+
+def test_license_labels_against_brute_force(spark, texts):
+    rng = np.random.default_rng(3)
+    rows = dict(list(texts.items())[:40])
+    filler = [w for t in list(texts.values())[:5] for w in (t or "").split()][:300] + ["license", "the", "gnu", "this work is"]
+    for i in range(150):
+        words = [str(w) for w in rng.choice(filler, rng.integers(0, 30))]
+        for n in rng.integers(0, len(license_scan.NOTICES), rng.integers(1, 4)):
+            notice = license_scan.NOTICES[n].text.split()
+            for _ in range(rng.integers(0, 4)):
+                at = rng.integers(0, len(notice))
+                notice[at : at + 1] = [[], ["changed"], [notice[at], "more"], [notice[at]] * 2][rng.integers(0, 4)]
+            words += [*notice, *map(str, rng.choice(filler, rng.integers(0, 6)))]
+        rows[50_000 + i] = " ".join(words)
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(rows.items()), SHAPE)).collect()}
+    seen = set()
+    for doc_id, text in rows.items():
+        labels, best = labels_by_hand(text)
+        assert got[doc_id].labels == labels, (doc_id, text)
+        assert got[doc_id].score == pytest.approx(best), doc_id
+        seen |= set(labels.split(","))
+    assert len(seen) > 8
+
+
+def test_license_changed_words_and_rivals(spark):
+    texts = [
+        ("cc-by-sa", "This work is licenced under a Creative Commons attribution share-alike license"),
+        ("gpl-2", "this work was licensed under the gnu general public license version 2"),
+        ("", "creative commons attribution"),
+        ("", "license general gnu public the under licensed is work this"),
+    ]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], SHAPE)).collect()}
+    assert got == {i: want for i, (want, _) in enumerate(texts)}
+
+
 def test_license_odd(spark):
     got = license_scan.scan(spark.createDataFrame([(a, b, "x", 1) for a, b in ODD], SHAPE + ", label string, _row int")).collect()
     assert len(got) == len(ODD) and sum(r.doc_id == 6 for r in got) == 2
@@ -296,6 +362,31 @@ def test_segments_against_brute_force():
         assert [(a, b) for _, a, b in toxicity.segments(x)] == sorted(want)
 
 
+def test_extreme_value_fit():
+    rng = np.random.default_rng(6)
+    rate, k, least = 1.3, 0.02, 1.0
+    n = rng.integers(50, 2_000, 20_000)
+    # the best segment of n words stays below s with probability exp(-k n exp(-rate s)); below the least score nothing is seen
+    s = np.log(k * n / -np.log(rng.random(len(n)))) / rate
+    seen = s >= least
+    rates = np.geomspace(0.2, 5, 200)
+    sums = np.array([(n[seen] * np.exp(-r * s[seen])).sum() for r in rates])
+    got = toxicity.gumbel(sums, seen.sum(), s[seen].sum(), n[~seen].sum(), least, rates)
+    assert got[0] == pytest.approx(rate, rel=0.05) and got[1] == pytest.approx(np.log(k), abs=0.15)
+    assert toxicity.gumbel(sums, toxicity.LEAST_SEGMENTS - 1, 1.0, 1.0, least, rates) is None
+
+
+def test_joint_evidence():
+    import math
+
+    for values in ([], [3.0], [2.5, 4.0], [2.0, 2.0, 9.0, 3.0]):
+        best = 0.0
+        for r in range(1, len(values) + 1):
+            t = sum(sorted(values)[-r:])
+            best = max(best, -math.log(math.exp(-t) * t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1))))
+        assert toxicity.joint(values) == pytest.approx(best)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.query(spark, sf).toPandas()
