@@ -48,6 +48,7 @@ class Index:
     width: int
     centers: np.ndarray  # lists x width
     words: np.ndarray  # subspaces x codewords x width of a subspace
+    share: float = 1.0  # of the lists, what a query must probe for the recall asked of ``fit``
 
     def lists(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.centers.T - 0.5 * (self.centers**2).sum(axis=1)).argmax(axis=1).astype(np.int32)
@@ -79,12 +80,27 @@ def looked_up(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(vectors: DataFrame, n: int, unit: bool, subspace: int = 4, sample: int = SAMPLE) -> Index | None:
-    """An index over about n rows of (vec_id, embedding); None if no row is usable."""
+def _needed_share(index: Index, x: np.ndarray, k: int, recall: float, queries: int = 512) -> float:
+    """Share of the lists, nearest first, that hold ``recall`` of the k nearest (by inner product) of some rows among the others. """
+    if len(x) <= k or len(index.centers) == 1:
+        return 1.0
+    asked = min(queries, len(x))
+    product = x[:asked] @ x.T
+    product[np.arange(asked), np.arange(asked)] = -np.inf
+    top = np.argpartition(-product, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(x[:asked] @ index.centers.T), axis=1), axis=1)
+    met = np.take_along_axis(place, index.lists(x)[top], axis=1)
+    return float((np.quantile(met, recall) + 1) / len(index.centers))
+
+
+def fit(vectors: DataFrame, n: int, unit: bool, subspace: int = 4, sample: int = SAMPLE, k: int = 0, recall: float = 1.0) -> Index | None:
+    """An index over about n rows of (vec_id, embedding); None if no row is usable. With ``k``, its share of lists is measured on the sample."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     x, _ = matrix(rows.column("embedding"))
     if not len(x):
         return None
+    # equal vectors count once: a group of copies decides neither lists nor codewords
+    x = np.random.default_rng(0).permutation(np.unique(x, axis=0))
     if unit:
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
     lists = int(min(MAX_LISTS, max(1, n**0.5 / 2), max(1, len(x) // 16)))
@@ -92,6 +108,8 @@ def fit(vectors: DataFrame, n: int, unit: bool, subspace: int = 4, sample: int =
     index = Index(x.shape[1], centers, np.zeros((-(-x.shape[1] // subspace), 1, subspace)))
     r = index._split(x - centers[index.lists(x)])
     index.words = np.stack([_filled(kmeans(r[:, i], CODES, 8, i)) for i in range(r.shape[1])])
+    if k:
+        index.share = _needed_share(index, x, k, recall)
     return index
 
 

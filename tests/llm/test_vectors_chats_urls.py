@@ -92,6 +92,30 @@ def test_search_fills_k_on_small_tables(spark, n):
     assert len(got) == n and all(r["count"] == 36 for r in got)
 
 
+def test_search_of_clusters_probes_few_lists(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n, centers = 12_000, rng.normal(size=(60, 24))
+    x = (centers[rng.integers(0, 60, n)] + 0.25 * rng.normal(size=(n, 24))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)
+    monkeypatch.setattr(vector_search, "SHARD", 1_000)
+    monkeypatch.setattr(vector_search, "BLOCK", 100)
+    index = vector_search._ivfpq.fit(frame, n, unit=False, k=20, recall=vector_search.RECALL)
+    assert index.share < 0.3
+    got = vector_search.search(frame, F.col("vec_id") % 20 == 0).toPandas().groupby("query_id").vec_id.apply(set)
+    assert len(got) == n // 20
+    recall = []
+    for i in range(0, n, 20):
+        score = x.astype(float) @ x[i].astype(float)
+        score[i] = -np.inf
+        recall.append(len(got[i] & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_search_groups():
+    group, parts = vector_search._groups(np.array([10, 4_000, 100, 9_000, 5, 0, 4_096]))
+    assert group.tolist() == [0, 0, 1, 2, 3, 3, 4] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1]
+
+
 def test_search_recall_on_the_table(spark):
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
