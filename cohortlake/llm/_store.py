@@ -1,30 +1,12 @@
-"""Tables written once and read back, in the folder that all executors share."""
+"""Tables written once and read back (from the library's own store), and names for working columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..store import shared_folder, stored, stored_by
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of its own only where that is unset and everything runs in one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: computed once, and safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "stored", "stored_by", "unused"]
 
 
 def unused(name: str, *frames: DataFrame) -> str:

@@ -19,11 +19,13 @@ in shingles, so no true pair is lost, and pairs of a large group that are merely
 go in the join itself.
 
 Result: the class (component) of each document and not the pairs, so that large
-groups cost no square of their size. Equal sets are one node. Then candidates are
-verified in two rounds: first each document against the pivots of its prefix shingles
-(one document per shingle); then, exactly, all candidate pairs that still lie in
-different components. Pairs inside a component can't change the result. Both rounds
-compare whole sets.
+groups cost no square of their size. Equal sets are one node. Rounds of pivots come
+first: each shingle draws two of its nodes anew, and every node of another component
+meets them, so that a large group of near copies grows together in a few rounds of
+linear cost. Then, exactly, all candidate pairs that still lie in different components
+are verified, with levels chosen for what is left. Pairs inside a component can't change
+the result. Whole sets are compared; they are written once, for the documents that share
+a prefix shingle at all.
 
 Defined results: null and empty texts, and texts without words, have the empty set
 and link with nothing; with fewer words than k the whole sequence is one shingle;
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._graph import components
-from ._store import stored, unused
+from ._store import stored, stored_by, unused
 from ._text import NONSPACE, grams, hashes, mix, pieces, text_words
 
 SLOT_BITS, RANGE = 22, 1 << 16
@@ -53,6 +55,12 @@ LEVELS = (1, 2, 4, 8)
 #: What a candidate costs against reading one posting, for choosing l.
 VERIFY = 8.0
 SKETCH = ("s0", "s1", "s2", "s3")
+#: Rounds of pivots at most; they end sooner when a round joins less than this part of the nodes still apart.
+PIVOT_ROUNDS, LEAST_JOINED = 8, 0.2
+#: A slot is hot when it holds this many times the mean, and this many at least.
+HOT, LEAST_HOT, SALTS = 16, 1_000, 256
+#: Bytes of text that are made shingles at once.
+SLICE = 4 << 20
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -97,7 +105,7 @@ def _survey(batches: Iterator[pa.RecordBatch], k: int, slot_bits: int) -> Iterat
     """A row per document (node: a hash of its set), and this task's counts of shingles per slot, in ranges."""
     slots = np.zeros(1 << slot_bits, np.uint32)
     none = lambda n, t: pa.nulls(n, t)
-    for batch in pieces(batches):
+    for batch in pieces(batches, SLICE):
         sets = shingle_sets(batch, k)
         n = np.array([len(s) for s in sets], np.int64)
         node = np.array([node_of(s) for s in sets], np.int64)
@@ -140,23 +148,29 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"range": table.column("range")[:1], "part": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def _slot_table(survey: DataFrame, slot_bits: int) -> np.ndarray:
-    """log2 (in quarters) of each slot's count. Sums per range in two steps, so no task takes all tasks' counts."""
+def _quarters(counts: np.ndarray | float) -> np.ndarray:
+    """log2 in quarters."""
+    return np.round(4 * np.log2(1 + np.asarray(counts, float))).astype(np.uint8)
+
+
+def _slot_table(survey: DataFrame, slot_bits: int) -> tuple[np.ndarray, int]:
+    """log2 (in quarters) of each slot's count, and from where on a slot is hot. Sums per range in two steps, so no task takes all tasks' counts."""
     parts = survey.where("counts is not null").select("range", F.pmod(F.xxhash64("counts"), F.lit(32)).cast("int").alias("part"), "counts")
     shape = "range int, part int, counts binary"
     total = parts.groupBy("range", "part").applyInArrow(_summed, shape).groupBy("range").applyInArrow(_summed, shape)
     out = np.zeros(1 << slot_bits, np.uint8)
-    size = min(RANGE, len(out))
+    size, whole = min(RANGE, len(out)), 0
     for r in total.collect():  # a table of fixed size
         counts = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-        out[r["range"] * size : (r["range"] + 1) * size] = np.round(4 * np.log2(1 + counts.astype(float))).astype(np.uint8)
-    return out
+        out[r["range"] * size : (r["range"] + 1) * size] = _quarters(counts)
+        whole += int(counts.sum(dtype=np.uint64))
+    return out, int(_quarters(max(LEAST_HOT, HOT * whole / len(out))))
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, num: int, den: int, slot_bits: int) -> Iterator[pa.RecordBatch]:
-    """node, n, shingle, probe and index: the least l whose prefix has the shingle, as the larger and as the smaller set."""
-    slots, done = shared.value, set()
-    for batch in pieces(batches):
+    """node, n, shingle, at: the longest prefix of each set, by the count of slots; shingles of hot slots are marked."""
+    (slots, limit), done = shared.value, set()
+    for batch in pieces(batches, SLICE):
         rows: list[tuple[np.ndarray, ...]] = []
         for s in shingle_sets(batch, k):
             if not len(s):
@@ -166,24 +180,24 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, num: int, den:
                 continue
             done.add(node)
             n = len(s)
-            t, t_small = (int(v) for v in least_overlaps(np.array(n), num, den))
-            p = min(n, n - t + LEVELS[-1])
+            p = min(n, n - int(least_overlaps(np.array(n), num, den)[0]) + LEVELS[-1])
             # s is sorted by hash; the stable sort keeps that order among equal counts
-            first = s[np.argsort(slots[(s >> np.uint64(64 - slot_bits)).astype(np.int64)], kind="stable")[:p]]
-            at = np.arange(1, p + 1)
-            rows.append((np.full(p, node), np.full(p, n), first.view(np.int64), np.maximum(1, at - (n - t)), np.maximum(1, at - (n - t_small))))
+            slot = slots[(s >> np.uint64(64 - slot_bits)).astype(np.int64)]
+            order = np.argsort(slot, kind="stable")[:p]
+            rows.append((np.full(p, node), np.full(p, n), s[order].view(np.int64), np.arange(1, p + 1), slot[order] >= limit))
         if rows:
-            node, n, shingle, probe, index = (np.concatenate(c) for c in zip(*rows, strict=True))
-            yield pa.record_batch({"node": node, "n": n.astype(np.int32), "shingle": shingle, "probe": probe.astype(np.int32), "index": index.astype(np.int32)})
+            node, n, shingle, at, hot = (np.concatenate(c) for c in zip(*rows, strict=True))
+            yield pa.record_batch({"node": node, "n": n.astype(np.int32), "shingle": shingle, "at": at.astype(np.int32), "hot": hot})
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        node = batch.column(0).to_pylist()
+    for batch in pieces(batches, SLICE):
+        node = batch.column(1).to_pylist()
         # rows that share a doc_id may have other texts
         at = [(i, s.view(np.int64)) for i, s in enumerate(shingle_sets(batch, k)) if node_of(s) == node[i]]
         items = pa.array([s for _, s in at], pa.list_(pa.int64()))
-        yield pa.record_batch({"node": pa.array([node[i] for i, _ in at], pa.int64()), "items": items})
+        kept = batch.take(pa.array([i for i, _ in at], pa.int64()))
+        yield pa.record_batch({"doc_id": kept.column(0), "node": kept.column(1), "items": items})
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -199,15 +213,123 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose whole sets reach the similarity."""
+def _linked(pairs: DataFrame, facts: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose whole sets reach the similarity. ``sets`` are in buckets of doc_id, so only those needed are exchanged."""
     pairs = stored(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(reps.select("node", "doc_id"), "node")
-    texts = docs.join(needed.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), F.col("doc_id") == F.col("_id"))
-    sets = texts.select("node", "text").mapInArrow(partial(_sets, k=k), "node long, items array<long>")
-    left, right = (sets.select(F.col("node").alias(c), F.col("items").alias(f"items_{c}")) for c in ("u", "v"))
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(facts.select("node", "doc_id"), "node")
+    needed = needed.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id")).hint("shuffle_hash")
+    # not an equality of nodes: the buckets are of doc_id alone
+    found = sets.join(needed, F.col("doc_id") == F.col("_id")).where(F.col("node").bitwiseXOR(F.col("_node")) == 0)
+    found = found.select("node", "items").dropDuplicates(["node"])
+    left, right = (found.select(F.col("node").alias(c), F.col("items").alias(f"items_{c}")) for c in ("u", "v"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "items_u", "items_v")
-    return both.mapInArrow(partial(_verify, num=num, den=den), "u long, v long").distinct()
+    return stored(both.mapInArrow(partial(_verify, num=num, den=den), "u long, v long").distinct(), "links")
+
+
+def _shared_only(rows: DataFrame) -> DataFrame:
+    """node, n, prefix: each node's list of (shingle, at), of shingles that more than one node has.
+
+    One exchange by shingle. A shingle of a hot slot may be in any number of rows; it is kept
+    unseen and dealt over ``SALTS`` groups, so that what meets in a group is bounded. The
+    lists make later joins by node as small as the number of nodes.
+    """
+    salt = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0)
+    whole = Window.partitionBy("shingle", "_salt")
+    seen = rows.withColumn("_salt", salt).withColumns({"_lo": F.min("node").over(whole), "_hi": F.max("node").over(whole)}).where("hot or _lo <> _hi")
+    return seen.groupBy("node", "n").agg(F.collect_set(F.struct("shingle", "at")).alias("prefix"))
+
+
+def _least_level(num: int, den: int, smaller: bool) -> Column:
+    """The least l whose prefix has a shingle at ``at``, in a set that is the larger or the smaller of a pair."""
+    n = F.col("n").cast("long")
+    overlap = F.ceil(2 * n * num / (num + den)) if smaller else F.ceil(n * num / den)
+    return F.greatest(F.lit(1), F.col("at") - (n - overlap)).cast("int")
+
+
+def _with_level(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """``lists``, whose elements have ``df`` too, with l: the level whose prefix costs least by the postings of its shingles."""
+    n = F.col("n").cast("long")
+    beyond = n - F.ceil(n * num / den)
+
+    def cost(level: int) -> Column:
+        postings = F.aggregate("prefix", F.lit(0).cast("long"), lambda sum_, x: sum_ + F.when(x["at"] - beyond <= level, x["df"]).otherwise(F.lit(0)))
+        # l is at most the least overlap, num * n / den rounded up; least() skips the nulls of the other levels
+        return F.when(n * num > (level - 1) * den, F.struct((postings * (1 + VERIFY / level)).alias("cost"), F.lit(level).alias("l")))
+
+    return lists.withColumn("l", F.least(*[cost(level) for level in LEVELS])["l"])
+
+
+def _grouped(frame: DataFrame, group: DataFrame | None, name: str, to: str) -> DataFrame:
+    """``frame`` with the component of node ``name`` as ``to``."""
+    if group is None:
+        return frame.withColumn(to, F.col(name))
+    return frame.join(group.select(F.col("node").alias(name), F.col("component").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
+
+
+def _joined(group: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components with these links added: each node's link to its component stands for the links before."""
+    return components(links if group is None else links.unionByName(group.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
+
+def _mixed(lists: DataFrame, group: DataFrame | None, level: int | None, num: int, den: int) -> DataFrame:
+    """node, n, shingle, at, component, df of shingles that more than one component has; of the prefixes of one ``level``, or whole ones."""
+    rows = _grouped(lists, group, "node", "component").select("node", "n", "component", F.explode("prefix").alias("p")).select("node", "n", "component", "p.*")
+    rows = rows if level is None else rows.where(_least_level(num, den, False) <= level)
+    both = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("shingle", "df")
+    return rows.join(both, "shingle")
+
+
+def _differ(a: str, b: str) -> Column:
+    return sum(F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in SKETCH)
+
+
+def _may_reach(a: str, b: str, num: int, den: int) -> Column:
+    """|A and B| is at most (|A| + |B| - bits that differ) / 2."""
+    return _differ(a, b) * (den + num) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (den - num)
+
+
+def _fact(facts: DataFrame, name: str) -> DataFrame:
+    return facts.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), *[F.col(c).alias(f"{c}{name}") for c in SKETCH])
+
+
+def _to_pivots(rows: DataFrame, facts: DataFrame, seed: int, num: int, den: int) -> DataFrame:
+    """u, v: for each node the likeliest pivot of its shingles, and one pair at most for two components.
+
+    Each shingle has two pivots, drawn by a hash of the round, the shingle and the node, so
+    that a node of a large group meets many of its members in few rounds.
+    """
+    rank = F.struct(F.xxhash64(F.lit(seed), "shingle", "node").alias("h"), "node", "n", "component")
+    pivots = rows.groupBy("shingle").agg(F.array_distinct(F.array(F.min(rank), F.max(rank))).alias("p"))
+    pivots = pivots.select("shingle", F.explode("p").alias("p")).select("shingle", F.col("p.node").alias("y"), F.col("p.n").alias("ny"), F.col("p.component").alias("cy"))
+    met = rows.select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx")).join(pivots, "shingle")
+    met = met.where(F.col("cx") != F.col("cy")).where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
+    met = met.select("x", "y", "cx", "cy").distinct().join(_fact(facts, "x"), "x").join(_fact(facts, "y"), "y").where(_may_reach("x", "y", num, den))
+    best = F.min(F.struct(_differ("x", "y").alias("d"), "x", "y", "cx", "cy"))
+    met = met.groupBy(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")).agg(best.alias("best")).select("best.*")
+    met = met.groupBy("x").agg(F.min(F.struct("d", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+
+
+def _candidates(rows: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """u, v: exactly the candidate pairs that lie in different components.
+
+    ``rows`` are those of mixed shingles, by which each node's level is chosen. The larger
+    set probes; of equal sizes the larger node. Sketches are compared where two rows meet.
+    """
+    lists = rows.groupBy("node", "n", "component").agg(F.collect_list(F.struct("shingle", "at", "df")).alias("prefix"))
+    lists = stored(_with_level(lists, num, den).join(facts.select("node", *SKETCH), "node"), "index")
+    each = lists.select("node", "n", "component", "l", *SKETCH, F.explode("prefix").alias("p")).select("node", "n", "component", "l", *SKETCH, "p.shingle", "p.at")
+
+    def side(name: str, *more: Column) -> list[Column]:
+        return [F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("component").alias(f"c{name}"), *[F.col(c).alias(f"{c}{name}") for c in SKETCH], *more]
+
+    probes = each.where(_least_level(num, den, False) <= F.col("l")).select(*side("x", F.col("shingle"), F.col("l")))
+    index = each.select(*side("y", F.col("shingle").alias("shingle_y"), _least_level(num, den, True).alias("index"))).where(F.col("index") <= LEVELS[-1])
+    sizes = ((F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))) & (F.col("ny") * den >= F.col("nx") * num)
+    # all in the join itself, so that what a large group's pairs share isn't made rows first
+    meet = (F.col("shingle") == F.col("shingle_y")) & (F.col("cx") != F.col("cy")) & (F.col("index") <= F.col("l")) & sizes & _may_reach("x", "y", num, den)
+    pairs = probes.join(index, meet).groupBy("x", "y", "l").agg(F.count("*").alias("shared")).where("shared >= l")
+    return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slot_bits: int = SLOT_BITS) -> DataFrame:
@@ -220,73 +342,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     survey = stored(survey, "survey")
     each = survey.where("n is not null").select("doc_id", "n", "node", "other")
     usable = survey.where("n > 0 and doc_id is not null")
-    reps = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("a"), F.max("other").alias("b"), *[F.min(c).alias(c) for c in SKETCH])
+    reps = usable.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), F.min("other").alias("a"), F.max("other").alias("b"), *[F.min(c).alias(c) for c in SKETCH]
+    )
     reps = stored(reps, "nodes")
     if reps.where("a <> b").limit(1).count():
         raise RuntimeError("two different sets share a hash; choose another k-gram seed")
     slots = spark.sparkContext.broadcast(_slot_table(survey, slot_bits))
 
-    shape = "node long, n int, shingle long, probe int, index int"
+    shape = "node long, n int, shingle long, at int, hot boolean"
     rows = docs.where("doc_id is not null").mapInArrow(partial(_prefixes, shared=slots, k=k, num=num, den=den, slot_bits=slot_bits), shape)
-    # one exchange for finding the shingles that more than one node has, and dropping the rest
-    whole = Window.partitionBy("shingle")
-    rows = rows.withColumns({"_lo": F.min("node").over(whole), "_hi": F.max("node").over(whole)}).where("_lo <> _hi")
-    rows = stored(rows.drop("_lo", "_hi").distinct(), "prefixes")
-
-    # l for each node
-    df = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    costs = rows.join(df, "shingle").groupBy("node", "n").agg(*[F.sum(F.when(F.col("probe") <= level, F.col("df")).otherwise(0)).alias(f"c{level}") for level in LEVELS])
-    # l is at most the least overlap, num * n / den rounded up; least() skips the nulls of the other levels
-    cost = {level: F.struct((F.col(f"c{level}") * (1 + VERIFY / level)).alias("cost"), F.lit(level).alias("l")) for level in LEVELS}
-    best = F.least(*[F.when(F.col("n") * num > (level - 1) * den, cost[level]) for level in LEVELS])
-    chosen = stored(costs.select("node", best["l"].alias("l")), "levels")
-    probes = rows.join(chosen, "node").where("probe <= l").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), "l")
-
-    # round 1: pivots. Two orders, so that a node that differs from one pivot meets another.
-    rank = lambda seed: F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), "node", "n")
-    pivots = rows.groupBy("shingle").agg(F.array_distinct(F.array(F.min(rank(1)), F.max(rank(1)), F.min(rank(2)))).alias("p"))
-    pivots = pivots.select("shingle", F.explode("p").alias("p")).select("shingle", F.col("p.node").alias("y"), F.col("p.n").alias("ny"))
-    near = probes.join(pivots, "shingle").where("x <> y").where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-    tried = near.groupBy("x", "y", "l").agg(F.count("*").alias("shared")).where("shared >= l").select("x", "y")
-    size_of = rows.groupBy("node").agg(F.max("n").alias("n"))
-    facts = stored(reps.join(size_of, "node").select("node", "n", *SKETCH), "facts")
-
-    def fact(name: str) -> DataFrame:
-        return facts.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), *[F.col(c).alias(f"{c}{name}") for c in SKETCH])
-
-    def differ(a: str, b: str) -> Column:
-        return sum(F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in SKETCH)
-
-    def may_reach(a: str, b: str) -> Column:
-        """|A and B| is at most (|A| + |B| - bits that differ) / 2."""
-        return differ(a, b) * (den + num) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (den - num)
-
-    # the likeliest three pivots of a node are enough here: round 2 misses nothing
-    tried = tried.join(fact("x"), "x").join(fact("y"), "y").where(may_reach("x", "y"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct(differ("x", "y").alias("d"), "y"))), 1, 3)
-    tried = tried.groupBy("x").agg(best.alias("best")).select("x", F.explode("best.y").alias("y"))
-    tried = tried.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    first = stored(_linked(tried, docs, reps, k, num, den), "links")
-    group = components(first)
-
-    # round 2: what lies in different components still, in shingles that more than one component has
-    def with_group(frame: DataFrame, name: str, to: str) -> DataFrame:
-        return frame.join(group.select(F.col("node").alias(name), F.col("component").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
-
-    index = with_group(rows.select("shingle", F.col("node").alias("y"), "index"), "y", "cy")
-    mixed = index.groupBy("shingle").agg(F.min("cy").alias("lo"), F.max("cy").alias("hi")).where("lo <> hi").select("shingle")
-    index = stored(index.join(mixed, "shingle").join(fact("y"), "y"), "index")
-    probes = with_group(probes.join(mixed, "shingle", "left_semi").drop("nx"), "x", "cx").join(fact("x"), "x")
-    # the larger set probes; of equal sizes the larger node
-    sizes = ((F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))) & (F.col("ny") * den >= F.col("nx") * num)
-    meet = (F.col("shingle") == F.col("shingle_y")) & (F.col("cx") != F.col("cy")) & (F.col("index") <= F.col("l")) & sizes & may_reach("x", "y")
-    meets = probes.join(index.withColumnRenamed("shingle", "shingle_y"), meet)
-    pairs = meets.groupBy("x", "y", "l").agg(F.count("*").alias("shared")).where("shared >= l")
-    second = _linked(pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")), docs, reps, k, num, den)
-    group = components(first.unionByName(second))
+    lists = stored(_shared_only(rows), "prefixes")
+
+    facts = stored(reps.join(lists.select("node"), "node", "left_semi").select("node", "doc_id", "n", *SKETCH), "facts")
+    texts = docs.join(facts.select("node", F.col("doc_id").alias("_id")).hint("shuffle_hash"), F.col("doc_id") == F.col("_id"))
+    sets = stored_by(texts.select("doc_id", "node", "text").mapInArrow(partial(_sets, k=k), "doc_id long, node long, items array<long>"), "doc_id", "sets")
+
+    # rounds of pivots, while they join a good part of what is still apart
+    group = None
+    for seed in range(PIVOT_ROUNDS):
+        apart = stored(_mixed(lists, group, 1, num, den), "apart")
+        found = _linked(_to_pivots(apart, facts, seed, num, den), facts, sets, num, den)
+        group = _joined(group, found)
+        if found.count() < LEAST_JOINED * apart.select("node").distinct().count():
+            break
+
+    # exactly all candidates that lie in different components still
+    found = _linked(_candidates(_mixed(lists, group, None, num, den), facts, num, den), facts, sets, num, den)
+    group = _joined(group, found)
 
     # from nodes to documents: the class's smallest doc_id
-    classes = with_group(reps.select("node", "doc_id"), "node", "component")
+    classes = _grouped(reps.select("node", "doc_id"), group, "node", "component")
     least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = classes.select("node", "component").join(least, "component").select("node", "component_id")
     own = F.col("doc_id")
