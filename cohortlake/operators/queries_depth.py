@@ -192,7 +192,7 @@ def _(spark, d):
     return f.groupBy("sv_id").agg(*[F.round(g(c) + 0.00013, 3).alias(f"{c}_{n}") for c in ("pre", "post") for g, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))], ok.alias("pre_ok"))
 
 
-# windows of ten minutes and longer variants, so that both kinds of inside buckets occur
+# windows of ten minutes and longer variants, so that both kinds of inside buckets occur; means of thirty-seconds may end on a half, hence the 1e-8 before rounding
 _WIN600 = _WIN.replace("3600", "600")
 _SPANS = """b AS (SELECT sv_id, chrnum, pos, "end", lo + 1 AS lo, hi - lo - 1 AS n, CASE WHEN hi - lo - 1 > 10 THEN 2 ELSE 0 END AS t FROM (SELECT sv_id, chrnum, svtype, pos, "end" + 110000 AS "end", pos // 600 AS lo, ("end" + 110000) // 600 AS hi FROM sv) WHERE svtype <> 'INV' AND hi - lo - 1 >= 2),
 seg AS (SELECT sv_id, chrnum, n, lo + t AS a, lo + n // 2 - 1 AS z, 1 AS s FROM b WHERE n <= 200 UNION ALL SELECT sv_id, chrnum, n, lo + n // 2, lo + n - 1 - t, 2 FROM b WHERE n <= 200
@@ -201,10 +201,10 @@ seg AS (SELECT sv_id, chrnum, n, lo + t AS a, lo + n // 2 - 1 AS z, 1 AS s FROM
 s AS (SELECT sv_id, sample_id, n, dp32 / 32 AS x, s FROM seg JOIN win ON win.chrnum = seg.chrnum AND bucket BETWEEN a AND z)"""
 
 
-@query("segment_depth", S.with_views("sv", "depth_pos", extra=_WIN600 + ",\n" + _SPANS) + "SELECT sv_id, sample_id, CAST(n AS INTEGER) AS n, round(avg(x), 6) AS whole, round(avg(x) FILTER (s = 1), 6) AS first, round(avg(x) FILTER (s = 2), 6) AS second FROM s GROUP BY ALL")
+@query("segment_depth", S.with_views("sv", "depth_pos", extra=_WIN600 + ",\n" + _SPANS) + "SELECT sv_id, sample_id, CAST(n AS INTEGER) AS n, round(avg(x) + 1e-8, 6) AS whole, round(avg(x) FILTER (s = 1) + 1e-8, 6) AS first, round(avg(x) FILTER (s = 2) + 1e-8, 6) AS second FROM s GROUP BY ALL")
 def _(spark, d):
     sv = S.sv(spark, d).withColumn("end", F.col("end") + 110_000)
-    return D.segments(sv, D.depth_windows(S.depth_pos(spark, d), 600), 600).withColumns({c: F.round(c, 6) for c in ("whole", "first", "second")})
+    return D.segments(sv, D.depth_windows(S.depth_pos(spark, d), 600), 600).withColumns({c: F.round(F.col(c) + 1e-8, 6) for c in ("whole", "first", "second")})
 
 
 _SVGC = """g AS (SELECT s.sv_id, avg(bin / 100.0::DOUBLE + 0.005) AS gc FROM small s JOIN profile p ON p.chrnum = s.chrnum AND bin <> 255 AND p.bucket BETWEEN greatest(0, CAST(round(pos / 100.0::DOUBLE) AS INTEGER) - 1) AND CAST(round("end" / 100.0::DOUBLE) AS INTEGER) - 1 GROUP BY s.sv_id)"""
