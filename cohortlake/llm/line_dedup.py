@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import unused
+from ._store import stored, unused
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,16 +34,16 @@ def _lines() -> Column:
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """_id, _text (a hash), drops: sorted positions (from 0) of the lines that go.
 
-    Only 128-bit hashes are shuffled. The count is aggregated in two steps, first
-    by (hash, document), so a line that many documents hold never meets in one task.
+    Only 128-bit hashes are shuffled. The hashed lines are written once, for counting and
+    for dropping. The count is aggregated in two steps, first by (hash, document), so a
+    line that many documents hold never meets in one task; its rows meet the written
+    table of common keys in a join of two scans, which AQE can split at that line.
     """
     lines = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.posexplode(_lines()).alias("_at", "_line"))
     lines = lines.where(F.col("_id").isNotNull()).withColumn("_key", line_key(F.col("_line"))).where(F.char_length("_key") >= min_chars)
-    lines = lines.select("_id", "_text", "_at", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), F.col("_key")).alias("_h2"))
-    common = (
-        lines.groupBy("_h1", "_h2").agg(F.count_distinct("_id").alias("_docs"), F.max("_id").alias("_keep")).where(F.col("_docs") >= min_docs)
-    ).select("_h1", "_h2", "_keep")
-    gone = lines.join(common, ["_h1", "_h2"]).where(F.col("_id") != F.col("_keep"))
+    lines = stored(lines.select("_id", "_text", "_at", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), F.col("_key")).alias("_h2")), "lines")
+    common = lines.groupBy("_h1", "_h2").agg(F.count_distinct("_id").alias("_docs"), F.max("_id").alias("_keep")).where(F.col("_docs") >= min_docs)
+    gone = lines.join(stored(common.select("_h1", "_h2", "_keep"), "common_lines"), ["_h1", "_h2"]).where(F.col("_id") != F.col("_keep"))
     return gone.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("_at")).alias("_drops"))
 
 
