@@ -106,15 +106,15 @@ class WordEncoder:
         if self.size > CACHE_BYTES:
             cache.clear()
             self.size = 0
-        new = words.difference(cache)
+        new, before = words.difference(cache), len(cache)
         self._learn(new)
+        self.size += 300 * (len(cache) - before)  # words, and what they are without stops
         out = [head + b"".join(map(cache.__getitem__, part)) for head, part in zip(heads, parts, strict=True)]
         for word in new:
             if len(word) > REMEMBERED:
-                cache.pop(word)
-                cache.pop(word.rstrip(".,!?;:"), None)
+                self.size -= 300 * sum(cache.pop(w, None) is not None for w in {word, word.rstrip(".,!?;:")})
             else:
-                self.size += 300 + 4 * len(word) + len(cache[word])
+                self.size += 4 * len(word) + len(cache.get(word, b""))
         return out
 
 
