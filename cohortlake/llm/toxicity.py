@@ -52,6 +52,8 @@ THRESHOLD = 0.3
 #: Values of lambda to choose from, and the least clean documents with a segment for the fit.
 RATES, LEAST_SEGMENTS = np.geomspace(0.05, 5.0, 93), 30
 _BINS, _STEP = 64, 0.5
+#: Bytes of text that are worked on at once.
+SLICE = 2 << 20
 
 
 @dataclass
@@ -149,7 +151,7 @@ def _training(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per distinct (label, word, context) of a batch."""
-    for batch in pieces(batches):
+    for batch in pieces(batches, SLICE):
         words, first = _words(batch)
         label = np.repeat(batch.column(0).to_numpy(zero_copy_only=False) > 0, np.diff(first))
         before, after = np.roll(words, 1), np.roll(words, -1)
@@ -208,7 +210,7 @@ def _extremes(sample: DataFrame, model: Model) -> tuple[float, float] | None:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, (m, total, silent) = np.zeros(len(RATES)), (0, 0.0, 0)
-        for batch in pieces(batches):
+        for batch in pieces(batches, SLICE):
             words, first = _words(batch)
             for i, y in enumerate(batch.column(0).to_pylist()):
                 part = words[first[i] : first[i + 1]]
@@ -235,7 +237,7 @@ def _calibrated(sample: DataFrame, model: Model) -> Model:
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, _BINS), np.int64)
-        for batch in pieces(batches):
+        for batch in pieces(batches, SLICE):
             words, first = _words(batch)
             for i, y in enumerate(batch.column(0).to_pylist()):
                 x, _ = _evidence(words[first[i] : first[i + 1]], shared.value)
@@ -267,7 +269,7 @@ def score(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in pieces(batches):
+        for batch in pieces(batches, SLICE):
             words, first = _words(batch)
             found = [_evidence(words[a:b], model) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             x = np.minimum(np.array([f[0] for f in found]), _BINS * _STEP)
@@ -288,7 +290,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in pieces(batches):
+        for batch in pieces(batches, SLICE):
             words, first = _words(batch)
             x = np.array([_evidence(words[a:b], model)[0] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
             curve = model.intercept + model.slope * np.minimum(x, _BINS * _STEP)
