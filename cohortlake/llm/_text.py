@@ -1,7 +1,7 @@
 """Words and shingles of Arrow text columns as numpy arrays of 64-bit hashes.
 
 Works on UTF-8 bytes: separators are ASCII, so bytes from 0x80 up belong to words.
-Hashing runs over slices of about 2 MB, so temporary arrays stay small whatever
+Hashing runs over slices of about half a MB, so temporary arrays stay small whatever
 the length of a text.
 """
 
@@ -21,7 +21,7 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 NONSPACE = np.ones(256, bool)
 NONSPACE[[9, 10, 11, 12, 13, 32]] = False
 
-_SLICE = 1 << 21
+_SLICE = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _U = np.uint64

@@ -60,7 +60,7 @@ PIVOT_ROUNDS, LEAST_JOINED = 8, 0.2
 #: A slot is hot when it holds this many times the mean, and this many at least.
 HOT, LEAST_HOT, SALTS = 16, 1_000, 256
 #: Bytes of text that are made shingles at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:

@@ -34,7 +34,7 @@ from ._text import pieces as text_slices
 MAX_TOKENS, SEPARATOR = 2048, 0
 SALTS = 256
 #: Bytes of words and ids that a worker remembers (estimated), and the longest word worth remembering.
-CACHE_BYTES, REMEMBERED = 128 << 20, 200
+CACHE_BYTES, REMEMBERED = 96 << 20, 200
 
 
 def tokenizer_path() -> str:
@@ -134,7 +134,7 @@ def tokenized(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, separato
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for batch in text_slices(batches, 4 << 20):
+        for batch in text_slices(batches, 1 << 20):
             encoded = encoder.encode(batch.column(2).fill_null("").to_pylist())
             who, number, start, length, crc, kept = [], [], [], [], [], []
             for i, ids in enumerate(encoded):
