@@ -448,3 +448,25 @@ def test_pipeline(spark):
     packed = stages["best_fit_packing"](spark, one, SF)
     assert packed.select("doc_id").distinct().count() == one.count()
     assert corpus_pipeline.run(spark, SF).agg(F.sum("length")).first()[0] == packed.agg(F.sum("length")).first()[0]
+
+
+def test_pipeline_odd(spark, tmp_path):
+    import corpus_pipeline
+
+    def run(name, rows):
+        folder = tmp_path / name
+        shape = SHAPE + ", lang string, source string, n_chars long"
+        spark.createDataFrame([(*r, "en", None, None) for r in rows], shape).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        return corpus_pipeline.run(spark, str(folder)).collect()
+
+    assert run("empty", []) == []
+    near = "one two three four five six seven eight nine ten eleven twelve"
+    got = run("odd", [*ODD, (20, near), (21, near + " thirteen"), (22, near), (None, near)])
+    pieces = defaultdict(list)
+    for r in got:
+        pieces[r.doc_id].append((r.piece, r.start, r.length))
+    # rows that repeat a doc_id stay together, rows without one stay, copies of a smaller doc_id go; nothing is cut but the long ones
+    assert {i: len(v) for i, v in pieces.items() if len(v) > 1} == {6: 2, None: 2, 7: len(pieces[7]), 8: len(pieces[8])}
+    assert set(pieces) == {1, 2, 3, 4, 5, 6, 7, 8, 20, None} and len(pieces[7]) > 20
+    assert [s for _, s, _ in sorted(pieces[7])] == list(np.cumsum([0] + [n for *_, n in sorted(pieces[7])])[:-1])
