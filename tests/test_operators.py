@@ -135,7 +135,8 @@ def test_vcf_lines(spark):
     got = vcf.parse(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
     assert [(r.sv_id, r.chrnum, r.pos, r.end, r.svtype, r.supp) for r in got] == [(7, 1, 5, 20, "DEL", 3), (8, 23, 9, None, "DUP", None)]
     sv = spark.createDataFrame([(1, 24, 5, 50, "INV", 2)], SV)
-    assert vcf.parse(vcf.to_lines(sv)).collect() == sv.select("sv_id", "chrnum", "pos", "end", "svtype", "supp").collect()
+    same = ("sv_id", "chrnum", "pos", "end", "svtype", "supp")
+    assert vcf.parse(vcf.to_lines(sv)).select(*same).collect() == sv.select(*same).collect()
     assert vcf.header(["a", "b"]).endswith("FORMAT\ta\tb")
 
 
