@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, license_scan, line_dedup, ngram_join, packing, sentencepiece_viterbi, toxicity, url_filter, vector_search
+from . import (
+    chat_format,
+    conversation_repair,
+    embedding_dedup,
+    filter_audit,
+    license_scan,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality_ranking,
+    sentencepiece_viterbi,
+    toxicity,
+    url_filter,
+    vector_search,
+)
 
 
 def queries() -> dict:
@@ -17,6 +31,9 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.query,
         "op9_sentencepiece": sentencepiece_viterbi.query,
         "op10_line_dedup": line_dedup.query,
+        "op11_filter_audit": filter_audit.query,
+        "op12_quality_ranking": quality_ranking.query,
+        "op13_conversation_repair": conversation_repair.query,
     }
 
 
@@ -27,4 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_dedup": embedding_dedup.SQL,
         "op7_chat_format": chat_format.SQL,
         "op10_line_dedup": line_dedup.SQL,
+        "op11_filter_audit": filter_audit.SQL,
+        "op13_conversation_repair": conversation_repair.SQL,
     }
