@@ -90,6 +90,21 @@ def cigar_length(cigar: Column, ops: str = "MDN=X") -> Column:
     return F.aggregate(ours, F.lit(0), lambda a, x: a + x.cast("int"))
 
 
+def reference_gaps(cigar: Column) -> Column:
+    """array<struct<at, n>>: deletions and skips of an alignment, as offsets from its start."""
+    gap = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
+    none = F.filter(F.array(gap), lambda g: F.lit(False))
+
+    def add(held: Column, op: Column) -> Column:
+        n = F.regexp_extract(op, "^[0-9]+", 0).cast("int")
+        more = F.concat(held["gaps"], F.array(F.struct(held["at"].alias("at"), n.alias("n"))))
+        return F.struct((held["at"] + n).alias("at"), F.when(op.rlike("[DN]$"), more).otherwise(held["gaps"]).alias("gaps"))
+
+    ops = F.regexp_extract_all(cigar, F.lit("([0-9]+[MDN=X])"), F.lit(1))
+    found = F.aggregate(ops, F.struct(F.lit(0).alias("at"), none.alias("gaps")), add)["gaps"]
+    return F.when(cigar.rlike("[0-9][DN]"), found).otherwise(none)
+
+
 def clip_lengths(cigar: Column) -> tuple[Column, Column]:
     """Soft-clipped bases at the left and at the right end."""
     take = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(cigar, pattern, 1), F.lit("")).cast("int"), F.lit(0))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import fixed_depth, gc_content
+from ..functions.scalars import cigar_length, fixed_depth, gc_content, reference_gaps
+from ..store import stored
 from . import scan
 from .intervals import overlap_join
 
@@ -18,31 +19,53 @@ def bucket_of(pos: Column, width: int) -> Column:
 def variant_depth(sv: DataFrame, depth: DataFrame, width: int = 16_384) -> DataFrame:
     """sv_id, sample_id, n, dp32: mean depth over the covered positions in [pos, end).
 
-    Sums up to a position answer each variant as a difference of two, whatever its length:
-    depths are summed per sample and position, running sums are taken inside bins and
-    carried over bins, and a variant looks up the last covered position before each of its
-    ends. A bin's look-ups and positions meet in one window in order of position.
+    Sums up to a position answer each variant as a difference of two, whatever its length.
     """
     keys = ["sample_id", "chrnum"]
-    sums = depth.groupBy(*keys, "pos").agg(F.sum("depth").alias("depth"), F.count("*").alias("n"))
-    steps = sums.select(*keys, "pos", F.lit(1).alias("point"), "depth", "n", F.lit(None).cast("long").alias("sv_id"), F.lit(0).alias("sign"))
-    spans = sv.where("end > pos").select("sv_id", "chrnum", "pos", "end").join(depth.select("sample_id", "chrnum").distinct(), "chrnum")
-    ends = F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end").alias("at"), F.lit(1).alias("sign"))))
-    looks = spans.select(*keys, "sv_id", ends.alias("e")).select(*keys, F.col("e.at").alias("pos"), F.lit(0).alias("point"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("n"), F.col("sv_id").cast("long").alias("sv_id"), "e.sign")
-    rows = scan.binned(steps.unionByName(looks), "pos", width)
-    # look-ups come before a position of the same place: they count what lies below it
-    run = Window.partitionBy(*keys, scan.BIN).orderBy("pos", "point").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumns({"_d": F.coalesce(F.sum("depth").over(run), F.lit(0)), "_n": F.coalesce(F.sum("n").over(run), F.lit(0))}).where("point = 0")
-    whole = scan.binned(sums, "pos", width).groupBy(*keys, scan.BIN).agg(F.sum("depth").alias("d"), F.sum("n").alias("m"))
-    places = whole.select(*keys, scan.BIN).unionByName(looks.select(*keys, F.floor(F.col("pos") / width).alias(scan.BIN))).distinct().join(whole, [*keys, scan.BIN], "left")
-    below = Window.partitionBy(*keys).orderBy(scan.BIN).rowsBetween(Window.unboundedPreceding, -1)
-    carried = places.select(*keys, scan.BIN, F.coalesce(F.sum("d").over(below), F.lit(0)).alias("_cd"), F.coalesce(F.sum("m").over(below), F.lit(0)).alias("_cn"))
-    got = inside.join(carried, [*keys, scan.BIN])
-    signed = lambda a, b: F.sum(F.col("sign") * (F.col(a) + F.col(b)))
-    out = got.groupBy("sv_id", "sample_id").agg(signed("_d", "_cd").alias("total"), signed("_n", "_cn").alias("n")).where("n > 0")
+    spans = sv.where("end > pos").select(F.col("sv_id").cast("long").alias("sv_id"), "chrnum", "pos", "end").join(depth.select(*keys).distinct(), "chrnum")
+    ends = F.explode(F.array(F.struct(F.col("pos").alias("pos"), F.lit(-1).alias("sign")), F.struct(F.col("end").alias("pos"), F.lit(1).alias("sign"))))
+    looks = spans.select(*keys, "sv_id", ends.alias("e")).select(*keys, "sv_id", "e.*")
+    points = depth.select(*keys, "pos", F.col("depth").alias("total"), F.lit(1).cast("long").alias("n"))
+    got = scan.sums_below(points, looks, keys, "pos", ["total", "n"], width)
+    signed = lambda c: F.sum(F.col("sign") * F.col(c)).alias(c)
+    out = got.groupBy("sv_id", "sample_id").agg(signed("total"), signed("n")).where("n > 0")
     return out.select("sv_id", "sample_id", "n", fixed_depth(F.col("total") / 100 / F.col("n")).alias("dp32"))
 
 
+def coverage_steps(reads: DataFrame, keys: list[str] = ("sample_id", "chrnum")) -> DataFrame:
+    """keys, at, reads, depth: by how much the number of reads, and of those with a base there, changes at a place.
+
+    Two rows a read and two a deletion or skip of it, added up by place: nothing grows with
+    the bases that are covered.
+    """
+    keys, gaps = list(keys), reference_gaps(F.col("cigar"))
+    step = lambda at, reads, depth: F.struct(at.alias("at"), F.lit(reads).alias("reads"), F.lit(depth).alias("depth"))
+    beg, end = F.col("pos"), F.col("pos") + cigar_length(F.col("cigar"))
+    inner = F.flatten(F.transform(gaps, lambda g: F.array(step(beg + g["at"], 0, -1), step(beg + g["at"] + g["n"], 0, 1))))
+    steps = reads.where(end > beg).select(*keys, F.explode(F.concat(F.array(step(beg, 1, 1), step(end, -1, -1)), inner)).alias("s"))
+    summed = steps.groupBy(*keys, F.col("s.at").alias("at")).agg(F.sum("s.reads").alias("reads"), F.sum("s.depth").alias("depth"))
+    return summed.where("reads <> 0 or depth <> 0")
+
+
+def coverage_runs(reads: DataFrame, keys: list[str] = ("sample_id", "chrnum"), most: int = 64_000, width: int = scan.WIDTH) -> DataFrame:
+    """keys, beg, end, depth: runs of equal depth over the places that reads span; deleted and skipped bases count as places without depth.
+
+    A depth beyond ``most`` counts as ``most``.
+    """
+    keys = list(keys)
+    runs = scan.running(coverage_steps(reads, keys), keys, "at", ["reads", "depth"], width)
+    return runs.where("reads > 0 and next is not null").select(*keys, F.col("at").alias("beg"), F.col("next").alias("end"), F.least("depth", F.lit(most).cast("long")).alias("depth"))
+
+
+def window_sums(runs: DataFrame, width: int, keys: list[str] = ("sample_id", "chrnum")) -> DataFrame:
+    """keys, bucket, n, total, squares: covered places of each bucket, their depths and squared depths added up. Runs are cut at bucket borders."""
+    first, last = F.floor(F.col("beg") / width).cast("int"), F.floor((F.col("end") - 1) / width).cast("int")
+    cut = runs.select(*keys, "beg", "end", "depth", F.explode(F.sequence(first, last)).alias("bucket"))
+    n = F.least("end", (F.col("bucket") + 1) * width) - F.greatest("beg", F.col("bucket") * width)
+    d = F.col("depth")
+    return cut.groupBy(*keys, "bucket").agg(F.sum(n).alias("n"), F.sum(n * d).alias("total"), F.sum((n * d).cast("double") * d).alias("squares"))
+
+
 def position_depth(reads: DataFrame, keys: list[str] = ("chrnum",)) -> DataFrame:
     """Depth runs from alignments [beg, end): a running sum over +1 at starts and -1 at ends: keys, beg, end, depth."""
     keys = list(keys)
@@ -65,21 +88,23 @@ def depth_windows(depth: DataFrame, width: int) -> DataFrame:
 def gc_profile(genome: DataFrame, unknown: int = 255, width: int = 4096) -> DataFrame:
     """chrnum, bucket, bin: mean of the known GC shares of buckets j-2 .. j+1 in percent; the two edge buckets copy their neighbour.
 
-    Windows run over bins of ``width`` buckets with their neighbours' edges copied in. What
-    the edge buckets copy comes from a table of one row per chromosome.
+    Windows run over bins of ``width`` buckets with their neighbours' edges copied in. The
+    bases are read once, into a written table of numbers, from which one aggregate takes
+    what the edge buckets copy: the left one from buckets 0 to 2, the right one from what
+    each bucket knows of the one two before it.
     """
     raw = genome.withColumn("_g", gc_content(F.col("bases"))).select("chrnum", "bucket", F.when(F.col("_g") >= 0, F.col("_g")).alias("_g"))
-    near = scan.with_halo(raw, "bucket", 2, 1, width)
-    mean = F.avg("_g").over(Window.partitionBy("chrnum", scan.BIN).orderBy("bucket").rowsBetween(-2, 1))
-    smooth = near.withColumn("_s", F.coalesce(F.round(mean * 100).cast("int"), F.lit(unknown))).where("_own").select("chrnum", "bucket", "_s")
-    ends = genome.groupBy("chrnum").agg(F.max("bucket").alias("_last"))
-    rows = smooth.join(ends, "chrnum")
-    left, right = F.least(F.lit(2), "_last"), F.greatest(F.lit(0), F.col("_last") - 2)
-    copied = rows.where((F.col("bucket") == left) | (F.col("bucket") == right)).groupBy("chrnum").agg(
-        F.max(F.when(F.col("bucket") == left, F.col("_s"))).alias("_left"), F.max(F.when(F.col("bucket") == right, F.col("_s"))).alias("_right")
-    )
-    edge = F.when(F.col("bucket") < 2, F.col("_left")).when(F.col("bucket") > F.col("_last") - 2, F.col("_right")).otherwise(F.col("_s"))
-    return rows.join(copied, "chrnum").select("chrnum", "bucket", edge.alias("bin"))
+    near = scan.with_halo(raw, "bucket", 4, 1, width)
+    order = Window.partitionBy("chrnum", scan.BIN).orderBy("bucket")
+    percent = lambda lo, hi: F.coalesce(F.round(F.avg("_g").over(order.rowsBetween(lo, hi)) * 100).cast("int"), F.lit(unknown))
+    rows = stored(near.withColumns({"_s": percent(-2, 1), "_two_back": percent(-4, -1)}).where("_own").select("chrnum", "bucket", "_s", "_two_back"), "gc_shares")
+    bucket = F.col("bucket")
+    first = F.max(F.when(bucket <= 2, F.struct("bucket", "_s")))["_s"]
+    ends = rows.groupBy("chrnum").agg(F.max(F.struct("bucket", "_two_back")).alias("_end"), first.alias("_left"), F.max(F.when(bucket == 0, F.col("_s"))).alias("_zero"))
+    last = F.col("_end.bucket")
+    right = F.when(last < 2, F.col("_zero")).otherwise(F.col("_end._two_back"))
+    edge = F.when(bucket < 2, F.col("_left")).when(bucket > last - 2, right).otherwise(F.col("_s"))
+    return rows.join(ends, "chrnum").select("chrnum", "bucket", edge.alias("bin"))
 
 
 def gc_fraction(profile: DataFrame, unknown: int = 255) -> DataFrame:
@@ -116,44 +141,81 @@ def median_filter(windows: DataFrame) -> DataFrame:
     return f.select("sample_id", "chrnum", "bucket", F.coalesce(F.when(F.col("bucket") < 2, first).when(F.col("bucket") > F.col("_last") - 2, last).otherwise(F.col("_m")), "dp32").alias("dp32"))
 
 
-def flanks(sv: DataFrame, windows: DataFrame, width: int, reach: int = 15) -> DataFrame:
-    """sv_id, sample_id, pre, post: mean window depth of ``reach`` buckets before and after; a flank of two buckets or fewer copies the other."""
-    side = lambda name, lo, hi: sv.select("sv_id", "chrnum", F.lit(name).alias("side"), F.explode(F.sequence(lo, hi)).alias("bucket"))
+def flank_spans(sv: DataFrame, width: int, reach: int = 15) -> DataFrame:
+    """sv_id, chrnum, part (pre, post), lo, hi: the ``reach`` buckets before and after a variant."""
     b, e = bucket_of(F.col("pos"), width), bucket_of(F.col("end"), width)
-    keys = side("pre", b - reach, b - 1).unionByName(side("post", e + 1, e + reach))
-    got = keys.join(windows, ["chrnum", "bucket"])
-    mean = lambda s: F.avg(F.when(F.col("side") == s, F.col("dp32") / 32))
-    n = lambda s: F.count_if(F.col("side") == s)
-    f = got.groupBy("sv_id", "sample_id").agg(mean("pre").alias("a"), mean("post").alias("b"), n("pre").alias("na"), n("post").alias("nb")).where("na > 2 or nb > 2")
-    return f.select("sv_id", "sample_id", F.when(F.col("na") > 2, F.col("a")).otherwise(F.col("b")).alias("pre"), F.when(F.col("nb") > 2, F.col("b")).otherwise(F.col("a")).alias("post"))
+    span = lambda part, lo, hi: F.struct(F.lit(part).alias("part"), lo.alias("lo"), hi.alias("hi"))
+    return sv.select("sv_id", "chrnum", F.explode(F.array(span("pre", b - reach, b - 1), span("post", e + 1, e + reach))).alias("s")).select("sv_id", "chrnum", "s.*")
 
 
-def segments(sv: DataFrame, windows: DataFrame, width: int) -> DataFrame:
-    """sv_id, sample_id, n, whole, first, second: means of inside buckets and their halves.
+def segment_spans(sv: DataFrame, width: int) -> DataFrame:
+    """sv_id, chrnum, part (first, second), lo, hi, inside: the two parts of a variant's inside buckets.
 
-    Up to 200 inside buckets: halves, without two buckets at each outer edge when there
-    are more than 10. Beyond: two runs of 50 from len/8 and 0.625 len, whole is the mean
-    of both. INV has none.
+    Up to 200 of them: halves, without two buckets at each outer edge when there are more
+    than 10. Beyond: two runs of 50 from len/8 and 0.625 len. INV has none.
     """
     b, e = bucket_of(F.col("pos"), width), bucket_of(F.col("end"), width)
-    n = e - b - 1
-    inside = sv.where(F.col("svtype") != "INV").withColumn("n", n).where("n >= 2").withColumn("_b", b + 1)
-    far = F.col("n") > 200
-    length = F.col("end") - F.col("pos")
-    one = bucket_of(F.col("pos") + length / 8, width)
-    two = bucket_of(F.col("pos") + length * 0.625, width)
-    trim = F.when(F.col("n") > 10, 2).otherwise(0)
-    half = F.floor(F.col("n") / 2).cast("int")
-    spans = F.when(far, F.array(F.struct(one.alias("lo"), (one + 49).alias("hi"), F.lit(1).alias("s")), F.struct(two.alias("lo"), (two + 49).alias("hi"), F.lit(2).alias("s")))).otherwise(
-        F.array(
-            F.struct((F.col("_b") + trim).alias("lo"), (F.col("_b") + half - 1).alias("hi"), F.lit(1).alias("s")),
-            F.struct((F.col("_b") + half).alias("lo"), (F.col("_b") + F.col("n") - 1 - trim).alias("hi"), F.lit(2).alias("s")),
-        )
-    )
-    keys = inside.select("sv_id", "chrnum", "n", F.explode(spans).alias("p")).where("p.lo <= p.hi").select("sv_id", "chrnum", "n", "p.s", F.explode(F.sequence("p.lo", "p.hi")).alias("bucket"))
-    got = keys.join(windows, ["chrnum", "bucket"])
-    mean = lambda s: F.avg(F.when(F.col("s") == s, F.col("dp32") / 32))
-    return got.groupBy("sv_id", "sample_id", "n").agg(F.avg(F.col("dp32") / 32).alias("whole"), mean(1).alias("first"), mean(2).alias("second"))
+    rows = sv.where(F.col("svtype") != "INV").withColumn("inside", e - b - 1).where("inside >= 2").withColumn("_b", b + 1)
+    n, length = F.col("inside"), F.col("end") - F.col("pos")
+    one, two = bucket_of(F.col("pos") + length / 8, width), bucket_of(F.col("pos") + length * 0.625, width)
+    trim, half = F.when(n > 10, 2).otherwise(0), F.floor(n / 2).cast("int")
+    span = lambda part, lo, hi: F.struct(F.lit(part).alias("part"), lo.alias("lo"), hi.alias("hi"))
+    far = F.array(span("first", one, one + 49), span("second", two, two + 49))
+    near = F.array(span("first", F.col("_b") + trim, F.col("_b") + half - 1), span("second", F.col("_b") + half, F.col("_b") + n - 1 - trim))
+    return rows.select("sv_id", "chrnum", "inside", F.explode(F.when(n > 200, far).otherwise(near)).alias("s")).select("sv_id", "chrnum", "s.*", "inside").where("lo <= hi")
+
+
+def span_steps(spans: DataFrame, windows: DataFrame, width: int = 4096) -> DataFrame:
+    """``spans`` (chrnum, lo, hi and others) for each sample of their chromosome, two rows each, whose total (of dp32) and n add up to those of the buckets lo .. hi.
+
+    Running sums over buckets answer a span by two look-ups, whatever its length.
+    """
+    keys = ["sample_id", "chrnum"]
+    own = [c for c in spans.columns if c not in ("chrnum", "lo", "hi")]
+    ends = F.explode(F.array(F.struct(F.col("lo").alias("bucket"), F.lit(-1).alias("sign")), F.struct((F.col("hi") + 1).alias("bucket"), F.lit(1).alias("sign"))))
+    looks = spans.join(windows.select(*keys).distinct(), "chrnum").select(*keys, *own, ends.alias("e")).select(*keys, *own, "e.*")
+    points = windows.select(*keys, "bucket", F.col("dp32").cast("long").alias("total"), F.lit(1).cast("long").alias("n"))
+    got = scan.sums_below(points, looks, keys, "bucket", ["total", "n"], width)
+    return got.select("sample_id", *own, *[(F.col("sign") * F.col(c)).alias(c) for c in ("total", "n")])
+
+
+def part_sum(part: str, column: str) -> Column:
+    """The aggregate of ``span_steps``' rows over one part of a variant."""
+    return F.coalesce(F.sum(F.when(F.col("part") == part, F.col(column))), F.lit(0))
+
+
+def flank_means(total_a: Column, n_a: Column, total_b: Column, n_b: Column) -> tuple[Column, Column]:
+    """Depth before and after; a flank of two buckets or fewer copies the other, null if both are so short."""
+    a, b = F.when(n_a > 2, total_a / 32 / n_a), F.when(n_b > 2, total_b / 32 / n_b)
+    return F.coalesce(a, b), F.coalesce(b, a)
+
+
+def segment_means(total_a: Column, n_a: Column, total_b: Column, n_b: Column) -> tuple[Column, Column, Column]:
+    """Depth of both parts together and of each; null without buckets."""
+    mean = lambda t, n: F.when(n > 0, t / 32 / n)
+    return mean(total_a + total_b, n_a + n_b), mean(total_a, n_a), mean(total_b, n_b)
+
+
+def _parts(*names: str) -> list[Column]:
+    return [part_sum(p, c).alias(f"{p}_{c}") for p in names for c in ("total", "n")]
+
+
+def _of(*names: str) -> list[Column]:
+    return [F.col(f"{p}_{c}") for p in names for c in ("total", "n")]
+
+
+def flanks(sv: DataFrame, windows: DataFrame, width: int, reach: int = 15, bins: int = 4096) -> DataFrame:
+    """sv_id, sample_id, pre, post: mean window depth of ``reach`` buckets before and after."""
+    sums = span_steps(flank_spans(sv, width, reach), windows, bins).groupBy("sv_id", "sample_id").agg(*_parts("pre", "post"))
+    pre, post = flank_means(*_of("pre", "post"))
+    return sums.select("sv_id", "sample_id", pre.alias("pre"), post.alias("post")).where("pre is not null")
+
+
+def segments(sv: DataFrame, windows: DataFrame, width: int, bins: int = 4096) -> DataFrame:
+    """sv_id, sample_id, n, whole, first, second: means of inside buckets and their halves (see ``segment_spans``)."""
+    sums = span_steps(segment_spans(sv, width), windows, bins).groupBy("sv_id", "sample_id", "inside").agg(*_parts("first", "second"))
+    whole, first, second = segment_means(*_of("first", "second"))
+    return sums.select("sv_id", "sample_id", F.col("inside").alias("n"), whole.alias("whole"), first.alias("first"), second.alias("second")).where("whole is not null")
 
 
 def sv_gc_content(sv: DataFrame, profile: DataFrame, width: int = 100, bins: int = 100, unknown: int = 255) -> DataFrame:

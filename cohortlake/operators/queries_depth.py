@@ -118,7 +118,11 @@ def _binned(spark, d):
 
 
 def _gc_depth(spark, d):
-    return _binned(spark, d).where("bin is not null").groupBy("sample_id", "bin").agg(F.sum("depth").alias("dp_sum"), F.count("*").alias("dp_cnt"))
+    from ..plans.pileup import with_bins
+
+    sums = _points(spark, d).groupBy("sample_id", "chrnum", D.bucket_of(F.col("pos"), 100).alias("bucket")).agg(F.sum("depth").alias("total"), F.count("*").alias("n"))
+    rows = with_bins(sums, D.gc_profile(S.genome(spark, d))).where("bin is not null")
+    return rows.groupBy("sample_id", "bin").agg(F.sum("total").alias("dp_sum"), F.sum("n").alias("dp_cnt"))
 
 
 @query("gc_depth", S.with_views("depth_pos", "genome", extra=_GC_DEPTH) + "SELECT * FROM gd")
@@ -254,3 +258,36 @@ def _(spark, d):
 
     rows = S.depth_pos(spark, d).where("not (sample_id = 3 and chrnum = 2 and pos < 500000)")
     return tables.cohort_counts(rows.select("sample_id", "chrnum", F.floor(F.col("pos") / 100_000).alias("sv_id")))
+
+
+# the reads view's alignments of four samples; a deletion follows its first forty bases
+_PILE = """a AS (SELECT read_id % 4 AS sample_id, chrnum, pos, pos + 40 AS gap, coalesce(try_cast(regexp_extract(cigar, '([0-9]+)D', 1) AS INTEGER), 0) AS deleted,
+  list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: CAST(x AS INTEGER))) AS len FROM reads WHERE (flag & 1796) = 0 AND mapq >= 1),
+e AS (SELECT sample_id, chrnum, gap, deleted, unnest(range(CAST(pos AS BIGINT), CAST(pos + len AS BIGINT))) AS x FROM a),
+q AS (SELECT sample_id, chrnum, x, count(*) FILTER (x < gap OR x >= gap + deleted) AS depth FROM e GROUP BY ALL)"""
+
+
+def _coverage(spark, d):
+    from ..plans.pileup import coverage
+
+    # bins of a few windows, so that runs are carried over many of them
+    return coverage(S.reads(spark, d).withColumn("sample_id", F.col("read_id") % 4), bins=1 << 15)
+
+
+@query(
+    "pileup_windows",
+    S.with_views("reads", extra=_PILE) + """SELECT sample_id, chrnum, CAST(x // 100 AS INTEGER) AS bucket, count(*) AS n, CAST(sum(depth) AS BIGINT) AS total,
+  CAST(least(65535, round(32 * (sum(depth)::DOUBLE / count(*)))) AS INTEGER) AS dp32 FROM q GROUP BY ALL""",
+)
+def _(spark, d):
+    from ..plans.pileup import depth_of_windows
+
+    sums = _coverage(spark, d)
+    return sums.select("n", "total", *depth_of_windows(sums).columns[:3], X.fixed_depth(F.col("total") / F.col("n")).alias("dp32"))
+
+
+@query("pileup_stats", S.with_views("reads", extra=_PILE) + "SELECT sample_id, round(avg(depth), 6) AS avg_dp, round(stddev_pop(depth), 6) AS std_dp FROM q GROUP BY sample_id")
+def _(spark, d):
+    from ..plans.pileup import depth_statistics
+
+    return depth_statistics(_coverage(spark, d)).withColumns({c: F.round(c, 6) for c in ("avg_dp", "std_dp")})

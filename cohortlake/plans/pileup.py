@@ -1,8 +1,9 @@
 """From reads to everything that genotyping needs of a sample: statistics, depth, GC curve and evidence, as one plan.
 
-The alignments are read once into narrow tables: depth is counted by position from
-expanded alignments in bins, evidence is extracted by column rules. All tables have
-sample_id and chrnum, and ``write`` puts each into a folder per chromosome.
+Depth is a sweep over the changes at reads' ends and gaps, whose runs are cut at bucket
+borders and added up, so rows grow with reads and buckets and never with covered bases.
+Evidence is extracted by column rules. All tables have sample_id and chrnum, and ``write``
+puts each into a folder per chromosome.
 """
 
 from __future__ import annotations
@@ -10,19 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cigar_length, fixed_depth
+from ..functions.scalars import fixed_depth
 from ..operators import depth as D
 from ..operators import evidence as E
 from ..sources.tables import write_by_chromosome
+from ..store import stored
 
 TABLES = ("samples", "windows", "gc_curve", "pairs", "splits", "clips")
 
 
-def position_depths(reads: DataFrame) -> DataFrame:
-    """sample_id, chrnum, pos, depth (in hundredths, as the depth operators take it): one row per covered position, counted by a partial aggregate."""
-    spans = reads.select("sample_id", "chrnum", "pos", (F.col("pos") + cigar_length(F.col("cigar")) - 1).alias("_last")).where("_last >= pos")
-    points = spans.select("sample_id", "chrnum", F.explode(F.sequence("pos", "_last")).alias("pos"))
-    return points.groupBy("sample_id", "chrnum", "pos").agg((F.count("*") * 100).alias("depth"))
+def coverage(reads: DataFrame, width: int = 100, most: int = 64_000, bins: int = 1 << 20) -> DataFrame:
+    """sample_id, chrnum, bucket, n, total, squares: covered places of each bucket of usable reads, their depths added up, and squared."""
+    return D.window_sums(D.coverage_runs(E.usable_reads(reads), most=most, width=bins), width)
+
+
+def depth_statistics(sums: DataFrame) -> DataFrame:
+    """sample_id, avg_dp, std_dp: over covered places, from buckets' sums."""
+    n, total, squares = F.sum("n"), F.sum("total"), F.sum("squares")
+    mean = total / n
+    return sums.groupBy("sample_id").agg(mean.alias("avg_dp"), F.sqrt(F.greatest(F.lit(0.0), squares / n - mean * mean)).alias("std_dp"))
+
+
+def depth_of_windows(sums: DataFrame) -> DataFrame:
+    return sums.select("sample_id", "chrnum", "bucket", fixed_depth(F.col("total") / F.col("n")).alias("dp32"))
 
 
 def with_bins(windows: DataFrame, profile: DataFrame, bins: int = 100) -> DataFrame:
@@ -45,16 +56,13 @@ def pileup(reads: DataFrame, profile: DataFrame, width: int = 100, least: float
     pairs, splits, clips: evidence; clips at a read's last cycles are left out.
     """
     used = E.usable_reads(reads)
-    points = position_depths(used)
-    n = F.col("depth") / 100
-    covered = points.groupBy("sample_id").agg(F.avg(n).alias("avg_dp"), F.stddev_pop(n).alias("std_dp"))
+    sums = stored(coverage(reads, width), "coverage")  # three tables are made of it
     sizes = E.insert_sizes(used).groupBy("sample_id").agg(F.avg("isize").alias("avg_isize"), F.stddev_pop("isize").alias("std_isize"))
-    samples = covered.join(sizes, "sample_id", "left")
+    samples = depth_statistics(sums).join(sizes, "sample_id", "left")
 
-    raw = points.groupBy("sample_id", "chrnum", D.bucket_of(F.col("pos"), width).alias("bucket")).agg(F.sum("depth").alias("t"), F.count("*").alias("n"))
-    by_bin = with_bins(raw, profile).where("bin is not null").groupBy("sample_id", "bin").agg((F.sum("t") / 100).alias("dp_sum"), F.sum("n").alias("dp_cnt"))
+    by_bin = with_bins(sums, profile).where("bin is not null").groupBy("sample_id", "bin").agg(F.sum("total").alias("dp_sum"), F.sum("n").alias("dp_cnt"))
     curve = D.gc_curve(by_bin, samples.select("sample_id", "avg_dp"), least)
-    windows = raw.select("sample_id", "chrnum", "bucket", fixed_depth(F.col("t") / 100 / F.col("n")).alias("dp32"))
+    windows = depth_of_windows(sums)
 
     who = ("sample_id", "read_id", "part", "chrnum")
     pairs = E.discordant_pairs(used).select(*who, F.col("selfpos").alias("pos"), F.col("matepos").alias("mate"), F.col("matequal").alias("qual"), "pairstr")

@@ -85,6 +85,53 @@ def test_scans_against_loops(spark, width):
         assert got[i] == (sum(r[3] for r in before), max((r[3] for r in before), default=None), min(after, default=None), before[-1][2] if before else None)
 
 
+@pytest.mark.parametrize(("bins", "most"), [(64, 64_000), (1 << 20, 64_000), (256, 3)])
+def test_coverage_against_loops(spark, bins, most):
+    import random
+    import re
+
+    rng = random.Random(bins + most)
+    shapes = ["50M", "10S40M", "20M5D30M", "10M200N15M", "5=2X3D4I10M6S", "30M1D10M2D5M", "*", "20S"]
+    reads = [(i, rng.randint(1, 2), 1, rng.randint(0, 1500), rng.choice(shapes)) for i in range(300)]
+    frame = spark.createDataFrame([(*r, 60, 0) for r in reads], "read_id int, sample_id int, chrnum int, pos int, cigar string, mapq int, flag int").repartition(5)
+    spanned, depth = {}, {}
+    for _, sample, _, pos, cigar in reads:
+        at = pos
+        for n, op in re.findall("([0-9]+)([MIDNSHP=X])", cigar):
+            if op in "MDN=X":
+                for x in range(at, at + int(n)):
+                    spanned[sample, x] = spanned.get((sample, x), 0) + 1
+                    depth[sample, x] = depth.get((sample, x), 0) + (op in "M=X")
+                at += int(n)
+    got = {}
+    for r in D.coverage_runs(frame, most=most, width=bins).collect():
+        for x in range(r.beg, r.end):
+            assert (r.sample_id, x) not in got
+            got[r.sample_id, x] = r.depth
+    assert got == {k: min(most, depth[k]) for k in spanned}
+    sums = pileup.coverage(frame, most=most, bins=bins)
+    for r in sums.collect():
+        own = [min(most, d) for (s, x), d in depth.items() if s == r.sample_id and x // 100 == r.bucket]
+        assert (r.n, r.total, r.squares) == (len(own), sum(own), sum(d * d for d in own))
+    # rows by reads, whatever they cover
+    assert D.coverage_steps(frame).count() <= 6 * len(reads)
+
+
+@pytest.mark.parametrize("width", [3, 40, 4096])
+def test_spans_against_loops(spark, width):
+    import random
+
+    rng = random.Random(width)
+    windows = [(s, c, b, rng.randint(0, 900)) for s in (1, 2) for c in (1, 2) for b in range(-3, 120) if rng.random() < 0.8]
+    spans = [(i, rng.randint(1, 3), rng.choice("xy"), lo := rng.randint(-20, 130), lo + rng.randint(0, 60)) for i in range(80)]
+    steps = D.span_steps(spark.createDataFrame(spans, "sv_id int, chrnum int, part string, lo int, hi int"), spark.createDataFrame(windows, "sample_id int, chrnum int, bucket int, dp32 int"), width)
+    got = {(r.sv_id, r.sample_id): (r.total, r.n) for r in steps.groupBy("sv_id", "sample_id").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()}
+    for i, c, _, lo, hi in spans:
+        for s in (1, 2):
+            own = [d for w, k, b, d in windows if w == s and k == c and lo <= b <= hi]
+            assert got.get((i, s), (0, 0)) == (sum(own), len(own))
+
+
 def test_pileup(spark, tmp_path):
     header = ["@HD\tVN:1"]
     line = lambda name, flag, pos, cigar, mate, size, extra="": f"{name}\t{flag}\tchr1\t{pos}\t60\t{cigar}\t=\t{mate}\t{size}\t*\t*\tMQ:i:60\tNM:i:0{extra}"
@@ -99,7 +146,8 @@ def test_pileup(spark, tmp_path):
             covered[p] = covered.get(p, 0) + 1
     s = got["samples"].first()
     assert s.avg_dp == pytest.approx(sum(covered.values()) / len(covered)) and s.avg_isize == pytest.approx((sum(range(250, 290)) + 280) / 41)
-    assert {(r.pos, r.depth) for r in pileup.position_depths(reads.where("read_id < 100")).where("pos = 107").collect()} == {(107, 200)}
+    runs = D.coverage_runs(reads.where("read_id < 100")).where("beg <= 107 and end > 107").collect()
+    assert [(r.beg, r.end, r.depth) for r in runs] == [(107, 114, 2)]
     assert [(r.pos, r.mate, r.pairstr) for r in got["pairs"].collect()] == [(150, 900, 1)]
     assert [(r.pos, r.mate, r.rlen, r.sa_rlen, r.rclip, r.sa_lclip) for r in got["splits"].collect()] == [(200, 701, 30, 20, 20, 30)]
     assert {r.kind for r in got["clips"].collect()} <= {"lclip", "rclip"}
