@@ -79,19 +79,24 @@ def kept_clips(clips: DataFrame, by_neighbour: bool = False) -> DataFrame:
     return near.drop("_other", "_own", scan.BIN)
 
 
-def near_breakpoints(sv: DataFrame, rows: DataFrame, block: int = 10_000, reach: int = 500) -> DataFrame:
+def near_breakpoints(sv: DataFrame, rows: DataFrame, block: int = 1_000, reach: int = 500) -> DataFrame:
     """Rows whose ``pos`` lies within ``reach`` of either end of a variant: sv and ev structs, each pair once.
 
     Ends are listed as blocks, so the band join is an equality join; a block near both
     ends counts once.
     """
-    b = lambda c: F.sequence(F.floor((c - reach) / block).cast("int"), F.floor((c + reach) / block).cast("int"))
-    keys = sv.select("chrnum", F.struct(*sv.columns).alias("sv"), F.explode(F.array_distinct(F.concat(b(F.col("pos")), b(F.col("end"))))).alias("_block"))
+    keys = sv.select("chrnum", F.struct(*sv.columns).alias("sv"), F.explode(_blocks(block, reach)).alias("_block"))
     points = rows.select("chrnum", F.struct(*rows.columns).alias("ev"), F.floor(F.col("pos") / block).cast("int").alias("_block"))
     near = lambda c: F.col("ev.pos").between(F.col(c) - reach, F.col(c) + reach)
     return points.join(keys, ["chrnum", "_block"]).where(near("sv.pos") | near("sv.end")).select("sv", "ev")
 
 
+def _blocks(block: int, reach: int) -> Column:
+    """The blocks within ``reach`` of either end, each once."""
+    b = lambda c: F.sequence(F.floor((F.col(c) - reach) / block).cast("int"), F.floor((F.col(c) + reach) / block).cast("int"))
+    return F.array_distinct(F.concat(b("pos"), b("end")))
+
+
 def pair_window(kind: Column, s: Column, e: Column, self_pos: Column, mate: Column, qual: Column, side: Column) -> Column:
     """Whether a read pair lies where a variant of this type would put it."""
     deletion = (kind == "DEL") & self_pos.between(s - 500, s + 100) & (mate >= e - 100) & (mate < e + 500) & (qual > 0)
@@ -101,52 +106,117 @@ def pair_window(kind: Column, s: Column, e: Column, self_pos: Column, mate: Colu
     return deletion | gain | ((kind == "INV") & (qual > 30) & (ff | rr))
 
 
-def pairs_near(sv: DataFrame, pairs: DataFrame) -> DataFrame:
-    """sv_id, ev_id, sample_id, side of the pairs in a variant's window; positions are ordered and the orientation turned with them."""
+_WHO = ("ev_id", "sample_id", "chrnum")
+
+
+def pair_rows(pairs: DataFrame) -> DataFrame:
+    """Pairs for ``evidence_near``: positions in order, the orientation turned with them."""
     swap = F.col("pos") > F.col("mate")
     turned = F.when(swap, (F.col("pairstr") % 2) * 2 + F.floor(F.col("pairstr") / 2)).otherwise(F.col("pairstr")).cast("int")
-    ordered = pairs.select(
-        "ev_id", "sample_id", "chrnum", F.least("pos", "mate").alias("pos"), F.greatest("pos", "mate").alias("mate"), "qual", turned.alias("pairstr")
-    )
-    near = near_breakpoints(sv, ordered)
-    keep = pair_window(F.col("sv.svtype"), F.col("sv.pos"), F.col("sv.end"), F.col("ev.pos"), F.col("ev.mate"), F.col("ev.qual"), F.col("ev.pairstr"))
-    return near.where(keep).select("sv.sv_id", "ev.ev_id", "ev.sample_id", F.col("ev.pos").alias("self"), "ev.mate", F.col("ev.pairstr").alias("side"))
+    return pairs.select(*_WHO, F.least("pos", "mate").alias("pos"), F.lit("pair").alias("tag"), F.greatest("pos", "mate").alias("mate"), "qual", turned.alias("side"))
 
 
-def splits_near(sv: DataFrame, splits: DataFrame, far_end: bool = False) -> DataFrame:
-    """sv_id, ev_id, sample_id, way (inward, outward, inverted), start, end: split reads whose two breaks lie within 100 bases of a variant's ends.
+def split_rows(splits: DataFrame) -> DataFrame:
+    """Split reads for ``evidence_near``, with the breaks that they would show of a deletion, a gain and an inversion (null where they show none).
 
     ``splits`` has pos and mate, both alignments' lengths (rlen, sa_rlen) and clips (lclip,
-    rclip, sa_lclip, sa_rclip), and pairstr. The branch is chosen by order of the two
-    alignments and not tried again when a later test fails. Inversions keep the rule that
-    the far break must lie before the start plus 100 as well; ``far_end`` drops it.
+    rclip, sa_lclip, sa_rclip), and pairstr. Breaks don't depend on a variant but for its type. The
+    branch is chosen by order of the two alignments and not tried again when its clips are missing.
     """
-    near100 = lambda x, c: (x >= c - 100) & (x < c + 100)
-    clipped = lambda a, b: (F.col(f"ev.{a}") > 0) & (F.col(f"ev.{b}") > 0)
-    p, q = F.col("ev.pos"), F.col("ev.mate") - 1
-    p_end, q_end = p + F.col("ev.rlen") + 1, q + F.col("ev.sa_rlen") + 1
-    s, e, kind, side = F.col("sv.pos"), F.col("sv.end"), F.col("sv.svtype"), F.col("ev.pairstr")
-    breaks = lambda a, b, ok: F.struct(a.alias("start"), b.alias("end"), ok.alias("ok"))
-    ends = lambda a, b: near100(a, s) & near100(b, e)
-    none = breaks(p, q, F.lit(False))
-    deletion = F.when(p_end < q, breaks(p_end, q, ends(p_end, q) & clipped("rclip", "sa_lclip"))).when(q_end < p, breaks(q_end, p, ends(q_end, p) & clipped("lclip", "sa_rclip"))).otherwise(none)
-    gain = F.when(p < q_end, breaks(p, q_end, ends(p, q_end) & clipped("lclip", "sa_rclip"))).when(q < p_end, breaks(q, p_end, ends(q, p_end) & clipped("rclip", "sa_lclip"))).otherwise(none)
+    clipped = lambda a, b: (F.col(a) > 0) & (F.col(b) > 0)
+    p, q = F.col("pos"), F.col("mate") - 1
+    p_end, q_end = p + F.col("rlen") + 1, q + F.col("sa_rlen") + 1
+    straight, crossed = F.col("pairstr").isin(0, 3), F.col("pairstr").isin(1, 2)
+    breaks = lambda a, b: F.struct(a.cast("int").alias("beg"), b.cast("int").alias("end"))
+    outer, inner = clipped("rclip", "sa_lclip"), clipped("lclip", "sa_rclip")
+    deletion = F.when(straight & (p_end < q), F.when(outer, breaks(p_end, q))).when(straight & (q_end < p), F.when(inner, breaks(q_end, p)))
+    gain = F.when(straight & (p < q_end), F.when(inner, breaks(p, q_end))).when(straight & (q < p_end), F.when(outer, breaks(q, p_end)))
     rights = clipped("rclip", "sa_rclip")
     one, two = F.when(rights, p_end).otherwise(p), F.when(rights, q_end).otherwise(q)
-    lo, hi = F.least(one, two), F.greatest(one, two)
-    inversion = breaks(lo, hi, ((lo >= s - 100) & near100(hi, e) & ((lo < s + 100) if far_end else (hi < s + 100))))
-    found = F.when(kind == "INV", inversion).when(kind == "DEL", deletion).when(kind.isin("DUP", "CNV"), gain).otherwise(none)
-    near = near_breakpoints(sv, splits).withColumn("_b", found).where(F.col("_b.ok") & F.when(kind == "INV", side.isin(1, 2)).otherwise(side.isin(0, 3)))
-    way = F.when(kind == "DEL", "inward").when(kind == "INV", "inverted").otherwise("outward")
-    return near.select("sv.sv_id", "ev.ev_id", "ev.sample_id", way.alias("way"), F.col("_b.start").cast("int").alias("start"), F.col("_b.end").cast("int").alias("end"))
+    turned = F.when(crossed, breaks(F.least(one, two), F.greatest(one, two)))
+    rows = splits.select(*_WHO, "pos", deletion.alias("d"), gain.alias("g"), turned.alias("i")).where("d is not null or g is not null or i is not null")
+    ends = [F.col(f"{c}.{e}").alias(f"{n}_{e}") for c, n in (("d", "del"), ("g", "dup"), ("i", "inv")) for e in ("beg", "end")]
+    return rows.select(*_WHO, "pos", F.lit("split").alias("tag"), *ends)
+
+
+def clip_rows(clips: DataFrame) -> DataFrame:
+    return clips.select(*_WHO, "pos", F.lit("clip").alias("tag"), "kind")
+
+
+def evidence_rows(pairs: DataFrame | None = None, splits: DataFrame | None = None, clips: DataFrame | None = None) -> DataFrame:
+    """All evidence as one narrow table for ``evidence_near``."""
+    parts = [f(x) for f, x in ((pair_rows, pairs), (split_rows, splits), (clip_rows, clips)) if x is not None]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def evidence_near(sv: DataFrame, rows: DataFrame, far_end: bool = False, block: int = 1_000) -> DataFrame:
+    """sv_id, ev_id, sample_id, tag, kind, a, b, side: all evidence of ``evidence_rows`` for a variant, in one join.
+
+    pair: in the type's window; a and b are its positions, side its orientation.
+    split: starts within 500 bases of an end, and both breaks (a, b) lie within 100 bases of the
+    variant's ends; kind is inward, outward or inverted. Inversions keep the rule that the far
+    break must lie before the start plus 100 as well; ``far_end`` drops it.
+    clip: within 100 bases of the start (cell a from 0 to 199) or the end (200 to 399); one
+    clip may give two rows.
+    """
+    keys = sv.select("sv_id", "svtype", "chrnum", F.col("pos").alias("s"), F.col("end").alias("e"), F.explode(_blocks(block, 500)).alias("_block"))
+    columns = {"mate": "int", "qual": "int", "side": "int", "kind": "string"} | {f"{n}_{e}": "int" for n in ("del", "dup", "inv") for e in ("beg", "end")}
+    rows = rows.select(*_WHO, "pos", "tag", *[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+    points = rows.withColumn("_block", F.floor(F.col("pos") / block).cast("int"))
+    s, e, p, kind, tag = F.col("s"), F.col("e"), F.col("pos"), F.col("svtype"), F.col("tag")
+    near100 = lambda x, c: (x >= c - 100) & (x < c + 100)
+    reach = p.between(s - 500, s + 500) | p.between(e - 500, e + 500)
+    ends = lambda n: near100(F.col(f"{n}_beg"), s) & near100(F.col(f"{n}_end"), e)
+    before = F.col("inv_beg") if far_end else F.col("inv_end")
+    turned = (kind == "INV") & (F.col("inv_beg") >= s - 100) & near100(F.col("inv_end"), e) & (before < s + 100)
+    split = (tag == "split") & (((kind == "DEL") & ends("del")) | (kind.isin("DUP", "CNV") & ends("dup")) | turned)
+    pair = (tag == "pair") & pair_window(kind, s, e, p, F.col("mate"), F.col("qual"), F.col("side"))
+    clip = (tag == "clip") & (near100(p, s) | near100(p, e))
+    met = points.join(keys, ["chrnum", "_block"]).where(reach & (split | pair | clip))
+    by_type = lambda e_: F.when(kind == "INV", F.col(f"inv_{e_}")).when(kind == "DEL", F.col(f"del_{e_}")).otherwise(F.col(f"dup_{e_}"))
+    spot = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    none = F.lit(None)
+    cells = F.array(F.when(near100(p, s), spot(p - s + 100, none)), F.when(near100(p, e), spot(p - e + 300, none)))
+    spots = F.when(tag == "clip", F.filter(cells, lambda c: c.isNotNull())).when(tag == "split", F.array(spot(by_type("beg"), by_type("end")))).otherwise(F.array(spot(p, F.col("mate"))))
+    way = F.when(tag == "split", F.when(kind == "DEL", "inward").when(kind == "INV", "inverted").otherwise("outward")).otherwise(F.col("kind"))
+    return met.select("sv_id", "ev_id", "sample_id", "tag", way.alias("kind"), "side", F.explode(spots).alias("x")).select("sv_id", "ev_id", "sample_id", "tag", "kind", "x.*", "side")
+
+
+def pair_hits(near: DataFrame) -> DataFrame:
+    return near.where("tag = 'pair'").select("sv_id", "ev_id", "sample_id", F.col("a").alias("self"), F.col("b").alias("mate"), "side")
+
+
+def split_hits(near: DataFrame) -> DataFrame:
+    return near.where("tag = 'split'").select("sv_id", "ev_id", "sample_id", F.col("kind").alias("way"), F.col("a").alias("start"), F.col("b").alias("end"))
+
+
+def clip_hits(near: DataFrame) -> DataFrame:
+    return near.where("tag = 'clip'").select("sv_id", "ev_id", "sample_id", "kind", F.col("a").alias("cell"))
+
+
+def pairs_near(sv: DataFrame, pairs: DataFrame) -> DataFrame:
+    """sv_id, ev_id, sample_id, self, mate, side of the pairs in a variant's window."""
+    return pair_hits(evidence_near(sv, evidence_rows(pairs=pairs)))
+
+
+def splits_near(sv: DataFrame, splits: DataFrame, far_end: bool = False) -> DataFrame:
+    """sv_id, ev_id, sample_id, way, start, end: split reads that show a variant's breaks."""
+    return split_hits(evidence_near(sv, evidence_rows(splits=splits), far_end))
 
 
 def clips_near(sv: DataFrame, clips: DataFrame) -> DataFrame:
-    """sv_id, ev_id, sample_id, kind, cell: clips within 100 bases of the start (cells 0..199) or the end (200..399); one clip may give two rows."""
-    near = near_breakpoints(sv, clips, reach=100)
-    ds, de = F.col("ev.pos") - F.col("sv.pos"), F.col("ev.pos") - F.col("sv.end")
-    cells = F.array(F.when((ds >= -100) & (ds < 100), ds + 100), F.when((de >= -100) & (de < 100), de + 300))
-    return near.select("sv.sv_id", "ev.ev_id", "ev.sample_id", "ev.kind", F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("cell"))
+    """sv_id, ev_id, sample_id, kind, cell: clips around a variant's ends."""
+    return clip_hits(evidence_near(sv, evidence_rows(clips=clips)))
+
+
+def evidence_counts(near: DataFrame) -> DataFrame:
+    """sv_id, sample_id, pairs, splits, clips_start, clips_end, from ``evidence_near``."""
+    tag, start = F.col("tag"), F.col("a") < 200
+    n = {"pairs": tag == "pair", "splits": tag == "split", "clips_start": (tag == "clip") & start, "clips_end": (tag == "clip") & ~start}
+    return near.groupBy("sv_id", "sample_id").agg(*[F.count_if(x).alias(c) for c, x in n.items()])
 
 
 def smeared_histogram(hits: DataFrame) -> DataFrame:

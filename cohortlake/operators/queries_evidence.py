@@ -185,11 +185,10 @@ _ALL = _PAIRS + "," + _SPLITS.removeprefix(_SVC + ",") + "," + _CELLS.removepref
 
 
 def _counts(spark, d):
-    rows = _pairs(spark, d).select("sv_id", "sample_id", F.lit("pair").alias("kind"))
-    rows = rows.unionByName(_splits(spark, d).select("sv_id", "sample_id", F.col("way").alias("kind")))
-    rows = rows.unionByName(_cells(spark, d).select("sv_id", "sample_id", F.when(F.col("cell") < 200, "start").otherwise("end").alias("kind")))
-    n = lambda *k: F.count_if(F.col("kind").isin(*k))
-    return rows.groupBy("sv_id", "sample_id").agg(n("pair").alias("pairs"), n("inward", "outward", "inverted").alias("splits"), n("start").alias("clips_start"), n("end").alias("clips_end"))
+    ev = S.evidence(spark, d)
+    kind = lambda *k: ev.where(F.col("kind").isin(*k))
+    rows = E.evidence_rows(kind("pair", "filtered"), kind("split", "filtered", "pair"), kind("lclip", "rclip"))
+    return E.evidence_counts(E.evidence_near(_sv(spark, d), rows))
 
 
 @query("evidence_counts", S.with_views("sv", "evidence", extra=_ALL) + "SELECT * FROM ec")
