@@ -1,4 +1,7 @@
-"""Gaussian mixtures of one and two dimensions, in numpy: the model fitted inside a variant's group.
+"""Gaussian mixtures of one and two dimensions, in numpy, for many variants at once.
+
+The ``_many`` functions take arrays of variants x samples (and a mask, where variants differ in
+their samples); the rounds and starts are fixed, so all variants advance together.
 
 Fits run 15 rounds from given means. A pseudo-count of 0.2 pulls each mean to its start
 and each variance to 0.01. Samples that no component explains are left out of a round.
@@ -51,27 +54,45 @@ def density_2d(xy: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return np.exp(-0.5 * (c * x * x - 2 * b * x * y + a * y * y) / det) / (2 * np.pi * np.sqrt(det))
 
 
-def overlap_1d(mean: np.ndarray, sd: np.ndarray) -> float:
-    """Greatest Bhattacharyya coefficient of two components."""
-    best = 0.0
-    for i in range(len(mean)):
+@dataclass
+class Mixtures:
+    """The fits of many variants with equally many components."""
+
+    means: np.ndarray  # variants x k x d
+    spreads: np.ndarray
+    alphas: np.ndarray
+    bic: np.ndarray
+    overlap: np.ndarray
+
+    def __getitem__(self, i: int) -> Mixture:
+        return Mixture(self.means[i], self.spreads[i], self.alphas[i], float(self.bic[i]), float(self.overlap[i]))
+
+
+def overlap_1d(mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """Greatest Bhattacharyya coefficient of two components; the last axis is that of components."""
+    best = np.zeros(mean.shape[:-1])
+    for i in range(mean.shape[-1]):
         for j in range(i):
-            v = sd[i] ** 2 + sd[j] ** 2
-            best = max(best, np.exp(-0.25 * (mean[i] - mean[j]) ** 2 / v - 0.5 * np.log(v / (2 * sd[i] * sd[j]))))
-    return float(best)
+            v = sd[..., i] ** 2 + sd[..., j] ** 2
+            best = np.maximum(best, np.exp(-0.25 * (mean[..., i] - mean[..., j]) ** 2 / v - 0.5 * np.log(v / (2 * sd[..., i] * sd[..., j]))))
+    return best
 
 
-def overlap_2d(mean: np.ndarray, cov: np.ndarray) -> float:
+def overlap_2d(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
     """As in one dimension; the factor 1/8 belongs to the first coordinate's term only (kept for equal model choice)."""
-    least = np.inf
-    for i in range(len(mean)):
+    least = np.full(mean.shape[:-2], np.inf)
+    own = _det(regular(cov))
+    for i in range(mean.shape[-2]):
         for j in range(i):
-            c = (cov[i] + cov[j]) / 2
-            det, p, m = np.linalg.det(c), np.linalg.inv(c), mean[j] - mean[i]
-            first, second = (m @ p[:, 0]) * m[0], (m @ p[:, 1]) * m[1]
-            spread = np.sqrt(max(1e-40, np.linalg.det(regular(cov[i])) * np.linalg.det(regular(cov[j]))))
-            least = min(least, 0.125 * first + second + 0.5 * np.log(max(det, 1e-20) / spread))
-    return float(np.exp(-least))
+            c, m = (cov[..., i, :, :] + cov[..., j, :, :]) / 2, mean[..., j, :] - mean[..., i, :]
+            det = _det(c)
+            safe = np.where(np.abs(det) > 1e-300, det, 1e-300)
+            x, y = m[..., 0], m[..., 1]
+            first = (x * c[..., 1, 1] - y * c[..., 1, 0]) / safe * x
+            second = (y * c[..., 0, 0] - x * c[..., 0, 1]) / safe * y
+            spread = np.sqrt(np.maximum(1e-40, own[..., i] * own[..., j]))
+            least = np.minimum(least, 0.125 * first + second + 0.5 * np.log(np.maximum(det, 1e-20) / spread))
+    return np.exp(-least)
 
 
 def _bic(density: np.ndarray, alphas: np.ndarray, free: int) -> float:
@@ -80,48 +101,93 @@ def _bic(density: np.ndarray, alphas: np.ndarray, free: int) -> float:
     return float(-np.log(total[seen]).sum() + 0.5 * free * np.log(max(1, density.shape[1])))
 
 
-def em_1d(x: np.ndarray, start: list[float]) -> Mixture:
-    x, start = np.asarray(x, float), np.asarray(start, float)
-    k = len(start)
-    if k == 1:
-        mean, sd = np.array([x.mean()]), np.array([max(x.std(), LEAST_SD)])
-        return Mixture(mean[:, None], sd, np.ones(1), _bic(density_1d(x, mean, sd), np.ones(1), 2), 0.0)
-    mean, sd, alpha = start.copy(), np.full(k, 0.1), np.full(k, 1 / k)
-    for _ in range(ROUNDS):
-        p = alpha[:, None] * density_1d(x, mean, sd)
-        total = p.sum(axis=0)
-        use = total >= OUTLIER_1D
-        p = np.where(use, p / np.where(use, total, 1), 0)
-        weight = p.sum(axis=1) + PSEUDO
-        mean = (p @ x + start * PSEUDO) / weight
-        sd = np.sqrt(((p * (x[None] - mean[:, None]) ** 2).sum(axis=1) + PRIOR_VARIANCE * PSEUDO) / weight)
-        alpha = weight / weight.sum()
-    return Mixture(mean[:, None], sd, alpha, _bic(density_1d(x, mean, sd), alpha, 3 * k - 1), overlap_1d(mean, sd))
+def _bic_many(p: np.ndarray, use: np.ndarray, free: int) -> np.ndarray:
+    """``p``: weighted densities, variants x components x samples."""
+    total = p.sum(axis=1)
+    seen = (total > 0) & use
+    return -np.log(np.where(seen, total, 1)).sum(axis=1) + 0.5 * free * np.log(np.maximum(1, use.sum(axis=1)))
 
 
-def em_2d(xy: np.ndarray, start: list[float]) -> Mixture:
-    """Each start mean holds for both coordinates; a component that starts at (0, 0) keeps its mean and gets no pseudo-count."""
-    xy, start = np.asarray(xy, float), np.repeat(np.asarray(start, float)[:, None], 2, axis=1)
-    k = len(start)
+def _density_1d(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """Variants x components x samples."""
+    sd = np.maximum(sd, LEAST_SD)[..., None]
+    return np.exp(-0.5 * ((x[:, None] - mean[..., None]) / sd) ** 2) / (sd * np.sqrt(2 * np.pi))
+
+
+def _density_2d(xy: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Variants x components x samples; ``xy`` is variants x samples x 2."""
+    cov = regular(cov)
+    det = _det(cov)[..., None]
+    d = xy[:, None] - mean[:, :, None]
+    x, y = d[..., 0], d[..., 1]
+    a, b, c = cov[..., 0, 0, None], cov[..., 0, 1, None], cov[..., 1, 1, None]
+    return np.exp(-0.5 * (c * x * x - 2 * b * x * y + a * y * y) / det) / (2 * np.pi * np.sqrt(det))
+
+
+def _shares(p: np.ndarray, use: np.ndarray, least: float) -> np.ndarray:
+    """Responsibilities; samples that no component explains, or that aren't there, have none."""
+    total = p.sum(axis=1)
+    ok = (total >= least) & use
+    return np.where(ok[:, None], p / np.where(ok, total, 1)[:, None], 0)
+
+
+def em_1d_many(x: np.ndarray, use: np.ndarray, start: list[float]) -> Mixtures:
+    """``x``: variants x samples; ``use``: which of them are there."""
+    start, n, k = np.asarray(start, float), np.maximum(use.sum(axis=1), 1)[:, None], len(start)
+    x = np.where(use, x, 0.0)
     if k == 1:
-        mean, cov = xy.mean(axis=0)[None], regular(np.cov(xy.T, bias=True).reshape(2, 2))[None]
-        return Mixture(mean, cov, np.ones(1), _bic(density_2d(xy, mean, cov), np.ones(1), 5), 0.0)
-    mean, cov, alpha = start.copy(), np.repeat(0.1 * np.eye(2)[None], k, axis=0), np.full(k, 1 / k)
+        mean = x.sum(axis=1, keepdims=True) / n
+        sd = np.maximum(np.sqrt((np.where(use, x - mean, 0) ** 2).sum(axis=1, keepdims=True) / n), LEAST_SD)
+        return Mixtures(mean[..., None], sd, np.ones_like(sd), _bic_many(_density_1d(x, mean, sd), use, 2), np.zeros(len(x)))
+    mean, sd, alpha = np.tile(start, (len(x), 1)), np.full((len(x), k), 0.1), np.full((len(x), k), 1 / k)
+    for _ in range(ROUNDS):
+        p = _shares(alpha[..., None] * _density_1d(x, mean, sd), use, OUTLIER_1D)
+        weight = p.sum(axis=2) + PSEUDO
+        mean = ((p * x[:, None]).sum(axis=2) + start * PSEUDO) / weight
+        sd = np.sqrt(((p * (x[:, None] - mean[..., None]) ** 2).sum(axis=2) + PRIOR_VARIANCE * PSEUDO) / weight)
+        alpha = weight / weight.sum(axis=1, keepdims=True)
+    return Mixtures(mean[..., None], sd, alpha, _bic_many(alpha[..., None] * _density_1d(x, mean, sd), use, 3 * k - 1), overlap_1d(mean, sd))
+
+
+def em_2d_many(xy: np.ndarray, use: np.ndarray, start: list[float]) -> Mixtures:
+    """``xy``: variants x samples x 2. Each start mean holds for both coordinates; a component that starts at (0, 0) keeps its mean and gets no pseudo-count."""
+    start, n, k = np.repeat(np.asarray(start, float)[:, None], 2, axis=1), np.maximum(use.sum(axis=1), 1), len(start)
+    xy = np.where(use[..., None], xy, 0.0)
+    if k == 1:
+        mean = xy.sum(axis=1) / n[:, None]
+        d = np.where(use[..., None], xy - mean[:, None], 0)
+        mean, cov = mean[:, None], regular(d.transpose(0, 2, 1) @ d / n[:, None, None])[:, None]
+        return Mixtures(mean, cov, np.ones((len(xy), 1)), _bic_many(_density_2d(xy, mean, cov), use, 5), np.zeros(len(xy)))
+    mean, cov, alpha = np.tile(start, (len(xy), 1, 1)), np.tile(0.1 * np.eye(2), (len(xy), k, 1, 1)), np.full((len(xy), k), 1 / k)
     free = (start >= 0.01).any(axis=1)
     for _ in range(ROUNDS):
-        p = alpha[:, None] * density_2d(xy, mean, cov)
-        total = p.sum(axis=0)
-        use = total >= OUTLIER_2D
-        p = np.where(use, p / np.where(use, total, 1), 0)
-        weight = p.sum(axis=1) + PSEUDO * free
-        mean = np.where(free[:, None], (p @ xy + start * PSEUDO * free[:, None]) / np.maximum(weight, 1e-300)[:, None], mean)
-        d = xy[None] - mean[:, None]
-        scatter = (p[:, :, None] * d).transpose(0, 2, 1) @ d
+        p = _shares(alpha[..., None] * _density_2d(xy, mean, cov), use, OUTLIER_2D)
+        weight = p.sum(axis=2) + PSEUDO * free
+        some = np.maximum(weight, 1e-300)
+        mean = np.where(free[:, None], (p @ xy + start * PSEUDO * free[:, None]) / some[..., None], mean)
+        d = xy[:, None] - mean[:, :, None]
+        scatter = (p[..., None] * d).swapaxes(2, 3) @ d
         pull = start - mean
-        prior = pull[:, :, None] * pull[:, None, :] + PRIOR_VARIANCE * PSEUDO * np.eye(2)
-        cov = regular((scatter + prior * free[:, None, None]) / np.maximum(weight, 1e-300)[:, None, None])
-        alpha = weight / weight.sum()
-    return Mixture(mean, cov, alpha, _bic(density_2d(xy, mean, cov), alpha, 6 * k - 1), overlap_2d(mean, cov))
+        prior = pull[..., :, None] * pull[..., None, :] + PRIOR_VARIANCE * PSEUDO * np.eye(2)
+        cov = regular((scatter + prior * free[:, None, None]) / some[..., None, None])
+        alpha = weight / weight.sum(axis=1, keepdims=True)
+    return Mixtures(mean, cov, alpha, _bic_many(alpha[..., None] * _density_2d(xy, mean, cov), use, 6 * k - 1), overlap_2d(mean, cov))
+
+
+def em_1d(x: np.ndarray, start: list[float]) -> Mixture:
+    x = np.asarray(x, float)[None]
+    return em_1d_many(x, np.ones(x.shape, bool), start)[0]
+
+
+def em_2d(xy: np.ndarray, start: list[float]) -> Mixture:
+    xy = np.asarray(xy, float)[None]
+    return em_2d_many(xy, np.ones(xy.shape[:2], bool), start)[0]
+
+
+def select_many(fits: list[Mixtures], most_overlap: np.ndarray) -> np.ndarray:
+    """For each variant the index of its lowest score among the fits that overlap less than the limit; -1 without any."""
+    score = np.stack([np.where(f.overlap < most_overlap, f.bic, np.inf) for f in fits])
+    return np.where(np.isfinite(score).any(axis=0), score.argmin(axis=0), -1)
 
 
 def select(fits: list[Mixture], most_overlap: float) -> Mixture | None:
@@ -136,7 +202,7 @@ def labelled_1d(x: np.ndarray, label: np.ndarray, k: int) -> Mixture | None:
         return None
     mean, sd = np.array([p.mean() for p in parts]), np.array([max(p.std(), LEAST_SD) for p in parts])
     alpha = np.array([len(p) for p in parts]) / sum(map(len, parts))
-    return Mixture(mean[:, None], sd, alpha, _bic(density_1d(x, mean, sd), alpha, 3 * len(parts) - 1), overlap_1d(mean, sd))
+    return Mixture(mean[:, None], sd, alpha, _bic(density_1d(x, mean, sd), alpha, 3 * len(parts) - 1), float(overlap_1d(mean, sd)))
 
 
 def labelled_2d(xy: np.ndarray, label: np.ndarray, k: int) -> Mixture | None:
@@ -152,7 +218,7 @@ def labelled_2d(xy: np.ndarray, label: np.ndarray, k: int) -> Mixture | None:
     if len(mean) < 2:
         return None
     mean, cov, alpha = np.stack(mean), np.stack(cov), np.array(alpha) / sum(alpha)
-    return Mixture(mean, cov, alpha, _bic(density_2d(xy, mean, cov), alpha, 6 * len(alpha) - 1), overlap_2d(mean, cov))
+    return Mixture(mean, cov, alpha, _bic(density_2d(xy, mean, cov), alpha, 6 * len(alpha) - 1), float(overlap_2d(mean, cov)))
 
 
 def falling(fit: Mixture) -> bool:

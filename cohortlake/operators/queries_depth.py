@@ -215,19 +215,19 @@ _SVGC = """g AS (SELECT s.sv_id, avg(bin / 100.0::DOUBLE + 0.005) AS gc FROM sma
 _SMALL = 'small AS (SELECT sv_id, chrnum, svtype, CAST(pos % 3000 + 1 AS INTEGER) AS pos, CAST(pos % 3000 + 12 + ("end" - pos) % 2000 AS INTEGER) AS "end" FROM sv)'
 
 
-def _small(spark, d):
+def small(spark, d):
     p = F.col("pos") % 3000 + 1
     return S.sv(spark, d).select("sv_id", "chrnum", "svtype", p.alias("pos"), (p + 11 + (F.col("end") - F.col("pos")) % 2000).alias("end"))
 
 
 @query("sv_gc_content", S.with_views("sv", "genome", extra=_PROFILE + ",\n" + _SMALL + ",\n" + _SVGC) + "SELECT sv_id, round(coalesce(gc, 0), 6) AS gc FROM small LEFT JOIN g USING (sv_id)")
 def _(spark, d):
-    return D.sv_gc_content(_small(spark, d), D.gc_profile(S.genome(spark, d))).withColumn("gc", F.round("gc", 6))
+    return D.sv_gc_content(small(spark, d), D.gc_profile(S.genome(spark, d))).withColumn("gc", F.round("gc", 6))
 
 
 @query("sv_eligible", S.with_views("sv", "genome", extra=_PROFILE + ",\n" + _SMALL + ",\n" + _SVGC) + "SELECT sv_id, svtype FROM small JOIN g USING (sv_id) WHERE chrnum <= 22 AND gc > 0.2 AND gc < 0.75 AND svtype IN ('DEL','DUP','CNV','INV')")
 def _(spark, d):
-    sv = _small(spark, d)
+    sv = small(spark, d)
     gc = D.sv_gc_content(sv, D.gc_profile(S.genome(spark, d)))
     return sv.where((F.col("chrnum") <= 22) & F.col("svtype").isin("DEL", "DUP", "CNV", "INV")).join(gc.where("gc > 0.2 and gc < 0.75"), "sv_id").select("sv_id", "svtype")
 

@@ -1,7 +1,9 @@
 """Genotyping of a cohort as one plan: candidates, depth, evidence and GC in; calls and VCF records out.
 
-Everything up to the fits is joins and aggregates keyed by variant (and sample); the fits
-of one variant see its samples only, one row each, so a group has the size of the cohort.
+Everything up to the fits is joins and aggregates keyed by variant (and sample). What is
+known of a variant and a sample (depth, flanks, segments, evidence) meets in one exchange by
+variant and one aggregate; the fits run over whole variants of sorted partitions, many at a
+time as arrays.
 
 Each variant tries breakpoints in turn: those that split reads agree on, those that
 clips agree on, those given. An attempt counts its evidence per sample, labels samples by
@@ -12,6 +14,8 @@ with mixtures of depth alone, inversions without.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +27,7 @@ from ..functions.scalars import chrom_name, genotype_text
 from ..operators import depth as D
 from ..operators import evidence as E
 from ..operators.intervals import in_centromere
+from ..store import stored
 from . import genotype as G
 
 ATTEMPTS = ("split", "clip", "given")
@@ -46,25 +51,48 @@ def eligible(sv: DataFrame, gc: DataFrame, least: float = 0.2, most: float = 0.7
     return out.join(force, ["chrnum", "pos", "end", "svtype"], "left_semi").select(*sv.columns) if force is not None else out
 
 
-def features(sv: DataFrame, samples: DataFrame, depth: DataFrame, windows: DataFrame, width: int = 100) -> DataFrame:
-    """sv_id, sample_id, avg_dp, raw, depth, pre, post, first, second: a row for each variant and sample.
+def features(sv: DataFrame, samples: DataFrame, depth: DataFrame, windows: DataFrame, width: int = 100, clusters: DataFrame | None = None, counts: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """A row for each variant and sample, all rows of a variant in one partition: sv_id, sample_id, svtype, avg_dp, raw, depth, pre, post, first, second, has_split, has_clip and the counts of each attempt.
 
     ``samples`` has sample_id and avg_dp, ``depth`` the variants' mean depths (dp32), ``windows``
     the GC-corrected buckets. All but raw are shares of the sample's mean. The inside buckets'
     mean, where there is one, takes the place of the variant's mean; inversions have no
-    buckets and flanks of 1. Variants whose raw depth averages ``MOST_DEPTH`` or more go.
-    The rows are variants times samples by nature; a sample without depth has 0.
+    buckets and flanks of 1. Variants whose raw depth averages ``MOST_DEPTH`` or more go; samples in
+    ``exclude`` count for that and go then. The rows are variants times samples by nature; a sample
+    without depth has 0. All that is known of them is one long table, aggregated once.
     """
-    grid = sv.select("sv_id", "svtype").crossJoin(samples.select("sample_id", F.col("avg_dp").cast("double").alias("avg_dp")))
     keys = ["sv_id", "sample_id"]
-    raw = grid.join(depth.select(*keys, (F.col("dp32") / 32).alias("raw")), keys, "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
-    low = raw.groupBy("sv_id").agg(F.avg("raw").alias("m")).where(F.col("m") < MOST_DEPTH).select("sv_id")
-    rows = raw.join(low, "sv_id", "left_semi").join(D.flanks(sv, windows, width), keys, "left").join(D.segments(sv, windows, width).drop("n"), keys, "left")
-    inv = F.col("svtype") == "INV"
-    share = lambda c: F.col(c) / F.col("avg_dp")
-    return rows.select(
-        *keys, "svtype", "avg_dp", "raw", F.when(inv, share("raw")).otherwise(F.coalesce(share("whole"), share("raw"))).alias("depth"),
-        *[F.when(inv, F.lit(1.0)).otherwise(F.coalesce(share(c), F.lit(0.0))).alias(c) for c in ("pre", "post")], share("first").alias("first"), share("second").alias("second"),
+    key = [F.col(c).cast("long").alias(c) for c in keys]
+    kinds = sv.select("sv_id", "svtype")
+    has = {f"has_{a}": F.count_if(F.col("attempt") == a) > 0 for a in ("split", "clip")}
+    if clusters is not None:
+        kinds = kinds.join(clusters.groupBy("sv_id").agg(*[c.alias(n) for n, c in has.items()]), "sv_id", "left").fillna(False, list(has))
+    else:
+        kinds = kinds.withColumns({n: F.lit(False) for n in has})
+    who = samples.select("sample_id", F.col("avg_dp").cast("double").alias("avg_dp"))
+    who = who.withColumn("_out", F.lit(False)) if exclude is None else who.join(exclude.select("sample_id", F.lit(True).alias("_out")).distinct(), "sample_id", "left").fillna(False, ["_out"])
+    spans = D.flank_spans(sv, width).unionByName(D.segment_spans(sv, width).drop("inside"))
+    parts = [kinds.crossJoin(who).select(*key, "svtype", *has, "avg_dp", "_out"), depth.select(*key, (F.col("dp32") / 32).alias("raw")), D.span_steps(spans, windows).select(*key, "part", "total", "n")]
+    if counts is not None:
+        parts.append(counts.select(*key, "attempt", *COUNTS))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    if counts is None:
+        rows = rows.withColumns({"attempt": F.lit(None).cast("string")} | {c: F.lit(None).cast("int") for c in COUNTS})
+    held = [F.max(c).alias(c) for c in ("svtype", *has, "avg_dp", "_out")] + [F.coalesce(F.max("raw"), F.lit(0.0)).alias("raw")]
+    spans = [D.part_sum(p, c).alias(f"{p}_{c}") for p in ("pre", "post", "first", "second") for c in ("total", "n")]
+    tries = [F.coalesce(F.sum(F.when(F.col("attempt") == a, F.col(c))), F.lit(0)).cast("int").alias(f"{a}_{c}") for a in ATTEMPTS for c in COUNTS]
+    # one exchange, by variant, for the aggregate, the gate and the fits
+    cells = rows.repartition("sv_id").groupBy(*keys).agg(*held, *spans, *tries).where("avg_dp is not null")
+    cells = cells.withColumn("_mean", F.avg("raw").over(Window.partitionBy("sv_id"))).where((F.col("_mean") < MOST_DEPTH) & ~F.col("_out"))
+    of = lambda a, b: [F.col(f"{p}_{c}") for p in (a, b) for c in ("total", "n")]
+    (pre, post), (whole, first, second) = D.flank_means(*of("pre", "post")), D.segment_means(*of("first", "second"))
+    inv, share = F.col("svtype") == "INV", lambda c: c / F.col("avg_dp")
+    flank = lambda c: F.when(inv, F.lit(1.0)).otherwise(F.coalesce(share(c), F.lit(0.0)))
+    return cells.select(
+        *keys, "svtype", "avg_dp", "raw", F.when(inv, share(F.col("raw"))).otherwise(F.coalesce(share(whole), share(F.col("raw")))).alias("depth"),
+        flank(pre).alias("pre"), flank(post).alias("post"), share(first).alias("first"), share(second).alias("second"), *has, *[f"{a}_{c}" for a in ATTEMPTS for c in COUNTS],
     )
 
 
@@ -103,8 +131,8 @@ def break_clusters(sv: DataFrame, splits: DataFrame, cells: DataFrame, least: in
     return split.unionByName(clip).unionByName(given).select("sv_id", "attempt", "idx", "start", "end", "n")
 
 
-def attempt_counts(sv: DataFrame, clusters: DataFrame, splits: DataFrame, pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """sv_id, attempt, sample_id, splits, pairs, start_clips, end_clips: evidence near each attempt's breakpoints.
+def attempt_counts(sv: DataFrame, clusters: DataFrame, found: DataFrame) -> DataFrame:
+    """sv_id, attempt, sample_id, splits, pairs, start_clips, end_clips: evidence near each attempt's breakpoints. ``found`` as ``evidence_near`` gives it.
 
     Split reads count for every cluster within 6 bases (sum of both ends), clips for every
     cluster whose cells lie within 3 of them; pairs count once, by the largest cluster. All
@@ -117,10 +145,8 @@ def attempt_counts(sv: DataFrame, clusters: DataFrame, splits: DataFrame, pairs:
         "sv_id", "attempt", "svtype", "largest", F.col("start").alias("cs"), F.col("end").alias("ce"), at("start").alias("s"), at("end").alias("e"),
         F.least(F.lit(196), F.greatest(F.lit(3), at("start") - F.col("pos") + 100)).alias("s_cell"), F.least(F.lit(396), F.greatest(F.lit(203), at("end") - F.col("_end") + 300)).alias("e_cell"),
     )
-    row = lambda frame, kind, a, b, side: frame.select("sv_id", "sample_id", kind.alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("int").alias("side"))
-    none = F.lit(0)
-    found = row(splits, F.lit("split"), F.col("start"), F.col("end"), none).unionByName(row(pairs, F.lit("pair"), F.col("self"), F.col("mate"), F.col("side"))).unionByName(row(cells, F.col("kind"), F.col("cell"), none, none))
-    met = found.join(c, "sv_id")
+    kind = F.when(F.col("tag") == "clip", F.col("kind")).otherwise(F.col("tag"))
+    met = found.select("sv_id", "sample_id", kind.alias("kind"), "a", "b", "side").join(c, "sv_id")
     inv, gain, a, b = F.col("svtype") == "INV", F.col("svtype").isin("DUP", "CNV"), F.col("a"), F.col("b")
     split = (F.col("kind") == "split") & (F.abs(a - F.col("cs")) + F.abs(b - F.col("ce")) <= 6)
     dx, dy = F.col("s") - a, b - F.col("e")
@@ -187,16 +213,34 @@ def _inversion(cnt: np.ndarray, first: np.ndarray, reads: np.ndarray):
     return (gt, np.where(gt == 0, 2, -1), fit) if _good(gt) and int(reads[gt > 0].sum()) // ac >= 1 else None
 
 
-def _by_depth(kind: str, x: np.ndarray, two: np.ndarray | None, pre: np.ndarray, post: np.ndarray, limit: float):
-    """gt, cn and mixtures of depth alone; the two inside segments, where there are any, as a second fit."""
-    flank = [(v.mean(), v.std()) for v in (pre, post)]
-    if kind != "DEL" and not all(0.8 < m < 1.2 and s < 0.2 for m, s in flank):
-        return None
+def _steady(v: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Whether a flank lies near 1 in the cohort; variants x samples."""
+    n = use.sum(axis=1)
+    mean = v.sum(axis=1) / n
+    sd = np.sqrt((np.where(use, v - mean[:, None], 0) ** 2).sum(axis=1) / n)
+    return (mean > 0.8) & (mean < 1.2) & (sd < 0.2)
+
+
+def _depth_fits(kind: str, x: np.ndarray, two: tuple[np.ndarray, np.ndarray], has_two: np.ndarray, use: np.ndarray, limit: float) -> list[tuple]:
+    """For each variant the chosen mixtures of its depth and of its two inside segments, or None."""
     starts, shape = (G.DEL_STARTS, M.falling) if kind == "DEL" else (G.DUP_STARTS, M.rising)
-    one = M.select([M.em_1d(x, list(s)) for s in starts], limit)
-    one = one if one is not None and shape(one) else None
-    pair = M.select([M.em_2d(two, list(s)) for s in starts], limit) if two is not None else None
-    pair = pair if pair is not None and shape(pair) else None
+    limits = np.full(len(x), limit)
+
+    def chosen(fits: list[M.Mixtures], which: np.ndarray) -> dict:
+        best = M.select_many(fits, limits[: len(which)])
+        good = ((int(v), fits[b][i]) for i, (v, b) in enumerate(zip(which, best, strict=True)) if b > 0)  # one component alone has no shape
+        return {v: f for v, f in good if shape(f)}
+
+    one = chosen([M.em_1d_many(x, use, s) for s in starts], np.arange(len(x)))
+    # a deletion needs a fit of its depth
+    which = np.flatnonzero(has_two & (np.isin(np.arange(len(x)), list(one)) if kind == "DEL" else True))
+    xy = np.stack([t[which] for t in two], axis=2)
+    pair = chosen([M.em_2d_many(xy, use[which], s) for s in starts], which) if len(which) else {}
+    return [(one.get(i), pair.get(i)) for i in range(len(x))]
+
+
+def _by_depth(kind: str, x: np.ndarray, two: np.ndarray | None, pre: np.ndarray, post: np.ndarray, one: M.Mixture | None, pair: M.Mixture | None):
+    """gt, cn and mixtures of depth alone; the two inside segments, where there are any, as a second fit."""
     if one is None and (pair is None or kind == "DEL"):
         return None
     a = M.copy_number_1d(x, one) if one is not None else np.full(len(x), -1)
@@ -204,7 +248,8 @@ def _by_depth(kind: str, x: np.ndarray, two: np.ndarray | None, pre: np.ndarray,
     cn = np.where(a < 0, b, np.where(b < 0, a, np.floor((a + b) / 2 + 0.5).astype(int)))
     if kind != "DEL":
         off = np.zeros(len(x), bool)
-        for v, (m, s) in zip((pre, post), flank, strict=True):
+        for v in (pre, post):
+            m, s = v.mean(), v.std()
             off |= (np.abs(v - m) > 2 * s) | ((cn > 0) & (np.abs(x - v) < 2 * s))
         cn = np.where(off | (cn < 2), -1, cn)
     gt = _to_gt(kind, cn)
@@ -218,82 +263,107 @@ def _text(name: str, fit: M.Mixture) -> str:
     return f"{name}=({parts});{name}Overlap={fit.overlap:.3f}"
 
 
-def _first_genotype(kind: str, counts: np.ndarray) -> np.ndarray:
-    """1 with enough evidence, 0 with hardly any, else -1."""
+def _first_genotype(inv: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """1 with enough evidence, 0 with hardly any, else -1; ``inv``: whether a row's variant is an inversion."""
     splits, pairs, start, end = counts.T
     total = splits + pairs + (start + end) / 2
-    carrier = (splits + pairs >= 3) if kind == "INV" else (splits >= 3) | (splits + pairs >= 5) | ((start > 0) & (end > 0) & (total >= 5))
+    carrier = np.where(inv, splits + pairs >= 3, (splits >= 3) | (splits + pairs >= 5) | ((start > 0) & (end > 0) & (total >= 5)))
     return np.where(carrier, 1, np.where(total < 1, 0, -1))
 
 
-def call_variant(rows: pd.DataFrame, max_overlap: float = G.OVERLAP) -> pd.DataFrame:
-    """The calls of one variant from its samples' rows (columns of ``call_table``)."""
-    kind = rows["svtype"].iloc[0]
-    limit = max_overlap * (G.GAIN if kind in ("DUP", "CNV") else 1)
+#: Numbers in one array of a fit: variants x components x samples.
+FIT_SIZE = 1 << 21
+_CARRIED = ("svtype", "avg_dp", "raw", "depth", "pre", "post", "first", "second")
+
+
+def call_variants(rows: pd.DataFrame, first: np.ndarray, max_overlap: float = G.OVERLAP) -> pd.DataFrame:
+    """The calls of whole variants from their samples' rows (columns of ``features``), sorted; ``first``: where each variant begins, and the number of rows."""
+    kinds = rows["svtype"].to_numpy(object)[first[:-1]]
     x, pre, post, avg = (rows[c].to_numpy(float) for c in ("depth", "pre", "post", "avg_dp"))
     two = rows[["first", "second"]].to_numpy(float)
-    two = None if np.isnan(two).any() else two
-    gt = cn = np.full(len(x), -1)
-    method, fit, counts, found = "", "", np.zeros((len(x), 4)), None
+    variants, n = len(kinds), len(rows)
+    gt, cn, counts = np.full(n, -1), np.full(n, -1), np.zeros((n, 4))
+    method, fit = np.full(variants, "", object), np.full(variants, "", object)
+    inv, sizes = np.repeat(kinds == "INV", np.diff(first)), np.diff(first)
+    limit = max_overlap * np.where(np.isin(kinds, ("DUP", "CNV")), G.GAIN, 1.0)
+    some = lambda hit: np.logical_or.reduceat(hit, first[:-1])
+    on = np.ones(variants, bool)
     for attempt in ATTEMPTS:
-        if attempt != "given" and not rows[f"has_{attempt}"].iloc[0]:
+        has = on & (rows[f"has_{attempt}"].to_numpy(bool)[first[:-1]] if attempt != "given" else True)
+        if not has.any():
             continue
-        counts = rows[[f"{attempt}_{c}" for c in COUNTS]].to_numpy(float)
-        total = counts[:, 0] + counts[:, 1] + (counts[:, 2] + counts[:, 3]) / 2
-        first = _first_genotype(kind, counts)
-        if (first == 1).any() and (first == 0).any():
-            cnt = total / avg
-            found = _inversion(cnt, first, counts[:, 0] + counts[:, 1]) if kind == "INV" else _by_evidence(kind, x, cnt, limit)
-        if found:
-            gt, cn, best = found
-            method, fit = attempt, _text("CNT" if kind == "INV" else "DPCNT", best)
-            break
-        if kind == "DEL":
-            break
-    if not found and kind != "INV" and (found := _by_depth(kind, x, two, pre, post, limit)):
-        gt, cn, one, pair = found
-        method, fit = "depth", ";".join(_text(n, f) for n, f in (("DP", one), ("DP2", pair)) if f is not None)
-    called = cn[cn >= 0]
+        own = rows[[f"{attempt}_{c}" for c in COUNTS]].to_numpy(float)
+        counts = np.where(np.repeat(has, sizes)[:, None], own, counts)
+        start = _first_genotype(inv, own)
+        cnt = (own[:, 0] + own[:, 1] + (own[:, 2] + own[:, 3]) / 2) / avg
+        for v in np.flatnonzero(has & some(start == 1) & some(start == 0)):
+            at = slice(first[v], first[v + 1])
+            found = _inversion(cnt[at], start[at], own[at, 0] + own[at, 1]) if kinds[v] == "INV" else _by_evidence(kinds[v], x[at], cnt[at], limit[v])
+            if found:
+                gt[at], cn[at], best = found
+                method[v], fit[v], on[v] = attempt, _text("CNT" if kinds[v] == "INV" else "DPCNT", best), False
+        # a deletion whose breakpoints were found doesn't try others
+        on &= ~(has & (kinds == "DEL"))
+    for kind in ("DEL", "DUP", "CNV"):
+        left = np.flatnonzero((method == "") & (kinds == kind))
+        while len(left):
+            step = max(1, FIT_SIZE // (7 * int(sizes[left].max())))
+            part, left = left[:step], left[step:]
+            take = np.concatenate([np.arange(first[v], first[v + 1]) for v in part])
+            (px, pa, pb, ppre, ppost), use = G.padded([c[take] for c in (x, two[:, 0], two[:, 1], pre, post)], np.concatenate([[0], np.cumsum(sizes[part])]))
+            if kind != "DEL":
+                calm = _steady(ppre, use) & _steady(ppost, use)
+                part, px, pa, pb, use = part[calm], px[calm], pa[calm], pb[calm], use[calm]
+            if not len(part):
+                continue
+            has_two = ~(np.isnan(np.where(use, pa, 0)) | np.isnan(np.where(use, pb, 0))).any(axis=1)
+            for v, (one, pair) in zip(part, _depth_fits(kind, px, (pa, pb), has_two, use, float(limit[part[0]])), strict=True):
+                at = slice(first[v], first[v + 1])
+                if found := _by_depth(kind, x[at], two[at], pre[at], post[at], one, pair):
+                    gt[at], cn[at], one, pair = found
+                    method[v], fit[v] = "depth", ";".join(_text(name, f) for name, f in (("DP", one), ("DP2", pair)) if f is not None)
+    odd = (cn >= 0) & ((cn < 2) | (cn > 4))
+    biallelic = np.isin(kinds, ("DEL", "INV")) | ~some(odd)
+    each = lambda a: np.repeat(a, sizes)
     return pd.DataFrame(
         {
-            "sv_id": rows["sv_id"], "sample_id": rows["sample_id"], "gt": gt, "cn": cn, "method": method, "passed": bool(method), "fit": fit,
-            "biallelic": bool(kind in ("DEL", "INV") or (called >= 2).all() and (called <= 4).all()),
-            **{c: counts[:, i].astype(int) for i, c in enumerate(COUNTS)},
+            "sv_id": rows["sv_id"].to_numpy(), "sample_id": rows["sample_id"].to_numpy(), "gt": gt, "cn": cn, "method": each(method), "passed": each(method != ""), "fit": each(fit), "biallelic": each(biallelic),
+            **{c: counts[:, i].astype(int) for i, c in enumerate(COUNTS)}, **{c: rows[c].to_numpy() for c in _CARRIED},
         }
     )
 
 
-def call_table(feats: DataFrame, counts: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``feats`` with each attempt's counts as columns, and whether split reads and clips gave breakpoints."""
-    wide = counts.groupBy("sv_id", "sample_id").agg(*[F.sum(F.when(F.col("attempt") == a, F.col(c))).alias(f"{a}_{c}") for a in ATTEMPTS for c in COUNTS])
-    has = clusters.groupBy("sv_id").agg(*[(F.count_if(F.col("attempt") == a) > 0).alias(f"has_{a}") for a in ("split", "clip")])
-    rows = feats.join(wide, ["sv_id", "sample_id"], "left").join(has, "sv_id", "left")
-    return rows.fillna(0, [f"{a}_{c}" for a in ATTEMPTS for c in COUNTS]).fillna(False, ["has_split", "has_clip"])
-
+def call(table: DataFrame, max_overlap: float = G.OVERLAP, together: bool = False) -> DataFrame:
+    """sv_id, sample_id, gt, cn (nulls are missing), method (empty: none passed), passed, fit, biallelic, the evidence of the last attempt, and the features.
 
-def call(table: DataFrame, max_overlap: float = G.OVERLAP) -> DataFrame:
-    """sv_id, sample_id, gt, cn (nulls are missing), method (empty: none passed), passed, fit, biallelic and the evidence of the last attempt."""
+    ``together``: all rows of a variant lie in one partition already, as ``features`` leaves them.
+    """
     shape = "sv_id long, sample_id long, gt int, cn int, method string, passed boolean, fit string, biallelic boolean, " + ", ".join(f"{c} int" for c in COUNTS)
-    table = table.withColumn("sample_id", F.col("sample_id").cast("long"))
-    one = lambda group: call_variant(group.sort_values("sample_id").reset_index(drop=True), max_overlap)
-    out = table.groupBy("sv_id").applyInPandas(one, shape)
+    shape += ", svtype string, " + ", ".join(f"{c} double" for c in _CARRIED[1:])
+    table = table.withColumns({c: F.col(c).cast("long") for c in ("sv_id", "sample_id")})
+    rows = (table if together else table.repartition("sv_id")).sortWithinPartitions("sv_id", "sample_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, first in G.by_variant(batches):
+            yield call_variants(part, first, max_overlap)
+
+    out = rows.mapInPandas(run, shape)
     return out.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in ("gt", "cn")})
 
 
 def genotype(
     sv: DataFrame, samples: DataFrame, depth: DataFrame, windows: DataFrame, pairs: DataFrame, splits: DataFrame, clips: DataFrame, gc: DataFrame,
     exclude: DataFrame | None = None, force: DataFrame | None = None, region: tuple[int, int, int] | None = None, max_overlap: float = G.OVERLAP, width: int = 100, far_end: bool = False,
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Candidates, features, break clusters and calls. Samples in ``exclude`` (sample_id) take part in no fit and get no call; the depth gate counts them."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, break clusters and calls (with features). Samples in ``exclude`` (sample_id) take part in no fit and get no call; the depth gate counts them."""
     sv = eligible(sv, gc, force=force, region=region)
-    feats = features(sv, samples, depth, windows, width)
     if exclude is not None:
         drop = lambda rows: rows.join(exclude.select("sample_id"), "sample_id", "left_anti")
-        feats, pairs, splits, clips = drop(feats), drop(pairs), drop(splits), drop(clips)
-    hits, reads, cells = E.splits_near(sv, splits, far_end), E.pairs_near(sv, pairs), E.clips_near(sv, clips)
-    clusters = break_clusters(sv, hits, cells)
-    calls = call(call_table(feats, attempt_counts(sv, clusters, hits, reads, cells), clusters), max_overlap)
-    return sv, feats, clusters, calls
+        pairs, splits, clips = drop(pairs), drop(splits), drop(clips)
+    near = stored(E.evidence_near(sv, E.evidence_rows(pairs, splits, clips), far_end), "near")
+    clusters = stored(break_clusters(sv, E.split_hits(near), E.clip_hits(near)), "clusters")
+    cells = features(sv, samples, depth, windows, width, clusters, attempt_counts(sv, clusters, near), exclude)
+    return sv, clusters, call(cells, max_overlap, together=True)
 
 
 def sample_cell(kind: Column) -> Column:
@@ -304,10 +374,9 @@ def sample_cell(kind: Column) -> Column:
     return F.concat_ws(":", genotype_text(F.coalesce("gt", F.lit(-1))), F.coalesce(number("cn"), F.lit(".")), two(F.col("depth")), two(F.col("raw")), dd, *map(number, COUNTS))
 
 
-def records(sv: DataFrame, feats: DataFrame, clusters: DataFrame, calls: DataFrame, report_all: bool = False) -> DataFrame:
+def records(sv: DataFrame, clusters: DataFrame, calls: DataFrame, report_all: bool = False) -> DataFrame:
     """chrnum, pos, sv_id, line: a VCF line for each variant that passed (all of them with ``report_all``), samples in order of id."""
-    keys = ["sv_id", "sample_id"]
-    rows = feats.withColumn("sample_id", F.col("sample_id").cast("long")).join(calls if report_all else calls.where("passed"), keys)
+    rows = calls if report_all else calls.where("passed")
     stat = lambda c: F.concat(F.lit(f"{c.upper()}=("), F.format_string("%.2f", F.avg(c)), F.lit(","), F.format_string("%.2f", F.stddev_pop(c)), F.lit(")")).alias(c)
     one = lambda c: F.first(c).alias(c)
     cells = F.sort_array(F.collect_list(F.struct("sample_id", sample_cell(F.col("svtype")).alias("cell")))).alias("cells")

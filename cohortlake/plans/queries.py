@@ -311,6 +311,11 @@ def _(spark, d):
     return _rounded(G.fitted(S.cohort(spark, d), 1, [[1.0, 0.5, 0.0]]).drop("overlap"))
 
 
+@query("em_1d_sums", SQL["em_1d"])
+def _(spark, d):
+    return _rounded(G.fitted_by_sums(S.cohort(spark, d), [1.0, 0.5, 0.0]))
+
+
 @query("em_2d")
 def _(spark, d):
     return G.fitted(S.cohort(spark, d), 2, [[1.0, 0.5, 0.0]])
@@ -350,6 +355,7 @@ def _(spark, d):
 def _(spark, d):
     """The whole plan over the views: candidates, variant and window depth, evidence, GC; every line reported."""
     from ..operators import depth as D
+    from ..operators import queries_depth as QD
     from ..operators import queries_evidence as Q
 
     hour = 3600
@@ -357,7 +363,7 @@ def _(spark, d):
     sv = Q._sv(spark, d)
     samples = points.groupBy("sample_id").agg((F.avg("depth") / 100).alias("avg_dp"))
     depth = D.variant_depth(sv, points)
-    gc = sv.select("sv_id", F.lit(0.4).alias("gc"))
+    gc = D.sv_gc_content(QD.small(spark, d), D.gc_profile(S.genome(spark, d)))
     kind = lambda *k: ev.where(F.col("kind").isin(*k))
     # the view's depths are amounts, far above what the depth gate lets pass: a tenth
     tenth = lambda rows: rows.withColumn("dp32", (F.col("dp32") / 10).cast("int"))

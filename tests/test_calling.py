@@ -60,7 +60,7 @@ def parts(spark):
 
 
 def test_planted_cohort(spark, parts):
-    sv, feats, clusters, calls = C.genotype(**parts)
+    sv, clusters, calls = C.genotype(**parts)
     got = defaultdict(dict)
     how = {}
     for r in calls.collect():
@@ -75,14 +75,14 @@ def test_planted_cohort(spark, parts):
     places = {(r.sv_id, r.attempt): (round(r.start), round(r.end), r.n) for r in clusters.collect()}
     assert places[1, "split"] == (20_050, 22_050, 50) and places[2, "clip"] == (40_053, 42_048, 50) and places[5, "split"] == (100_050, 102_050, 50)
 
-    lines = {r.sv_id: r.line.split("\t") for r in C.records(sv, feats, clusters, calls).collect()}
+    lines = {r.sv_id: r.line.split("\t") for r in C.records(sv, clusters, calls).collect()}
     assert sorted(lines) == [1, 2, 3, 4, 5, 6, 7] and all(len(x) == 9 + N for x in lines.values())
     info = dict(x.partition("=")[::2] for x in lines[1][7].split(";"))
     assert lines[1][:7] == ["chr2", "20050", "DEL_2:20050-22050", ".", "<DEL>", ".", "PASS"] and lines[1][8] == "GT:CN:ND:DP:DD:SP:RP:SC:EC"
     assert (info["SVLEN"], info["AC"], info["NS"], info["AF"], info["N_HET"], info["SPLIT"]) == ("-2001", "12", "30", "0.200000", "8", "(20050,22050)")
     assert lines[1][9 + 20].startswith("0/1:1:") and lines[1][9 + 20].endswith(":5:0:0:0") and "Biallelic" in info and "DPCNT" in info
     assert "READPAIR" in lines[7][7] and "CNT=" in lines[7][7] and lines[7][9].split(":")[4] == "." and "DP=" in lines[4][7] and "DP2=" in lines[4][7]
-    assert {r.sv_id for r in C.records(sv, feats, clusters, calls, report_all=True).collect()} == {*lines, 10}
+    assert {r.sv_id for r in C.records(sv, clusters, calls, report_all=True).collect()} == {*lines, 10}
 
 
 def test_mask_gate_force_region(spark, parts):
@@ -146,6 +146,12 @@ def fold(points):
     return out
 
 
+def found_rows(splits, pairs, cells):
+    row = lambda frame, tag, kind, a, b, side: frame.select("sv_id", "sample_id", F.lit(tag).alias("tag"), kind.alias("kind"), F.expr(a).cast("int").alias("a"), F.expr(b).cast("int").alias("b"), F.expr(side).cast("int").alias("side"))
+    none = F.lit(None).cast("string")
+    return row(splits, "split", none, "start", "end", "null").unionByName(row(pairs, "pair", none, "self", "mate", "side")).unionByName(row(cells, "clip", F.col("kind"), "cell", "null", "null"))
+
+
 def test_clusters_and_counts(spark):
     kinds = ["DEL", "DUP", "CNV", "INV"] * 3
     sv, splits, pairs, cells = evidence(np.random.default_rng(11), kinds)
@@ -165,7 +171,7 @@ def test_clusters_and_counts(spark):
     for k, v in got.items():
         assert np.allclose(v, want[k])
 
-    found = {(r.sv_id, r.attempt, r.sample_id): (r.splits, r.pairs, r.start_clips, r.end_clips) for r in C.attempt_counts(*frames[:1], clusters, *frames[1:]).collect()}
+    found = {(r.sv_id, r.attempt, r.sample_id): (r.splits, r.pairs, r.start_clips, r.end_clips) for r in C.attempt_counts(frames[0], clusters, found_rows(*frames[1:])).collect()}
     for (i, attempt), parts_ in got.items():
         kind, (big_s, big_e, _) = kinds[i], max(parts_, key=lambda c: c[2])
         big_s, big_e = math.floor(big_s + 0.5), math.floor(big_e + 0.5)
@@ -238,3 +244,47 @@ def test_model_selection_by_hand():
         good = [f for f in fits if f.overlap < 0.2]
         best = M.select(fits, 0.2)
         assert best.bic == min(f.bic for f in good) and len(best.alphas) == k
+
+
+def test_many_variants_at_once_equal_one_by_one():
+    rng = np.random.default_rng(3)
+    sizes, start = [40, 1, 60, 35], [1.0, 0.5, 0.0]
+    x = [rng.normal(np.resize(start, n), 0.05) for n in sizes]
+    y = [np.resize(start, len(v)) + rng.normal(0, 0.05, len(v)) for v in x]
+    (px, py), use = G.padded([np.concatenate(x), np.concatenate(y)], np.concatenate([[0], np.cumsum(sizes)]))
+    for s in ([1.0], start[:2], start):
+        one, two = M.em_1d_many(px, use, s), M.em_2d_many(np.stack([px, py], axis=2), use, s)
+        for i in range(4):
+            for many, single in ((one[i], M.em_1d(x[i], s)), (two[i], M.em_2d(np.stack([x[i], y[i]], axis=1), s))):
+                if sizes[i] == 1 and many.means.shape[1] == 2:
+                    continue  # one point has no covariance
+                assert np.allclose(many.means, single.means) and np.allclose(many.spreads, single.spreads) and many.bic == pytest.approx(single.bic) and many.overlap == pytest.approx(single.overlap)
+
+
+def test_whole_variants_of_batches():
+    rows = pd.DataFrame({"sv_id": np.repeat([3, 5, 6, 9], [4, 1, 10, 2]), "v": range(17)})
+    for size in (1, 3, 100):
+        for most in (1, 5, 1000):
+            got = list(G.by_variant((rows.iloc[i : i + size] for i in range(0, 17, size)), most))
+            assert [v for r, _ in got for v in r["v"]] == list(range(17))
+            assert [r["sv_id"].iloc[f] for r, first in got for f in first[:-1]] == [3, 5, 6, 9]
+    assert list(G.by_variant(iter([]))) == []
+
+
+def test_mixtures_by_sums_of_a_large_cohort(spark):
+    rng = np.random.default_rng(8)
+    n = 100_000
+    at = rng.choice([1.0, 0.5, 0.0], n, p=[0.7, 0.25, 0.05])
+    frame = pd.DataFrame({"sv_id": np.repeat([1, 2], n // 2), "sample_id": np.arange(n), "depth": at + rng.normal(0, 0.06, n), "depth2": at + rng.normal(0, 0.08, n)})
+    rows = spark.createDataFrame(frame).repartition(8)
+    start = [1.0, 0.5, 0.0]
+    one, two = ({(r.sv_id, r.comp): r for r in G.fitted_by_sums(rows, start, dims).collect()} for dims in (1, 2))
+    for i in (1, 2):
+        own = frame[frame.sv_id == i]
+        fit, pair = M.em_1d(own.depth.to_numpy(), start), M.em_2d(own[["depth", "depth2"]].to_numpy(), start)
+        for c in range(3):
+            assert (one[i, c].mean, one[i, c].spread, one[i, c].alpha) == pytest.approx((fit.means[c, 0], fit.spreads[c], fit.alphas[c]), rel=1e-9, abs=1e-9)
+            assert (two[i, c].mean, two[i, c].spread, two[i, c].alpha) == pytest.approx((pair.means[c, 0], np.sqrt(pair.spreads[c, 0, 0]), pair.alphas[c]), rel=1e-9, abs=1e-9)
+        assert one[i, 0].bic == pytest.approx(fit.bic, rel=1e-9) and two[i, 0].bic == pytest.approx(pair.bic, rel=1e-9)
+    with pytest.raises(ValueError):
+        G.fitted_by_sums(rows, [1.0])
