@@ -356,7 +356,7 @@ def genotype(
     exclude: DataFrame | None = None, force: DataFrame | None = None, region: tuple[int, int, int] | None = None, max_overlap: float = G.OVERLAP, width: int = 100, far_end: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates, break clusters and calls (with features). Samples in ``exclude`` (sample_id) take part in no fit and get no call; the depth gate counts them."""
-    sv = eligible(sv, gc, force=force, region=region)
+    sv = stored(eligible(sv, gc, force=force, region=region), "candidates")  # read by every step
     if exclude is not None:
         drop = lambda rows: rows.join(exclude.select("sample_id"), "sample_id", "left_anti")
         pairs, splits, clips = drop(pairs), drop(splits), drop(clips)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import surrogates as S
 from ..functions import scalars as X
+from ..store import stored
 from . import calling as C
 from . import genotype as G
 
@@ -366,9 +367,9 @@ def _(spark, d):
     gc = D.sv_gc_content(QD.small(spark, d), D.gc_profile(S.genome(spark, d)))
     kind = lambda *k: ev.where(F.col("kind").isin(*k))
     # the view's depths are amounts, far above what the depth gate lets pass: a tenth
-    tenth = lambda rows: rows.withColumn("dp32", (F.col("dp32") / 10).cast("int"))
+    tenth = lambda rows, name: stored(rows.withColumn("dp32", (F.col("dp32") / 10).cast("int")), name)
     samples = samples.withColumn("avg_dp", F.col("avg_dp") / 10)
-    parts = C.genotype(sv, samples, tenth(depth), tenth(D.depth_windows(points, hour)), kind("pair", "filtered"), kind("split", "filtered", "pair"), kind("lclip", "rclip"), gc, width=hour)
+    parts = C.genotype(sv, samples, tenth(depth, "variant_depth"), tenth(D.depth_windows(points, hour), "windows"), kind("pair", "filtered"), kind("split", "filtered", "pair"), kind("lclip", "rclip"), gc, width=hour)
     return C.records(*parts, report_all=True)
 
 
