@@ -5,8 +5,9 @@ from __future__ import annotations
 from .functions import queries as functions
 from .operators import queries_depth, queries_evidence, queries_intervals
 from .plans import queries as plans
+from .sources import queries as sources
 
-_PARTS = (functions, queries_intervals, queries_depth, queries_evidence, plans)
+_PARTS = (functions, queries_intervals, queries_depth, queries_evidence, plans, sources)
 
 
 def queries() -> dict:

@@ -33,9 +33,20 @@ def parse(lines: DataFrame) -> DataFrame:
     )
 
 
+def header(chromosomes: list[int], length: int = 1 << 29) -> list[str]:
+    """Header lines of a file in order of coordinates."""
+    names = ["X" if c == 23 else "Y" if c == 24 else "M" if c == 25 else str(c) for c in sorted(chromosomes)]
+    return ["@HD\tVN:1.6\tSO:coordinate", *[f"@SQ\tSN:chr{n}\tLN:{length}" for n in names]]
+
+
 def to_lines(reads: DataFrame) -> DataFrame:
+    return with_line(reads).select("line")
+
+
+def with_line(reads: DataFrame) -> DataFrame:
+    """``reads`` and as ``line`` their alignment lines."""
     text = lambda c: F.col(c).cast("string")
     mate = F.when(F.col("chrnum") == F.col("mate_chrnum"), "=").otherwise(chrom_name(F.col("mate_chrnum")))
     tags = [F.concat(F.lit("MQ:i:"), text("mq")), F.concat(F.lit("NM:i:"), text("nm")), F.concat(F.lit("SA:Z:"), F.col("sa"))]
     name = F.concat(text("read_id"), F.lit("/"), text("part"))
-    return reads.select(F.concat_ws("\t", name, text("flag"), chrom_name(F.col("chrnum")), text("pos"), text("mapq"), "cigar", mate, text("mate_pos"), text("isize"), F.lit("*"), F.lit("*"), *tags).alias("line"))
+    return reads.select("*", F.concat_ws("\t", name, text("flag"), chrom_name(F.col("chrnum")), text("pos"), text("mapq"), "cigar", mate, text("mate_pos"), text("isize"), F.lit("*"), F.lit("*"), *tags).alias("line"))

@@ -94,14 +94,19 @@ def _field(key: str, value: Column) -> Column:
     return F.concat(F.lit(f"{key}="), value)
 
 
-def to_lines(sv: DataFrame) -> DataFrame:
-    """One VCF line (without sample columns) per candidate; CHR2 and SUPP_VEC where ``sv`` has them."""
+def with_line(sv: DataFrame) -> DataFrame:
+    """``sv`` and as ``line`` its VCF line (without sample columns); CHR2 and SUPP_VEC where ``sv`` has them."""
     info = [_field("SVTYPE", F.col("svtype")), _field("END", _text("end")), _field("SVLEN", (F.col("end") - F.col("pos") + 1).cast("string")), _field("SUPP", _text("supp"))]
     if "mate_chrnum" in sv.columns:
         info.append(_field("CHR2", chrom_name(F.col("mate_chrnum"))))
     if "supp_vec" in sv.columns:
         info.append(_field("SUPP_VEC", F.col("supp_vec")))
-    return sv.select(_line(chrom_name(F.col("chrnum")), info))
+    return sv.select("*", _line(chrom_name(F.col("chrnum")), info))
+
+
+def to_lines(sv: DataFrame) -> DataFrame:
+    """One VCF line per candidate."""
+    return with_line(sv).select("line")
 
 
 def merged_lines(sv: DataFrame) -> DataFrame:
