@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -132,3 +134,16 @@ def text_words(batch: pa.RecordBatch, is_word: np.ndarray):
     data, offsets = flat(batch.column(batch.schema.get_field_index("text")))
     data = LOWER[data]
     return (data, *bounds(data, offsets, is_word))
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not this C library
+    _trim = None
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: workers serve many tasks, and others share the machine."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)

@@ -9,9 +9,13 @@ the candidates left for l = 1, 2, 4, 8 and takes the cheapest; a longer prefix n
 correspondingly more shared shingles before a pair is verified. No l above t is taken:
 a pair may have just t shingles in common.
 
-Order: by the count of a shingle's slot in a table of 2^``SLOT_BITS`` counters over
-all documents (its size doesn't depend on the corpus, so it is broadcast), then by
-hash. Any order gives the same result; a good one only saves candidates.
+Order: by the count of a shingle's slot in a table of counters over all documents, then
+by hash. The table has 2^22 slots, and more with the size of the input up to 2^26; that
+bounds what is broadcast (a byte a slot). Tasks' counters are added up in steps of 64.
+Any order gives the same result; a good one only saves candidates.
+
+A set is named by a 64-bit hash. Where two different sets share it (a second hash tells), all but
+one of them get new names; with n sets, about n^2 / 2^65 pairs do, so these names fit in memory.
 
 Before a candidate's sets are read, its parity sketches are compared: 256 bits, each the
 parity of the shingles that hash to it. They differ in at most as many bits as the sets
@@ -36,31 +40,35 @@ table gives no rows; columns besides ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._graph import components
 from ._store import stored, stored_by, unused
-from ._text import NONSPACE, grams, hashes, mix, pieces, text_words
+from ._text import NONSPACE, grams, hashes, mix, pieces, release, text_words
 
-SLOT_BITS, RANGE = 22, 1 << 16
+SLOT_BITS, MOST_SLOT_BITS, RANGE = 22, 26, 1 << 16
+#: Tasks' counters that are added up at once.
+AT_ONCE = 64
 LEVELS = (1, 2, 4, 8)
 #: What a candidate costs against reading one posting, for choosing l.
 VERIFY = 8.0
 SKETCH = ("s0", "s1", "s2", "s3")
 #: Rounds of pivots at most; they end sooner when a round joins less than this part of the nodes still apart.
 PIVOT_ROUNDS, LEAST_JOINED = 8, 0.2
-#: A slot is hot when it holds this many times the mean, and this many at least.
-HOT, LEAST_HOT, SALTS = 16, 1_000, 256
+#: A slot is hot when it holds this many times the mean, this many at least, and so many at any rate.
+HOT, LEAST_HOT, MOST_COLD, SALTS = 16, 1_000, 1_000_000, 256
 #: Bytes of text that are made shingles at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -85,9 +93,20 @@ def shingle_sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     return out
 
 
-def node_of(s: np.ndarray) -> int:
-    """A 64-bit hash of a whole set, which names its node."""
-    return int((np.bitwise_xor.reduce(mix(s)) ^ np.add.reduce(s * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)) if len(s) else 0
+def node_of(s: np.ndarray, bits: int = 64) -> int:
+    """A hash of a whole set, which names its node."""
+    return int((np.bitwise_xor.reduce(mix(s)) ^ np.add.reduce(s * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)) >> (64 - bits) if len(s) else 0
+
+
+def other_of(s: np.ndarray) -> int:
+    """Another, independent hash of it."""
+    return int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xABCD))).view(np.int64)) if len(s) else 0
+
+
+def name_of(s: np.ndarray, names: dict[int, dict[int, int]], bits: int = 64) -> int:
+    """The node of a set, by its new name where it has one."""
+    node = node_of(s, bits)
+    return names[node].get(other_of(s), node) if node in names else node
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -101,15 +120,13 @@ def least_overlaps(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.nd
     return -(-num * n // den), -(-2 * num * n // (num + den))
 
 
-def _survey(batches: Iterator[pa.RecordBatch], k: int, slot_bits: int) -> Iterator[pa.RecordBatch]:
-    """A row per document (node: a hash of its set), and this task's counts of shingles per slot, in ranges."""
-    slots = np.zeros(1 << slot_bits, np.uint32)
+def _survey(batches: Iterator[pa.RecordBatch], k: int, slot_bits: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """A row per document (node and other: hashes of its set), and this task's counts of shingles per slot, in ranges."""
+    slots, task = np.zeros(1 << slot_bits, np.uint32), TaskContext.get().partitionId()
     none = lambda n, t: pa.nulls(n, t)
     for batch in pieces(batches, SLICE):
         sets = shingle_sets(batch, k)
         n = np.array([len(s) for s in sets], np.int64)
-        node = np.array([node_of(s) for s in sets], np.int64)
-        other = [np.bitwise_xor.reduce(mix(s ^ np.uint64(0xABCD))) if len(s) else np.uint64(0) for s in sets]
         sketches = np.stack([parity(s) for s in sets])
         if n.sum():
             slots += np.bincount((np.concatenate(sets) >> np.uint64(64 - slot_bits)).astype(np.int64), minlength=len(slots)).astype(np.uint32)
@@ -117,35 +134,45 @@ def _survey(batches: Iterator[pa.RecordBatch], k: int, slot_bits: int) -> Iterat
             {
                 "doc_id": batch.column(0),
                 "n": pa.array(n),
-                "node": pa.array(node),
-                "other": pa.array(np.array(other, np.uint64).view(np.int64)),
+                "node": pa.array(np.array([node_of(s, bits) for s in sets], np.int64)),
+                "other": pa.array(np.array([other_of(s) for s in sets], np.int64)),
                 **{f"s{i}": pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(4)},
                 "range": none(len(n), pa.int32()),
+                "task": none(len(n), pa.int32()),
                 "counts": none(len(n), pa.binary()),
             }
         )
     parts = slots.reshape(-1, min(RANGE, len(slots)))
     used = np.flatnonzero(parts.any(axis=1))
-    if len(used):
+    for i in used:  # one at a time, so that no copy of all counters is held
         yield pa.record_batch(
             {
-                "doc_id": none(len(used), pa.int64()),
-                "n": none(len(used), pa.int64()),
-                "node": none(len(used), pa.int64()),
-                "other": none(len(used), pa.int64()),
-                **{f"s{i}": none(len(used), pa.int64()) for i in range(4)},
-                "range": pa.array(used.astype(np.int32)),
-                "counts": pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary()),
+                "doc_id": none(1, pa.int64()),
+                "n": none(1, pa.int64()),
+                "node": none(1, pa.int64()),
+                "other": none(1, pa.int64()),
+                **{f"s{j}": none(1, pa.int64()) for j in range(4)},
+                "range": pa.array([i], pa.int32()),
+                "task": pa.array([task], pa.int32()),
+                "counts": pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary()),
             }
         )
+    del slots, parts
+    release()
 
 
 def _summed(table: pa.Table) -> pa.Table:
     total = 0
-    for blob in table.column("counts").to_pylist():
-        total = total + np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64)
+    for blob in table.column("counts"):
+        total = total + np.frombuffer(zlib.decompress(blob.as_py()), np.uint32).astype(np.int64)
     total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
-    return pa.table({"range": table.column("range")[:1], "part": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    return pa.table({"range": table.column("range")[:1], "part": table.column("part")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def _slot_bits(docs: DataFrame) -> int:
+    """One slot for 256 bytes of input, as far as Spark knows their number, within bounds."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST_SLOT_BITS, max(SLOT_BITS, (size >> 8).bit_length())) if size < 1 << 60 else SLOT_BITS
 
 
 def _quarters(counts: np.ndarray | float) -> np.ndarray:
@@ -154,20 +181,24 @@ def _quarters(counts: np.ndarray | float) -> np.ndarray:
 
 
 def _slot_table(survey: DataFrame, slot_bits: int) -> tuple[np.ndarray, int]:
-    """log2 (in quarters) of each slot's count, and from where on a slot is hot. Sums per range in two steps, so no task takes all tasks' counts."""
-    parts = survey.where("counts is not null").select("range", F.pmod(F.xxhash64("counts"), F.lit(32)).cast("int").alias("part"), "counts")
-    shape = "range int, part int, counts binary"
-    total = parts.groupBy("range", "part").applyInArrow(_summed, shape).groupBy("range").applyInArrow(_summed, shape)
+    """log2 (in quarters) of each slot's count, and from where on a slot is hot. Counts of ``AT_ONCE`` tasks at most meet in one group, step by step."""
+    parts = survey.where("counts is not null").select("range", F.col("task").alias("part"), "counts")
+    last = parts.agg(F.max("part")).first()[0]
+    while last is not None:
+        parts = parts.withColumn("part", F.floor(F.col("part") / AT_ONCE).cast("int")).groupBy("range", "part").applyInArrow(_summed, "range int, part int, counts binary")
+        last //= AT_ONCE
+        if not last:
+            break
     out = np.zeros(1 << slot_bits, np.uint8)
     size, whole = min(RANGE, len(out)), 0
-    for r in total.collect():  # a table of fixed size
+    for r in parts.toLocalIterator():  # a table of bounded size
         counts = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
         out[r["range"] * size : (r["range"] + 1) * size] = _quarters(counts)
         whole += int(counts.sum(dtype=np.uint64))
-    return out, int(_quarters(max(LEAST_HOT, HOT * whole / len(out))))
+    return out, int(_quarters(min(MOST_COLD, max(LEAST_HOT, HOT * whole / len(out)))))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, num: int, den: int, slot_bits: int) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], shared, names: dict, k: int, num: int, den: int, slot_bits: int, bits: int) -> Iterator[pa.RecordBatch]:
     """node, n, shingle, at: the longest prefix of each set, by the count of slots; shingles of hot slots are marked."""
     (slots, limit), done = shared.value, set()
     for batch in pieces(batches, SLICE):
@@ -175,7 +206,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, num: int, den:
         for s in shingle_sets(batch, k):
             if not len(s):
                 continue
-            node = node_of(s)
+            node = name_of(s, names, bits)
             if node in done:  # equal sets have equal rows
                 continue
             done.add(node)
@@ -188,16 +219,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, k: int, num: int, den:
         if rows:
             node, n, shingle, at, hot = (np.concatenate(c) for c in zip(*rows, strict=True))
             yield pa.record_batch({"node": node, "n": n.astype(np.int32), "shingle": shingle, "at": at.astype(np.int32), "hot": hot})
+    release()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], names: dict, k: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, SLICE):
         node = batch.column(1).to_pylist()
         # rows that share a doc_id may have other texts
-        at = [(i, s.view(np.int64)) for i, s in enumerate(shingle_sets(batch, k)) if node_of(s) == node[i]]
+        at = [(i, s.view(np.int64)) for i, s in enumerate(shingle_sets(batch, k)) if name_of(s, names, bits) == node[i]]
         items = pa.array([s for _, s in at], pa.list_(pa.int64()))
         kept = batch.take(pa.array([i for i, _ in at], pa.int64()))
         yield pa.record_batch({"doc_id": kept.column(0), "node": kept.column(1), "items": items})
+    release()
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -211,6 +244,7 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(den * both >= num * (len(x) + len(y) - both))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    release()
 
 
 def _linked(pairs: DataFrame, facts: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -332,31 +366,60 @@ def _candidates(rows: DataFrame, facts: DataFrame, num: int, den: int) -> DataFr
     return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents linked when den * |A and B| >= num * |A or B|, and their classes."""
+def _new_names(reps: DataFrame) -> dict[int, dict[int, int]]:
+    """node to other to new node, for all but one of the different sets that share a node."""
+    shared = reps.groupBy("node").agg(F.count("*").alias("_sets")).where("_sets > 1").select("node")
+    found = sorted((r["node"], r["other"]) for r in reps.join(shared, "node").select("node", "other").collect())  # n^2 / 2^65 pairs of n sets
+    moved = [b for a, b in zip(found, found[1:]) if a[0] == b[0]]
+    for seed in range(100 if moved else 0):
+        digest = lambda pair: int.from_bytes(hashlib.blake2b(repr((seed, *pair)).encode(), digest_size=8).digest(), "little", signed=True)  # noqa: B023, E731
+        new = {pair: digest(pair) for pair in moved}
+        table = reps.sparkSession.createDataFrame([(v,) for v in new.values()], "node long")
+        if len(set(new.values())) == len(new) and not reps.join(table, "node", "left_semi").limit(1).count():
+            names: dict[int, dict[int, int]] = {}
+            for (node, other), v in new.items():
+                names.setdefault(node, {})[other] = v
+            return names
+    if moved:
+        raise RuntimeError("no new names were free in 100 tries")
+    return {}
+
+
+def _renamed(rows: DataFrame, names: dict[int, dict[int, int]]) -> DataFrame:
+    if not names:
+        return rows
+    table = rows.sparkSession.createDataFrame([(n, o, v) for n, by in names.items() for o, v in by.items()], "node long, other long, _name long")
+    return rows.join(table, ["node", "other"], "left").withColumn("node", F.coalesce("_name", "node")).drop("_name")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slot_bits: int | None = None, node_bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents linked when den * |A and B| >= num * |A or B|, and their classes.
+
+    ``slot_bits``: size of the table of counts (by the input's size if not given). ``node_bits``: bits of
+    the hash that names a set; fewer only make more sets need new names.
+    """
     spark = docs.sparkSession
+    slot_bits = slot_bits or _slot_bits(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = docs.mapInArrow(
-        partial(_survey, k=k, slot_bits=slot_bits), "doc_id long, n long, node long, other long, s0 long, s1 long, s2 long, s3 long, range int, counts binary"
+        partial(_survey, k=k, slot_bits=slot_bits, bits=node_bits), "doc_id long, n long, node long, other long, s0 long, s1 long, s2 long, s3 long, range int, task int, counts binary"
     )
     survey = stored(survey, "survey")
     each = survey.where("n is not null").select("doc_id", "n", "node", "other")
     usable = survey.where("n > 0 and doc_id is not null")
-    reps = usable.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), F.min("other").alias("a"), F.max("other").alias("b"), *[F.min(c).alias(c) for c in SKETCH]
-    )
+    reps = usable.groupBy("node", "other").agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"), *[F.min(c).alias(c) for c in SKETCH])
     reps = stored(reps, "nodes")
-    if reps.where("a <> b").limit(1).count():
-        raise RuntimeError("two different sets share a hash; choose another k-gram seed")
+    names = _new_names(reps)
+    reps, each = _renamed(reps, names), _renamed(each, names)
     slots = spark.sparkContext.broadcast(_slot_table(survey, slot_bits))
 
     shape = "node long, n int, shingle long, at int, hot boolean"
-    rows = docs.where("doc_id is not null").mapInArrow(partial(_prefixes, shared=slots, k=k, num=num, den=den, slot_bits=slot_bits), shape)
+    rows = docs.where("doc_id is not null").mapInArrow(partial(_prefixes, shared=slots, names=names, k=k, num=num, den=den, slot_bits=slot_bits, bits=node_bits), shape)
     lists = stored(_shared_only(rows), "prefixes")
 
     facts = stored(reps.join(lists.select("node"), "node", "left_semi").select("node", "doc_id", "n", *SKETCH), "facts")
     texts = docs.join(facts.select("node", F.col("doc_id").alias("_id")).hint("shuffle_hash"), F.col("doc_id") == F.col("_id"))
-    sets = stored_by(texts.select("doc_id", "node", "text").mapInArrow(partial(_sets, k=k), "doc_id long, node long, items array<long>"), "doc_id", "sets")
+    sets = stored_by(texts.select("doc_id", "node", "text").mapInArrow(partial(_sets, names=names, k=k, bits=node_bits), "doc_id long, node long, items array<long>"), "doc_id", "sets")
 
     # rounds of pivots, while they join a good part of what is still apart
     group = None

@@ -30,11 +30,15 @@ from pyspark.sql.window import Window
 
 from ._store import stored
 from ._text import pieces as text_slices
+from ._text import release
 
 MAX_TOKENS, SEPARATOR = 2048, 0
-SALTS = 256
+#: A length's pieces are ranked in so many salted groups at least, and in as many as hold so many pieces each.
+SALTS, GROUP = 256, 50_000
+#: Rows of the plan that are broadcast; a longer plan is joined by length.
+SMALL_PLAN = 500_000
 #: Bytes of words and ids that a worker remembers (estimated), and the longest word worth remembering.
-CACHE_BYTES, REMEMBERED = 96 << 20, 200
+CACHE_BYTES, REMEMBERED = 64 << 20, 200
 
 
 def tokenizer_path() -> str:
@@ -160,6 +164,7 @@ def tokenized(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, separato
             if keep_ids:
                 columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
             yield pa.record_batch(columns)
+        release()
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -274,16 +279,19 @@ def pack(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, separator: in
     table = slots(plan(histogram, max_tokens))
     places = spark.createDataFrame(table, "_length long, _lo long, _hi long, _base long, offset long")
 
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_row", "piece"), F.lit(SALTS)).cast("int"))
+    # the histogram says how many groups each length needs
+    groups = F.lit([max(SALTS, -(-histogram.get(n, 0) // GROUP)) for n in range(max_tokens + 1)])
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_row", "piece"), F.get(groups, F.col("length").cast("int"))).cast("int"))
     counts = rows.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
     within = Window.partitionBy("length", "_salt").orderBy("_row", "piece")
     ranked = rows.withColumn("_rank", F.row_number().over(within) - 1).join(firsts, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_first"))
-    # at most a few places for each pattern, of which there are as many as lengths and grid steps make
+    # a few places for each pattern, of which there are as many as lengths and grid steps make: their number is known here
+    places = F.broadcast(places) if len(table) <= SMALL_PLAN else places
     at = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
-    placed = ranked.join(F.broadcast(places), at)
+    placed = ranked.join(places, at)
     return placed.select(
         "doc_id",
         "piece",

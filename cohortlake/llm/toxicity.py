@@ -1,28 +1,30 @@
 """Toxicity by maximum-scoring segments (operator 5).
 
 Fit: over a bounded sample of labelled documents, chosen by the hash of ``doc_id``
-(``MAX_LABELLED`` rows at most; all of them below that), the distinct contexts of
-each word (the word before, the word, the word after) are counted by label. Copies
-of a document count as one document, for a word's occurrences too; a word
-whose toxic occurrences bring few new contexts belongs to such a group. Each word
-gets its log-odds in toxic against clean text with an informative Dirichlet
-prior (the pooled rate, ``PRIOR`` contexts strong) and a z-score; words that are
-not clearly toxic score slightly below zero, so a clean text drifts down.
+(``MAX_LABELLED`` rows at most; all of them below that) and written once, the distinct
+contexts of each word (the word before, the word, the word after) are counted by label. Copies
+of a document count as one document, for a word's occurrences too; a word whose toxic
+occurrences bring few new contexts belongs to such a group. Each word gets its log-odds in
+toxic against clean text with an informative Dirichlet prior (the pooled rate, ``PRIOR``
+contexts strong) and a z-score. A word's score is its log-odds where they are significant,
+in either direction: clearly toxic words score above zero, clearly clean ones below (down to
+``CLEANEST``, so that one of them doesn't cut a passage in two). Words of which the sample can't tell score
+``DRIFT``, slightly below zero, so a clean text drifts down.
 
 Score: a linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a
 text's word scores. Chance segments follow an extreme-value law: the best of a text of
 n words stays below s with probability exp(-K n exp(-lambda s)). Lambda and K are
 fitted by maximum likelihood to the best segments of the labelled clean documents
-(those without any are known to lie below the least word score); with too few of them,
+(those without any are known to lie below the least toxic word's score); with too few of them,
 lambda solves E[exp(lambda s)] = 1 over clean words. A segment of score S then has the
 value lambda S - ln(K n); those of ``SIGNIFICANT`` or more are passages. A document's
 evidence is the least joint probability of its best r passages (the sum statistic of
-Karlin and Altschul), as -ln p; a logistic curve, fitted on the same labelled rows in
-bins, turns it into a probability.
+Karlin and Altschul), as -ln p, whatever its size; a logistic curve over the logarithm of
+1 plus the evidence, fitted on the same labelled rows in bins, turns it into a probability.
 
-The model is a table of toxic words, each seen in ``MIN_CONTEXTS`` contexts of the
-bounded sample at least, so its size is bounded too and it is broadcast. Scores come
-from the text alone. Labels of held-out rows are never read.
+The model is a table of words that are seen in ``MIN_CONTEXTS`` contexts of the bounded
+sample at least and whose log-odds are significant, so its size is bounded too and it is
+broadcast. Scores come from the text alone. Labels of held-out rows are never read.
 
 Defined results: null and empty texts have no evidence and get the curve's value
 there; every input row gives one row; without usable labels all scores are 0; an
@@ -41,24 +43,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import stored
-from ._text import ALNUM, hashes, mix, pieces, text_words
+from ._text import ALNUM, hashes, mix, pieces, release, text_words
 
 MAX_LABELLED = 20_000
-#: Weight of the prior in contexts; least (binomial) z-score and contexts of a toxic word; score of other words; least extreme-value score of a passage.
-PRIOR, MIN_Z, MIN_CONTEXTS, DRIFT, SIGNIFICANT = 1000.0, 4.0, 5, -0.05, 2.0
+#: Weight of the prior in contexts; least (binomial) z-score, either way, and contexts of a word whose log-odds count; score of other words; least score of a clean word; least extreme-value score of a passage.
+PRIOR, MIN_Z, MIN_CONTEXTS, DRIFT, CLEANEST, SIGNIFICANT = 1000.0, 4.0, 5, -0.05, -1.0, 2.0
 #: Least log-odds of a toxic word, and least share of new contexts among its toxic occurrences, against that of all words.
 MIN_ODDS, MIN_FRESH = 1.0, 0.5
 THRESHOLD = 0.3
 #: Values of lambda to choose from, and the least clean documents with a segment for the fit.
 RATES, LEAST_SEGMENTS = np.geomspace(0.05, 5.0, 93), 30
-_BINS, _STEP = 64, 0.5
+#: Bins of log(1 + evidence) for the fit of the curve; the last one is open.
+_BINS, _STEP = 64, 0.125
 #: Bytes of text that are worked on at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 @dataclass
 class Model:
-    words: np.ndarray  # sorted hashes of toxic words
+    words: np.ndarray  # sorted hashes of words with significant log-odds
     scores: np.ndarray  # their scores; all others have DRIFT
     rate: float = 1.0  # lambda
     log_k: float = -2.0  # ln K
@@ -97,27 +100,30 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     return [(right - left, int(a), int(b)) for left, right, a, b, _ in out]
 
 
+def word_scores(words: np.ndarray, model: Model) -> np.ndarray:
+    if not len(model.words) or not len(words):
+        return np.full(len(words), DRIFT)
+    at = np.minimum(np.searchsorted(model.words, words), len(model.words) - 1)
+    return np.where(model.words[at] == words, model.scores[at], DRIFT)
+
+
 def best_segment(words: np.ndarray, model: Model) -> float:
     """The score of the best segment, 0 without any toxic word."""
-    at = np.minimum(np.searchsorted(model.words, words), len(model.words) - 1)
-    toxic = model.words[at] == words
-    return max((s for s, _, _ in segments(np.where(toxic, model.scores[at], DRIFT))), default=0.0) if toxic.any() else 0.0
+    return max((s for s, _, _ in segments(word_scores(words, model))), default=0.0)
 
 
 def _evidence(words: np.ndarray, model: Model) -> tuple[float, list[tuple[float, int, int]]]:
-    passages = []
-    if len(model.words) and len(words):
-        at = np.minimum(np.searchsorted(model.words, words), len(model.words) - 1)
-        toxic = model.words[at] == words
-        if toxic.any():
-            cut = math.log(len(words)) + model.log_k
-            for s, a, b in segments(np.where(toxic, model.scores[at], DRIFT)):
-                v = model.rate * s - cut
-                if v >= SIGNIFICANT:
-                    passages.append((v, a, b))
+    scores, passages = word_scores(words, model), []
+    if (scores > 0).any():
+        cut = math.log(len(words)) + model.log_k
+        passages = [(v, a, b) for s, a, b in segments(scores) if (v := model.rate * s - cut) >= SIGNIFICANT]
     return joint([v for v, _, _ in passages]), passages
 
 
+def _probability(evidence: np.ndarray, model: Model) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(model.intercept + model.slope * np.log1p(evidence), -700, 700)))
+
+
 def joint(values: list[float]) -> float:
     """-ln of the least probability of r passages together: T - (r - 1) ln T + ln r! + ln (r - 1)!, with T the sum of the best r values."""
     best = total = 0.0
@@ -166,7 +172,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
-    sample = _training(docs, labels, limit)
+    sample = stored(_training(docs, labels, limit), "labelled")
     # exact copies count once, in contexts and in occurrences
     texts = sample.groupBy("_label", F.sha2("text", 256)).agg(F.first("text").alias("text"))
     seen = texts.select("_label", "text").mapInArrow(_contexts, "_label int, _word long, _context long, _n long").groupBy("_label", "_word", "_context").agg(F.sum("_n").alias("_n"))
@@ -184,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     p = toxic / (clean + toxic)
     z = (F.col("n1") - n * p) / F.sqrt(n * p * (1 - p))
     fresh = F.col("n1") / F.col("m1") >= MIN_FRESH * toxic / float(sizes["m1"])
-    marked = counts.withColumn("odds", odds).where((F.col("n1") >= MIN_CONTEXTS) & (z >= MIN_Z) & (odds >= MIN_ODDS) & fresh)
+    up = (F.col("n1") >= MIN_CONTEXTS) & (z >= MIN_Z) & (odds >= MIN_ODDS) & fresh
+    down = (F.col("n0") >= MIN_CONTEXTS) & (z <= -MIN_Z) & (odds < DRIFT)
+    marked = counts.withColumn("odds", F.when(up, odds).when(down, F.greatest(odds, F.lit(CLEANEST)))).where("odds is not null")
     got = marked.toPandas()  # words of many contexts in a bounded sample
     words = got["_word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
@@ -197,16 +205,16 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
         below = (1 - share.sum()) * math.exp(mid * DRIFT) + float(share @ np.exp(mid * model.scores)) < 1
         lo, hi = (mid, hi) if below else (lo, mid)
     model.rate = lo
-    model.log_k = math.log(max(1e-5, float(share.sum())))
+    model.log_k = math.log(max(1e-5, float(share[model.scores > 0].sum())))
     model.rate, model.log_k = _extremes(sample, model) or (model.rate, model.log_k)
     return _calibrated(sample, model)
 
 
 def _extremes(sample: DataFrame, model: Model) -> tuple[float, float] | None:
     """lambda and ln K from the best segment of each clean document of the sample: sums per rate, one small row per task."""
-    if not len(model.words):
+    if not (model.scores > 0).any():
         return None
-    shared, least = sample.sparkSession.sparkContext.broadcast(model), float(model.scores.min())
+    shared, least = sample.sparkSession.sparkContext.broadcast(model), float(model.scores[model.scores > 0].min())
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, (m, total, silent) = np.zeros(len(RATES)), (0, 0.0, 0)
@@ -241,11 +249,16 @@ def _calibrated(sample: DataFrame, model: Model) -> Model:
             words, first = _words(batch)
             for i, y in enumerate(batch.column(0).to_pylist()):
                 x, _ = _evidence(words[first[i] : first[i + 1]], shared.value)
-                n[int(y > 0), min(_BINS - 1, int(x / _STEP))] += 1
+                n[int(y > 0), min(_BINS - 1, int(math.log1p(x) / _STEP))] += 1
         yield pa.record_batch({"bin": np.arange(_BINS), "n0": n[0], "n1": n[1]})
 
-    got = sample.mapInArrow(bins, "bin long, n0 long, n1 long").groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    x, n0, n1 = got.bin.to_numpy() * _STEP, got.n0.to_numpy(float), got.n1.to_numpy(float)
+    got = sample.mapInArrow(bins, "bin long, n0 long, n1 long").groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).orderBy("bin").toPandas()
+    model.intercept, model.slope = logistic(got.bin.to_numpy() * _STEP, got.n0.to_numpy(float), got.n1.to_numpy(float))
+    return model
+
+
+def logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope (0 at least) of the share of n1 over x."""
     w = np.array([math.log((n1.sum() + 1) / (n0.sum() + 1)), 0.0])
     for _ in range(50):  # Newton's method, slightly regularised
         p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * x, -30, 30)))
@@ -257,8 +270,7 @@ def _calibrated(sample: DataFrame, model: Model) -> Model:
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    model.intercept, model.slope = float(w[0]), max(0.0, float(w[1]))
-    return model
+    return float(w[0]), max(0.0, float(w[1]))
 
 
 def score(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFrame:
@@ -272,14 +284,14 @@ def score(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFra
         for batch in pieces(batches, SLICE):
             words, first = _words(batch)
             found = [_evidence(words[a:b], model) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            x = np.minimum(np.array([f[0] for f in found]), _BINS * _STEP)
-            out = {"doc_id": batch.column(0), "score": 1 / (1 + np.exp(-np.clip(model.intercept + model.slope * x, -700, 700)))}
+            out = {"doc_id": batch.column(0), "score": _probability(np.array([f[0] for f in found]), model)}
             if with_passages:
                 out["passages"] = pa.array(
                     [[{"value": v, "start": a, "end": b} for v, a, b in f[1]] for f in found],
                     pa.list_(pa.struct([("value", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])),
                 )
             yield pa.record_batch(out)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double{extra}")
 
@@ -293,8 +305,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for batch in pieces(batches, SLICE):
             words, first = _words(batch)
             x = np.array([_evidence(words[a:b], model)[0] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
-            curve = model.intercept + model.slope * np.minimum(x, _BINS * _STEP)
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(curve, -700, 700))) < threshold))
+            yield batch.filter(pa.array(_probability(x, model) < threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -211,6 +211,13 @@ def test_ngram_short_near_copies(spark, k, num):
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == components(rows, k, num, 100)
 
 
+def test_ngram_sets_that_share_a_hash(spark, texts):
+    rows = [*list(texts.items())[:80], (40_002, "one two"), (40_004, "one two"), *[(50_000 + i, " ".join(f"a{j}" for j in range(40 + i))) for i in range(12)]]
+    frame = spark.createDataFrame(rows, SHAPE).repartition(70)  # counters of more tasks than meet at once
+    got = ngram_join.jaccard_components(frame, 5, 80, 100, slot_bits=12, node_bits=4)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == components(rows, 5, 80, 100)
+
+
 def test_ngram_odd(spark):
     got = ngram_join.jaccard_components(spark.createDataFrame(ODD, SHAPE)).collect()
     assert len(got) == len(ODD)
@@ -387,6 +394,74 @@ def test_joint_evidence():
         assert toxicity.joint(values) == pytest.approx(best)
 
 
+def test_toxicity_against_plain_python(spark):
+    """The whole way from labelled texts to scores, with dictionaries of words in place of hashes and tables."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) for i, t in docs.items()}
+    seen = [defaultdict(lambda: defaultdict(int)) for _ in (0, 1)]
+    for y, text in sorted({(label[i], docs[i]) for i in label}):
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        for i, w in enumerate(own):
+            seen[y][w][own[i - 1] if i else None, own[i + 1] if i + 1 < len(own) else None] += 1
+    n = [{w: len(c) for w, c in s.items()} for s in seen]
+    m1 = {w: sum(c.values()) for w, c in seen[1].items()}
+    clean, toxic = sum(n[0].values()), sum(n[1].values())
+    score = {}
+    for w in {*n[0], *n[1]}:
+        a, b = n[0].get(w, 0), n[1].get(w, 0)
+        prior = 1000 * (a + b) / (clean + toxic)
+        odds = np.log((b + prior) / (toxic + 1000 - b - prior)) - np.log((a + prior) / (clean + 1000 - a - prior))
+        p = toxic / (clean + toxic)
+        z = (b - (a + b) * p) / np.sqrt((a + b) * p * (1 - p))
+        if b >= 5 and z >= 4 and odds >= 1 and b / m1[w] >= 0.5 * toxic / sum(m1.values()):
+            score[w] = odds
+        elif a >= 5 and z <= -4 and odds < -0.05:
+            score[w] = max(odds, -1.0)
+    assert any(v > 0 for v in score.values())
+    scored = {i: np.array([score.get(w, -0.05) for w in own]) for i, own in words.items()}
+    best = {i: max((s for s, _, _ in toxicity.segments(x)), default=0.0) for i, x in scored.items()}
+    least, sums, m, total, silent = min(v for v in score.values() if v > 0), np.zeros(len(toxicity.RATES)), 0, 0.0, 0
+    for i in label:
+        if not label[i] and words[i]:
+            if best[i] > 0:
+                sums, m, total = sums + len(words[i]) * np.exp(-toxicity.RATES * best[i]), m + 1, total + best[i]
+            else:
+                silent += len(words[i])
+    found = toxicity.gumbel(sums, m, total, silent, least, toxicity.RATES)
+    if not found:
+        share = {w: n[0].get(w, 0) / clean for w in score}
+        at = np.linspace(1e-3, 2, 400_001)
+        mean = (1 - sum(share.values())) * np.exp(at * -0.05) + sum(share[w] * np.exp(at * score[w]) for w in score)
+        rate = at[np.flatnonzero(mean < 1)[-1]] if (mean < 1).any() else 1e-3
+        found = rate, np.log(max(1e-5, sum(share[w] for w in score if score[w] > 0)))
+    rate, log_k = found
+
+    def evidence(i):
+        values = [rate * s - np.log(len(words[i])) - log_k for s, _, _ in toxicity.segments(scored[i])]
+        return toxicity.joint([v for v in values if v >= 2.0])
+
+    x = {i: np.log1p(evidence(i)) for i in docs}
+    bins = [np.zeros(64), np.zeros(64)]
+    for i in label:
+        bins[label[i]][min(63, int(x[i] / 0.125))] += 1
+    a, b = toxicity.logistic(np.arange(64) * 0.125, *bins)
+    gradient = [bins[1] - (bins[0] + bins[1]) / (1 + np.exp(-a - b * np.arange(64) * 0.125))]
+    assert abs(gradient[0].sum() - 0.1 * a) < 1e-6 and abs((gradient[0] * np.arange(64) * 0.125).sum() - 0.1 * b) < 1e-6
+    got = {r.doc_id: r.score for r in toxicity.query(spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i in docs:
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-a - b * x[i])), abs=1e-4), i
+
+
+def test_toxicity_evidence_is_not_capped():
+    model = toxicity.Model(np.array([7], np.uint64), np.array([3.0]), rate=1.0, log_k=-5.0, intercept=-4.0, slope=3.0)
+    at = [toxicity._evidence(np.full(n, 7, np.uint64), model)[0] for n in (20, 200, 2_000, 20_000)]
+    scores = toxicity._probability(np.array(at), model)
+    assert at[0] > 32 and (np.diff(scores) > 0).all() and scores[-1] < 1
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.query(spark, sf).toPandas()
