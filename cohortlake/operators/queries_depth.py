@@ -227,9 +227,10 @@ def _(spark, d):
 
 @query("sv_eligible", S.with_views("sv", "genome", extra=_PROFILE + ",\n" + _SMALL + ",\n" + _SVGC) + "SELECT sv_id, svtype FROM small JOIN g USING (sv_id) WHERE chrnum <= 22 AND gc > 0.2 AND gc < 0.75 AND svtype IN ('DEL','DUP','CNV','INV')")
 def _(spark, d):
+    from ..plans import calling
+
     sv = small(spark, d)
-    gc = D.sv_gc_content(sv, D.gc_profile(S.genome(spark, d)))
-    return sv.where((F.col("chrnum") <= 22) & F.col("svtype").isin("DEL", "DUP", "CNV", "INV")).join(gc.where("gc > 0.2 and gc < 0.75"), "sv_id").select("sv_id", "svtype")
+    return calling.eligible(sv, D.sv_gc_content(sv, D.gc_profile(S.genome(spark, d)))).select("sv_id", "svtype")
 
 
 @query("merge_samples", S.with_views("depth_pos") + "SELECT sample_id % 5 AS file_id, sample_id, chrnum, count(*) AS n, CAST(sum(depth) AS BIGINT) AS total FROM depth_pos GROUP BY ALL")

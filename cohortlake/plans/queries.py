@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import surrogates as S
 from ..functions import scalars as X
+from ..operators.queries_evidence import _ALL as _EVIDENCE
 from ..store import stored
 from . import calling as C
 from . import genotype as G
@@ -373,6 +374,33 @@ def _(spark, d):
     return C.records(*parts, report_all=True)
 
 
+_GIVEN_HITS = """hit AS (SELECT sv_id, sample_id, 's' AS k FROM sn JOIN v USING (sv_id) WHERE abs(sn.start - v.pos) + abs(sn."end" - v."end") <= 6
+  UNION ALL SELECT sv_id, sample_id, 'p' FROM (SELECT pr.*, svtype, pr.pos - self AS dx, mate - pr."end" AS dy FROM pr JOIN v USING (sv_id))
+    WHERE CASE WHEN svtype <> 'INV' THEN dx > 75 AND dx < 375 AND dy > -75 AND dy < 300 WHEN side = 0 THEN dx > 50 AND dx < 400 AND dy < -50 AND dy > -400 WHEN side = 3 THEN dx < 50 AND dx > -375 AND dy > -50 AND dy < 375 ELSE false END
+  UNION ALL SELECT sv_id, sample_id, CASE WHEN cell < 200 THEN 'b' ELSE 'e' END FROM (SELECT cc.*, svtype, svtype IN ('DUP', 'CNV') AS gain FROM cc JOIN v USING (sv_id))
+    WHERE (svtype = 'INV' OR kind = CASE WHEN gain = (cell < 200) THEN 'lclip' ELSE 'rclip' END) AND (cell % 200) BETWEEN 97 AND CASE WHEN gain THEN 102 ELSE 103 END)"""
+
+
+def _evidence_of(spark, d):
+    from ..operators import evidence as E
+
+    ev = S.evidence(spark, d)
+    kind = lambda *k: ev.where(F.col("kind").isin(*k))
+    return E.evidence_rows(kind("pair", "filtered"), kind("split", "filtered", "pair"), kind("lclip", "rclip"))
+
+
+@query("given_counts", S.with_views("sv", "evidence", extra=_EVIDENCE + ",\n" + _GIVEN_HITS) + """SELECT sv_id, 'given' AS attempt, sample_id, CAST(count(*) FILTER (k = 's') AS INTEGER) AS splits, CAST(count(*) FILTER (k = 'p') AS INTEGER) AS pairs,
+  CAST(count(*) FILTER (k = 'b') AS INTEGER) AS start_clips, CAST(count(*) FILTER (k = 'e') AS INTEGER) AS end_clips FROM hit GROUP BY sv_id, sample_id""")
+def _(spark, d):
+    """What the plan counts near each candidate's own breakpoints."""
+    from ..operators import evidence as E
+    from ..operators import queries_evidence as Q
+
+    sv = Q._sv(spark, d)
+    given = sv.select("sv_id", F.lit("given").alias("attempt"), F.lit(0).alias("idx"), F.col("pos").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.lit(1).alias("n"))
+    return C.attempt_counts(sv, given, E.evidence_near(sv, _evidence_of(spark, d)))
+
+
 def _breaks(spark, d):
     """Split reads of the view, on a grid coarse enough that a variant's reads agree."""
     e = S.evidence(spark, d).where("kind = 'split'")

@@ -85,6 +85,60 @@ def test_planted_cohort(spark, parts):
     assert {r.sv_id for r in C.records(sv, clusters, calls, report_all=True).collect()} == {*lines, 10}
 
 
+def planted_more():
+    """Gains and inversions by every way of calling: (type, way, samples with one changed copy, samples with two)."""
+    rng = np.random.default_rng(9)
+    many = (range(6, 22), range(22, 30))
+    plan = {1: ("DUP", "clip", HET, HOM), 2: ("DUP", "given", HET, HOM), 3: ("DUP", "depth", *many), 4: ("CNV", "given", HET, HOM), 5: ("CNV", "depth", *many), 6: ("INV", "split", HET, HOM), 7: ("INV", "clip", HET, HOM), 8: ("DUP", "split", HET, HOM), 9: ("CNV", "split", HET, HOM)}
+    sv, windows, depth, splits, pairs, clips = [], [], [], [], [], []
+    for i, (kind, way, het, hom) in plan.items():
+        s = 20_000 * i + 50
+        e = s + 2_000
+        sv.append((i, 3, s, e, kind))
+        for sample in range(N):
+            at = 2 if sample in hom else 1 if sample in het else 0
+            inner = (1 if kind == "INV" else (1, 1.5, 2)[at]) * DEPTH * (1 + rng.normal(0, 0.01))
+            depth.append((i, sample, int(32 * inner)))
+            windows += [(sample, 3, b, int(32 * ((inner if s // 100 <= b <= e // 100 else DEPTH * (1 + rng.normal(0, 0.02))) + rng.normal(0, 0.2)))) for b in range(s // 100 - 20, e // 100 + 20)]
+            if not at:
+                continue
+            more = (0, 6, 14)[at]
+            if way == "split":
+                row = (s, e + 1, 1, 50, 50, 20, 0, 20, 0) if kind == "INV" else (s, e - 50, 3, 50, 50, 20, 0, 0, 20)
+                splits += [(len(splits) + k, sample, 3, *row) for k in range(more)]
+            if way == "given":
+                pairs += [(len(pairs) + k, sample, 3, s - 90, e + 50, 40, 1) for k in range(more)]
+            if way == "clip":
+                ends = [("lclip", s + 2), ("rclip", e - 3)] if kind == "DUP" else [("lclip", s + 2), ("rclip", s + 4), ("lclip", e - 4), ("rclip", e - 2)]
+                clips += [(len(clips) + k, sample, 3, *end) for k, end in enumerate(ends * 6)]
+                if kind == "INV":  # clips alone don't make a carrier of an inversion
+                    pairs += [(len(pairs) + k, sample, 3, s - 100, e - 100, 40, 0) for k in range((0, 4, 30)[at])]
+    return plan, sv, windows, depth, splits, pairs, clips
+
+
+def test_planted_gains_and_inversions_by_every_way(spark):
+    plan, *rows = planted_more()
+    shapes = (SV, "sample_id long, chrnum int, bucket int, dp32 int", "sv_id long, sample_id long, dp32 int", SPLIT, PAIR, CLIP)
+    sv, windows, depth, splits, pairs, clips = (spark.createDataFrame(pd.DataFrame(r, columns=[c.split()[0] for c in shape.split(", ")]), shape) for r, shape in zip(rows, shapes, strict=True))
+    samples, gc = spark.createDataFrame([(i, DEPTH) for i in range(N)], "sample_id long, avg_dp double"), spark.createDataFrame([(i, 0.4) for i in plan], "sv_id long, gc double")
+    _, clusters, calls = C.genotype(sv, samples, depth, windows, pairs, splits, clips, gc, far_end=True)
+    got, how = defaultdict(dict), {}
+    for r in calls.collect():
+        got[r.sv_id][r.sample_id], how[r.sv_id] = (r.gt, r.cn), r.method
+    assert how == {i: way for i, (_, way, _, _) in plan.items()}
+    for i, (kind, way, het, hom) in plan.items():
+        for sample in range(N):
+            at = 2 if sample in hom else 1 if sample in het else 0
+            want = (at, (2, None, None)[at] if kind == "INV" else 2 + at)
+            if way != "depth":
+                assert got[i][sample] == want, (i, kind, way, sample)
+            else:  # by depth alone, samples like their flanks and those with odd flanks are missing
+                assert got[i][sample] in ((None, None), want), (i, kind, way, sample)
+        if way == "depth":
+            assert sum(got[i][s][0] is not None for s in (*het, *hom)) >= 18
+    assert {(r.sv_id, r.attempt) for r in clusters.where("attempt <> 'given'").collect()} == {(i, way) for i, (_, way, _, _) in plan.items() if way in ("split", "clip")}
+
+
 def test_mask_gate_force_region(spark, parts):
     out = spark.createDataFrame([(29,), (0,)], "sample_id long")
     *_, calls = C.genotype(**parts, exclude=out)
