@@ -247,11 +247,7 @@ def _by_depth(kind: str, x: np.ndarray, two: np.ndarray | None, pre: np.ndarray,
     b = M.copy_number_2d(two, pair) if pair is not None else np.full(len(x), -1)
     cn = np.where(a < 0, b, np.where(b < 0, a, np.floor((a + b) / 2 + 0.5).astype(int)))
     if kind != "DEL":
-        off = np.zeros(len(x), bool)
-        for v in (pre, post):
-            m, s = v.mean(), v.std()
-            off |= (np.abs(v - m) > 2 * s) | ((cn > 0) & (np.abs(x - v) < 2 * s))
-        cn = np.where(off | (cn < 2), -1, cn)
+        cn = np.where(G.off_flank(x, cn, pre) | G.off_flank(x, cn, post) | (cn < 2), -1, cn)
     gt = _to_gt(kind, cn)
     return (gt, np.where(gt >= 0, cn, -1), one, pair) if _good(gt) else None
 

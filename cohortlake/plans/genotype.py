@@ -6,7 +6,7 @@ variants are too large for a task. Break clusters are array expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -203,6 +203,76 @@ def fitted_by_sums(cohort: DataFrame, start: list[float], dims: int = 1, keep: i
     return both.select("sv_id", "bic", each.alias("e")).select("sv_id", "e.*", "bic")
 
 
+def per_variant(cohort: DataFrame, one: Callable[[pd.DataFrame], pd.DataFrame], shape: str) -> DataFrame:
+    """``one`` of each variant's rows, in order of samples. Partitions are sorted and read in batches of whole variants."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, first in by_variant(batches):
+            yield pd.concat([one(rows.iloc[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)], ignore_index=True)
+
+    return _sorted_variants(cohort).mapInPandas(run, shape)
+
+
+def labelled(cohort: DataFrame, columns: list[str], most: int = 3) -> DataFrame:
+    """sv_id, label, mean, spread, alpha of one column, or sv_id, label, mean_x, mean_y, cxx, cxy, cyy, alpha of two; overlap: the fits that the joint steps of the plan start from."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        x, label = rows[columns].to_numpy(float), rows["label"].to_numpy()
+        fit = M.labelled_1d(x[:, 0], label, most) if len(columns) == 1 else M.labelled_2d(x, label, most)
+        there = [c for c in range(most) if (label == c).any()]
+        if fit is None:
+            return pd.DataFrame(columns=[f.split()[0] for f in shape.split(", ")])
+        out = {"sv_id": rows["sv_id"].iloc[0], "label": there, "n": [int((label == c).sum()) for c in there]}
+        if len(columns) == 1:
+            out |= {"mean": fit.means[:, 0], "spread": fit.spreads}
+        else:
+            out |= {"mean_x": fit.means[:, 0], "mean_y": fit.means[:, 1], "cxx": fit.spreads[:, 0, 0], "cxy": fit.spreads[:, 0, 1], "cyy": fit.spreads[:, 1, 1]}
+        return pd.DataFrame(out | {"alpha": fit.alphas, "overlap": fit.overlap, "falls": M.falling(fit)})
+
+    numbers = "mean double, spread double" if len(columns) == 1 else "mean_x double, mean_y double, cxx double, cxy double, cyy double"
+    shape = f"sv_id long, label int, n long, {numbers}, alpha double, overlap double, falls boolean"
+    return per_variant(cohort.select("sv_id", "sample_id", "label", *columns), one, shape)
+
+
+def assigned(cohort: DataFrame, columns: list[str], fit: M.Mixture, how: Callable[[np.ndarray, M.Mixture], np.ndarray], name: str) -> DataFrame:
+    """sv_id, sample_id and as ``name`` what ``how`` (a rule of ``mixture``) gives each sample by a mixture that is known."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows[columns].to_numpy(float)
+        return pd.DataFrame({"sv_id": rows["sv_id"], "sample_id": rows["sample_id"], name: how(x[:, 0] if len(columns) == 1 else x, fit)})
+
+    return per_variant(cohort.select("sv_id", "sample_id", *columns), one, f"sv_id long, sample_id long, {name} int")
+
+
+def scored(cohort: DataFrame, fit: M.Mixture) -> DataFrame:
+    """sv_id, bic, aic of a known mixture of depth."""
+    k = len(fit.alphas)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows["depth"].to_numpy(float)
+        bic = M._bic(M.density_1d(x, fit.means[:, 0], fit.spreads), fit.alphas, 3 * k - 1)
+        return pd.DataFrame({"sv_id": [rows["sv_id"].iloc[0]], "bic": [bic], "aic": [bic - 0.5 * (3 * k - 1) * np.log(len(x)) + 3 * k - 1]})
+
+    return per_variant(cohort.select("sv_id", "sample_id", "depth"), one, "sv_id long, bic double, aic double")
+
+
+def moments(rows: DataFrame, by: list[str], x: str = "depth", y: str = "cnt") -> DataFrame:
+    """by, n, mean_x, mean_y, cxx, cxy, cyy: population moments of two columns."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.var_pop(x).alias("cxx"), F.covar_pop(x, y).alias("cxy"), F.var_pop(y).alias("cyy"))
+
+
+def reducers(rows: DataFrame, x: str = "depth") -> DataFrame:
+    """sv_id, mean, sd (0.01 of a single sample), lo, hi, med."""
+    sd = F.when(F.count("*") <= 1, 0.01).otherwise(F.stddev_pop(x))
+    return rows.groupBy("sv_id").agg(F.avg(x).alias("mean"), sd.alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.median(x).alias("med"))
+
+
+def off_flank(x: np.ndarray, cn: np.ndarray, flank: np.ndarray) -> np.ndarray:
+    """Samples whose flank is odd in the cohort, and those with a copy number that look like their flank: gains by depth alone leave them out."""
+    m, s = flank.mean(), flank.std()
+    return (np.abs(flank - m) > 2 * s) | ((cn > 0) & (np.abs(x - flank) < 2 * s))
+
+
 def kmeans_labels(cohort: DataFrame, starts=(1.0, 0.5, 0.0)) -> DataFrame:
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("sample_id")

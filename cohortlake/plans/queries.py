@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .. import surrogates as S
+from ..functions import mixture as M
 from ..functions import scalars as X
 from ..operators.queries_evidence import _ALL as _EVIDENCE
 from ..store import stored
@@ -25,33 +27,31 @@ def query(name: str, sql: str | None = None):
 _MOMENTS = """SELECT sv_id, count(*) AS n, round(avg(depth), 6) AS mean_x, round(avg(cnt), 6) AS mean_y, round(var_pop(depth), 6) AS cxx, round(covar_pop(depth, cnt), 6) AS cxy, round(var_pop(cnt), 6) AS cyy"""
 
 
-def _moments():
-    c = {"n": F.count("*"), "mean_x": F.round(F.avg("depth"), 6), "mean_y": F.round(F.avg("cnt"), 6), "cxx": F.round(F.var_pop("depth"), 6), "cxy": F.round(F.covar_pop("depth", "cnt"), 6), "cyy": F.round(F.var_pop("cnt"), 6)}
-    return [v.alias(k) for k, v in c.items()]
+def _six(frame, *columns):
+    return frame.withColumns({c: F.round(c, 6) for c in columns})
+
+
+_M = ("mean_x", "mean_y", "cxx", "cxy", "cyy")
 
 
 @query("masked_moments", S.with_views("cohort") + _MOMENTS + " FROM cohort WHERE sample_id % 3 <> 0 GROUP BY sv_id")
 def _(spark, d):
-    return S.cohort(spark, d).where(F.col("sample_id") % 3 != 0).groupBy("sv_id").agg(*_moments())
+    return _six(G.moments(S.cohort(spark, d).where(F.col("sample_id") % 3 != 0), ["sv_id"]), *_M)
 
 
 @query("label_gaussians", S.with_views("cohort") + "SELECT sv_id, label, round(avg(depth), 6) AS mean, round(stddev_pop(depth), 6) AS sd, round(count(*) / sum(count(*)) OVER (PARTITION BY sv_id), 6) AS alpha FROM cohort GROUP BY sv_id, label")
 def _(spark, d):
-    c = S.cohort(spark, d)
-    n = c.groupBy("sv_id").agg(F.count("*").alias("_n"))
-    by = c.groupBy("sv_id", "label").agg(F.round(F.avg("depth"), 6).alias("mean"), F.round(F.stddev_pop("depth"), 6).alias("sd"), F.count("*").alias("_k"))
-    return by.join(n, "sv_id").select("sv_id", "label", "mean", "sd", F.round(F.col("_k") / F.col("_n"), 6).alias("alpha"))
+    return _six(G.labelled(S.cohort(spark, d), ["depth"]).select("sv_id", "label", "mean", F.col("spread").alias("sd"), "alpha"), "mean", "sd", "alpha")
 
 
 @query("label_gaussians_2d", S.with_views("cohort") + _MOMENTS.replace("sv_id,", "sv_id, label,", 1) + " FROM cohort GROUP BY sv_id, label")
 def _(spark, d):
-    return S.cohort(spark, d).groupBy("sv_id", "label").agg(*_moments())
+    return _six(G.labelled(S.cohort(spark, d), ["depth", "cnt"]).drop("alpha", "overlap", "falls"), *_M)
 
 
 @query("simple_reducers", S.with_views("cohort") + "SELECT sv_id, round(avg(depth), 6) AS mean, round(CASE WHEN count(*) <= 1 THEN 0.01 ELSE stddev_pop(depth) END, 6) AS sd, round(min(depth), 6) AS lo, round(max(depth), 6) AS hi, round(median(depth), 6) AS med FROM cohort GROUP BY sv_id")
 def _(spark, d):
-    sd = F.when(F.count("*") <= 1, 0.01).otherwise(F.stddev_pop("depth"))
-    return S.cohort(spark, d).groupBy("sv_id").agg(F.round(F.avg("depth"), 6).alias("mean"), F.round(sd, 6).alias("sd"), F.round(F.min("depth"), 6).alias("lo"), F.round(F.max("depth"), 6).alias("hi"), F.round(F.median("depth"), 6).alias("med"))
+    return _six(G.reducers(S.cohort(spark, d)), "mean", "sd", "lo", "hi", "med")
 
 
 _GT = "g AS (SELECT sv_id, sample_id, CAST(CASE WHEN abs(depth - 1 + 0.5 * label) > 0.05 THEN -1 ELSE label END AS INTEGER) AS gt FROM cohort)"
@@ -83,11 +83,7 @@ def _(spark, d):
 
 @query("bhattacharyya", S.with_views("cohort", extra="m AS (SELECT sv_id, label, avg(depth) AS mu, var_pop(depth) AS v FROM cohort GROUP BY ALL)") + "SELECT a.sv_id, round(max(exp(-0.25 * pow(a.mu - b.mu, 2) / (a.v + b.v) - 0.5 * ln((a.v + b.v) / (2 * sqrt(a.v * b.v))))), 6) AS overlap FROM m a JOIN m b ON a.sv_id = b.sv_id AND a.label < b.label GROUP BY a.sv_id")
 def _(spark, d):
-    m = S.cohort(spark, d).groupBy("sv_id", "label").agg(F.avg("depth").alias("mu"), F.var_pop("depth").alias("v"))
-    b = m.select("sv_id", F.col("label").alias("label_b"), F.col("mu").alias("mu_b"), F.col("v").alias("v_b"))
-    v = F.col("v") + F.col("v_b")
-    o = F.exp(-0.25 * F.pow(F.col("mu") - F.col("mu_b"), 2) / v - 0.5 * F.log(v / (2 * F.sqrt(F.col("v") * F.col("v_b")))))
-    return m.join(b, "sv_id").where("label < label_b").groupBy("sv_id").agg(F.round(F.max(o), 6).alias("overlap"))
+    return _six(G.labelled(S.cohort(spark, d), ["depth"]).select("sv_id", "overlap").distinct(), "overlap")
 
 
 _B2 = """m AS (SELECT sv_id, label, avg(depth) AS mx, avg(depth2) AS my, var_pop(depth) AS xx, covar_pop(depth, depth2) AS xy, var_pop(depth2) AS yy FROM cohort GROUP BY ALL),
@@ -97,15 +93,8 @@ q AS (SELECT *, cx * cy - cm * cm AS det FROM p)"""
 
 @query("bhattacharyya_2d", S.with_views("cohort", extra=_B2) + "SELECT sv_id, round(exp(-min(0.125 * (m1 * cy / det - m2 * cm / det) * m1 + (m2 * cx / det - m1 * cm / det) * m2 + 0.5 * ln(det / s))), 4) AS overlap FROM q GROUP BY sv_id")
 def _(spark, d):
-    m = S.cohort(spark, d).groupBy("sv_id", "label").agg(F.avg("depth").alias("mx"), F.avg("depth2").alias("my"), F.var_pop("depth").alias("xx"), F.covar_pop("depth", "depth2").alias("xy"), F.var_pop("depth2").alias("yy"))
-    b = m.select("sv_id", *[F.col(c).alias(f"{c}_b") for c in ("label", "mx", "my", "xx", "xy", "yy")])
-    p = m.join(b, "sv_id").where("label < label_b")
-    mean = lambda c: (F.col(c) + F.col(f"{c}_b")) / 2
-    det = mean("xx") * mean("yy") - mean("xy") * mean("xy")
-    own = lambda s: F.col(f"xx{s}") * F.col(f"yy{s}") - F.col(f"xy{s}") * F.col(f"xy{s}")
-    m1, m2 = F.col("mx") - F.col("mx_b"), F.col("my") - F.col("my_b")
-    dist = 0.125 * (m1 * mean("yy") / det - m2 * mean("xy") / det) * m1 + (m2 * mean("xx") / det - m1 * mean("xy") / det) * m2 + 0.5 * F.log(det / F.sqrt(own("") * own("_b")))
-    return p.groupBy("sv_id").agg(F.round(F.exp(-F.min(dist)), 4).alias("overlap"))
+    fits = G.labelled(S.cohort(spark, d), ["depth", "depth2"])
+    return fits.select("sv_id", F.round("overlap", 4).alias("overlap")).distinct()
 
 
 # three fixed components for assignment: means 1, 0.5, 0 with sd 0.1
@@ -113,9 +102,12 @@ _COMPONENTS = ((1.0, 0.1), (0.5, 0.1), (0.0, 0.1))
 _DENS = "d AS (SELECT sv_id, sample_id, depth, label, " + ", ".join(f"exp(-0.5 * pow((depth - {m}) / {s}, 2)) / ({s} * sqrt(2 * pi())) AS p{i}" for i, (m, s) in enumerate(_COMPONENTS)) + " FROM cohort)"
 
 
-def _densities(spark, d):
-    ps = {f"p{i}": X.normal_pdf(F.col("depth"), F.lit(m), F.lit(s)) for i, (m, s) in enumerate(_COMPONENTS)}
-    return S.cohort(spark, d).withColumns(ps)
+def _fixed(second: list[float] | None = None) -> M.Mixture:
+    """The three components, in one dimension or with the second coordinate's means."""
+    means, alphas = np.array([m for m, _ in _COMPONENTS]), np.full(3, 1 / 3)
+    if second is None:
+        return M.Mixture(means[:, None], np.array([s for _, s in _COMPONENTS]), alphas, 0.0, 0.0)
+    return M.Mixture(np.stack([means, second], axis=1), np.array([s * s * np.eye(2) for _, s in _COMPONENTS]), alphas, 0.0, 0.0)
 
 
 _BEST = "greatest(p0, p1, p2)"
@@ -123,51 +115,32 @@ _CLOSE = "list_sort([p0, p1, p2])[2] / greatest(p0, p1, p2) > 0.1"
 _COMP = f"CASE {_BEST} WHEN p0 THEN 0 WHEN p1 THEN 1 ELSE 2 END"
 
 
-def _assign():
-    best, ordered = F.greatest("p0", "p1", "p2"), F.sort_array(F.array("p0", "p1", "p2"))
-    comp = F.when(F.col("p0") == best, 0).when(F.col("p1") == best, 1).otherwise(2)
-    return comp, F.get(ordered, F.lit(1)) / best > 0.1
-
-
 @query("assign_cluster", S.with_views("cohort", extra=_DENS) + f"SELECT sv_id, sample_id, CAST(CASE WHEN {_CLOSE} THEN -1 ELSE {_COMP} END AS INTEGER) AS comp FROM d")
 def _(spark, d):
-    comp, close = _assign()
-    return _densities(spark, d).select("sv_id", "sample_id", F.when(close, -1).otherwise(comp).alias("comp"))
+    return G.assigned(S.cohort(spark, d), ["depth"], _fixed(), M.cluster_1d, "comp")
 
 
 @query("assign_cn", S.with_views("cohort", extra=_DENS) + f"SELECT sv_id, sample_id, CAST(CASE WHEN {_CLOSE} OR (2 - {_COMP} <> floor(2 * depth) AND 2 - {_COMP} <> ceil(2 * depth)) THEN -1 ELSE 2 - {_COMP} END AS INTEGER) AS cn FROM d")
 def _(spark, d):
-    comp, close = _assign()
-    cn, x = 2 - comp, 2 * F.col("depth")
-    return _densities(spark, d).select("sv_id", "sample_id", F.when(close | ((cn != F.floor(x)) & (cn != F.ceil(x))), -1).otherwise(cn).alias("cn"))
+    return G.assigned(S.cohort(spark, d), ["depth"], _fixed(), M.copy_number_1d, "cn")
 
 
 _D2 = "d AS (SELECT sv_id, sample_id, depth, depth2, cnt, " + ", ".join(f"exp(-0.5 * (pow((depth - {m}) / {s}, 2) + pow(({{y}} - {{m{i}}}) / {s}, 2))) AS p{i}" for i, (m, s) in enumerate(_COMPONENTS)) + " FROM cohort)"
 
 
-def _two(spark, d, y, centers):
-    ps = {f"p{i}": F.exp(-0.5 * (F.pow((F.col("depth") - m) / s, 2) + F.pow((F.col(y) - centers[i]) / s, 2))) for i, (m, s) in enumerate(_COMPONENTS)}
-    return S.cohort(spark, d).withColumns(ps)
-
-
 @query("assign_cn_2d", S.with_views("cohort", extra=_D2.format(y="depth2", m0=1.0, m1=0.5, m2=0.0)) + f"SELECT sv_id, sample_id, CAST(CASE WHEN {_CLOSE} OR (2 - {_COMP} <> floor(depth + depth2) AND 2 - {_COMP} <> ceil(depth + depth2)) THEN -1 ELSE 2 - {_COMP} END AS INTEGER) AS cn FROM d")
 def _(spark, d):
-    comp, close = _assign()
-    cn, x = 2 - comp, F.col("depth") + F.col("depth2")
-    return _two(spark, d, "depth2", (1.0, 0.5, 0.0)).select("sv_id", "sample_id", F.when(close | ((cn != F.floor(x)) & (cn != F.ceil(x))), -1).otherwise(cn).alias("cn"))
+    return G.assigned(S.cohort(spark, d), ["depth", "depth2"], _fixed([1.0, 0.5, 0.0]), M.copy_number_2d, "cn")
 
 
 @query("assign_dpcnt", S.with_views("cohort", extra=_D2.format(y="cnt", m0=0.0, m1=0.15, m2=0.3)) + f"SELECT sv_id, sample_id, CAST(CASE WHEN {_CLOSE.replace('0.1', '0.2')} THEN -1 ELSE 2 - {_COMP} END AS INTEGER) AS cn FROM d")
 def _(spark, d):
-    comp, _c = _assign()
-    best, ordered = F.greatest("p0", "p1", "p2"), F.sort_array(F.array("p0", "p1", "p2"))
-    return _two(spark, d, "cnt", (0.0, 0.15, 0.3)).select("sv_id", "sample_id", F.when(F.get(ordered, F.lit(1)) / best > 0.2, -1).otherwise(2 - comp).alias("cn"))
+    return G.assigned(S.cohort(spark, d), ["depth", "cnt"], _fixed([0.0, 0.15, 0.3]), M.copy_number_by_first, "cn")
 
 
 @query("mixture_bic", S.with_views("cohort", extra=_DENS) + "SELECT sv_id, round(-sum(ln((p0 + p1 + p2) / 3)) + 0.5 * 8 * ln(count(*)), 4) AS bic, round(-sum(ln((p0 + p1 + p2) / 3)) + 8, 4) AS aic FROM d GROUP BY sv_id")
 def _(spark, d):
-    ll = F.sum(F.log((F.col("p0") + F.col("p1") + F.col("p2")) / 3))
-    return _densities(spark, d).groupBy("sv_id").agg(F.round(-ll + 4 * F.log(F.count("*").cast("double")), 4).alias("bic"), F.round(-ll + 8, 4).alias("aic"))
+    return G.scored(S.cohort(spark, d), _fixed()).withColumns({c: F.round(c, 4) for c in ("bic", "aic")})
 
 
 @query("del_labels", S.with_views("cohort") + "SELECT sv_id, sample_id, CAST(CASE WHEN depth <= 0.65 AND cnt >= 0.1 THEN CASE WHEN depth < 0.2 THEN 2 ELSE 1 END WHEN cnt < 0.05 AND depth > 0.85 THEN 0 ELSE -1 END AS INTEGER) AS label FROM cohort")
@@ -182,9 +155,7 @@ def _(spark, d):
 
 @query("shape_test", S.with_views("cohort", extra="m AS (SELECT sv_id, avg(depth) FILTER (label = 0) AS a, avg(depth) FILTER (label = 1) AS b, avg(depth) FILTER (label = 2) AS c FROM cohort GROUP BY sv_id)") + "SELECT sv_id, a BETWEEN 0.8 AND 1.2 AND b BETWEEN 0.4 AND 0.65 AND a - b >= 0.3 AND b - c >= 0.3 AS ok FROM m")
 def _(spark, d):
-    mean = lambda i: F.avg(F.when(F.col("label") == i, F.col("depth")))
-    m = S.cohort(spark, d).groupBy("sv_id").agg(mean(0).alias("a"), mean(1).alias("b"), mean(2).alias("c"))
-    return m.select("sv_id", (F.col("a").between(0.8, 1.2) & F.col("b").between(0.4, 0.65) & (F.col("a") - F.col("b") >= 0.3) & (F.col("b") - F.col("c") >= 0.3)).alias("ok"))
+    return G.labelled(S.cohort(spark, d), ["depth"]).select("sv_id", F.col("falls").alias("ok")).distinct()
 
 
 _CN2 = _DENS + f""", one AS (SELECT sv_id, sample_id, CASE WHEN {_CLOSE} THEN -1 ELSE 2 - {_COMP} END AS a FROM d),
@@ -194,18 +165,21 @@ two AS (SELECT sv_id, sample_id, CASE WHEN {_CLOSE} THEN -1 ELSE 2 - {_COMP} END
 
 @query("cn_combine", S.with_views("cohort", extra=_CN2) + "SELECT sv_id, sample_id, CAST(CASE WHEN a < 0 THEN b WHEN b < 0 THEN a ELSE round((a + b) / 2) END AS INTEGER) AS cn FROM one JOIN two USING (sv_id, sample_id)")
 def _(spark, d):
-    comp, close = _assign()
-    cn = F.when(close, -1).otherwise(2 - comp)
-    a, b = _densities(spark, d).select("sv_id", "sample_id", cn.alias("a")), _two(spark, d, "depth2", (1.0, 0.5, 0.0)).select("sv_id", "sample_id", cn.alias("b"))
-    return a.join(b, ["sv_id", "sample_id"]).select("sv_id", "sample_id", X.combined_copies(F.col("a"), F.col("b")).alias("cn"))
+    by = lambda x, fit: np.where((c := M.copy_number_by_first(x, fit, 0.1)) < 0, -1, c)
+    one = G.assigned(S.cohort(spark, d).withColumn("_zero", F.lit(0.0)), ["depth", "_zero"], _fixed([0.0, 0.0, 0.0]), by, "a")
+    two = G.assigned(S.cohort(spark, d), ["depth", "depth2"], _fixed([1.0, 0.5, 0.0]), by, "b")
+    return one.join(two, ["sv_id", "sample_id"]).select("sv_id", "sample_id", X.combined_copies(F.col("a"), F.col("b")).alias("cn"))
 
 
-@query("cn_flank_filter", S.with_views("cohort", extra="f AS (SELECT sv_id, avg(depth2) AS m, stddev_pop(depth2) AS s FROM cohort GROUP BY sv_id)") + "SELECT sv_id, sample_id, CAST(CASE WHEN abs(depth2 - m) > 2 * s OR (label > 0 AND abs(depth - m) < 2 * s) THEN -1 ELSE label END AS INTEGER) AS cn FROM cohort JOIN f USING (sv_id)")
+@query("cn_flank_filter", S.with_views("cohort", extra="f AS (SELECT sv_id, avg(depth2) AS m, stddev_pop(depth2) AS s FROM cohort GROUP BY sv_id)") + "SELECT sv_id, sample_id, CAST(CASE WHEN abs(depth2 - m) > 2 * s OR (label > 0 AND abs(depth - depth2) < 2 * s) THEN -1 ELSE label END AS INTEGER) AS cn FROM cohort JOIN f USING (sv_id)")
 def _(spark, d):
-    c = S.cohort(spark, d)
-    f = c.groupBy("sv_id").agg(F.avg("depth2").alias("m"), F.stddev_pop("depth2").alias("s"))
-    bad = (F.abs(F.col("depth2") - F.col("m")) > 2 * F.col("s")) | ((F.col("label") > 0) & (F.abs(F.col("depth") - F.col("m")) < 2 * F.col("s")))
-    return c.join(f, "sv_id").select("sv_id", "sample_id", F.when(bad, -1).otherwise(F.col("label")).alias("cn"))
+
+    def one(rows):
+        label = rows["label"].to_numpy()
+        off = G.off_flank(rows["depth"].to_numpy(float), label, rows["depth2"].to_numpy(float))
+        return rows[["sv_id", "sample_id"]].assign(cn=[-1 if o else int(c) for o, c in zip(off, label, strict=True)])
+
+    return G.per_variant(S.cohort(spark, d).select("sv_id", "sample_id", "depth", "depth2", "label"), one, "sv_id long, sample_id long, cn int")
 
 
 @query("find_peak", S.with_views("evidence", extra="""h AS (SELECT sample_id, pos // 20000 AS b, count(*) AS n FROM evidence GROUP BY ALL),
