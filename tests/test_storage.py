@@ -174,3 +174,20 @@ def test_a_new_sample_touches_its_folder_only(spark, tmp_path):
     with pytest.raises(ValueError, match="chromosome 1: 5 samples, 19 to 20, chromosome 2: 4 samples"):
         cohort.read(spark, path)
     assert cohort.read(spark, path, check=False).count() == 179
+
+
+def test_a_scope_removes_what_was_written_in_it(spark):
+    from cohortlake import store
+
+    folder = Path(store.shared_folder(spark))
+    before = set(os.listdir(folder))
+    with store.scope(spark):
+        rows = store.stored(spark.range(5), "inner")
+        by = store.stored_by(spark.range(5), "id", "buckets")
+        kept = store.stored(rows.join(by, "id"), "outer", keep=True)
+        assert len(set(os.listdir(folder)) - before) == 3
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["outer"] and kept.count() == 5
+    with pytest.raises(ZeroDivisionError), store.scope(spark):
+        store.stored(spark.range(1), "gone")
+        1 / 0  # noqa: B018
+    assert not any(x.startswith("gone") for x in os.listdir(folder))
