@@ -17,7 +17,7 @@ Any order gives the same result; a good one only saves candidates.
 A set is named by a 64-bit hash. Where two different sets share it (a second hash tells), all but
 one of them get new names; with n sets, about n^2 / 2^65 pairs do, so these names fit in memory.
 
-Before a candidate's sets are read, its parity sketches are compared: 256 bits, each the
+Before a candidate's sets are read, its parity sketches are compared: ``BITS`` bits, each the
 parity of the shingles that hash to it. They differ in at most as many bits as the sets
 in shingles, so no true pair is lost, and pairs of a large group that are merely related
 go in the join itself.
@@ -62,7 +62,8 @@ AT_ONCE = 64
 LEVELS = (1, 2, 4, 8)
 #: What a candidate costs against reading one posting, for choosing l.
 VERIFY = 8.0
-SKETCH = ("s0", "s1", "s2", "s3")
+BITS = 512
+SKETCH = tuple(f"s{i}" for i in range(BITS // 64))
 #: Rounds of pivots at most; they end sooner when a round joins less than this part of the nodes still apart.
 PIVOT_ROUNDS, LEAST_JOINED = 8, 0.2
 #: A slot is hot when it holds this many times the mean, this many at least, and so many at any rate.
@@ -110,8 +111,8 @@ def name_of(s: np.ndarray, names: dict[int, dict[int, int]], bits: int = 64) ->
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """Four 64-bit words: for each of 256 slots, whether an odd number of the set's items falls into it."""
-    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """64-bit words: for each of ``BITS`` slots, whether an odd number of the set's items falls into it."""
+    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -136,7 +137,7 @@ def _survey(batches: Iterator[pa.RecordBatch], k: int, slot_bits: int, bits: int
                 "n": pa.array(n),
                 "node": pa.array(np.array([node_of(s, bits) for s in sets], np.int64)),
                 "other": pa.array(np.array([other_of(s) for s in sets], np.int64)),
-                **{f"s{i}": pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(4)},
+                **{c: pa.array(np.ascontiguousarray(sketches[:, i])) for i, c in enumerate(SKETCH)},
                 "range": none(len(n), pa.int32()),
                 "task": none(len(n), pa.int32()),
                 "counts": none(len(n), pa.binary()),
@@ -151,7 +152,7 @@ def _survey(batches: Iterator[pa.RecordBatch], k: int, slot_bits: int, bits: int
                 "n": none(1, pa.int64()),
                 "node": none(1, pa.int64()),
                 "other": none(1, pa.int64()),
-                **{f"s{j}": none(1, pa.int64()) for j in range(4)},
+                **{c: none(1, pa.int64()) for c in SKETCH},
                 "range": pa.array([i], pa.int32()),
                 "task": pa.array([task], pa.int32()),
                 "counts": pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary()),
@@ -402,7 +403,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     slot_bits = slot_bits or _slot_bits(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = docs.mapInArrow(
-        partial(_survey, k=k, slot_bits=slot_bits, bits=node_bits), "doc_id long, n long, node long, other long, s0 long, s1 long, s2 long, s3 long, range int, task int, counts binary"
+        partial(_survey, k=k, slot_bits=slot_bits, bits=node_bits), "doc_id long, n long, node long, other long, " + ", ".join(f"{c} long" for c in SKETCH) + ", range int, task int, counts binary"
     )
     survey = stored(survey, "survey")
     each = survey.where("n is not null").select("doc_id", "n", "node", "other")
