@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import line_dedup, ngram_join, packing, toxicity
-from cohortlake.llm._store import stored
+from cohortlake.store import scope, stored
 
 
 def _as_documents(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -46,10 +46,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn; what each returns is written to the shared folder and read again."""
+    """The stages in turn; what each returns is written to the shared folder and read again, and what it wrote for itself is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
     return docs
 
 
