@@ -61,8 +61,8 @@ SLOT_BITS, MOST_SLOT_BITS, RANGE = 22, 26, 1 << 16
 AT_ONCE = 64
 LEVELS = (1, 2, 4, 8)
 #: What a candidate costs against reading one posting, for choosing l: little, as sketches are compared where postings meet.
-VERIFY = 1.0
-BITS = 1024
+VERIFY = 0.25
+BITS = 512
 SKETCH = tuple(f"s{i}" for i in range(BITS // 64))
 #: Rounds of pivots at most; they end sooner when a round joins less than this part of the nodes still apart.
 PIVOT_ROUNDS, LEAST_JOINED = 8, 0.2
