@@ -249,15 +249,24 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
 
 
 def _linked(pairs: DataFrame, facts: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose whole sets reach the similarity. ``sets`` are in buckets of doc_id, so only those needed are exchanged."""
-    pairs = stored(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(facts.select("node", "doc_id"), "node")
-    needed = needed.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id")).hint("shuffle_hash")
-    # not an equality of nodes: the buckets are of doc_id alone
-    found = sets.join(needed, F.col("doc_id") == F.col("_id")).where(F.col("node").bitwiseXOR(F.col("_node")) == 0)
-    found = found.select("node", "items").dropDuplicates(["node"])
-    left, right = (found.select(F.col("node").alias(c), F.col("items").alias(f"items_{c}")) for c in ("u", "v"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "items_u", "items_v")
+    """The pairs (u, v) of nodes whose whole sets reach the similarity.
+
+    ``sets`` are in buckets of doc_id and stay there: a pair goes to the set of u, and with it to that
+    of v, so each pair moves one set, once. Joins compare nodes by an expression, as the buckets are
+    of doc_id alone.
+    """
+    ids = lambda c: facts.select(F.col("node").alias(c), F.col("doc_id").alias(f"doc_{c}"))
+    pairs = stored(pairs.join(ids("u"), "u").join(ids("v"), "v").select("u", "v", "doc_u", "doc_v"), "pairs")
+    ends = F.array(*[F.struct(F.col(f"doc_{c}").alias("_id"), F.col(c).alias("_node")) for c in ("u", "v")])
+    needed = pairs.select(F.explode(ends).alias("_end")).select("_end.*").distinct().hint("shuffle_hash")
+    found = sets.join(needed, (F.col("doc_id") == F.col("_id")) & (F.col("node").bitwiseXOR(F.col("_node")) == 0))
+    found = found.select("doc_id", "node", "items").dropDuplicates(["doc_id", "node"])
+
+    def with_set(rows: DataFrame, c: str) -> DataFrame:
+        sets = found.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("items").alias(f"items_{c}"))
+        return rows.join(sets, (F.col(f"doc_{c}") == F.col("_id")) & (F.col(c).bitwiseXOR(F.col("_node")) == 0)).drop("_id", "_node", f"doc_{c}")
+
+    both = with_set(with_set(pairs, "u"), "v").select("u", "v", "items_u", "items_v")
     return stored(both.mapInArrow(partial(_verify, num=num, den=den), "u long, v long").distinct(), "links")
 
 
