@@ -20,7 +20,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,9 @@ SALTS, GROUP = 256, 50_000
 #: Rows of the plan that are broadcast; a longer plan is joined by length.
 SMALL_PLAN = 500_000
 #: Bytes of words and ids that a worker remembers (estimated), and the longest word worth remembering.
-CACHE_BYTES, REMEMBERED = 64 << 20, 200
+CACHE_BYTES, REMEMBERED = 128 << 20, 200
+#: Bytes of an entry besides its word and ids, and how many runs of marks are remembered.
+ENTRY, MARKS = 200, 1_000
 
 
 def tokenizer_path() -> str:
@@ -47,6 +51,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Words(dict):
+    """Ids by word; ``learn`` gives those of a word that isn't there."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        return self.learn(word)
+
+
 class WordEncoder:
     """Ids as little-endian 32-bit bytes, through the ids of space-separated words.
 
@@ -59,18 +74,19 @@ class WordEncoder:
     _odd = (*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680", *map(chr, range(0x2000, 0x200B)), *"\u2028\u2029\u202f\u205f\u3000", "  ", " \n", "\n ", "\n\n")
     _between = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
-    _latin = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
+    _latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.stops: dict[str, bytes] = {}
-        self.tokenizer, self.cache, self.size = Tokenizer.from_file(path), {}, 0
+        self.tokenizer, self.cache, self.size = Tokenizer.from_file(path), _Words(self._learn), 0
+        self.model, self.marks = self.tokenizer.model, {}
         # the byte-level alphabet: printable bytes stand for themselves, others for what follows U+00FF
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.space = self.alphabet[32]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -83,43 +99,51 @@ class WordEncoder:
         first, *rest = self._between.split(text)
         return [first, *(p[1:] if p[0] == " " else p for p in rest)]
 
-    def _learn(self, words) -> None:
-        """Words of letters, with or without stops after them, are one token each to the splitter; the rest goes through all of it."""
-        cache, model, alphabet, latin = self.cache, self.tokenizer.model, self.alphabet, self._latin.fullmatch
-        rest = []
-        for word in words:
-            if not (found := latin(word)):
-                rest.append(word)
-                continue
-            stem, stops = found.groups()
-            ids = cache.get(stem)
+    def _learn(self, word: str) -> bytes:
+        """Words of letters, with or without marks after them, are one token each to the splitter; the rest goes through all of it."""
+        stem = word.rstrip(punctuation)
+        before = ""
+        if word[0] == "\n":
+            before, stem = "\n", stem[1:]
+        plain = stem.isascii()
+        if plain and stem.isalpha() or self._latin.fullmatch(stem):
+            after = word[len(before) + len(stem) :]
+            # a word's own ids may be known from where it stood without marks
+            ids = self.cache.get(stem) if after and not before else None
             if ids is None:
-                spelt = (" " + stem).encode().decode("latin-1").translate(alphabet)
-                ids = cache[stem] = np.array([t.id for t in model.tokenize(spelt)], "<u4").tobytes()
-            if stops:
-                if stops not in self.stops:
-                    self.stops[stops] = self._ids([stops])[0]
-                cache[word] = ids + self.stops[stops]
-        cache.update(zip(rest, self._ids([w if w[0] == "\n" else " " + w for w in rest]), strict=True))
+                spelt = stem if before else " " + stem
+                spelt = spelt.replace(" ", self.space) if plain else spelt.encode().decode("latin-1").translate(self.alphabet)
+                ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            if before:
+                ids = self._marks(before) + ids
+            if after:
+                ids += self._marks(after)
+        else:
+            ids = self._ids([word if before else " " + word])[0]
+        if len(word) <= REMEMBERED:
+            if self.size > CACHE_BYTES:
+                self.cache.clear()
+                self.size = 0
+            self.cache[word] = ids
+            self.size += ENTRY + 2 * len(word) + len(ids)
+        return ids
+
+    def _marks(self, text: str) -> bytes:
+        """Ids of a run of marks after a word, or of a line break before one: the splitter keeps them apart from it."""
+        if text not in self.marks:
+            if len(self.marks) > MARKS:
+                self.marks.clear()
+            ids = self._ids([text])[0]
+            if len(text) > REMEMBERED:
+                return ids
+            self.marks[text] = ids
+        return self.marks[text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self._parts(t) for t in texts]
         heads = self._ids([p.pop(0) for p in parts])
-        cache = self.cache
-        words = set().union(*parts)
-        if self.size > CACHE_BYTES:
-            cache.clear()
-            self.size = 0
-        new, before = words.difference(cache), len(cache)
-        self._learn(new)
-        self.size += 300 * (len(cache) - before)  # words, and what they are without stops
-        out = [head + b"".join(map(cache.__getitem__, part)) for head, part in zip(heads, parts, strict=True)]
-        for word in new:
-            if len(word) > REMEMBERED:
-                self.size -= 300 * sum(cache.pop(w, None) is not None for w in {word, word.rstrip(".,!?;:")})
-            else:
-                self.size += 4 * len(word) + len(cache.get(word, b""))
-        return out
+        ids_of = self.cache.__getitem__
+        return [head + b"".join(map(ids_of, part)) for head, part in zip(heads, parts, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -545,3 +545,23 @@ def test_pipeline_odd(spark, tmp_path):
     assert {i: len(v) for i, v in pieces.items() if len(v) > 1} == {6: 2, None: 2, 7: len(pieces[7]), 8: len(pieces[8])}
     assert set(pieces) == {1, 2, 3, 4, 5, 6, 7, 8, 20, None} and len(pieces[7]) > 20
     assert [s for _, s, _ in sorted(pieces[7])] == list(np.cumsum([0] + [n for *_, n in sorted(pieces[7])])[:-1])
+
+
+def test_packing_words_with_marks():
+    encoder, whole = packing.WordEncoder(packing.tokenizer_path()), []
+    ids_of = encoder._ids
+    encoder._ids = lambda texts: whole.extend(texts) or ids_of(texts)
+    rng = np.random.default_rng(5)
+    stems = ["".join(rng.choice(list("aeonrstÉßdlÀ"), 7)) for _ in range(200)]
+    lines = ["x " + " ".join(s + m for s in stems) + "\n" + "\n".join(s + m for s in stems) for m in ("", ".", "***", "$$$", "'", ".'\"", "_", "…", "'s", "!?'ll", "。")]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in lines]
+    assert encoder.encode(lines) == want
+    # marks after words of letters are looked up by themselves: only what has other characters goes through the splitter
+    assert [w for w in whole if w.endswith(("***", "$$$"))] == ["***", "$$$"]
+    # the cache is emptied within a text, and what it holds is bounded
+    most, packing.CACHE_BYTES = packing.CACHE_BYTES, 20_000
+    try:
+        small = packing.WordEncoder(packing.tokenizer_path())
+        assert small.encode(lines) == want and small.size < 21_000
+    finally:
+        packing.CACHE_BYTES = most
