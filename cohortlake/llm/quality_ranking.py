@@ -11,11 +11,13 @@ reach the driver.
 
 The threshold is a quantile of the labelled documents' scores: of ``QUANTILES`` of them
 the one that misplaces fewest labelled documents, nearest to the share of bad ones on
-ties. A score of 0.5 is that quantile.
+ties. A score of 0.5 is that quantile. Scores are counted in ``BINS`` bins between the least and
+the greatest, and a quantile is the least score of the bin it falls into.
 
-The fit uses ``MAX_LABELLED`` rows at most (all below that), chosen by the hash of
-``doc_id``, and ``PARTNERS`` pairs for each row of the larger class. Labels of held-out
-rows are never read; language, source and id are no measures. All documents are scored.
+Moments, weights and threshold come from all labelled rows that aren't held out: each row of
+the larger class makes ``PARTNERS`` pairs, dealt in turn over all rows of the other class, so that
+every row of both takes part. Labels of held-out rows are never read; language, source and id are
+no measures. All documents are measured once, and scored.
 
 Defined results: null and empty texts have measures of zero and get a score like any
 other; every input row gives one row; a row without ``doc_id`` is not held out and has no
@@ -38,7 +40,11 @@ from pyspark.sql.window import Window
 from ._store import stored
 from ._text import NONSPACE, bounds, flat, hashes, mix, pieces
 
-MAX_LABELLED, PARTNERS, QUANTILES = 20_000, 8, 256
+PARTNERS, QUANTILES, BINS = 8, 256, 1 << 14
+#: A label's rows are numbered in so many groups at least, and in as many as hold so many rows each.
+GROUPS, GROUP = 256, 50_000
+#: Rows of the smaller class that are broadcast to those of the larger.
+SMALL = 20_000
 #: Weight of the penalty on the squared weights, rounds of Newton's method, bytes of text worked on at once.
 PENALTY, ROUNDS, SLICE = 1.0, 12, 2 << 20
 THRESHOLD = 0.5
@@ -132,35 +138,54 @@ def measures(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _matrix(column: pa.Array, d: int = len(MEASURES)) -> np.ndarray:
+    """A column of lists of ``d`` numbers as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
 def _ranks(x: np.ndarray, model: Model) -> np.ndarray:
     return np.clip((x - model.mean) / model.scale, -MOST, MOST) @ model.weights
 
 
-def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """_label, _place (from 0, within a label), _x (measures): at most ``limit`` labelled rows that aren't held out, written."""
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    one = usable.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("int").alias("_label"))
-    chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(limit)
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, _x (measures) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, SLICE):
-            x = measures(batch.column(2))
-            yield pa.record_batch({"_id": batch.column(0), "_label": batch.column(1), "_x": pa.array(list(x), pa.list_(pa.float64()))})
+            x = measures(batch.column(1))
+            yield pa.record_batch({"doc_id": batch.column(0), "_x": pa.array(list(x), pa.list_(pa.float64()))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_label", "text")
-    rows = texts.mapInArrow(run, f"_id {kind}, _label int, _x array<double>")
-    # the sample is bounded, so a window over a label is; rows that repeat a doc_id are numbered in any order
-    order = Window.partitionBy("_label").orderBy(F.xxhash64(F.col("_id"), F.lit(5)), "_id")
-    return stored(rows.withColumn("_place", F.row_number().over(order) - 1).select("_label", "_place", "_x"), "labelled")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, _x array<double>")
 
 
-def _pairs(sample: DataFrame, sizes: dict[int, int], partners: int) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """_id, _label (0 or 1), _x: all labelled rows that aren't held out, written."""
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    one = usable.groupBy(F.col("doc_id").alias("_id")).agg((F.max("quality").cast("int") > 0).cast("int").alias("_label"))
+    return stored(rows.join(one, F.col("doc_id") == F.col("_id")).select("_id", "_label", "_x"), "labelled")
+
+
+def _placed(labelled: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """_label, _place (from 0, within a label, in an order by hash), _x: numbered in groups, of which no task holds more than a few."""
+    groups = F.when(F.col("_label") > 0, max(GROUPS, -(-sizes[1] // GROUP))).otherwise(max(GROUPS, -(-sizes[0] // GROUP)))
+    # rows alike in id and measures are the same in any order
+    rows = labelled.withColumn("_hash", F.xxhash64("_id", "_x", F.lit(5))).withColumn("_group", F.pmod("_hash", groups).cast("int"))
+    earlier = Window.partitionBy("_label").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_label", "_group").agg(F.count("*").alias("_n"))
+    firsts = counts.select("_label", "_group", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy("_label", "_group").orderBy("_hash", "_id"))
+    placed = rows.withColumn("_place", within - 1).join(firsts, ["_label", "_group"])
+    return stored(placed.select("_label", (F.col("_place") + F.col("_first")).alias("_place"), "_x"), "placed")
+
+
+def _pairs(placed: DataFrame, sizes: dict[int, int], partners: int) -> DataFrame:
     """_a (measures of the preferred), _b (of the other): each row of the larger class with ``partners`` of the other, spread evenly over it."""
     many, few = (1, 0) if sizes[1] >= sizes[0] else (0, 1)
     step = max(1, sizes[few] // partners)
-    with_key = sample.where(F.col("_label") == many).select(F.col("_x").alias("_m"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(min(partners, sizes[few]) - 1)), lambda j: (F.col("_place") + j * step) % sizes[few])).alias("_place"))
-    both = with_key.join(sample.where(F.col("_label") == few).select("_place", F.col("_x").alias("_f")), "_place")
+    with_key = placed.where(F.col("_label") == many).select(F.col("_x").alias("_m"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(min(partners, sizes[few]) - 1)), lambda j: (F.col("_place") + j * step) % sizes[few])).alias("_place"))
+    others = placed.where(F.col("_label") == few).select("_place", F.col("_x").alias("_f"))
+    both = with_key.join(F.broadcast(others) if sizes[few] <= SMALL else others, "_place")
     good, bad = ("_m", "_f") if many == 1 else ("_f", "_m")
     return stored(both.select(F.col(good).alias("_a"), F.col(bad).alias("_b")), "preferences")
 
@@ -172,7 +197,7 @@ def _summed(pairs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = shared.value, np.zeros(d * d + d + 1)
         for batch in batches:
-            a, b = (np.stack(batch.column(i).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, d)) for i in (0, 1))
+            a, b = (_matrix(batch.column(i), d) for i in (0, 1))
             z = np.clip((a - model.mean) / model.scale, -MOST, MOST) - np.clip((b - model.mean) / model.scale, -MOST, MOST)
             p = 1 / (1 + np.exp(-np.clip(z @ model.weights, -500, 500)))
             total[:d] += z.T @ (1 - p)
@@ -184,32 +209,39 @@ def _summed(pairs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, int
     return (got[:d], got[d:-1].reshape(d, d), int(got[-1])) if len(got) else (np.zeros(d), np.zeros((d, d)), 0)
 
 
-def _threshold(sample: DataFrame, model: Model, bad_share: float) -> float:
-    """The quantile of the sample's scores that misplaces fewest of its rows."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+def _threshold(labelled: DataFrame, model: Model, bad_share: float) -> float:
+    """The quantile of the labelled rows' scores that misplaces fewest of them."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, len(shared.value.weights)))
-            yield pa.record_batch({"_label": batch.column(0), "_s": _ranks(x, shared.value)})
-
-    ranked = stored(sample.select("_label", "_x").mapInArrow(run, "_label int, _s double"), "ranked")
+            yield pa.record_batch({"_label": batch.column(0), "_s": _ranks(_matrix(batch.column(1)), shared.value)})
+
+    ranked = stored(labelled.select("_label", "_x").mapInArrow(run, "_label int, _s double"), "ranked")
+    lo, hi = ranked.agg(F.min("_s"), F.max("_s")).first()
+    place = F.least(F.floor((F.col("_s") - lo) * (BINS / max(hi - lo, 1e-9))), F.lit(BINS - 1)).cast("int")
+    n, least = np.zeros((2, BINS), np.int64), np.full(BINS, np.inf)
+    for r in ranked.groupBy(place.alias("bin"), "_label").agg(F.count("*").alias("n"), F.min("_s").alias("least")).collect():  # two rows a bin
+        n[r["_label"], r["bin"]] = r["n"]
+        least[r["bin"]] = min(least[r["bin"]], r["least"])
+    whole = np.cumsum(n.sum(axis=0))
     shares = [i / QUANTILES for i in range(1, QUANTILES)]
-    cuts = np.array(ranked.agg(F.percentile("_s", F.array(*map(F.lit, shares))).alias("q")).first()["q"])
-    above = F.size(F.filter(F.lit(cuts.tolist()), lambda c: c <= F.col("_s")))
-    n = np.zeros((2, QUANTILES), np.int64)
-    for r in ranked.groupBy(above.alias("above"), "_label").agg(F.count("*").alias("n")).collect():  # two rows a quantile
-        n[int(r["_label"] > 0), r["above"]] += r["n"]
-    # row i lies at or above the first i cuts: with cut j as threshold, rows up to j are below it
-    wrong = np.cumsum(n[1])[:-1] + n[0].sum() - np.cumsum(n[0])[:-1]
-    return float(cuts[min(range(len(cuts)), key=lambda j: (wrong[j], abs(shares[j] - bad_share)))])
+    at = np.searchsorted(whole, [int(q * (whole[-1] - 1)) for q in shares], "right")  # the bins that hold these ranks
+    below = (np.cumsum(n, axis=1) - n)[:, at]
+    wrong = below[1] + n[0].sum() - below[0]
+    return float(least[at[min(range(len(at)), key=lambda j: (wrong[j], abs(shares[j] - bad_share)))]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, partners: int = PARTNERS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, partners: int = PARTNERS) -> Model | None:
     """Weights and threshold; None without labels of both kinds."""
-    sample = _sample(docs.select("doc_id", "text"), labels, limit)
+    return fit_measured(measured(docs), labels, partners)
+
+
+def fit_measured(rows: DataFrame, labels: DataFrame, partners: int = PARTNERS) -> Model | None:
+    """As ``fit``, from the rows of ``measured``."""
+    labelled = _labelled(rows, labels)
     d = len(MEASURES)
-    moments = sample.groupBy((F.col("_label") > 0).cast("int").alias("y")).agg(
+    moments = labelled.groupBy(F.col("_label").alias("y")).agg(
         F.count("*").alias("n"), *[f(F.get("_x", F.lit(i))).alias(f"{k}{i}") for i in range(d) for k, f in (("s", F.sum), ("q", lambda c: F.sum(c * c)))]
     )
     rows = {r["y"]: r for r in moments.collect()}  # one row for each kind of label
@@ -220,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, partners:
     mean, square = (np.array([sum(rows[y][f"{k}{i}"] for y in rows) / total for i in range(d)]) for k in "sq")
     scale = np.sqrt(np.maximum(square - mean * mean, 0))
     model = Model(mean, np.where(scale > 1e-9, scale, 1.0), np.zeros(d))
-    pairs = _pairs(sample.withColumn("_label", (F.col("_label") > 0).cast("int")), sizes, partners)
+    pairs = _pairs(_placed(labelled, sizes), sizes, partners)
     for _ in range(ROUNDS):
         gradient, curvature, n = _summed(pairs, model)
         # pairs repeat rows, so the penalty counts them as one sample of the size of the labelled rows
@@ -229,26 +261,31 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, partners:
         model = Model(model.mean, model.scale, model.weights + np.clip(step, -3, 3))
         if np.abs(step).max() < 1e-6:
             break
-    model.threshold = _threshold(sample, model, sizes[0] / total)
+    model.threshold = _threshold(labelled, model, sizes[0] / total)
     return model
 
 
-def _scores(column: pa.Array, model: Model | None) -> np.ndarray:
+def _scores(x: np.ndarray, model: Model | None) -> np.ndarray:
     if model is None:
-        return np.full(len(column), 0.5)
-    return 1 / (1 + np.exp(-np.clip(_ranks(measures(column), model) - model.threshold, -500, 500)))
+        return np.full(len(x), 0.5)
+    return 1 / (1 + np.exp(-np.clip(_ranks(x, model) - model.threshold, -500, 500)))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score: from 0 to 1, 0.5 at the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return score_measured(measured(docs), model)
+
+
+def score_measured(rows: DataFrame, model: Model | None) -> DataFrame:
+    """As ``score``, from the rows of ``measured``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, SLICE):
-            yield pa.record_batch({"doc_id": batch.column(0), "score": _scores(batch.column(1), shared.value)})
+        for batch in batches:
+            yield pa.record_batch({"doc_id": batch.column(0), "score": _scores(_matrix(batch.column(1)), shared.value)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "_x").mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -257,13 +294,14 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, SLICE):
-            yield batch.filter(pa.array(_scores(batch.column(batch.schema.get_field_index("text")), shared.value) >= threshold))
+            yield batch.filter(pa.array(_scores(measures(batch.column(batch.schema.get_field_index("text"))), shared.value) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    scored = score(docs, model)
+    rows = stored(measured(docs), "measured")
+    model = fit_measured(rows, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    scored = score_measured(rows, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -144,6 +144,33 @@ def test_quality_odd_input(spark):
     assert quality_ranking.score(table.limit(0), model).count() == 0 and quality_ranking.fit(table.limit(0), labels) is None
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    # more labelled rows than the 20,000 that a fit once took
+    n = 24_000
+    texts = F.when(F.col("id") % 8 == 0, F.concat(F.lit("!! ## "), F.col("id"))).otherwise(F.concat(F.lit("Plain words here "), F.col("id"), F.lit(".")))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), texts.alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 8 == 0, 0).otherwise(1).alias("quality")).where(~quality_ranking.held_out(F.col("doc_id")))
+    more = labels.unionByName(spark.range(n, 3 * n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    extra = docs.unionByName(spark.range(n, 3 * n).select(F.col("id").alias("doc_id"), F.lit("Others say a b c d.").alias("text")))
+    labelled = quality_ranking._labelled(quality_ranking.measured(extra), more)
+    want = {r["quality"]: r["count"] for r in more.where(~quality_ranking.held_out(F.col("doc_id"))).groupBy("quality").count().collect()}
+    assert sum(want.values()) > 40_000 and labelled.count() == sum(want.values())
+    # places number each label's rows from 0, and every row of both labels is in a pair
+    placed = quality_ranking._placed(labelled, want)
+    got = {r["_label"]: (r["n"], r["lo"], r["hi"]) for r in placed.groupBy("_label").agg(F.countDistinct("_place").alias("n"), F.min("_place").alias("lo"), F.max("_place").alias("hi")).collect()}
+    assert got == {y: (k, 0, k - 1) for y, k in want.items()}
+    marked = placed.withColumn("_x", F.array(F.col("_label").cast("double"), F.col("_place").cast("double")))
+    pairs = quality_ranking._pairs(marked, want, 8)
+    ends = pairs.agg(F.count("*").alias("n"), F.countDistinct(F.col("_a")[1]).alias("a"), F.countDistinct(F.col("_b")[1]).alias("b"), F.min(F.col("_a")[0]).alias("y"), F.max(F.col("_b")[0]).alias("z")).first()
+    assert tuple(ends) == (8 * want[1], want[1], want[0], 1.0, 0.0)
+    # the moments of the model are those of all rows
+    rows, model = labelled.select("_label", "_x").collect(), quality_ranking.fit(extra, more)
+    x, y = np.array([r["_x"] for r in rows]), np.array([r["_label"] for r in rows])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) > 1e-6, x.std(axis=0), model.scale), rtol=1e-6)
+    # the threshold misplaces as few rows as the best quantile
+    assert ((quality_ranking._ranks(x, model) >= model.threshold) == (y == 1)).all()
+
+
 # --- conversation repair
 
 
