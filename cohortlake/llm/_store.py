@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..store import shared_folder, stored, stored_by
+from ..store import shared_folder, shuffles_freed, stored, stored_by
 
-__all__ = ["shared_folder", "stored", "stored_by", "unused"]
+__all__ = ["shared_folder", "shuffles_freed", "stored", "stored_by", "unused"]
 
 
 def unused(name: str, *frames: DataFrame) -> str:

@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._graph import components
-from ._store import stored, stored_by, unused
+from ._store import shuffles_freed, stored, stored_by, unused
 from ._text import NONSPACE, grams, hashes, mix, pieces, release, text_words
 
 SLOT_BITS, MOST_SLOT_BITS, RANGE = 22, 26, 1 << 16
@@ -402,12 +402,8 @@ def _renamed(rows: DataFrame, names: dict[int, dict[int, int]]) -> DataFrame:
     return rows.join(table, ["node", "other"], "left").withColumn("node", F.coalesce("_name", "node")).drop("_name")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slot_bits: int | None = None, node_bits: int = 64) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents linked when den * |A and B| >= num * |A or B|, and their classes.
-
-    ``slot_bits``: size of the table of counts (by the input's size if not given). ``node_bits``: bits of
-    the hash that names a set; fewer only make more sets need new names.
-    """
+def _grown(docs: DataFrame, k: int, num: int, den: int, slot_bits: int | None, node_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with their nodes, the nodes, and the components of those that aren't their own."""
     spark = docs.sparkSession
     slot_bits = slot_bits or _slot_bits(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -442,7 +438,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     # exactly all candidates that lie in different components still
     found = _linked(_candidates(_mixed(lists, group, None, num, den), facts, num, den), facts, sets, num, den)
-    group = _joined(group, found)
+    return each, reps, _joined(group, found)
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, slot_bits: int | None = None, node_bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents linked when den * |A and B| >= num * |A or B|, and their classes.
+
+    ``slot_bits``: size of the table of counts (by the input's size if not given). ``node_bits``: bits of
+    the hash that names a set; fewer only make more sets need new names.
+    """
+    with shuffles_freed(docs.sparkSession):  # what is written on the way outlives its shuffles
+        each, reps, group = _grown(docs, k, num, den, slot_bits, node_bits)
 
     # from nodes to documents: the class's smallest doc_id
     classes = _grouped(reps.select("node", "doc_id"), group, "node", "component")

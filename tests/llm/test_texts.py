@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -565,3 +566,21 @@ def test_packing_words_with_marks():
         assert small.encode(lines) == want and small.size < 21_000
     finally:
         packing.CACHE_BYTES = most
+
+
+def test_ngram_join_frees_its_shuffles(spark):
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        return {b for b in blocks.split() if b.startswith("shuffle_")}
+
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffles()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out, left = ngram_join.jaccard_components(docs, k=4, num=85, den=100), None
+    for _ in range(50):  # files are removed in the background
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(key) == "false"
+    # the result can be run twice
+    assert out.count() == docs.count() and out.collect() == out.collect()
