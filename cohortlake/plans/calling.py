@@ -103,7 +103,11 @@ def clip_points(sv: DataFrame, cells: DataFrame, least: int = 3) -> DataFrame:
     reverse. Inversions take both kinds: their middle when the modes lie within 9 bases,
     else the one kind that has ``least`` against at most one of the other. CNV has no rule.
     """
-    n = cells.groupBy("sv_id", "sample_id", "kind", (F.col("cell") >= 200).alias("far"), "cell").agg(F.count("*").alias("n"))
+    return modal_points(sv, cells.groupBy("sv_id", "sample_id", "kind", (F.col("cell") >= 200).alias("far"), "cell").agg(F.count("*").alias("n")), least)
+
+
+def modal_points(sv: DataFrame, n: DataFrame, least: int = 3) -> DataFrame:
+    """``clip_points`` from counted cells (sv_id, sample_id, kind, far, cell, n): all of them, or the most frequent ones."""
     mode = lambda kind, far: F.max(F.when((F.col("kind") == kind) & (F.col("far") == far), F.struct("n", (-F.col("cell")).alias("c"))))
     best = n.groupBy("sv_id", "sample_id").agg(*[mode(k, far).alias(f"{k[0]}{int(far)}") for k in ("lclip", "rclip") for far in (False, True)])
     side = lambda name: F.struct((-F.col(f"{name}.c")).alias("c"), F.coalesce(F.col(f"{name}.n"), F.lit(0)).alias("n"))
@@ -124,25 +128,27 @@ def clip_points(sv: DataFrame, cells: DataFrame, least: int = 3) -> DataFrame:
 
 
 def break_clusters(sv: DataFrame, splits: DataFrame, cells: DataFrame, least: int = 3) -> DataFrame:
-    """sv_id, attempt, idx, start, end, n: breakpoints that the cohort's split reads and clips agree on, and those given."""
+    """sv_id, attempt, idx, start, end, n: breakpoints that the cohort's split reads and clips agree on, and those given. ``cells`` are clips or, with n and far, counted cells."""
     split = G.consensus(splits, least).withColumn("attempt", F.lit("split"))
-    clip = G.cohort_clusters(clip_points(sv, cells, least)).withColumn("attempt", F.lit("clip"))
+    points = modal_points if "n" in cells.columns else clip_points
+    clip = G.cohort_clusters(points(sv, cells, least)).withColumn("attempt", F.lit("clip"))
     given = sv.select("sv_id", F.lit(0).alias("idx"), F.col("pos").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.lit(1).alias("n"), F.lit("given").alias("attempt"))
     return split.unionByName(clip).unionByName(given).select("sv_id", "attempt", "idx", "start", "end", "n")
 
 
-def attempt_counts(sv: DataFrame, clusters: DataFrame, found: DataFrame) -> DataFrame:
-    """sv_id, attempt, sample_id, splits, pairs, start_clips, end_clips: evidence near each attempt's breakpoints. ``found`` as ``evidence_near`` gives it.
+def attempt_counts(sv: DataFrame, clusters: DataFrame, found: DataFrame, clips: DataFrame | None = None) -> DataFrame:
+    """sv_id, attempt, sample_id, splits, pairs, start_clips, end_clips: evidence near each attempt's breakpoints. ``found`` as ``evidence_near`` gives it; ``clips`` are those that aren't in it and are counted by place.
 
     Split reads count for every cluster within 6 bases (sum of both ends), clips for every
-    cluster whose cells lie within 3 of them; pairs count once, by the largest cluster. All
-    evidence is one table, which meets the clusters in one join.
+    cluster whose cells lie within 3 of them; pairs count once, by the largest cluster. What
+    is in ``found`` meets the clusters in one join.
     """
     first = Window.partitionBy("sv_id", "attempt").orderBy(F.desc("n"), "idx")
     at = lambda c: F.floor(F.col(c) + 0.5).cast("int")
-    c = clusters.withColumn("largest", F.row_number().over(first) == 1).join(sv.select("sv_id", "svtype", "pos", F.col("end").alias("_end")), "sv_id")
+    c = clusters.withColumn("largest", F.row_number().over(first) == 1)
+    c = c.join(sv.select("sv_id", "svtype", *([] if clips is None else ["chrnum"]), "pos", F.col("end").alias("_end")), "sv_id")
     c = c.select(
-        "sv_id", "attempt", "svtype", "largest", F.col("start").alias("cs"), F.col("end").alias("ce"), at("start").alias("s"), at("end").alias("e"),
+        "sv_id", "attempt", "svtype", "largest", *([] if clips is None else ["chrnum", "pos", "_end"]), F.col("start").alias("cs"), F.col("end").alias("ce"), at("start").alias("s"), at("end").alias("e"),
         F.least(F.lit(196), F.greatest(F.lit(3), at("start") - F.col("pos") + 100)).alias("s_cell"), F.least(F.lit(396), F.greatest(F.lit(203), at("end") - F.col("_end") + 300)).alias("e_cell"),
     )
     kind = F.when(F.col("tag") == "clip", F.col("kind")).otherwise(F.col("tag"))
@@ -157,7 +163,17 @@ def attempt_counts(sv: DataFrame, clusters: DataFrame, found: DataFrame) -> Data
     clip = lambda cell, kind: (inv | (F.col("kind") == kind)) & F.col("kind").isin("lclip", "rclip") & (a >= F.col(cell) - 3) & (a <= F.col(cell) + last)
     starts, ends = clip("s_cell", F.when(gain, "lclip").otherwise("rclip")), clip("e_cell", F.when(gain, "rclip").otherwise("lclip"))
     sums = zip(COUNTS, (split, pair, starts, ends), strict=True)
-    return met.where(split | pair | starts | ends).groupBy("sv_id", "attempt", "sample_id").agg(*[F.count_if(x).cast("int").alias(n) for n, x in sums])
+    out = met.where(split | pair | starts | ends).groupBy("sv_id", "attempt", "sample_id").agg(*[F.count_if(x).alias(n) for n, x in sums])
+    if clips is not None:
+        spot = lambda x, far: F.struct(x.alias("place"), F.lit(far).alias("far"))
+        spots = F.array(spot(F.col("pos") + F.col("s_cell") - 100, False), spot(F.col("_end") + F.col("e_cell") - 300, True))
+        places = c.select("sv_id", "attempt", "svtype", "chrnum", F.explode(spots).alias("x")).select("sv_id", "attempt", "svtype", "chrnum", "x.*")
+        near = E.clips_at(places, clips.where(F.col("kind").isin("lclip", "rclip")), ["sample_id", "kind"], {"wide": (-3, 3), "narrow": (-3, 2)})
+        far = F.col("far")
+        n = F.when(inv | (F.col("kind") == F.when(gain == far, "rclip").otherwise("lclip")), F.when(gain, F.col("narrow")).otherwise(F.col("wide"))).otherwise(0)
+        near = near.withColumn("n", n).where("n > 0").select("sv_id", "attempt", "sample_id", *[F.lit(0).alias(x) for x in COUNTS[:2]], F.when(far, 0).otherwise(F.col("n")).alias(COUNTS[2]), F.when(far, F.col("n")).otherwise(0).alias(COUNTS[3]))
+        out = out.unionByName(near).groupBy("sv_id", "attempt", "sample_id").agg(*[F.sum(x).alias(x) for x in COUNTS])
+    return out.withColumns({x: F.col(x).cast("int") for x in COUNTS})
 
 
 def _to_gt(kind: str, cn: np.ndarray) -> np.ndarray:
@@ -356,9 +372,9 @@ def genotype(
     if exclude is not None:
         drop = lambda rows: rows.join(exclude.select("sample_id"), "sample_id", "left_anti")
         pairs, splits, clips = drop(pairs), drop(splits), drop(clips)
-    near = stored(E.evidence_near(sv, E.evidence_rows(pairs, splits, clips), far_end), "near")
-    clusters = stored(break_clusters(sv, E.split_hits(near), E.clip_hits(near)), "clusters")
-    cells = features(sv, samples, depth, windows, width, clusters, attempt_counts(sv, clusters, near), exclude)
+    near = stored(E.evidence_near(sv, E.evidence_rows(pairs, splits), far_end), "near")
+    clusters = stored(break_clusters(sv, E.split_hits(near), E.clip_modes(sv, clips, ["sample_id", "kind"])), "clusters")
+    cells = features(sv, samples, depth, windows, width, clusters, attempt_counts(sv, clusters, near, clips), exclude)
     return sv, clusters, call(cells, max_overlap, together=True)
 
 

@@ -355,14 +355,6 @@ _GIVEN_HITS = """hit AS (SELECT sv_id, sample_id, 's' AS k FROM sn JOIN v USING
     WHERE (svtype = 'INV' OR kind = CASE WHEN gain = (cell < 200) THEN 'lclip' ELSE 'rclip' END) AND (cell % 200) BETWEEN 97 AND CASE WHEN gain THEN 102 ELSE 103 END)"""
 
 
-def _evidence_of(spark, d):
-    from ..operators import evidence as E
-
-    ev = S.evidence(spark, d)
-    kind = lambda *k: ev.where(F.col("kind").isin(*k))
-    return E.evidence_rows(kind("pair", "filtered"), kind("split", "filtered", "pair"), kind("lclip", "rclip"))
-
-
 @query("given_counts", S.with_views("sv", "evidence", extra=_EVIDENCE + ",\n" + _GIVEN_HITS) + """SELECT sv_id, 'given' AS attempt, sample_id, CAST(count(*) FILTER (k = 's') AS INTEGER) AS splits, CAST(count(*) FILTER (k = 'p') AS INTEGER) AS pairs,
   CAST(count(*) FILTER (k = 'b') AS INTEGER) AS start_clips, CAST(count(*) FILTER (k = 'e') AS INTEGER) AS end_clips FROM hit GROUP BY sv_id, sample_id""")
 def _(spark, d):
@@ -370,9 +362,9 @@ def _(spark, d):
     from ..operators import evidence as E
     from ..operators import queries_evidence as Q
 
-    sv = Q._sv(spark, d)
+    sv, rows = Q._sv(spark, d), E.evidence_rows(Q._of(spark, d, "pair", "filtered"), Q._of(spark, d, "split", "filtered", "pair"))
     given = sv.select("sv_id", F.lit("given").alias("attempt"), F.lit(0).alias("idx"), F.col("pos").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.lit(1).alias("n"))
-    return C.attempt_counts(sv, given, E.evidence_near(sv, _evidence_of(spark, d)))
+    return C.attempt_counts(sv, given, E.evidence_near(sv, rows), Q._clip_rows(spark, d))
 
 
 def _breaks(spark, d):
@@ -407,9 +399,10 @@ def _(spark, d):
     from ..operators import queries_evidence as E
 
     # the view's clips are thin: variants of 400 ids together, cells of ten bases
-    cells = E._cells(spark, d).select((F.floor(F.col("sv_id") / 400) * 3).alias("sv_id"), "sample_id", "kind", (F.floor(F.col("cell") / 10) * 10).cast("int").alias("cell"))
-    sv = cells.select("sv_id").distinct().select("sv_id", F.get(F.array(*map(F.lit, ("DEL", "DUP", "INV"))), (F.col("sv_id") / 3 % 3).cast("int")).alias("svtype"), F.lit(10_000).alias("pos"), F.lit(20_000).alias("end"))
-    return G.cohort_clusters(C.clip_points(sv, cells, least=1))
+    cells = E.E.grouped_cells(E._sv(spark, d), E._clip_rows(spark, d), (F.floor(F.col("sv_id") / 400) * 3), 10)
+    sv = E._sv(spark, d).select((F.floor(F.col("sv_id") / 400) * 3).alias("sv_id")).distinct()
+    sv = sv.select("sv_id", F.get(F.array(*map(F.lit, ("DEL", "DUP", "INV"))), (F.col("sv_id") / 3 % 3).cast("int")).alias("svtype"), F.lit(10_000).alias("pos"), F.lit(20_000).alias("end"))
+    return G.cohort_clusters(C.modal_points(sv, cells, least=1))
 
 
 @query(

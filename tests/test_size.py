@@ -114,3 +114,19 @@ def test_little_but_true_evidence_meets(spark, far_end):
     assert len(got) == len(set(got)) and set(got) == want and {t for t, *_ in got} == {"pair", "split", "clip"}
     for tag, alone in (("pair", pairs), ("split", splits), ("clip", clips)):
         assert E._meetings(left, alone, far_end).count() < 8 * sum(t == tag for t, *_ in got) + 1000, tag
+
+
+def test_clips_of_attempts_are_counted_before_they_meet_candidates(spark, spot):
+    same(spark, spot, "given_counts")
+    assert joined(QUERIES["given_counts"](spark, spot)) < 60 * ONE_SPOT
+
+
+def test_clip_cells_of_groups_are_counted_before_they_meet_candidates(spark, spot):
+    from cohortlake.operators import queries_evidence as Q
+
+    con, width = duck(spot), 10
+    cells = con.execute(SQL["clips_near_sv"].replace("SELECT * FROM cc", f"SELECT sv_id // 400 * 3 AS sv_id, sample_id, kind, cell >= 200 AS far, cell // {width} * {width} AS cell, count(*) AS n FROM cc GROUP BY ALL")).df()
+    got = Q.E.grouped_cells(Q._sv(spark, spot), Q._clip_rows(spark, spot), F.floor(F.col("sv_id") / 400) * 3, width)
+    assert len(cells)
+    assert_same(got.toPandas(), cells)
+    assert joined(QUERIES["clip_consensus"](spark, spot)) < 60 * ONE_SPOT
