@@ -202,15 +202,9 @@ def _(spark, d):
   WHERE (least(a."end", b."end") - greatest(a.pos, b.pos)) / (greatest(a."end", b."end") - least(a.pos, b.pos)) > 0.7),
 r AS (SELECT sv_id AS u, sv_id AS v FROM sv UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)""").replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT u AS sv_id, min(v) AS component FROM r GROUP BY u")
 def _(spark, d):
-    from ..operators import graph, intervals
-
-    sv = S.sv(spark, d)
-    pairs = intervals.overlap_join(sv, sv, left_on=("pos", "end"), right_on=("pos", "end")).where("l.svtype = r.svtype and l.sv_id < r.sv_id")
-    ro = X.overlap_ratio(F.col("l.pos"), F.col("l.end"), F.col("r.pos"), F.col("r.end"))
-    edges = pairs.where(ro > 0.7).select(F.col("l.sv_id").alias("u"), F.col("r.sv_id").alias("v"))
-    return sv.select("sv_id").join(graph.smallest_reachable(edges).withColumnRenamed("node", "sv_id"), "sv_id", "left").withColumn("component", F.coalesce("component", "sv_id"))
-
+    from ..operators import graph
 
+    return graph.overlap_components(S.sv(spark, d))
 
 
 @query("intervals_to_vcf", S.with_views("sv") + """SELECT concat_ws(chr(9), 'chr' || CASE chrnum WHEN 23 THEN 'X' WHEN 24 THEN 'Y' ELSE CAST(chrnum AS VARCHAR) END, CAST(pos AS VARCHAR), CAST(sv_id AS VARCHAR), '.', '<' || svtype || '>', '.', 'PASS',

@@ -130,3 +130,43 @@ def test_clip_cells_of_groups_are_counted_before_they_meet_candidates(spark, spo
     assert len(cells)
     assert_same(got.toPandas(), cells)
     assert joined(QUERIES["clip_consensus"](spark, spot)) < 60 * ONE_SPOT
+
+
+def test_components_of_dense_and_thin_places(spark, make, monkeypatch):
+    """Against union-find over all pairs; tables of links stay far below the pairs."""
+    from cohortlake.operators import graph
+
+    rng = np.random.default_rng(5)
+    spread = [(int(p), int(w), k) for p, w, k in zip(rng.integers(0, 60_000, 300), np.exp(rng.uniform(np.log(12), np.log(20_000), 300)), rng.integers(0, 2, 300), strict=True)]
+    dense = [(5_000 + int(a), 4_000 + int(b), 0) for a, b in zip(rng.integers(0, 300, 300), rng.integers(0, 300, 300), strict=True)]
+    rows = [(i * 6 + k, p, w) for i, (p, w, k) in enumerate(spread + dense)]
+    # the view's start is (key * 7919) % 1000000 + 1 and its length 11 + price: keys that give these starts, of types by key % 6
+    inverse = pow(7919, -1, 1_000_000)
+    table, seen = [], set()
+    for _, p, w in rows:
+        key = p * inverse % 1_000_000
+        while key in seen:
+            key += 6_000_000
+        seen.add(key)
+        table.append((key, p + 1, p + 12 + w % 20_000, key % 6))
+    values = ", ".join(f"({k}, {e - s - 11})" for k, s, e, _ in table)
+    folder = make(f"SELECT t.* REPLACE (CAST(x.k AS BIGINT) AS o_orderkey, 1::BIGINT AS o_custkey, CAST(x.w AS DOUBLE) AS o_totalprice) FROM (SELECT * FROM t LIMIT 1) t, (VALUES {values}) x(k, w)")
+    root = {k: k for k, *_ in table}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    pairs = 0
+    for i, (a, s, e, k) in enumerate(table):
+        for b, s2, e2, k2 in table[:i]:
+            if k == k2 and 10 * (min(e, e2) - max(s, s2)) > 7 * (max(e, e2) - min(s, s2)):
+                pairs += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    sizes, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name, *more: (out := stored(df, name, *more), name == "edges" and sizes.append(out.count()))[0])
+    got = {r.sv_id: r.component for r in QUERIES["ro_components"](spark, folder).collect()}
+    assert got == {k: find(k) for k in root} and 1 < len(set(got.values())) < len(got)
+    assert pairs > 6 * len(table) and sizes and max(sizes) < 3 * len(table)
